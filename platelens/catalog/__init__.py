@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("loading", "tables", "posthoc")
+MODULES = ("loading", "tables", "posthoc", "models")
 
 
 def registry() -> dict:

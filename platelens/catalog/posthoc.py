@@ -229,11 +229,12 @@ def i10b(spark, sf):
     return rounded(metrics.matching_heatmap(found, "AUROC", "ResultIndex", ["F", "O"]))
 
 
-@query("i11_group_auroc", """WITH g AS (SELECT CellLines, Mutations, avg(Class_1) AS p FROM preds WHERE Mutations <> 'sporadic' GROUP BY 1, 2),
+@query("i11_group_auroc", """WITH g AS (SELECT CellLines, Mutations, avg(Class_1) AS p FROM preds WHERE Mutations <> 'sporadic' AND ModelGenetics = 'ASIA' GROUP BY 1, 2),
   k AS (SELECT *, CASE WHEN Mutations = 'WT' THEN 0 ELSE 1 END AS y, rank() OVER (ORDER BY p) + (count(*) OVER (PARTITION BY p) - 1) / 2.0::DOUBLE AS r FROM g)
   SELECT round((sum(CASE WHEN y = 1 THEN r ELSE 0 END) - sum(y) * (sum(y) + 1) / 2.0::DOUBLE) / (sum(y) * sum(1 - y))::DOUBLE, 6) AS AUROC FROM k""")
 def i11(spark, sf):
-    return rounded(metrics.group_auroc(predictions(spark, sf), "CellLines", "Class_1"))
+    one = predictions(spark, sf).filter(F.col("ModelGenetics") == "ASIA")
+    return rounded(metrics.group_auroc(one, "CellLines", "Class_1"))
 
 
 CONFUSION = """conf AS (SELECT ModelGenetics, ResultIndex, Mutation, sum(CASE WHEN p >= 0.5 AND y = 1 THEN 1 ELSE 0 END)::BIGINT AS TP, sum(CASE WHEN p >= 0.5 AND y = 0 THEN 1 ELSE 0 END)::BIGINT AS FP,

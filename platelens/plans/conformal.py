@@ -40,9 +40,8 @@ def thresholds(scores: DataFrame, quantiles: Sequence[float] = (0.75, 0.9), by:
 
 def _with_sets(scores: DataFrame, limit: Column) -> DataFrame:
     """Prediction set: class numbers, as text, whose probability is at least 1 - threshold."""
-    names = [c.removeprefix("Class_") for c in class_columns(scores)]
-    pairs = F.arrays_zip(F.array(*[F.lit(n) for n in names]).alias("k"), _class_array(scores).alias("p"))
-    chosen = F.transform(F.filter(pairs, lambda x: x.getField("p") >= 1 - limit), lambda x: x.getField("k"))
+    picks = [F.when(F.col(c) >= 1 - limit, F.lit(c.removeprefix("Class_"))).otherwise("") for c in class_columns(scores)]
+    chosen = F.array_remove(F.array(*picks), "")
     out = scores.withColumn("PredictionSet", chosen)
     return out.withColumn("Covered", F.array_contains("PredictionSet", F.col("True").cast("int").cast("string")))
 

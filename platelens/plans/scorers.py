@@ -87,7 +87,7 @@ class Logistic(_CellScorer):
         strength = 1.0 / (float(self.options.get("C", 1.0)) * max(self.rows_seen, 1.0))
         self.model = LogisticRegression(
             featuresCol="_x", labelCol="_y", weightCol="_w", family="multinomial", regParam=strength,
-            maxIter=int(self.options.get("max_iter", 100)), standardization=False, tol=1e-8,
+            maxIter=int(self.options.get("max_iter", 100)), standardization=False, tol=1e-6,
         ).fit(data)
         return self
 
