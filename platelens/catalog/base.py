@@ -104,7 +104,8 @@ def scores(spark: SparkSession, sf: str, by_drug: bool = False) -> DataFrame:
         F.count(F.lit(1)).alias("NCells"),
         *[F.count(F.when(F.col("l_returnflag") == f, 1)).alias(f"_n{i}") for i, f in enumerate("ANR")],
     )
-    power = [F.pow(F.col(f"_n{i}") / F.col("NCells"), F.lit(8.0)) for i in range(3)]
+    share = [F.col(f"_n{i}") / F.col("NCells") for i in range(3)]
+    power = [x * x * x * x * x * x * x * x for x in share]
     total = power[0] + power[1] + power[2]
     out = counts.select(*keys, "NCells", *[(p / total).alias(f"Class_{i}") for i, p in enumerate(power)])
     top = (
@@ -172,19 +173,21 @@ VIEWS = {
     "scores": """SELECT l_suppkey::VARCHAR AS CellLines, Mutations, NCells, p0 / (p0 + p1 + p2) AS Class_0,
   p1 / (p0 + p1 + p2) AS Class_1, p2 / (p0 + p1 + p2) AS Class_2,
   CASE WHEN l_suppkey % 4 = 0 THEN n_regionkey % 3 WHEN p0 >= p1 AND p0 >= p2 THEN 0 WHEN p1 >= p2 THEN 1 ELSE 2 END AS "True"
-  FROM (SELECT l_suppkey, count(*) AS NCells,
-    pow(count(*) FILTER (l_returnflag = 'A') / count(*)::DOUBLE, 8) AS p0,
-    pow(count(*) FILTER (l_returnflag = 'N') / count(*)::DOUBLE, 8) AS p1,
-    pow(count(*) FILTER (l_returnflag = 'R') / count(*)::DOUBLE, 8) AS p2
-    FROM lineitem GROUP BY l_suppkey) JOIN supp ON l_suppkey = s_suppkey""",
+  FROM (SELECT *, x0*x0*x0*x0*x0*x0*x0*x0 AS p0, x1*x1*x1*x1*x1*x1*x1*x1 AS p1, x2*x2*x2*x2*x2*x2*x2*x2 AS p2
+    FROM (SELECT l_suppkey, count(*) AS NCells,
+    count(*) FILTER (l_returnflag = 'A') / count(*)::DOUBLE AS x0,
+    count(*) FILTER (l_returnflag = 'N') / count(*)::DOUBLE AS x1,
+    count(*) FILTER (l_returnflag = 'R') / count(*)::DOUBLE AS x2
+    FROM lineitem GROUP BY l_suppkey)) JOIN supp ON l_suppkey = s_suppkey""",
     "drug_scores": """SELECT l_suppkey::VARCHAR AS CellLines, Mutations, Drugs, NCells, p0 / (p0 + p1 + p2) AS Class_0,
   p1 / (p0 + p1 + p2) AS Class_1, p2 / (p0 + p1 + p2) AS Class_2,
   CASE WHEN l_suppkey % 4 = 0 THEN n_regionkey % 3 WHEN p0 >= p1 AND p0 >= p2 THEN 0 WHEN p1 >= p2 THEN 1 ELSE 2 END AS "True"
-  FROM (SELECT l_suppkey, l_linestatus AS Drugs, count(*) AS NCells,
-    pow(count(*) FILTER (l_returnflag = 'A') / count(*)::DOUBLE, 8) AS p0,
-    pow(count(*) FILTER (l_returnflag = 'N') / count(*)::DOUBLE, 8) AS p1,
-    pow(count(*) FILTER (l_returnflag = 'R') / count(*)::DOUBLE, 8) AS p2
-    FROM lineitem GROUP BY l_suppkey, l_linestatus) JOIN supp ON l_suppkey = s_suppkey""",
+  FROM (SELECT *, x0*x0*x0*x0*x0*x0*x0*x0 AS p0, x1*x1*x1*x1*x1*x1*x1*x1 AS p1, x2*x2*x2*x2*x2*x2*x2*x2 AS p2
+    FROM (SELECT l_suppkey, l_linestatus AS Drugs, count(*) AS NCells,
+    count(*) FILTER (l_returnflag = 'A') / count(*)::DOUBLE AS x0,
+    count(*) FILTER (l_returnflag = 'N') / count(*)::DOUBLE AS x1,
+    count(*) FILTER (l_returnflag = 'R') / count(*)::DOUBLE AS x2
+    FROM lineitem GROUP BY l_suppkey, l_linestatus)) JOIN supp ON l_suppkey = s_suppkey""",
     "preds": """SELECT CellLines, Mutations, "True", Drugs AS ResultIndex, 'AMERICA' AS ModelGenetics, Class_0 AS Class_1
   FROM drug_scores UNION ALL
   SELECT CellLines, Mutations, "True", Drugs, 'ASIA', Class_1 FROM drug_scores UNION ALL

@@ -288,10 +288,10 @@ def b14(spark, sf):
 
 
 @query("b15_l2_normalize", "SELECT ID, " + ", ".join(
-    f"round(1000 * sum({c} / (SELECT sqrt(sum({c} * {c})) FROM cells)), 6) AS {c}" for c in FEATURES) + " FROM cells GROUP BY ID")
+    f"round(1000 * sum({c} / (SELECT sqrt(sum({c} * {c})) FROM cells)), 4) AS {c}" for c in FEATURES) + " FROM cells GROUP BY ID")
 def b15(spark, sf):
     out = feat.l2_normalize(cells(spark, sf), FEATURES)
-    return rounded(out.groupBy("ID").agg(*[(1000 * F.sum(c)).alias(c) for c in FEATURES]))
+    return rounded(out.groupBy("ID").agg(*[(1000 * F.sum(c)).alias(c) for c in FEATURES]), 4)
 
 
 @query("b16_feature_family", """SELECT split_part(feature, '_', 1) AS family, count(*) AS n, round(avg(v), 4) AS mean FROM (

@@ -66,7 +66,9 @@ def _interpolate(level: Column, n: Column, values: list[Column], method: str) ->
 
 def _quantiles_of_small_groups(df, keys, levels, columns, method):
     sorted_values = {c: F.sort_array(F.collect_list(F.col(f"`{c}`"))) for c in columns}
-    packed = df.groupBy(*keys).agg(*[v.alias(f"_v{i}") for i, v in enumerate(sorted_values.values())])
+    # lists cannot shrink before the shuffle, so rows are moved first and each task packs its own groups
+    moved = df.repartition(*keys) if keys else df
+    packed = moved.groupBy(*keys).agg(*[v.alias(f"_v{i}") for i, v in enumerate(sorted_values.values())])
     out = []
     for alias, (c, level) in levels.items():
         values = F.col(f"_v{columns.index(c)}")
@@ -130,7 +132,7 @@ def _quantiles_of_any_groups(df, keys, levels, method, profile):
 
 def _brackets(level) -> list[float]:
     if callable(level):
-        return [i / 100 for i in range(1, 100)]
+        return [i / BUCKETS for i in range(1, BUCKETS)]
     return [min(1.0, max(0.0, level + d)) for d in (-2e-4, 2e-4)]
 
 
@@ -192,15 +194,20 @@ def positions(
     return out.drop("_b") if keys else out.drop("_b", "_all")
 
 
-def smallest_per_group(df: DataFrame, keys: Sequence[str], order: Sequence, n: int, fan_in: int = 64) -> DataFrame:
-    """The ``n`` first rows of every group, chosen in two steps so that no task sees a whole hot group.
+def smallest_per_group(
+    df: DataFrame, keys: Sequence[str], order: Sequence, n: int, profile: GroupProfile | None = None, fan_in: int = 64
+) -> DataFrame:
+    """The ``n`` first rows of every group. Large groups are cut down in two steps so that no task sees them whole.
 
     Spark already limits each map task's share of a group before the shuffle; the first step merges the shares of
     a subset of map tasks, the second merges at most ``n * fan_in`` survivors. The outcome does not depend on how
     rows were spread over tasks.
     """
+    profile = profile or profile_groups(df, keys)
     first = Window.partitionBy(*keys, "_share").orderBy(*order)
     last = Window.partitionBy(*keys).orderBy(*order)
+    if profile.max_rows <= hot_group_rows(df.sparkSession):
+        return df.withColumn("_r", F.row_number().over(last)).filter(F.col("_r") <= n).drop("_r")
     some = df.withColumn("_share", F.pmod(F.spark_partition_id(), F.lit(fan_in)))
     some = some.withColumn("_r", F.row_number().over(first)).filter(F.col("_r") <= n).drop("_share", "_r")
     return some.withColumn("_r", F.row_number().over(last)).filter(F.col("_r") <= n).drop("_r")

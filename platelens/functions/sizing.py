@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 200_000
+LOCAL_ROWS = 10_000
 HOT_GROUP_ROWS = 500_000
 
 
@@ -42,6 +43,15 @@ def profile_groups(df: DataFrame, keys: Sequence[str]) -> GroupProfile:
     return GroupProfile(row["g"], row["m"] or 0)
 
 
+def as_local(small: DataFrame) -> DataFrame | None:
+    """A result of at most ``LOCAL_ROWS`` rows (statistics per label, codes, thresholds), computed once and kept in the
+    plan as local data; None when there are more rows. At most one row beyond the limit reaches the driver."""
+    rows = small.limit(LOCAL_ROWS + 1).toArrow()
+    if rows.num_rows > LOCAL_ROWS:
+        return None
+    return small.sparkSession.createDataFrame(rows, small.schema)
+
+
 def fits_broadcast(small: DataFrame) -> bool:
     """Count at most one row beyond the limit."""
     limit = broadcast_rows(small.sparkSession)
@@ -49,8 +59,15 @@ def fits_broadcast(small: DataFrame) -> bool:
 
 
 def join_bounded(big: DataFrame, small: DataFrame, on, how: str = "inner", rows: int | None = None) -> DataFrame:
-    """Join with ``small`` broadcast when ``rows`` (a proven bound) or a count allows it, else by shuffle."""
+    """Join with ``small`` broadcast when a proven bound ``rows``, or a look at its size, allows it; else by shuffle.
+
+    A shuffled join keeps all rows too: AQE splits the partitions of a skewed ``big`` side.
+    """
     limit = broadcast_rows(big.sparkSession)
+    if rows is None and limit >= LOCAL_ROWS:
+        local = as_local(small)
+        if local is not None:
+            return big.join(F.broadcast(local), on, how)
     fits = rows <= limit if rows is not None else fits_broadcast(small)
     return big.join(F.broadcast(small) if fits else small, on, how)
 

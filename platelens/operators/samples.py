@@ -73,9 +73,9 @@ def subsample_rows_by_id(screen: Screen, n: int = 100, seed: int = 47) -> Screen
     cells = screen.cells
     if "cell_key" not in cells.columns:
         keyed = cells.withColumn("_h", hash_order(_content_key(cells), seed))
-        return screen.with_cells(smallest_per_group(keyed, ["ID"], ["_h"], n).select(*cells.columns))
+        return screen.with_cells(smallest_per_group(keyed, ["ID"], ["_h"], n, screen.bounds()).select(*cells.columns))
     digest = hash_order(F.col("cell_key"), seed)
-    last = smallest_per_group(cells.select("ID", digest.alias("_h")), ["ID"], ["_h"], n)
+    last = smallest_per_group(cells.select("ID", digest.alias("_h")), ["ID"], ["_h"], n, screen.bounds())
     last = last.groupBy("ID").agg(F.max("_h").alias("_last"))
     kept = join_bounded(cells, last, "ID", rows=screen.bounds().groups).filter(digest <= F.col("_last"))
     return screen.with_cells(kept.select(*[quoted(c) for c in cells.columns]))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from platelens.functions.metrics import binary_metrics
 from platelens.operators.joins import union_all
 from platelens.plans.components import profile_components
-from platelens.plans.fitters import FITTERS, FitResult, _Task
+from platelens.plans.fitters import FITTERS, FitResult, _Task, run_parallel
 from platelens.plans.scorers import SCORERS, MultiAntibody
 
 
@@ -78,22 +78,24 @@ def stability(screen, params: Mapping, grid: Sequence[Mapping], replicates: int,
     from platelens.plans import folds as fold_tables
 
     task = _Task.of(screen, params)
-    tables = []
-    for setting in grid:
-        for rep in range(replicates):
-            table = fold_tables.reciprocal_halves(task.wells, 1, rep)
-            rows = table.filter(F.col("role") == "train").select("half", "CellLines").collect()
-            halves = [sorted(r["CellLines"] for r in rows if r["half"] == h) for h in (0, 1)]
-            parts = []
-            for train, test in (halves, halves[::-1]):
-                model = MultiAntibody(dict(setting), rep).fit(task.part(train, True), task.features)
-                parts.append(model.evaluate(task.part(test, True)))
-            table = union_all(parts)
-            sources = [c for c in table.columns if c.startswith(f"class_{positive}_")]
-            long = table.select("True", *sources).unpivot(["True"], sources, "group", "score")
-            long = long.withColumn("group", F.regexp_replace("group", rf"^class_{positive}_", ""))
-            metrics = binary_metrics(long, ["group"])
-            metrics = metrics.select(F.lit(rep + 1).alias("replicate"), "*", F.lit(rep).alias("random_seed"),
-                                     *[F.lit(v).alias(k) for k, v in setting.items()])
-            tables.append(metrics)
-    return union_all(tables)
+    runs = [(setting, rep) for setting in grid for rep in range(replicates)]
+
+    def run(job) -> DataFrame:
+        setting, rep = job
+        halves = fold_tables.reciprocal_halves(task.wells, 1, rep).filter(F.col("role") == "train")
+        rows = halves.select("half", "CellLines").collect()
+        first, second = (sorted(r["CellLines"] for r in rows if r["half"] == h) for h in (0, 1))
+        parts = []
+        for train, test in ((first, second), (second, first)):
+            model = MultiAntibody(dict(setting), rep).fit(task.part(train, True), task.features)
+            parts.append(model.evaluate(task.part(test, True)))
+        table = union_all(parts)
+        sources = [c for c in table.columns if c.startswith(f"class_{positive}_")]
+        long = table.select("True", *sources).unpivot(["True"], sources, "group", "score")
+        long = long.withColumn("group", F.regexp_replace("group", rf"^class_{positive}_", ""))
+        return binary_metrics(long, ["group"]).select(
+            F.lit(rep + 1).alias("replicate"), "*", F.lit(rep).alias("random_seed"),
+            *[F.lit(v).alias(k) for k, v in setting.items()],
+        )
+
+    return union_all(run_parallel(task.wells.sparkSession, run, runs, params))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from platelens.functions.hashing import hash_number, hash_order, hash_pick
 from platelens.functions.ordered import NEAREST, grouped_quantiles, positions, smallest_per_group
-from platelens.functions.sizing import join_bounded
+from platelens.functions.sizing import join_bounded, profile_groups
 
 
 def cells_per_line(cells: DataFrame, keys: Sequence[str], n: int, seed=47, key: str = "cell_key") -> DataFrame:
@@ -19,7 +19,8 @@ def cells_per_line(cells: DataFrame, keys: Sequence[str], n: int, seed=47, key:
     the chosen cells, at most ``n`` per group, are ever packed together.
     """
     names = cells.columns
-    first = smallest_per_group(cells.withColumn("_h", hash_order(F.col(key), seed)), keys, ["_h", key], n)
+    profile = profile_groups(cells, keys)
+    first = smallest_per_group(cells.withColumn("_h", hash_order(F.col(key), seed)), keys, ["_h", key], n, profile)
     rest = [c for c in names if c not in keys]
     packed = first.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_h", *rest))).alias("_rows"))
     text = [F.col(k).cast("string") for k in keys]
@@ -37,9 +38,10 @@ def cells_per_line(cells: DataFrame, keys: Sequence[str], n: int, seed=47, key:
 
 def repeated_draws(cells: DataFrame, keys: Sequence[str], n: int, reps: int, seed=47, key: str = "cell_key"):
     """At most ``n`` cells per group in each of ``reps`` independent seeded draws; only key columns are replicated."""
+    profile = profile_groups(cells, keys)
     reps_of = cells.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
     reps_of = reps_of.withColumn("_h", hash_order(F.col(key), seed, F.col("rep")))
-    return smallest_per_group(reps_of, [*keys, "rep"], ["_h", key], n).drop("_h")
+    return smallest_per_group(reps_of, [*keys, "rep"], ["_h", key], n, profile).drop("_h")
 
 
 def repeated_means(cells: DataFrame, keys: Sequence[str], values: Sequence[str], n: int, reps: int, seed=47):

@@ -1,15 +1,17 @@
 """Fitters: which lines train, which are predicted, and the loop over folds.
 
 Each fold is one distributed model fit, so the loop runs on the driver over folds (lines or halves), never over cells.
-The labelled cells are persisted across the folds of a run.
+A few folds run at a time (``analysis.MAP.parallelism``), as in cross-validation. The labelled cells are persisted across
+the folds of a run; call ``FitResult.release`` when predictions have been used.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
+from multiprocessing.pool import ThreadPool
 
-from pyspark import StorageLevel
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,6 +41,12 @@ class FitResult:
     importance: DataFrame | None = None
     scalers: list = field(default_factory=list)
     training_lines: list = field(default_factory=list)
+    cached: list = field(default_factory=list)
+
+    def release(self) -> None:
+        """Drop the cached cells of this run."""
+        for df in self.cached:
+            df.unpersist()
 
 
 def _map_params(params: Mapping) -> Mapping:
@@ -89,10 +97,6 @@ class _Task:
         hit = F.col("CellLines").isin(*lines)
         return {m: df.filter(hit if inside else ~hit) for m, df in self.rows.items()}
 
-    def release(self) -> None:
-        for df in self.rows.values():
-            df.unpersist()
-
 
 def fit_split(task: _Task, make: Callable[[], Scorer], train: Sequence[str]):
     """Fit on the named lines, score all others; the scaler comes from the training lines alone."""
@@ -114,10 +118,28 @@ def _holdout(lines: Sequence[tuple[str, str]], mutation: str | None, extra: Sequ
     return out | ({c for c, m in lines if m not in mine} if mutation else set())
 
 
-def _finish(spark, result: FitResult, parts: list[DataFrame], importances: Mapping) -> FitResult:
+def run_parallel(spark, work: Callable, jobs: Sequence, params: Mapping) -> list:
+    """Run independent fits a few at a time; results keep the order of the jobs."""
+    width = max(1, min(int(_map_params(params).get("parallelism", 4)), len(jobs)))
+    with ThreadPool(width) as workers:
+        return workers.map(inheritable_thread_target(spark)(work), jobs, chunksize=1)
+
+
+def _fit_all(task: _Task, make, trained: Sequence[Sequence[str]], params: Mapping) -> list:
+    return run_parallel(task.wells.sparkSession, lambda train: fit_split(task, make, train), trained, params)
+
+
+def _record(result: FitResult, model):
+    result.fitted.append(model)
+    result.scalers.append(_scaler_of(model))
+    return model.importance()
+
+
+def _finish(task: _Task, result: FitResult, parts: list[DataFrame], importances: Mapping) -> FitResult:
     result.predicted = union_all(parts)
+    result.cached = list(task.rows.values())
     if any(importances.values()):
-        result.importance = importance_table(spark, importances)
+        result.importance = importance_table(task.wells.sparkSession, importances)
     return result
 
 
@@ -132,16 +154,13 @@ def _leave_one_out(screen, make, params, mutation=None, holdout=()) -> FitResult
     lines = task.lines()
     held = _holdout(lines, mutation, holdout)
     pool = [c for c, _ in lines if c not in held]
-    result, parts, importances = FitResult(), [], {}
-    for line in pool:
-        train = [c for c in pool if c != line]
-        model, predicted = fit_split(task, make, train)
+    trained = [[c for c in pool if c != line] for line in pool]
+    result = FitResult(training_lines=pool)
+    parts, importances = [], {}
+    for line, (model, predicted) in zip(pool, _fit_all(task, make, trained, params), strict=True):
         parts.append(predicted.withColumn("Holdout", F.lit(line)))
-        result.fitted.append(model)
-        result.scalers.append(_scaler_of(model))
-        importances[line] = model.importance()
-    result.training_lines = pool
-    return _finish(task.wells.sparkSession, result, parts, importances)
+        importances[line] = _record(result, model)
+    return _finish(task, result, parts, importances)
 
 
 def _sample_split(screen, make, params, mutation=None, holdout=()) -> FitResult:
@@ -151,19 +170,16 @@ def _sample_split(screen, make, params, mutation=None, holdout=()) -> FitResult:
     held = _holdout(task.lines(), mutation, holdout)
     table = fold_tables.reciprocal_halves(task.wells, reps, seed, sorted(held))
     chosen = table.filter(F.col("role") == "train").select("rep", "half", "CellLines").collect()
-    result, parts, importances = FitResult(), [], {}
-    for rep in range(reps):
-        for half in (0, 1):
-            train = sorted(r["CellLines"] for r in chosen if (r["rep"], r["half"]) == (rep, half))
-            model, predicted = fit_split(task, make, train)
-            if "Ypred" in predicted.columns and not task.multi:
-                predicted = centre_at_half(predicted.withColumn("_s", F.lit(half)), ["_s"], "Ypred").drop("_s")
-            parts.append(predicted.withColumn("Rep", F.lit(rep)).withColumn("Half", F.lit(half)))
-            result.fitted.append(model)
-            result.scalers.append(_scaler_of(model))
-            result.training_lines.append(train)
-            importances[f"{rep}-{half}"] = model.importance()
-    return _finish(task.wells.sparkSession, result, parts, importances)
+    runs = [(rep, half) for rep in range(reps) for half in (0, 1)]
+    trained = [sorted(r["CellLines"] for r in chosen if (r["rep"], r["half"]) == run) for run in runs]
+    result = FitResult(training_lines=trained)
+    parts, importances = [], {}
+    for (rep, half), (model, predicted) in zip(runs, _fit_all(task, make, trained, params), strict=True):
+        if "Ypred" in predicted.columns and not task.multi:
+            predicted = centre_at_half(predicted.withColumn("_s", F.lit(half)), ["_s"], "Ypred").drop("_s")
+        parts.append(predicted.withColumn("Rep", F.lit(rep)).withColumn("Half", F.lit(half)))
+        importances[f"{rep}-{half}"] = _record(result, model)
+    return _finish(task, result, parts, importances)
 
 
 def _per_mutation(run, screen, make, params) -> dict[str, FitResult]:

@@ -7,15 +7,16 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import numpy as np
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from platelens.functions.sizing import join_bounded
+from platelens.functions.sizing import as_local, join_bounded
 from platelens.operators.features import quoted
-from platelens.plans.balance import balanced_rows, class_weights
+from platelens.plans.balance import balanced_rows
 from platelens.plans.fusion import entropy_weighted, evaluation_table
 
 SCORERS: dict[str, type] = {}
@@ -43,27 +44,35 @@ class Scorer:
 
 
 class _CellScorer(Scorer):
-    """Shared part: class index of the labels seen in training, balancing, scaling fitted on the training rows."""
+    """Shared part: class index of the labels seen in training, balancing, scaling fitted on the training rows.
+
+    One grouped pass gives class sizes and moments; with equal class weights the pooled mean and deviation follow.
+    """
 
     scaled = True
 
     def _prepare(self, rows: DataFrame, features: Sequence[str]) -> DataFrame:
         self.features = list(features)
-        counts = class_weights(rows, "label").orderBy("label").collect()
-        self.classes = [r["label"] for r in counts]
         if self.options.get("balance", "down") == "down" and "cell_key" in rows.columns:
-            rows = balanced_rows(rows, "label", "down", self.seed).withColumn("_w", F.lit(1.0))
-        else:
-            pairs = F.create_map(*[F.lit(x) for r in counts for x in (r["label"], r["weight"])])
-            rows = rows.withColumn("_w", F.element_at(pairs, F.col("label")))
-        index = F.create_map(*[F.lit(x) for i, c in enumerate(self.classes) for x in (c, float(i))])
-        rows = rows.withColumn("_y", F.element_at(index, F.col("label")))
-        stats = rows.agg(
-            F.sum("_w").alias("n"), F.array(*[F.avg(quoted(c)) for c in features]).alias("m"),
-            F.array(*[F.stddev_pop(quoted(c)) for c in features]).alias("s"),
-        ).first()
-        self.rows_seen = stats["n"]
-        self.centre, self.spread = list(stats["m"]), [s if s else 1.0 for s in stats["s"]]
+            rows = balanced_rows(rows, "label", "down", self.seed)
+        per_class = rows.groupBy("label").agg(
+            F.count(F.lit(1)).alias("n"), F.array(*[F.avg(quoted(c)) for c in features]).alias("m"),
+            F.array(*[F.var_pop(quoted(c)) for c in features]).alias("v"),
+        ).orderBy("label").collect()
+        self.classes = [r["label"] for r in per_class]
+        sizes = np.array([r["n"] for r in per_class], dtype=float)
+        means = np.array([r["m"] for r in per_class], dtype=float)
+        spread = np.array([r["v"] for r in per_class], dtype=float)
+        centre = means.mean(axis=0)
+        sd = np.sqrt((spread + (means - centre) ** 2).mean(axis=0))
+        self.centre, self.spread = centre.tolist(), np.where(sd > 0, sd, 1.0).tolist()
+        self.rows_seen = float(sizes.max() * len(sizes))
+        index, weight = [], []
+        for i, (c, n) in enumerate(zip(self.classes, sizes, strict=True)):
+            index += [F.lit(c), F.lit(float(i))]
+            weight += [F.lit(c), F.lit(float(sizes.max() / n))]
+        rows = rows.withColumn("_y", F.element_at(F.create_map(*index), F.col("label")))
+        rows = rows.withColumn("_w", F.element_at(F.create_map(*weight), F.col("label")))
         return self._vectors(rows)
 
     def _vectors(self, rows: DataFrame) -> DataFrame:
@@ -165,11 +174,11 @@ class MultiAntibody(Scorer):
         cell = {"balance": self.options.get("balance", "weights")}
         self.cell_models = {m: Logistic(cell, self.seed).fit(rows[m], features[m]) for m in self.markers}
         self.classes = self.cell_models[self.markers[0]].classes
-        pooled = self._pooled(rows)
+        pooled = self._pooled(rows).persist()
         self.line_features = [c for c in pooled.columns if c.startswith("z_")]
-        self.line_model = Logistic({"balance": "weights", "C": self.options.get("C", 1.0)}, self.seed).fit(
-            pooled, self.line_features
-        )
+        line = {"balance": "weights", "C": self.options.get("C", 1.0)}
+        self.line_model = Logistic(line, self.seed).fit(pooled, self.line_features)
+        pooled.unpersist()
         return self
 
     def _pooled(self, rows: Mapping[str, DataFrame]) -> DataFrame:
@@ -193,8 +202,12 @@ class MultiAntibody(Scorer):
         return scored.select(*cols, "CellLines", F.col("label").alias("True")).orderBy(F.desc("Class_0"))
 
     def evaluate(self, rows: Mapping[str, DataFrame]) -> DataFrame:
-        """Evaluation table: line-level, entropy-weighted and per-marker probabilities side by side."""
+        """Evaluation table: line-level, entropy-weighted and per-marker probabilities side by side.
+
+        Cells are scored once; the table of pooled lines is then read several times.
+        """
         scored = self.line_model.predict(self._pooled(rows))
+        scored = as_local(scored) or scored.persist()
         k = len(self.classes)
         def long(source: str, names: Sequence[str]) -> DataFrame:
             pairs = F.array(*[F.struct(F.lit(i).alias("class"), F.col(n).alias("p")) for i, n in enumerate(names)])
