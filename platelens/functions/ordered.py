@@ -188,9 +188,9 @@ def positions(
     if profile.max_rows > hot_group_rows(df.sparkSession):
         outer = Window.partitionBy(*gk).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
         offsets = b.groupBy(*gk, "_b").count()
-        offsets = offsets.select(*gk, "_b", F.coalesce(F.sum("count").over(outer), F.lit(0)).alias("_o"))
+        offsets = offsets.select(*gk, "_b", F.coalesce(F.sum("count").over(outer), F.lit(0)).alias("_offset"))
         out = join_bounded(out, offsets, [*gk, "_b"], rows=profile.groups * BUCKETS)
-        out = out.withColumn(name, F.col(name) + F.col("_o")).drop("_o")
+        out = out.withColumn(name, F.col(name) + F.col("_offset")).drop("_offset")
     return out.drop("_b") if keys else out.drop("_b", "_all")
 
 
