@@ -12,7 +12,7 @@ from platelens.functions.metrics import binary_metrics
 from platelens.operators.joins import union_all
 from platelens.plans.components import profile_components
 from platelens.plans.fitters import FITTERS, FitResult, _Task, run_parallel
-from platelens.plans.scorers import SCORERS, MultiAntibody
+from platelens.plans.scorers import SCORERS, MultiAntibody, TooFewClasses
 
 
 class PCA:
@@ -87,8 +87,13 @@ def stability(screen, params: Mapping, grid: Sequence[Mapping], replicates: int,
         first, second = (sorted(r["CellLines"] for r in rows if r["half"] == h) for h in (0, 1))
         parts = []
         for train, test in ((first, second), (second, first)):
-            model = MultiAntibody(dict(setting), rep).fit(task.part(train, True), task.features)
+            try:
+                model = MultiAntibody(dict(setting), rep).fit(task.part(train, True), task.features)
+            except TooFewClasses:
+                continue
             parts.append(model.evaluate(task.part(test, True)))
+        if not parts:
+            return None
         table = union_all(parts)
         sources = [c for c in table.columns if c.startswith(f"class_{positive}_")]
         long = table.select("True", *sources).unpivot(["True"], sources, "group", "score")
@@ -98,4 +103,7 @@ def stability(screen, params: Mapping, grid: Sequence[Mapping], replicates: int,
             *[F.lit(v).alias(k) for k, v in setting.items()],
         )
 
-    return union_all(run_parallel(task.wells.sparkSession, run, runs, params))
+    tables = [t for t in run_parallel(task.wells.sparkSession, run, runs, params) if t is not None]
+    if not tables:
+        raise ValueError("no replicate has two classes to train on")
+    return union_all(tables)

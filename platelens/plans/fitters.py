@@ -21,7 +21,7 @@ from platelens.operators.ordering import centre_at_half
 from platelens.plans import folds as fold_tables
 from platelens.plans.folds import SPORADIC, WILD_TYPE
 from platelens.plans.labels import encode_labels, encode_wild_type_first
-from platelens.plans.scorers import MultiAntibody, Scorer, importance_table
+from platelens.plans.scorers import MultiAntibody, Scorer, TooFewClasses, importance_table
 from platelens.screen import MarkerScreens, Screen
 
 FITTERS: dict[str, Callable] = {}
@@ -126,7 +126,17 @@ def run_parallel(spark, work: Callable, jobs: Sequence, params: Mapping) -> list
 
 
 def _fit_all(task: _Task, make, trained: Sequence[Sequence[str]], params: Mapping) -> list:
-    return run_parallel(task.wells.sparkSession, lambda train: fit_split(task, make, train), trained, params)
+    """(model, predictions) per fold; None for a fold whose training lines do not hold two classes."""
+    def one(train: Sequence[str]):
+        try:
+            return fit_split(task, make, train)
+        except TooFewClasses:
+            return None
+
+    done = run_parallel(task.wells.sparkSession, one, trained, params)
+    if not any(done):
+        raise ValueError("no fold has two classes to train on")
+    return done
 
 
 def _record(result: FitResult, model):
@@ -157,7 +167,10 @@ def _leave_one_out(screen, make, params, mutation=None, holdout=()) -> FitResult
     trained = [[c for c in pool if c != line] for line in pool]
     result = FitResult(training_lines=pool)
     parts, importances = [], {}
-    for line, (model, predicted) in zip(pool, _fit_all(task, make, trained, params), strict=True):
+    for line, done in zip(pool, _fit_all(task, make, trained, params), strict=True):
+        if done is None:
+            continue
+        model, predicted = done
         parts.append(predicted.withColumn("Holdout", F.lit(line)))
         importances[line] = _record(result, model)
     return _finish(task, result, parts, importances)
@@ -174,7 +187,10 @@ def _sample_split(screen, make, params, mutation=None, holdout=()) -> FitResult:
     trained = [sorted(r["CellLines"] for r in chosen if (r["rep"], r["half"]) == run) for run in runs]
     result = FitResult(training_lines=trained)
     parts, importances = [], {}
-    for (rep, half), (model, predicted) in zip(runs, _fit_all(task, make, trained, params), strict=True):
+    for (rep, half), done in zip(runs, _fit_all(task, make, trained, params), strict=True):
+        if done is None:
+            continue
+        model, predicted = done
         if "Ypred" in predicted.columns and not task.multi:
             predicted = centre_at_half(predicted.withColumn("_s", F.lit(half)), ["_s"], "Ypred").drop("_s")
         parts.append(predicted.withColumn("Rep", F.lit(rep)).withColumn("Half", F.lit(half)))

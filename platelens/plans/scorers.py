@@ -22,6 +22,10 @@ from platelens.plans.fusion import entropy_weighted, evaluation_table
 SCORERS: dict[str, type] = {}
 
 
+class TooFewClasses(ValueError):
+    """A training set without two classes; fold runners leave such folds out."""
+
+
 def scorer(cls: type) -> type:
     SCORERS[cls.__name__] = cls
     return cls
@@ -60,6 +64,8 @@ class _CellScorer(Scorer):
             F.array(*[F.var_pop(quoted(c)) for c in features]).alias("v"),
         ).orderBy("label").collect()
         self.classes = [r["label"] for r in per_class]
+        if len(self.classes) < 2:
+            raise TooFewClasses(f"training rows hold {len(self.classes)} class(es)")
         sizes = np.array([r["n"] for r in per_class], dtype=float)
         means = np.array([r["m"] for r in per_class], dtype=float)
         spread = np.array([r["v"] for r in per_class], dtype=float)
