@@ -12,7 +12,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from platelens.functions.sizing import GroupProfile, hot_group_rows, join_bounded, profile_groups
+from platelens.functions.sizing import GroupProfile, hot_group_rows, hot_groups, join_bounded, pinned, profile_groups
 
 NEAREST = "nearest"
 LINEAR = "linear"
@@ -50,7 +50,12 @@ def grouped_quantiles(
     profile = profile or profile_groups(*_with_key(df, keys))
     if profile.max_rows <= hot_group_rows(df.sparkSession):
         return _quantiles_of_small_groups(df, keys, levels, columns, method)
-    return _quantiles_of_any_groups(df, keys, levels, method, profile)
+    if not keys:
+        return _quantiles_of_hot_groups(df, keys, levels, method, profile)
+    hot = hot_groups(df, keys)
+    small = _quantiles_of_small_groups(join_bounded(df, hot, list(keys), "left_anti"), keys, levels, columns, method)
+    large = join_bounded(df, hot, list(keys), "left_semi")
+    return small.unionByName(_quantiles_of_hot_groups(large, keys, levels, method, profile))
 
 
 def _level(level, n: Column) -> Column:
@@ -79,18 +84,21 @@ def _quantiles_of_small_groups(df, keys, levels, columns, method):
     return packed.select(*keys, *out)
 
 
-def _quantiles_of_any_groups(df, keys, levels, method, profile):
-    """Per column: sketch, count per bucket, locate the ranks, order only the rows of the buckets holding them."""
+def _quantiles_of_hot_groups(df, keys, levels, method, profile):
+    """Per column: sketch, count per bucket, locate the ranks, order only the rows of the buckets holding them.
+
+    The cut points are pinned: the counting and the ordering branch must cut alike.
+    """
     base, gk = _with_key(df, keys)
     result = base.select(*gk).distinct()
     for c in sorted({c for c, _ in levels.values()}):
         mine = {a: lv for a, (col, lv) in levels.items() if col == c}
         rows = base.select(*gk, F.col(f"`{c}`").alias("_x")).filter(F.col("_x").isNotNull())
         cuts = sorted({float(f"{p:.6f}") for lv in mine.values() for p in _brackets(lv)})
-        cut = rows.groupBy(*gk).agg(
+        cut = pinned(rows.groupBy(*gk).agg(
             F.count(F.lit(1)).alias("_n"),
             F.array_sort(F.array_distinct(F.percentile_approx("_x", cuts, 10_000))).alias("_cuts"),
-        )
+        ))
         cut_bound = profile.groups
         bucketed = join_bounded(rows, cut, gk, rows=cut_bound).withColumn("_b", _bucket_of("_x", "_cuts"))
         sums = bucketed.groupBy(*gk, "_b", "_n").count()
@@ -141,15 +149,16 @@ def _bucket_of(value: str, cuts: str) -> Column:
 
 
 def order_buckets(df: DataFrame, keys: Sequence[str], value: str, profile: GroupProfile) -> DataFrame:
-    """Add ``_b``: an order-preserving bucket of ``value``; constant 0 while every group is below the hot limit."""
+    """Add ``_b``: an order-preserving bucket of ``value``; 0 for all groups below the hot limit."""
     if profile.max_rows <= hot_group_rows(df.sparkSession):
         return df.withColumn("_b", F.lit(0))
     levels = [i / BUCKETS for i in range(1, BUCKETS)]
-    cut = df.groupBy(*keys).agg(
+    hot = join_bounded(df, hot_groups(df, keys), list(keys), "left_semi")
+    cut = pinned(hot.groupBy(*keys).agg(
         F.array_sort(F.array_distinct(F.percentile_approx(value, levels, 10_000))).alias("_cuts")
-    )
-    out = join_bounded(df, cut, list(keys), rows=profile.groups)
-    return out.withColumn("_b", _bucket_of(value, "_cuts")).drop("_cuts")
+    ))
+    out = join_bounded(df, cut, list(keys), "left")
+    return out.withColumn("_b", F.when(F.col("_cuts").isNull(), 0).otherwise(_bucket_of(value, "_cuts"))).drop("_cuts")
 
 
 def running_before(

@@ -9,6 +9,7 @@ Two limits rule the whole package. Both can be changed per session:
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 200_000
 LOCAL_ROWS = 10_000
+NESTED_SHARE = 50  # rows with arrays are wide: the row limits shrink by this factor
 HOT_GROUP_ROWS = 500_000
 
 
@@ -52,10 +54,25 @@ def as_local(small: DataFrame) -> DataFrame | None:
     return small.sparkSession.createDataFrame(rows, small.schema)
 
 
-def fits_broadcast(small: DataFrame) -> bool:
-    """Count at most one row beyond the limit."""
-    limit = broadcast_rows(small.sparkSession)
-    return small.limit(limit + 1).count() <= limit
+def pinned(df: DataFrame) -> DataFrame:
+    """A result that several branches must see alike (sketches depend on merge order): local data, else a checkpoint.
+
+    The checkpoint folder is the session's ``spark.checkpoint.dir``; a temporary one is set only where none is.
+    """
+    local = as_local(df)
+    if local is not None:
+        return local
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="platelens-checkpoint-"))
+    return df.checkpoint()
+
+
+def hot_groups(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Keys of groups above the hot limit; at most rows / limit of them."""
+    sizes = df.groupBy(*keys).count().filter(F.col("count") > hot_group_rows(df.sparkSession))
+    return pinned(sizes.select(*keys))
 
 
 def join_bounded(big: DataFrame, small: DataFrame, on, how: str = "inner", rows: int | None = None) -> DataFrame:
@@ -64,11 +81,14 @@ def join_bounded(big: DataFrame, small: DataFrame, on, how: str = "inner", rows:
     A shuffled join keeps all rows too: AQE splits the partitions of a skewed ``big`` side.
     """
     limit = broadcast_rows(big.sparkSession)
-    if rows is None and limit >= LOCAL_ROWS:
+    nested = any(f.dataType.typeName() in ("array", "map", "struct") for f in small.schema.fields)
+    if rows is None and not nested and limit >= LOCAL_ROWS:
         local = as_local(small)
         if local is not None:
             return big.join(F.broadcast(local), on, how)
-    fits = rows <= limit if rows is not None else fits_broadcast(small)
+    if nested:
+        limit //= NESTED_SHARE
+    fits = rows <= limit if rows is not None else small.limit(limit + 1).count() <= limit
     return big.join(F.broadcast(small) if fits else small, on, how)
 
 

@@ -18,6 +18,7 @@ from platelens.functions.sizing import join_bounded, scalar
 from platelens.operators.features import quoted
 
 EXPRESSION_LIMIT = 16
+HELD_NUMBERS = 4_000_000  # partial sums a task keeps before it hands them on
 
 
 def line_statistics(cells: DataFrame, features: Sequence[str], line: str = "CellLines") -> DataFrame:
@@ -45,13 +46,20 @@ def line_statistics(cells: DataFrame, features: Sequence[str], line: str = "Cell
 def _statistics_in_batches(packed: DataFrame, d: int, line: str) -> DataFrame:
     def add_up(batches):
         total: dict[str, np.ndarray] = {}
+
+        def flush():
+            for name, vec in total.items():
+                yield pd.DataFrame({line: name, "pos": np.arange(len(vec)), "v": vec})
+            total.clear()
+
         for pdf in batches:
             for name, part in pdf.groupby(line):
                 m = np.vstack(part["x"].to_numpy())
                 vec = np.concatenate([[len(m)], m.sum(axis=0), (m.T @ m).ravel()])
                 total[name] = total.get(name, 0.0) + vec
-        for name, vec in total.items():
-            yield pd.DataFrame({line: name, "pos": np.arange(len(vec)), "v": vec})
+                if len(total) * len(vec) > HELD_NUMBERS:
+                    yield from flush()
+        yield from flush()
 
     parts = packed.mapInPandas(add_up, f"`{line}` string, pos int, v double")
     sums = parts.groupBy(line, "pos").agg(F.sum("v").alias("v"))
@@ -72,7 +80,7 @@ def leave_one_out_ridge(stats: DataFrame, table: DataFrame, features: Sequence[s
     """
     features = list(features)
     d = len(features)
-    rows = join_bounded(table, stats, "CellLines")
+    rows = table.join(stats, "CellLines")
     fit = rows.filter(F.col("eligible"))
     totals = fit.select(
         "ModelGenetics", "label", F.posexplode(F.concat(F.array(F.col("n").cast("double")), "sx", "sxx"))
@@ -81,7 +89,7 @@ def leave_one_out_ridge(stats: DataFrame, table: DataFrame, features: Sequence[s
         F.transform(F.array_sort(F.collect_list(F.struct("pos", "v"))), lambda s: s.getField("v")).alias("a")
     )
     totals = totals.groupBy("ModelGenetics").agg(F.collect_list(F.struct("label", "a")).alias("totals"))
-    joined = join_bounded(fit, totals, "ModelGenetics")
+    joined = fit.join(totals, "ModelGenetics")
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         r = pdf.iloc[0]
@@ -119,7 +127,7 @@ def holdout_scores(stats: DataFrame, table: DataFrame, folds: DataFrame) -> Data
     """Scores of lines that never train, averaged over all folds: the score is linear, so coefficients are averaged."""
     mean = folds.select("ModelGenetics", "class", "intercept", F.posexplode("coef").alias("pos", "w"))
     mean = mean.groupBy("ModelGenetics", "class", "pos").agg(F.avg("w").alias("w"), F.avg("intercept").alias("b"))
-    held = join_bounded(table.filter(~F.col("eligible")), stats, "CellLines")
+    held = table.filter(~F.col("eligible")).join(stats, "CellLines")
     x = held.select("ModelGenetics", "CellLines", "n", F.posexplode("sx").alias("pos", "s"))
     joined = join_bounded(x, mean, ["ModelGenetics", "pos"])
     return joined.groupBy("ModelGenetics", "CellLines", "class").agg(

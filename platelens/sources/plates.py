@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import csv
 import re
 from collections.abc import Sequence
+from multiprocessing.pool import ThreadPool
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -67,24 +69,38 @@ def map_file(plate: str) -> str:
     return f"{base}/PlateMap/platemap_{plate_id(plate)}.csv"
 
 
-def header_of(spark: SparkSession, path: str) -> list[str]:
-    """Column names: the line after the mark. Reads the head of one file on the driver."""
+def _head(spark: SparkSession, path: str, wanted) -> str | None:
+    """First line from the top of a file for which ``wanted(previous line)`` holds."""
     fs, p = _fs(spark, path)
-    stream = spark.sparkContext._jvm.java.io.BufferedReader(
-        spark.sparkContext._jvm.java.io.InputStreamReader(fs.open(p), "UTF-8")
-    )
+    java = spark.sparkContext._jvm.java.io
+    stream = java.BufferedReader(java.InputStreamReader(fs.open(p), "UTF-8"))
     try:
-        line = stream.readLine()
-        while line is not None and not line.startswith(DATA_MARK):
-            line = stream.readLine()
-        header = stream.readLine() if line is not None else None
+        before, line = None, stream.readLine()
+        while line is not None and not wanted(before):
+            before, line = line, stream.readLine()
+        return line
     finally:
         stream.close()
+
+
+def header_of(spark: SparkSession, path: str) -> list[str]:
+    """Column names: the line after the mark. Reads the head of one file."""
+    header = _head(spark, path, lambda before: before is not None and before.startswith(DATA_MARK))
     if header is None:
         raise ValueError(f"no {DATA_MARK} section in {path}")
     return header.rstrip("\r").split("\t")
 
 
+def _by_header(paths: Sequence[str], read) -> dict[tuple[str, ...], list[str]]:
+    """Files grouped by header. Heads are read from a few threads: many plates, one short read each."""
+    with ThreadPool(16) as readers:
+        headers = readers.map(read, paths, chunksize=1)
+    groups: dict[tuple[str, ...], list[str]] = {}
+    for header, path in zip(headers, paths, strict=True):
+        groups.setdefault(tuple(header), []).append(path)
+    return groups
+
+
 def clean_name(name: str) -> str:
     return name.replace(" ", "_").replace(FEATURE_PREFIX, "")
 
@@ -116,12 +132,9 @@ def parse_lines(lines: DataFrame, header: Sequence[str], path: Column) -> DataFr
 
 def read_measurements(spark: SparkSession, plates: Sequence[str], params: dict) -> DataFrame:
     """Cells of many plates. Plates with the same header are read as one text scan; headers are united by name."""
-    groups: dict[tuple[str, ...], list[str]] = {}
-    for plate in plates:
-        path = data_file(plate, params)
-        groups.setdefault(tuple(header_of(spark, path)), []).append(path)
     out = None
-    for header, paths in groups.items():
+    files = [data_file(p, params) for p in plates]
+    for header, paths in _by_header(files, lambda path: header_of(spark, path)).items():
         lines = spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("_path"))
         cells = parse_lines(lines, header, F.col("_path"))
         out = cells if out is None else out.unionByName(cells, allowMissingColumns=True)
@@ -141,13 +154,11 @@ def standard_map(df: DataFrame) -> DataFrame:
 
 def read_maps(spark: SparkSession, plates: Sequence[str]) -> DataFrame:
     """Plate maps of many plates; maps with the same header are one scan, columns are united by name."""
-    groups: dict[tuple[str, ...], list[str]] = {}
-    for plate in plates:
-        path = map_file(plate)
-        columns = spark.read.option("header", True).csv(path).columns
-        groups.setdefault(tuple(columns), []).append(path)
+    def names(path: str) -> list[str]:
+        return next(csv.reader([(_head(spark, path, lambda before: True) or "").lstrip("\ufeff").rstrip("\r")]))
+
     out = None
-    for columns, paths in groups.items():
+    for columns, paths in _by_header([map_file(p) for p in plates], names).items():
         schema = ", ".join(f"`{c}` string" for c in columns)
         wells = standard_map(spark.read.schema(schema).option("header", True).csv(paths))
         out = wells if out is None else out.unionByName(wells, allowMissingColumns=True)
