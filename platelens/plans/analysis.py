@@ -88,7 +88,7 @@ def stability(screen, params: Mapping, grid: Sequence[Mapping], replicates: int,
         parts = []
         for train, test in ((first, second), (second, first)):
             try:
-                model = MultiAntibody(dict(setting), rep).fit(task.part(train, True), task.features)
+                model = MultiAntibody(dict(setting), rep).fit(task.training(train), task.features)
             except TooFewClasses:
                 continue
             parts.append(model.evaluate(task.part(test, True)))

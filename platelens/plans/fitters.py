@@ -1,8 +1,10 @@
 """Fitters: which lines train, which are predicted, and the loop over folds.
 
 Each fold is one distributed model fit, so the loop runs on the driver over folds (lines or halves), never over cells.
-A few folds run at a time (``analysis.MAP.parallelism``), as in cross-validation. The labelled cells are persisted across
-the folds of a run; call ``FitResult.release`` when predictions have been used.
+A few folds run at a time (``analysis.MAP.parallelism``), as in cross-validation. The training cells are persisted across
+the folds of a run (``analysis.MAP.persist: false`` reads them again instead); call ``FitResult.release`` when predictions
+have been used. With ``data_loader.n_cells`` set, marker-set models train on a bounded seeded sample per line, so the cost
+of a fit does not grow with the number of cells; predictions always use all cells.
 """
 
 from __future__ import annotations
@@ -15,6 +17,8 @@ from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from platelens.functions.hashing import hash_order
+from platelens.functions.ordered import smallest_per_group
 from platelens.functions.sizing import join_bounded
 from platelens.operators.joins import union_all
 from platelens.operators.ordering import centre_at_half
@@ -69,39 +73,71 @@ def _labels(screen: Screen, params: Mapping) -> DataFrame:
 
 @dataclass
 class _Task:
-    """Labelled cells per marker, ready for folds."""
+    """Labelled cells per marker, ready for folds: ``rows`` to predict, ``train`` to fit."""
 
     rows: dict[str, DataFrame]
+    train: dict[str, DataFrame]
     features: dict[str, list[str]]
     wells: DataFrame
     multi: bool
+    cached: list[DataFrame]
 
     @classmethod
     def of(cls, screen, params: Mapping) -> _Task:
-        screens = screen if isinstance(screen, MarkerScreens) else {"_": screen}
-        rows, features, wells = {}, {}, []
+        multi = isinstance(screen, MarkerScreens)
+        screens = screen if multi else {"_": screen}
+        rows, train, features, wells, cached = {}, {}, {}, [], []
+        limit = _training_cells(params) if multi else None
         for m, s in screens.items():
             labelled = _labels(s, params)
             wells.append(labelled)
             short = labelled.select("ID", "CellLines", "Mutations", "label")
             cells = s.cells.drop("CellLines", "Mutations")
-            rows[m] = join_bounded(cells, short, "ID", rows=s.bounds().groups).persist(StorageLevel.MEMORY_AND_DISK)
+            rows[m] = train[m] = join_bounded(cells, short, "ID", rows=s.bounds().groups)
+            if limit is not None and "cell_key" in rows[m].columns:
+                train[m] = _line_sample(rows[m], limit, _map_params(params).get("seed", 47))
+            if _map_params(params).get("persist", True):
+                train[m] = train[m].persist(StorageLevel.MEMORY_AND_DISK)
+                rows[m] = train[m] if limit is None or "cell_key" not in rows[m].columns else rows[m]
+                cached.append(train[m])
             features[m] = s.features
-        return cls(rows, features, union_all(wells), isinstance(screen, MarkerScreens))
+        return cls(rows, train, features, union_all(wells), multi, cached)
 
     def lines(self) -> list[tuple[str, str]]:
         """(line, mutation), sorted; one model is fitted per line, so the list is short by construction."""
         return sorted((r[0], r[1]) for r in fold_tables.lines_of(self.wells).collect())
 
+    def training(self, lines: Sequence[str]) -> dict[str, DataFrame]:
+        return {m: df.filter(F.col("CellLines").isin(*lines)) for m, df in self.train.items()}
+
     def part(self, lines: Sequence[str], inside: bool) -> dict[str, DataFrame]:
         hit = F.col("CellLines").isin(*lines)
         return {m: df.filter(hit if inside else ~hit) for m, df in self.rows.items()}
 
 
+def _training_cells(params: Mapping) -> int | None:
+    """Cells of a line that training looks at: ``data_loader.n_cells`` drawn anew in each of ``train.n_epochs``."""
+    options = _map_params(params)
+    n = (options.get("data_loader") or {}).get("n_cells")
+    if n is None:
+        return None
+    model = options.get("model")
+    settings = next(iter(model.values())) if isinstance(model, Mapping) else {}
+    return int(n) * int(((settings or {}).get("train") or {}).get("n_epochs", 10))
+
+
+def _line_sample(rows: DataFrame, limit: int, seed) -> DataFrame:
+    """At most ``limit`` cells per line in seeded order; only (line, digest) is moved to find each line's cut."""
+    digest = hash_order(F.col("cell_key"), seed)
+    last = smallest_per_group(rows.select("CellLines", digest.alias("_h")), ["CellLines"], ["_h"], limit)
+    last = last.groupBy("CellLines").agg(F.max("_h").alias("_last"))
+    return join_bounded(rows, last, "CellLines").filter(digest <= F.col("_last")).drop("_last")
+
+
 def fit_split(task: _Task, make: Callable[[], Scorer], train: Sequence[str]):
     """Fit on the named lines, score all others; the scaler comes from the training lines alone."""
     model = make()
-    fit_on, rest = task.part(train, True), task.part(train, False)
+    fit_on, rest = task.training(train), task.part(train, False)
     if isinstance(model, MultiAntibody):
         model.fit(fit_on, task.features)
         return model, model.predict(rest)
@@ -147,7 +183,7 @@ def _record(result: FitResult, model):
 
 def _finish(task: _Task, result: FitResult, parts: list[DataFrame], importances: Mapping) -> FitResult:
     result.predicted = union_all(parts)
-    result.cached = list(task.rows.values())
+    result.cached = task.cached
     if any(importances.values()):
         result.importance = importance_table(task.wells.sparkSession, importances)
     return result

@@ -35,14 +35,17 @@ class Screen:
     measured: GroupProfile | None = None
 
     @classmethod
-    def load(cls, spark: SparkSession, params: dict, antibody: str | None = None) -> Screen:
-        """One marker set. Lists are refused: use :class:`MarkerScreens`."""
+    def load(cls, spark: SparkSession, params: dict, antibody: str | None = None, loader: type | None = None) -> Screen:
+        """One marker set. Lists are refused: use :class:`MarkerScreens`.
+
+        ``loader``: a class taking (spark, params) with ``load(antibody) -> (wells, cells)``; default: plate files.
+        """
         from platelens.sources.loader import PlateLoader
 
         antibody = antibody if antibody is not None else params.get("antibody")
         if isinstance(antibody, (list, tuple)):
             raise ValueError("several marker sets: use MarkerScreens.load")
-        wells, cells = PlateLoader(spark, params).load(antibody)
+        wells, cells = (loader or PlateLoader)(spark, params).load(antibody)
         return cls(cells, wells, params)
 
     @property
@@ -108,13 +111,13 @@ class MarkerScreens(Mapping):
         return len(self.screens)
 
     @classmethod
-    def load(cls, spark: SparkSession, params: dict, antibody=None) -> MarkerScreens:
+    def load(cls, spark: SparkSession, params: dict, antibody=None, loader: type | None = None) -> MarkerScreens:
         from platelens.sources.loader import PlateLoader
 
         antibody = antibody or params.get("antibody") or params.get("antibodies")
         if antibody is None:
             raise ValueError("no marker set named")
-        wells, cells = PlateLoader(spark, params).load(antibody)
+        wells, cells = (loader or PlateLoader)(spark, params).load(antibody)
         return cls.split(cells, wells, params)
 
     @classmethod

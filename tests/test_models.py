@@ -156,6 +156,29 @@ def test_two_level_scorer(screen, tmp_path):
     assert np.allclose(table["class_0_entropy"] + table["class_1_entropy"], 1)
 
 
+def test_training_sample_is_bounded_per_line(screen):
+    params = with_params(screen, {"MultiAntibody": {"train": {"n_epochs": 2}}}, "sample_split", {"WT": 0, "FUS": 1}).params
+    params["analysis"]["MAP"]["data_loader"]["n_cells"] = 3
+    parts = MarkerScreens.split(screen.cells, screen.wells, params)
+    task = _Task.of(parts, params)
+    sizes = task.train["M1"].groupBy("CellLines").count().toPandas()
+    assert set(sizes["count"]) == {6} and task.rows["M1"].filter("CellLines = 'WT0'").count() == 12
+    out = MAP(parts).fit().fitted.predicted.toPandas()
+    assert set(out["CellLines"]) == {f"{m}{i}" for m in ("WT", "FUS") for i in range(4)}
+
+
+def test_user_loader(spark, screen):
+    class Fixed:
+        def __init__(self, spark, params):
+            pass
+
+        def load(self, antibody):
+            return screen.wells.filter(F.col("Antibody") == antibody), screen.cells
+
+    s = Screen.load(spark, {}, "M2", loader=Fixed)
+    assert s.keep_wells(s.wells).cells.count() == 132
+
+
 def test_stability_table(screen):
     params = with_params(screen, {"MultiAntibody": {}}, "sample_split", {"WT": 0, "FUS": 1}).params
     parts = MarkerScreens.split(screen.cells, screen.wells.filter("Mutations in ('WT', 'FUS')"), params)
