@@ -69,11 +69,9 @@ def mutation(name: str = "r_name") -> Column:
 
 
 def suppliers(spark: SparkSession, sf: str) -> DataFrame:
-    """Supplier with cell line and mutation; nation and region are fixed lists of 25 and 5 rows."""
-    nation = table(spark, sf, "nation").join(
-        F.broadcast(table(spark, sf, "region")), F.col("n_regionkey") == F.col("r_regionkey")
-    )
-    joined = table(spark, sf, "supplier").join(F.broadcast(nation), F.col("s_nationkey") == F.col("n_nationkey"))
+    """Supplier with cell line and mutation; the planner sees the file sizes of nation and region."""
+    nation = table(spark, sf, "nation").join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    joined = table(spark, sf, "supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
     return joined.select("s_suppkey", F.col("n_name").alias("CellLines"), mutation().alias("Mutations"), "n_regionkey")
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from platelens.catalog.base import (
     FEATURES, cells, lineitem, query, rounded, screen, suppliers, wells,
 )
+from platelens.functions.sizing import join_bounded
 from platelens.operators import features as feat
 from platelens.operators import samples
 from platelens.operators.aggregates import distinct_values, well_profiles
@@ -88,7 +89,7 @@ def a10(spark, sf):
     """One marker: cells of all wells on the plates that hold it."""
     meta = wells(spark, sf)
     plates = plates_with_marker(meta, "A")
-    kept = meta.join(F.broadcast(plates), "PlateID", "left_semi")
+    kept = join_bounded(meta, plates, "PlateID", "left_semi")
     return rounded(well_profiles(Screen(cells_of_wells(cells(spark, sf), kept), kept)), 4)
 
 
@@ -245,9 +246,10 @@ def b10(spark, sf):
     return rounded(well_profiles(feat.standardize_features(screen(spark, sf))))
 
 
-@query("b11_pca_by_group")
+@query("b11_pca_by_group", """SELECT round(1 + abs(corr(Nucleus_Area, Nucleus_Intensity)), 6) AS "^Nucleus_PC0", round(1 - abs(corr(Nucleus_Area, Nucleus_Intensity)), 6) AS "^Nucleus_PC1",
+  round(1 + abs(corr(Cell_Spots, Cell_Intensity_Sum)), 6) AS PC0, round(1 - abs(corr(Cell_Spots, Cell_Intensity_Sum)), 6) AS PC1 FROM cells""")
 def b11(spark, sf):
-    """Components per feature group reaching 90 % of the variance; their variances, the check that signs cannot break."""
+    """Components per feature group reaching 90 % of the variance; two standardised features have variances 1 +- |r|."""
     out = components_by_group(cells(spark, sf), FEATURES, ["^Nucleus"], 0.9)
     names = [c for c in out.columns if c != "ID"]
     return rounded(out.agg(*[F.var_pop(feat.quoted(c)).alias(c) for c in names]))

@@ -251,6 +251,27 @@ def h08b(spark, sf):
     return rounded(sufficient.holdout_scores(stats, table_, sufficient.leave_one_out_ridge(stats, table_, FEATURES)))
 
 
+RIDGE = """st AS (SELECT w.CellLines, w.Mutations, count(*) AS n, sum(x) AS sx, sum(x * x) AS sxx FROM (SELECT ID, Nucleus_Area - (SELECT avg(Nucleus_Area) FROM cells) AS x FROM cells) c
+    JOIN wells w ON c.ID = w.ID GROUP BY 1, 2),
+  el AS (SELECT g AS ModelGenetics, st.*, CASE WHEN Mutations = 'WT' THEN 0 ELSE 1 END AS y FROM st, (VALUES ('AMERICA'), ('ASIA'), ('EUROPE')) v(g) WHERE Mutations IN ('WT', g)),
+  f AS (SELECT a.ModelGenetics, a.CellLines, a.y, a.n, a.sx, sum(b.n) FILTER (b.y = 0) AS n0, sum(b.n) FILTER (b.y = 1) AS n1, sum(b.sx) FILTER (b.y = 0) AS x0, sum(b.sx) FILTER (b.y = 1) AS x1,
+    sum(b.sxx) FILTER (b.y = 0) AS q0, sum(b.sxx) FILTER (b.y = 1) AS q1 FROM el a JOIN el b ON a.ModelGenetics = b.ModelGenetics AND a.CellLines <> b.CellLines GROUP BY 1, 2, 3, 4, 5),
+  m AS (SELECT *, (x0 / n0 + x1 / n1) / 2 AS mu, (q0 / n0 + q1 / n1) / 2 AS m2 FROM f)"""
+
+
+@query("h08_ridge_one_feature", f"""WITH {RIDGE} SELECT ModelGenetics, CellLines AS Holdout, y::BIGINT AS label, c::BIGINT AS class,
+  round(CASE WHEN n0 IS NULL OR n1 IS NULL THEN 1 ELSE 0.5 + ((sx / n - mu) / sqrt(m2 - mu * mu)) * ((CASE c WHEN 0 THEN x0 / n0 ELSE x1 / n1 END - mu) / 2 / sqrt(m2 - mu * mu)) / (1 + 1.0::DOUBLE / (n0 + n1)) END, 6) AS score
+  FROM m, (VALUES (0), (1)) k(c) WHERE CASE c WHEN 0 THEN n0 ELSE n1 END IS NOT NULL""")
+def h08d(spark, sf):
+    """The same folds with one feature, where the ridge solution is a formula."""
+    meta = wells(spark, sf)
+    rows = cells_with_wells(cells(spark, sf), meta.select("ID", "CellLines"))
+    stats = sufficient.line_statistics(rows, ["Nucleus_Area"])
+    table_ = folds.eligibility(meta, GENETICS).withColumn("label", (F.col("Mutations") != "WT").cast("bigint"))
+    out = sufficient.leave_one_out_ridge(stats, table_, ["Nucleus_Area"])
+    return rounded(out.select("ModelGenetics", "Holdout", "label", "class", "score"))
+
+
 @query("h08_line_statistics", """SELECT CellLines, count(*) AS n, round(sum(c.Nucleus_Area - (SELECT avg(Nucleus_Area) FROM cells)), 4) AS s0,
   round(sum((c.Nucleus_Area - (SELECT avg(Nucleus_Area) FROM cells)) * (c.Cell_Spots - (SELECT avg(Cell_Spots) FROM cells))), 4) AS q02
   FROM cells c JOIN wells w ON c.ID = w.ID GROUP BY 1""")
@@ -263,27 +284,38 @@ def h08c(spark, sf):
 
 @query("h09_leave_one_out_map")
 def h09(spark, sf):
-    """Facade: scorer and fitter named in the parameters, leave-one-line-out on three lines per group."""
+    """Facade: scorer and fitter named in the parameters, leave-one-line-out of one mutation against wild type."""
     params = _map_params({"BinaryLogistic": {"max_iter": 20}}, "leave_one_out", {"WT": 0, "ASIA": 1})
     out = MAP(_profiles_screen(spark, sf, params, ["WT", "ASIA"])).run()["tables"]
     return rounded(out.groupBy("Holdout", "CellLines").agg(F.avg("Ypred").alias("Ypred"), F.count(F.lit(1)).alias("n")), 4)
 
 
-@query("h10_profile_components")
+PROFILE_CORR = " + ".join(f"corr(f{i}, f{j}) * corr(f{i}, f{j})" for i in range(4) for j in range(i + 1, 4))
+
+
+@query("h10_profile_components", f"""SELECT count(*) AS n, 4::DOUBLE AS total, round(4 + 2 * ({PROFILE_CORR}), 6) AS squares
+  FROM (SELECT ID, {', '.join(f'avg({c}) AS f{i}' for i, c in enumerate(FEATURES))} FROM cells GROUP BY ID)""")
 def h10(spark, sf):
-    """Variances of all components of standardised well profiles; they sum to the number of features."""
+    """All components of standardised well profiles: variances sum to the number of features, squares to the squared
+    correlations."""
     s = screen(spark, sf)
     out = profile_components(s.cells, s.wells)
-    return rounded(out.agg(*[F.var_pop(f"column_{i}").alias(f"column_{i}") for i in range(len(FEATURES))], F.count(F.lit(1)).alias("n")), 4)
+    parts = out.agg(F.count(F.lit(1)).alias("n"), *[F.var_pop(f"column_{i}").alias(f"v{i}") for i in range(len(FEATURES))])
+    v = [F.col(f"v{i}") for i in range(len(FEATURES))]
+    return rounded(parts.select("n", sum(v[1:], v[0]).alias("total"), sum((x * x for x in v[1:]), v[0] * v[0]).alias("squares")))
 
 
-@query("h11_score_components")
+@query("h11_score_components", """WITH m AS (SELECT avg(Class_0) AS m0, avg(Class_1) AS m1, avg(Class_2) AS m2 FROM scores WHERE Mutations <> 'sporadic')
+  SELECT Mutations <> 'sporadic' AS fitted, count(*) AS n, round(avg((Class_0 - m0) * (Class_0 - m0) + (Class_1 - m1) * (Class_1 - m1) + (Class_2 - m2) * (Class_2 - m2)), 6) AS length
+  FROM scores, m GROUP BY 1""")
 def h11(spark, sf):
-    """Two components of the class scores; sporadic lines are projected on the same basis."""
+    """Two components of three class scores, sporadic lines projected on the same basis; scores sum to 1, so the two
+    components hold the whole squared distance from the centre."""
     rows = scores(spark, sf)
     main, other, _ = score_components(rows.filter(F.col("Mutations") != "sporadic"), rows.filter(F.col("Mutations") == "sporadic"))
     out = union_all([main.withColumn("fitted", F.lit(True)), other.withColumn("fitted", F.lit(False))])
-    return rounded(out.groupBy("fitted").agg(F.count(F.lit(1)).alias("n"), F.avg(F.abs("PCA1")).alias("PCA1"), F.avg(F.abs("PCA2")).alias("PCA2")))
+    length = F.col("PCA1") * F.col("PCA1") + F.col("PCA2") * F.col("PCA2")
+    return rounded(out.groupBy("fitted").agg(F.count(F.lit(1)).alias("n"), F.avg(length).alias("length")))
 
 
 ALIGNED = ", ".join(
@@ -300,7 +332,16 @@ def i21(spark, sf):
     return rounded(out.groupBy("CellLines", "Screen").agg(*[F.avg(c).alias(c) for c in names]))
 
 
-@query("i21_alignment_effect")
+def _dot(a: str, b: str) -> str:
+    return "(" + " + ".join(f"{a}.v{i} * {b}.v{i}" for i in range(len(FEATURES))) + ")"
+
+
+@query("i21_alignment_effect", f"""WITH st AS (SELECT Antibody AS Screen, {', '.join(f'avg({c}) AS m{i}, stddev_pop({c}) AS d{i}' for i, c in enumerate(FEATURES))} FROM cells GROUP BY 1),
+  pool AS (SELECT {', '.join(f'avg({c}) AS pm{i}, stddev_pop({c}) AS pd{i}' for i, c in enumerate(FEATURES))} FROM cells),
+  means AS (SELECT aligned, w.Screen, CellLines, {', '.join(f"avg(CASE WHEN aligned THEN ({c} - m{i}) / (d{i} + 1e-8) * pd{i} / (pd{i} + 1e-8) ELSE ({c} - pm{i}) / (pd{i} + 1e-8) END) AS v{i}" for i, c in enumerate(FEATURES))}
+    FROM cells c JOIN wells w ON c.ID = w.ID JOIN st ON st.Screen = w.Screen, pool, (VALUES (true), (false)) x(aligned) GROUP BY 1, 2, 3)
+  SELECT a.aligned, a.Screen AS screen1, b.Screen AS screen2, round(avg(1 - {_dot('a', 'b')} / (sqrt({_dot('a', 'a')}) * sqrt({_dot('b', 'b')}))), 4) AS distance, count(*) AS lines
+  FROM means a JOIN means b ON a.aligned = b.aligned AND a.CellLines = b.CellLines AND a.Screen < b.Screen GROUP BY 1, 2, 3""")
 def i21b(spark, sf):
     """Screen distances before and after alignment."""
     out = []
@@ -308,7 +349,7 @@ def i21b(spark, sf):
         rows = multiscreen.ScreenAligner(per_screen).fit_transform(cells(spark, sf), wells(spark, sf))
         means = multiscreen.line_means(rows, [c for c in rows.columns if c.startswith("aligned")])
         out.append(multiscreen.screen_distances(means).withColumn("aligned", F.lit(per_screen)))
-    return rounded(union_all(out))
+    return rounded(union_all(out), 4)
 
 
 EVENTS = T.StructType([

@@ -8,6 +8,7 @@ from platelens.catalog.base import (
     FEATURES, lineitem, marker_probabilities, predictions, query, rounded, scores, suppliers, table,
 )
 from platelens.functions import metrics
+from platelens.functions.sizing import join_bounded
 from platelens.operators.joins import union_all
 from platelens.plans import attribution, conformal, correction, multiscreen
 from platelens.plans.fusion import entropy_weighted, evaluation_table
@@ -97,7 +98,7 @@ def h13(spark, sf):
     """Own-fold and other-fold attributions; fold coefficients are leave-one-out means, from totals, never all pairs."""
     means = attribution.line_means_long(_labelled(spark, sf), FEATURES)
     totals = means.groupBy("feature").agg(F.sum("mean").alias("s"), F.count(F.lit(1)).alias("n"))
-    folds = means.join(F.broadcast(totals), "feature").select(
+    folds = join_bounded(means, totals, "feature").select(
         F.col("CellLines").alias("Holdout"), "feature", ((F.col("s") - F.col("mean")) / (F.col("n") - 1)).alias("coef")
     )
     return rounded(attribution.linear_train_eval(means, folds), 4)

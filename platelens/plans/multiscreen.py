@@ -50,7 +50,7 @@ class ScreenAligner:
         keys = [c for c in ("ID", "CellLines", "Mutations", "Screen") if c in joined.columns]
         mean, dev = self.pooled["m"], self.pooled["d"]
         if self.per_screen:
-            new = joined.join(F.broadcast(self.screens.select("Screen")), "Screen", "left_anti")
+            new = join_bounded(joined, self.screens.select("Screen"), "Screen", "left_anti")
             stats = self.screens.unionByName(new.groupBy("Screen").agg(*_moments(self.features)))
             joined = join_bounded(joined, stats, "Screen")
         out = []

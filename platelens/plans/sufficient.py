@@ -18,6 +18,7 @@ from platelens.functions.sizing import join_bounded, scalar
 from platelens.operators.features import quoted
 
 EXPRESSION_LIMIT = 16
+FOLD_COLUMNS = ["ModelGenetics", "Holdout", "label", "class", "share", "weights", "coef", "intercept", "score"]
 HELD_NUMBERS = 4_000_000  # partial sums a task keeps before it hands them on
 
 
@@ -76,7 +77,8 @@ def leave_one_out_ridge(stats: DataFrame, table: DataFrame, features: Sequence[s
     """Per (ModelGenetics, held-out line, class): intercept, coefficients on standardised features, line score.
 
     ``table``: (ModelGenetics, CellLines, label, eligible). Classes get equal total weight. The totals of all classes
-    are one short array per model; each fold is solved in its own small task group.
+    are one short array per model; each fold is solved in its own small task group. A fold without training lines gives
+    no row.
     """
     features = list(features)
     d = len(features)
@@ -98,6 +100,8 @@ def leave_one_out_ridge(stats: DataFrame, table: DataFrame, features: Sequence[s
         parts[r["label"]] = parts[r["label"]] - own
         parts = {c: v for c, v in parts.items() if v[0] > 0}
         labels = sorted(parts)
+        if not labels:
+            return pd.DataFrame(columns=FOLD_COLUMNS)
         whole = sum(v[0] for v in parts.values())
         scaled = {c: v * (whole / (len(labels) * v[0])) for c, v in parts.items()}
         s = sum(scaled.values())
@@ -114,8 +118,7 @@ def leave_one_out_ridge(stats: DataFrame, table: DataFrame, features: Sequence[s
             w = np.linalg.solve(z, xy)
             out.append((r["ModelGenetics"], r["CellLines"], r["label"], c, share, w.tolist(), (w / sd).tolist(),
                         float(share - (w / sd) @ mean), float(share + own_z @ w)))
-        return pd.DataFrame(out, columns=["ModelGenetics", "Holdout", "label", "class", "share", "weights", "coef",
-                                          "intercept", "score"])
+        return pd.DataFrame(out, columns=FOLD_COLUMNS)
 
     schema = ("ModelGenetics string, Holdout string, label bigint, class bigint, share double, "
               "weights array<double>, coef array<double>, intercept double, score double")

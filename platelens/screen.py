@@ -55,7 +55,11 @@ class Screen:
     def bounds(self) -> GroupProfile:
         """Wells, and cells in the largest well. Measured once; operators only remove rows, so it stays a bound."""
         if self.measured is None:
-            row = self.wells.agg(F.count(F.lit(1)).alias("g"), F.max("NCells").alias("m")).first()
+            wells = self.wells
+            if "NCells" not in wells.columns:
+                counts = self.cells.groupBy("ID").agg(F.count(F.lit(1)).alias("NCells"))
+                wells = wells.select("ID").join(counts, "ID", "full")
+            row = wells.agg(F.count(F.lit(1)).alias("g"), F.max("NCells").alias("m")).first()
             object.__setattr__(self, "measured", GroupProfile(row["g"], row["m"] or 0))
         return self.measured
 
