@@ -2,9 +2,9 @@
 
 Two limits rule the whole package. Both can be changed per session:
 
-* ``platelens.broadcastRows``: a side of a join is broadcast only when a proven upper bound of its row count is at
+* ``spark.platelens.broadcastRows``: a side of a join is broadcast only when a proven upper bound of its row count is at
   or below this; otherwise the join shuffles and AQE splits skewed partitions.
-* ``platelens.hotGroupRows``: a group with more rows than this is never sorted or collected as a whole.
+* ``spark.platelens.hotGroupRows``: a group with more rows than this is never sorted or collected as a whole.
 """
 
 from __future__ import annotations
@@ -23,11 +23,11 @@ HOT_GROUP_ROWS = 500_000
 
 
 def broadcast_rows(spark: SparkSession) -> int:
-    return int(spark.conf.get("platelens.broadcastRows", str(BROADCAST_ROWS)))
+    return int(spark.conf.get("spark.platelens.broadcastRows", str(BROADCAST_ROWS)))
 
 
 def hot_group_rows(spark: SparkSession) -> int:
-    return int(spark.conf.get("platelens.hotGroupRows", str(HOT_GROUP_ROWS)))
+    return int(spark.conf.get("spark.platelens.hotGroupRows", str(HOT_GROUP_ROWS)))
 
 
 @dataclass(frozen=True)

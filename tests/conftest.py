@@ -21,8 +21,8 @@ def spark():
 @pytest.fixture
 def hot(spark):
     """Treat every group above 20 rows as hot and broadcast nothing."""
-    spark.conf.set("platelens.hotGroupRows", "20")
-    spark.conf.set("platelens.broadcastRows", "0")
+    spark.conf.set("spark.platelens.hotGroupRows", "20")
+    spark.conf.set("spark.platelens.broadcastRows", "0")
     yield spark
-    spark.conf.unset("platelens.hotGroupRows")
-    spark.conf.unset("platelens.broadcastRows")
+    spark.conf.unset("spark.platelens.hotGroupRows")
+    spark.conf.unset("spark.platelens.broadcastRows")
