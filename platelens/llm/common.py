@@ -21,19 +21,22 @@ def read_table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Checkpoint in the shared folder named by ``spark.checkpoint.dir``: computed once, survives lost executors.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named by ``spark.checkpoint.dir``. Without that setting a local master gets one of its own; on a
+    cluster it is an error, since executors would not find each other's files."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = "/tmp/platelens-checkpoints"
+    return folder
+
 
-    Without that setting a local master gets a folder of its own; on a cluster it is an error.
-    """
+def stored(df: DataFrame) -> DataFrame:
+    """Checkpoint in the shared folder: computed once, and it survives lost executors."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-            folder = "/tmp/platelens-checkpoints"
-        context.setCheckpointDir(folder)
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 

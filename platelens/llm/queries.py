@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from platelens.llm import simhash
+import corpus_pipeline
+from platelens.llm import decontaminate, langid, mixing, sharding, simhash
 from platelens.llm.common import read_table
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -17,5 +18,26 @@ def op1_simhash(spark: SparkSession, sf: str) -> DataFrame:
     return simhash.simhash_components(read_table(spark, sf, "documents"))
 
 
-QUERIES: dict[str, Run] = {f.__name__: f for f in (op1_simhash,)}
-SQL: dict[str, str] = {}
+def op2_sharding(spark: SparkSession, sf: str) -> DataFrame:
+    """Shard and slot of every document; equal texts together, bytes near equal."""
+    return sharding.digest(read_table(spark, sf, "documents"))
+
+
+def op6_mixing(spark: SparkSession, sf: str) -> DataFrame:
+    """Words that the mix takes of every document."""
+    return mixing.digest(read_table(spark, sf, "documents"))
+
+
+def op7_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents that hold an item of the benchmark, with the item and its distance."""
+    return decontaminate.contaminated(read_table(spark, sf, "documents"), read_table(spark, sf, "benchmark"))
+
+
+def op8_langid(spark: SparkSession, sf: str) -> DataFrame:
+    """Predicted language of every document."""
+    return langid.digest(read_table(spark, sf, "documents"))
+
+
+QUERIES: dict[str, Run] = {f.__name__: f for f in (op1_simhash, op2_sharding, op6_mixing, op7_decontamination, op8_langid)}
+QUERIES["pipeline"] = corpus_pipeline.run
+SQL: dict[str, str] = {"op6_mixing": mixing.SQL}
