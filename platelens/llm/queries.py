@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from platelens.llm import decontaminate, langid, mixing, sharding, simhash
+from platelens.llm import decontaminate, langid, mixing, neighbours, sharding, simhash, tokens
 from platelens.llm.common import read_table
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -23,6 +24,11 @@ def op2_sharding(spark: SparkSession, sf: str) -> DataFrame:
     return sharding.digest(read_table(spark, sf, "documents"))
 
 
+def op3_token_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Bytes and tokens of every document."""
+    return tokens.count_tokens(read_table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op6_mixing(spark: SparkSession, sf: str) -> DataFrame:
     """Words that the mix takes of every document."""
     return mixing.digest(read_table(spark, sf, "documents"))
@@ -38,6 +44,13 @@ def op8_langid(spark: SparkSession, sf: str) -> DataFrame:
     return langid.digest(read_table(spark, sf, "documents"))
 
 
-QUERIES: dict[str, Run] = {f.__name__: f for f in (op1_simhash, op2_sharding, op6_mixing, op7_decontamination, op8_langid)}
+def op9_neighbours(spark: SparkSession, sf: str) -> DataFrame:
+    """Ten nearest vectors of every hundredth id."""
+    return neighbours.search(read_table(spark, sf, "embeddings"))
+
+
+QUERIES: dict[str, Run] = {f.__name__: f for f in (
+    op1_simhash, op2_sharding, op3_token_counts, op6_mixing, op7_decontamination, op8_langid, op9_neighbours,
+)}
 QUERIES["pipeline"] = corpus_pipeline.run
 SQL: dict[str, str] = {"op6_mixing": mixing.SQL}
