@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from platelens.llm import decontaminate, langid, mixing, neighbours, sharding, simhash, tokens
+from platelens.llm import decontaminate, langid, mixing, neighbours, sharding, simhash, substrings, tokens
 from platelens.llm.common import read_table
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -49,8 +49,14 @@ def op9_neighbours(spark: SparkSession, sf: str) -> DataFrame:
     return neighbours.search(read_table(spark, sf, "embeddings"))
 
 
+def op10_substrings(spark: SparkSession, sf: str) -> DataFrame:
+    """Words of every document, and those left without passages that a smaller document has."""
+    return substrings.digest(read_table(spark, sf, "documents"))
+
+
 QUERIES: dict[str, Run] = {f.__name__: f for f in (
     op1_simhash, op2_sharding, op3_token_counts, op6_mixing, op7_decontamination, op8_langid, op9_neighbours,
+    op10_substrings,
 )}
 QUERIES["pipeline"] = corpus_pipeline.run
-SQL: dict[str, str] = {"op6_mixing": mixing.SQL}
+SQL: dict[str, str] = {"op6_mixing": mixing.SQL, "op10_substrings": substrings.SQL}
