@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from platelens.llm import decontaminate, extraction, langid, mixing, neighbours, sharding, simhash, substrings, tokens
+from platelens.llm import decontaminate, extraction, langid, mixing, neighbours, quality, sharding, simhash, substrings, tokens
 from platelens.llm.common import read_table
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -34,6 +34,11 @@ def op4_extraction(spark: SparkSession, sf: str) -> DataFrame:
     return extraction.extract(read_table(spark, sf, "pages"))
 
 
+def op5_quality(spark: SparkSession, sf: str) -> DataFrame:
+    """Quality and toxicity of every document."""
+    return quality.rate(read_table(spark, sf, "documents"), read_table(spark, sf, "labels"))
+
+
 def op6_mixing(spark: SparkSession, sf: str) -> DataFrame:
     """Words that the mix takes of every document."""
     return mixing.digest(read_table(spark, sf, "documents"))
@@ -60,7 +65,7 @@ def op10_substrings(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES: dict[str, Run] = {f.__name__: f for f in (
-    op1_simhash, op2_sharding, op3_token_counts, op4_extraction, op6_mixing, op7_decontamination, op8_langid, op9_neighbours,
+    op1_simhash, op2_sharding, op3_token_counts, op4_extraction, op5_quality, op6_mixing, op7_decontamination, op8_langid, op9_neighbours,
     op10_substrings,
 )}
 QUERIES["pipeline"] = corpus_pipeline.run
