@@ -31,11 +31,12 @@ from platelens.llm.common import stored
 
 K = 10
 SAMPLE_VALUES = 4_000_000
-LEAF = 256
+#: Vectors in a leaf for each square root of their number: as many leaves as weigh the walk against the scans.
+LEAF = 8
 BRANCH = 16
 PROBES = 200
 RECALL = 0.98
-BLOCK = 2048
+BLOCK = 4096
 SEED = 42
 
 
@@ -156,7 +157,7 @@ def search(table: DataFrame, every: int = 100, k: int = K, recall: float = RECAL
     fitted = rows.filter(draw).select("v").limit(2 * sample).toArrow()["v"].combine_chunks()  # about ``sample``, never above twice
     if not len(fitted):
         fitted = rows.select("v").limit(1).toArrow()["v"].combine_chunks()
-    tree = fit_tree(matrix(fitted, width), max(8, int(LEAF * len(fitted) / total)))
+    tree = fit_tree(matrix(fitted, width), max(8, int(LEAF * total**0.5 * len(fitted) / total)))
     shared = spark.sparkContext.broadcast(tree)
 
     def leaf_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
