@@ -3,7 +3,7 @@
 Two limits rule the whole package. Both can be changed per session:
 
 * ``spark.platelens.broadcastRows``: a side of a join is broadcast only when a proven upper bound of its row count is at
-  or below this; otherwise the join shuffles and AQE splits skewed partitions.
+  or below this and its rows, by the width of their schema, stay within ``BROADCAST_BYTES``; otherwise the join shuffles and AQE splits skewed partitions.
 * ``spark.platelens.hotGroupRows``: a group with more rows than this is never sorted or collected as a whole.
 """
 
@@ -18,7 +18,9 @@ from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 200_000
 LOCAL_ROWS = 10_000
-NESTED_SHARE = 50  # rows with arrays are wide: the row limits shrink by this factor
+BROADCAST_BYTES = 128 << 20
+NESTED_BYTES = 2000  # assumed of an array, map or struct
+TEXT_BYTES = 64
 HOT_GROUP_ROWS = 500_000
 
 
@@ -30,6 +32,12 @@ def hot_group_rows(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.platelens.hotGroupRows", str(HOT_GROUP_ROWS)))
 
 
+def row_bytes(df: DataFrame) -> int:
+    """Assumed width of a row: what fixed types take, and a flat rate for texts and nested values."""
+    size = {"string": TEXT_BYTES, "binary": TEXT_BYTES, "array": NESTED_BYTES, "map": NESTED_BYTES, "struct": NESTED_BYTES}
+    return 16 + sum(size.get(f.dataType.typeName(), 8) for f in df.schema.fields)
+
+
 @dataclass(frozen=True)
 class GroupProfile:
     """Upper bounds: number of groups, and rows in the largest of them. Filters only lower both."""
@@ -54,21 +62,32 @@ def as_local(small: DataFrame) -> DataFrame | None:
     return small.sparkSession.createDataFrame(rows, small.schema)
 
 
-def pinned(df: DataFrame) -> DataFrame:
-    """A result that several branches must see alike (sketches depend on merge order): local data, else a checkpoint.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in ``spark.checkpoint.dir``. Without it a local master gets one of its own; on a cluster, whose
+    executors would not find each other's files, it is an error."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix="platelens-")
 
-    The checkpoint folder is the session's ``spark.checkpoint.dir``; a temporary one is set only where none is.
-    """
-    local = as_local(df)
-    if local is not None:
-        return local
+
+def kept(df: DataFrame) -> DataFrame:
+    """A result that is read several times, computed once: a checkpoint in the shared folder."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="platelens-checkpoint-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
+def pinned(df: DataFrame) -> DataFrame:
+    """A result that several branches must see alike (sketches depend on merge order): local data, else a checkpoint."""
+    local = as_local(df)
+    return local if local is not None else kept(df)
+
+
 def hot_groups(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Keys of groups above the hot limit; at most rows / limit of them."""
     sizes = df.groupBy(*keys).count().filter(F.col("count") > hot_group_rows(df.sparkSession))
@@ -86,8 +105,7 @@ def join_bounded(big: DataFrame, small: DataFrame, on, how: str = "inner", rows:
         local = as_local(small)
         if local is not None:
             return big.join(F.broadcast(local), on, how)
-    if nested:
-        limit //= NESTED_SHARE
+    limit = min(limit, BROADCAST_BYTES // row_bytes(small))
     fits = rows <= limit if rows is not None else small.limit(limit + 1).count() <= limit
     return big.join(F.broadcast(small) if fits else small, on, how)
 

@@ -3,6 +3,9 @@
 One pass over the cells gives, per line, the count, the sums and the cross products of the features. Since a line has
 one label, every fold's normal equations are the class totals minus the held-out line; no fold reads the cells again.
 The estimator is ridge regression on class indicators, not logistic regression, and its rows say so.
+
+One rule for missing values, whatever the number of features: a cell counts only when all its features are there (neither
+null nor NaN), in the counts as in the sums. A line without such a cell has no statistics and so no fold.
 """
 
 from __future__ import annotations
@@ -14,10 +17,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from platelens.functions.sizing import join_bounded, scalar
+from platelens.functions.sizing import join_bounded, kept, scalar
 from platelens.operators.features import quoted
 
-EXPRESSION_LIMIT = 16
+EXPRESSION_LIMIT = 16  # up to here plain aggregates; both ways give the same statistics
+BROADCAST_BYTES = 64 << 20
 FOLD_COLUMNS = ["ModelGenetics", "Holdout", "label", "class", "share", "weights", "coef", "intercept", "score"]
 HELD_NUMBERS = 4_000_000  # partial sums a task keeps before it hands them on
 
@@ -26,8 +30,11 @@ def line_statistics(cells: DataFrame, features: Sequence[str], line: str = "Cell
     """(line, n, sx, sxx): sums of centred features and their cross products (row-major), combined on the map side.
 
     Few features use plain aggregates. Many use one numpy product per Arrow batch, summed per task and then by entry.
+    Cells with a missing feature take no part.
     """
     d = len(features)
+    for c in features:
+        cells = cells.filter(quoted(c).isNotNull() & ~F.isnan(quoted(c).cast("double")))
     centre = scalar(cells, m=F.array(*[F.avg(quoted(c).cast("double")) for c in features])).getField("m")
     x = [quoted(c).cast("double") - centre.getItem(i) for i, c in enumerate(features)]
     if d <= EXPRESSION_LIMIT:
@@ -45,60 +52,89 @@ def line_statistics(cells: DataFrame, features: Sequence[str], line: str = "Cell
 
 
 def _statistics_in_batches(packed: DataFrame, d: int, line: str) -> DataFrame:
+    def vectors(pdf: pd.DataFrame):
+        for name, part in pdf.groupby(line):
+            m = np.vstack(part["x"].to_numpy())
+            yield (name,), np.concatenate([[len(m)], m.sum(axis=0), (m.T @ m).ravel()])
+
+    arrays = _summed(packed, [f"{line} string"], vectors)
+    return arrays.select(
+        line, F.col("a")[0].cast("bigint").alias("n"), F.slice("a", 2, d).alias("sx"),
+        F.slice("a", d + 2, d * d).alias("sxx"),
+    )
+
+
+def _summed(df: DataFrame, keys: Sequence[str], vectors) -> DataFrame:
+    """Keys (``name type``) and ``a``, the sum of all vectors of a key. ``vectors`` gives (key values, vector) of a batch.
+
+    Every task adds its vectors up first, so what is moved is one vector per task and key, not one per row.
+    """
+    names = [k.rsplit(" ", 1)[0] for k in keys]
+
     def add_up(batches):
-        total: dict[str, np.ndarray] = {}
+        total: dict[tuple, np.ndarray] = {}
 
         def flush():
-            for name, vec in total.items():
-                yield pd.DataFrame({line: name, "pos": np.arange(len(vec)), "v": vec})
+            for key, vec in total.items():
+                yield pd.DataFrame({**dict(zip(names, key, strict=True)), "pos": np.arange(len(vec)), "v": vec})
             total.clear()
 
         for pdf in batches:
-            for name, part in pdf.groupby(line):
-                m = np.vstack(part["x"].to_numpy())
-                vec = np.concatenate([[len(m)], m.sum(axis=0), (m.T @ m).ravel()])
-                total[name] = total.get(name, 0.0) + vec
+            for key, vec in vectors(pdf):
+                total[key] = total.get(key, 0.0) + vec
                 if len(total) * len(vec) > HELD_NUMBERS:
                     yield from flush()
         yield from flush()
 
-    parts = packed.mapInPandas(add_up, f"`{line}` string, pos int, v double")
-    sums = parts.groupBy(line, "pos").agg(F.sum("v").alias("v"))
-    arrays = sums.groupBy(line).agg(
+    parts = df.mapInPandas(add_up, ", ".join([*(f"`{k.rsplit(' ', 1)[0]}` {k.rsplit(' ', 1)[1]}" for k in keys), "pos int, v double"]))
+    sums = parts.groupBy(*names, "pos").agg(F.sum("v").alias("v"))
+    return sums.groupBy(*names).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("pos", "v"))), lambda s: s.getField("v")).alias("a")
     )
-    return arrays.select(
-        line, F.col("a")[0].cast("bigint").alias("n"), F.slice("a", 2, d).alias("sx"),
-        F.slice("a", d + 2, d * d).alias("sxx"),
-    )
 
 
 def leave_one_out_ridge(stats: DataFrame, table: DataFrame, features: Sequence[str], strength: float = 1.0) -> DataFrame:
     """Per (ModelGenetics, held-out line, class): intercept, coefficients on standardised features, line score.
 
-    ``table``: (ModelGenetics, CellLines, label, eligible). Classes get equal total weight. The totals of all classes
-    are one short array per model; each fold is solved in its own small task group. A fold without training lines gives
-    no row.
+    ``table``: (ModelGenetics, CellLines, label, eligible). Classes get equal total weight. The totals of a class are one
+    array per model, broadcast when all of them are within ``BROADCAST_BYTES`` and joined otherwise; a fold is then
+    solved from its own row. A fold without training lines gives no row. ``stats`` is read more than once: keep it
+    (:func:`platelens.functions.sizing.kept`).
     """
     features = list(features)
     d = len(features)
-    rows = table.join(stats, "CellLines")
-    fit = rows.filter(F.col("eligible"))
-    totals = fit.select(
-        "ModelGenetics", "label", F.posexplode(F.concat(F.array(F.col("n").cast("double")), "sx", "sxx"))
-    ).groupBy("ModelGenetics", "label", "pos").agg(F.sum("col").alias("v"))
-    totals = totals.groupBy("ModelGenetics", "label").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("pos", "v"))), lambda s: s.getField("v")).alias("a")
-    )
-    totals = totals.groupBy("ModelGenetics").agg(F.collect_list(F.struct("label", "a")).alias("totals"))
-    joined = fit.join(totals, "ModelGenetics")
+    spark = stats.sparkSession
+    fit = table.filter(F.col("eligible")).join(stats, "CellLines")
+
+    def vectors(pdf: pd.DataFrame):
+        for r in pdf.itertuples(index=False):
+            yield (r.ModelGenetics, r.label), np.concatenate([[r.n], r.sx, r.sxx])
+
+    packed = fit.select("ModelGenetics", F.col("label").cast("bigint").alias("label"), "n", "sx", "sxx")
+    totals = kept(_summed(packed, ["ModelGenetics string", "label bigint"], vectors))
+    shared = None
+    if totals.count() * (1 + d + d * d) * 8 <= BROADCAST_BYTES:
+        by_model: dict[str, dict[int, np.ndarray]] = {}
+        for r in totals.collect():
+            by_model.setdefault(r["ModelGenetics"], {})[r["label"]] = np.array(r["a"], dtype=float)
+        shared, joined = spark.sparkContext.broadcast(by_model), fit
+    else:
+        lists = totals.groupBy("ModelGenetics").agg(F.collect_list(F.struct("label", "a")).alias("totals"))
+        joined = fit.join(lists, "ModelGenetics")
+
+    def solve_all(batches):
+        for pdf in batches:
+            for r in pdf.to_dict("records"):
+                yield solve(r)
 
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        r = pdf.iloc[0]
+    def solve(r: dict) -> pd.DataFrame:
         own = np.concatenate([[r["n"]], np.asarray(r["sx"]), np.asarray(r["sxx"])])
-        parts = {t["label"]: np.array(t["a"], dtype=float) for t in r["totals"]}
+        if shared is not None:
+            parts = dict(shared.value[r["ModelGenetics"]])
+        else:
+            parts = {t["label"]: np.array(t["a"], dtype=float) for t in r["totals"]}
         parts[r["label"]] = parts[r["label"]] - own
-        parts = {c: v for c, v in parts.items() if v[0] > 0}
+        parts = {c: v for c, v in parts.items() if v[0] > 0.5}
         labels = sorted(parts)
         if not labels:
             return pd.DataFrame(columns=FOLD_COLUMNS)
@@ -122,7 +158,7 @@ def leave_one_out_ridge(stats: DataFrame, table: DataFrame, features: Sequence[s
 
     schema = ("ModelGenetics string, Holdout string, label bigint, class bigint, share double, "
               "weights array<double>, coef array<double>, intercept double, score double")
-    folds = joined.groupBy("ModelGenetics", "CellLines").applyInPandas(solve, schema)
+    folds = joined.mapInPandas(solve_all, schema)
     return folds.withColumn("estimator", F.lit("ridge"))
 
 
