@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from platelens.functions.hashing import hash_order
 from platelens.functions.ordered import NEAREST, grouped_quantiles, smallest_per_group
-from platelens.functions.sizing import join_bounded
+from platelens.functions.sizing import join_bounded, profile_groups
 from platelens.operators.features import quoted
 from platelens.operators.registry import step, well_filter
 from platelens.screen import Screen
@@ -65,19 +65,21 @@ def drop_cells_by_feature_qt(screen: Screen, feature_filters: Mapping[str, float
 def subsample_rows_by_id(screen: Screen, n: int = 100, seed: int = 47) -> Screen:
     """At most ``n`` cells per well, without replacement, in a seeded order of the cell key.
 
-    While every well already holds at most ``n`` cells nothing is sorted or moved. Otherwise only (ID, digest) is
-    shuffled to find each well's n-th digest, and cells are filtered against it.
+    Wells are counted from the cells, not taken from ``NCells``. While every well already holds at most ``n`` cells
+    nothing is sorted or moved. Otherwise only (ID, digest) is shuffled to find each well's n-th digest, and cells are
+    filtered against it.
     """
-    if screen.bounds().max_rows <= n:
-        return screen
     cells = screen.cells
+    counted = profile_groups(cells, ["ID"])
+    if counted.max_rows <= n:
+        return screen
     if "cell_key" not in cells.columns:
         keyed = cells.withColumn("_h", hash_order(_content_key(cells), seed))
-        return screen.with_cells(smallest_per_group(keyed, ["ID"], ["_h"], n, screen.bounds()).select(*cells.columns))
+        return screen.with_cells(smallest_per_group(keyed, ["ID"], ["_h"], n, counted).select(*cells.columns))
     digest = hash_order(F.col("cell_key"), seed)
-    last = smallest_per_group(cells.select("ID", digest.alias("_h")), ["ID"], ["_h"], n, screen.bounds())
+    last = smallest_per_group(cells.select("ID", digest.alias("_h")), ["ID"], ["_h"], n, counted)
     last = last.groupBy("ID").agg(F.max("_h").alias("_last"))
-    kept = join_bounded(cells, last, "ID", rows=screen.bounds().groups).filter(digest <= F.col("_last"))
+    kept = join_bounded(cells, last, "ID", rows=counted.groups).filter(digest <= F.col("_last"))
     return screen.with_cells(kept.select(*[quoted(c) for c in cells.columns]))
 
 

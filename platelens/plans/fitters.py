@@ -65,9 +65,8 @@ def _labels(screen: Screen, params: Mapping) -> DataFrame:
     response = response if isinstance(response, str) else response[0]
     mapping = (loader.get("response_map") or {}).get(response)
     wells = screen.wells.withColumn("label", F.col(response))
-    if mapping is not None:
-        known = wells.filter(F.col("label").isin(*mapping))
-        return encode_labels(known.drop("label"), response, mapping)
+    if mapping is not None:  # a label without a code is an error: leave its wells out by a preprocessing step
+        return encode_labels(wells.drop("label"), response, mapping)
     return encode_wild_type_first(wells, "label")
 
 
@@ -94,11 +93,13 @@ class _Task:
             short = labelled.select("ID", "CellLines", "Mutations", "label")
             cells = s.cells.drop("CellLines", "Mutations")
             rows[m] = train[m] = join_bounded(cells, short, "ID", rows=s.bounds().groups)
-            if limit is not None and "cell_key" in rows[m].columns:
+            if limit is not None:
+                if "cell_key" not in rows[m].columns:
+                    raise ValueError("data_loader.n_cells draws cells by their cell_key, which these cells don't have")
                 train[m] = _line_sample(rows[m], limit, _map_params(params).get("seed", 47))
             if _map_params(params).get("persist", True):
                 train[m] = train[m].persist(StorageLevel.MEMORY_AND_DISK)
-                rows[m] = train[m] if limit is None or "cell_key" not in rows[m].columns else rows[m]
+                rows[m] = train[m] if limit is None else rows[m]
                 cached.append(train[m])
             features[m] = s.features
         return cls(rows, train, features, union_all(wells), multi, cached)
@@ -116,14 +117,21 @@ class _Task:
 
 
 def _training_cells(params: Mapping) -> int | None:
-    """Cells of a line that training looks at: ``data_loader.n_cells`` drawn anew in each of ``train.n_epochs``."""
+    """Cells of a line that training looks at, at most: ``data_loader.training_cells``, or else ``data_loader.n_cells``
+    for each of ``train.n_epochs``. Without either, all cells train; ``n_cells`` without ``n_epochs`` is an error."""
     options = _map_params(params)
-    n = (options.get("data_loader") or {}).get("n_cells")
+    loader = options.get("data_loader") or {}
+    if loader.get("training_cells") is not None:
+        return int(loader["training_cells"])
+    n = loader.get("n_cells")
     if n is None:
         return None
     model = options.get("model")
     settings = next(iter(model.values())) if isinstance(model, Mapping) else {}
-    return int(n) * int(((settings or {}).get("train") or {}).get("n_epochs", 10))
+    epochs = ((settings or {}).get("train") or {}).get("n_epochs")
+    if epochs is None:
+        raise ValueError("data_loader.n_cells needs train.n_epochs, or set data_loader.training_cells")
+    return int(n) * int(epochs)
 
 
 def _line_sample(rows: DataFrame, limit: int, seed) -> DataFrame:
@@ -162,17 +170,35 @@ def run_parallel(spark, work: Callable, jobs: Sequence, params: Mapping) -> list
 
 
 def _fit_all(task: _Task, make, trained: Sequence[Sequence[str]], params: Mapping) -> list:
-    """(model, predictions) per fold; None for a fold whose training lines do not hold two classes."""
+    """(model, predictions) per fold. Predictions have a column ``Reason``: null, or why a row has no score. A fold
+    whose training lines do not hold two classes has no model (None), and its lines come without scores."""
     def one(train: Sequence[str]):
         try:
             return fit_split(task, make, train)
-        except TooFewClasses:
-            return None
+        except TooFewClasses as e:
+            return None, str(e)
 
     done = run_parallel(task.wells.sparkSession, one, trained, params)
-    if not any(done):
+    scored = next((rows for model, rows in done if model is not None), None)
+    if scored is None:
         raise ValueError("no fold has two classes to train on")
-    return done
+    return [
+        (model, rows.withColumn("Reason", F.lit(None).cast("string")) if model is not None else _unscored(task, train, scored, rows))
+        for (model, rows), train in zip(done, trained, strict=True)
+    ]
+
+
+def _unscored(task: _Task, train: Sequence[str], like: DataFrame, reason: str) -> DataFrame:
+    """The rows that a fold would have scored, in the columns of ``like``, with null scores and the reason."""
+    if task.multi:
+        rows = task.wells.filter(~F.col("CellLines").isin(*train)).select("CellLines", F.col("label").alias("True")).distinct()
+    else:
+        rows = next(iter(task.part(train, False).values()))
+    given = [c for c in ("ID", "cell_key", "CellLines", "Mutations", "label", "True") if c in rows.columns]
+    return rows.select(
+        *[F.col(c) if c in given else F.lit(None).cast(like.schema[c].dataType).alias(c) for c in like.columns],
+        F.lit(reason).alias("Reason"),
+    )
 
 
 def _record(result: FitResult, model):
@@ -204,11 +230,10 @@ def _leave_one_out(screen, make, params, mutation=None, holdout=()) -> FitResult
     result = FitResult(training_lines=pool)
     parts, importances = [], {}
     for line, done in zip(pool, _fit_all(task, make, trained, params), strict=True):
-        if done is None:
-            continue
         model, predicted = done
         parts.append(predicted.withColumn("Holdout", F.lit(line)))
-        importances[line] = _record(result, model)
+        if model is not None:
+            importances[line] = _record(result, model)
     return _finish(task, result, parts, importances)
 
 
@@ -224,13 +249,12 @@ def _sample_split(screen, make, params, mutation=None, holdout=()) -> FitResult:
     result = FitResult(training_lines=trained)
     parts, importances = [], {}
     for (rep, half), done in zip(runs, _fit_all(task, make, trained, params), strict=True):
-        if done is None:
-            continue
         model, predicted = done
-        if "Ypred" in predicted.columns and not task.multi:
+        if model is not None and "Ypred" in predicted.columns and not task.multi:
             predicted = centre_at_half(predicted.withColumn("_s", F.lit(half)), ["_s"], "Ypred").drop("_s")
         parts.append(predicted.withColumn("Rep", F.lit(rep)).withColumn("Half", F.lit(half)))
-        importances[f"{rep}-{half}"] = _record(result, model)
+        if model is not None:
+            importances[f"{rep}-{half}"] = _record(result, model)
     return _finish(task, result, parts, importances)
 
 

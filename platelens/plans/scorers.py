@@ -20,10 +20,11 @@ from platelens.plans.balance import balanced_rows
 from platelens.plans.fusion import entropy_weighted, evaluation_table
 
 SCORERS: dict[str, type] = {}
+DEEPEST = 30  # trees of the distributed solver
 
 
 class TooFewClasses(ValueError):
-    """A training set without two classes; fold runners leave such folds out."""
+    """A training set without two classes; fold runners report the lines of such folds without scores."""
 
 
 def scorer(cls: type) -> type:
@@ -57,7 +58,9 @@ class _CellScorer(Scorer):
 
     def _prepare(self, rows: DataFrame, features: Sequence[str]) -> DataFrame:
         self.features = list(features)
-        if self.options.get("balance", "down") == "down" and "cell_key" in rows.columns:
+        if self.options.get("balance", "down") == "down":
+            if "cell_key" not in rows.columns:
+                raise ValueError("balance 'down' draws cells by their cell_key; add one, or set balance to 'weights'")
             rows = balanced_rows(rows, "label", "down", self.seed)
         per_class = rows.groupBy("label").agg(
             F.count(F.lit(1)).alias("n"), F.array(*[F.avg(quoted(c)) for c in features]).alias("m"),
@@ -138,15 +141,22 @@ class BinaryLogistic(Logistic):
 
 @scorer
 class RandomForest(_CellScorer):
-    """Random forest; ``Ypred`` is the predicted class label."""
+    """Random forest; ``Ypred`` is the predicted class label.
+
+    Without ``max_depth`` trees grow as deep as the solver allows; a greater depth than that is refused.
+    """
 
     scaled = False
 
     def fit(self, rows: DataFrame, features: Sequence[str]) -> RandomForest:
+        depth = self.options.get("max_depth")
+        depth = DEEPEST if depth is None else int(depth)
+        if not 0 < depth <= DEEPEST:
+            raise ValueError(f"max_depth must be from 1 to {DEEPEST}, or unset")
         data = self._prepare(rows, features)
         self.model = RandomForestClassifier(
             featuresCol="_x", labelCol="_y", weightCol="_w", seed=self.seed,
-            numTrees=int(self.options.get("n_estimators", 100)), maxDepth=int(self.options.get("max_depth") or 10),
+            numTrees=int(self.options.get("n_estimators", 100)), maxDepth=depth,
         ).fit(data)
         return self
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -51,13 +50,15 @@ class PlateLoader:
     def list_antibodies(self, plate_ids: Sequence[str] | None = None) -> DataFrame:
         plates = self.plates
         if plate_ids is not None:
-            plates = [p for p in plates if re.search("|".join(plate_ids), p)]
+            plates = [p for p in plates if files.plate_id(p) in set(plate_ids)]
         return self.load_metadata(plates).select("Antibody").distinct()
 
     def marker_plates(self, wells: DataFrame, antibody) -> list[str]:
-        """Directories of the plates that hold the marker; plate ids come from the plate maps, one per plate."""
-        ids = [r[0] for r in plates_with_marker(wells, antibody).collect()]
-        return [p for p in self.plates if ids and re.search("|".join(ids), p)]
+        """Directories of the plates that hold the marker; plate ids come from the plate maps, one per plate.
+
+        Ids are compared as a whole, so that plate ``P1`` doesn't take ``P10`` along."""
+        ids = {r[0] for r in plates_with_marker(wells, antibody).collect()}
+        return [p for p in self.plates if files.plate_id(p) in ids]
 
     def load(self, antibody=None) -> tuple[DataFrame, DataFrame]:
         """(wells, cells). All wells of the matching plates are kept."""

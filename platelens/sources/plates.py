@@ -115,7 +115,7 @@ def parse_lines(lines: DataFrame, header: Sequence[str], path: Column) -> DataFr
         raise ValueError("no columns named 'Nuclei Selected', 'Row' or 'Column'")
     at = {c: i for i, c in enumerate(header)}
     fields = F.split(F.regexp_replace("value", "\r$", ""), "\t", -1)
-    rows = lines.select(fields.alias("_p"), plate_id_of(path).alias("PlateID"))
+    rows = lines.select(fields.alias("_p"), F.regexp_replace("value", "\r$", "").alias("_line"), plate_id_of(path).alias("PlateID"))
     digits = F.get("_p", F.lit(at["Row"])).rlike(r"^\d+$") & F.get("_p", F.lit(at["Column"])).rlike(r"^\d+$")
     rows = rows.filter((F.size("_p") == len(header)) & digits)
 
@@ -127,7 +127,9 @@ def parse_lines(lines: DataFrame, header: Sequence[str], path: Column) -> DataFr
 
     well = F.concat_ws("-", "PlateID", F.get("_p", F.lit(at["Row"])), F.get("_p", F.lit(at["Column"])))
     kept = [c for c in names if clean_name(c) not in DROPPED_COLUMNS]
-    return rows.select(well.alias("ID"), *[value(c).alias(clean_name(c)) for c in kept], "PlateID")
+    # the line is the measurement: it holds the object number, and only a repeated measurement has an equal key
+    key = F.concat_ws(":", well, F.md5("_line"))
+    return rows.select(well.alias("ID"), key.alias("cell_key"), *[value(c).alias(clean_name(c)) for c in kept], "PlateID")
 
 
 def read_measurements(spark: SparkSession, plates: Sequence[str], params: dict) -> DataFrame:
