@@ -102,7 +102,7 @@ def a11(spark, sf):
     out = [s.cells.groupBy("ID").count().agg(
         F.lit(m).alias("Antibody"), F.sum("count").alias("cells"), F.count(F.lit(1)).alias("wells")
     ) for m, s in parts.items()]
-    return out[0].unionByName(out[1])
+    return out[0].unionByName(out[1]).unionByName(out[2])
 
 
 @query("a13_channel_names", """SELECT ID, round(avg(Nucleus_Area), 4) AS "Area_A", round(avg(Cell_Spots), 4) AS "Spots_R"
@@ -118,13 +118,13 @@ def a13(spark, sf):
     return rounded(named.groupBy("ID").agg(*[F.avg(c).alias(c) for c in named.columns if c != "ID"]), 4)
 
 
-@query("a14_merged_screens", """SELECT Antibody, count(*) AS cells, CASE Antibody WHEN 'A' THEN 0.1 ELSE 0.05 END::DOUBLE AS na_prop
-  FROM cells WHERE Antibody IN ('A', 'N') GROUP BY 1""")
+@query("a14_merged_screens", """SELECT Antibody, count(*) AS cells, CASE Antibody WHEN 'A' THEN 0.1 WHEN 'N' THEN 0.05 ELSE 0.2 END::DOUBLE AS na_prop
+  FROM cells GROUP BY 1""")
 def a14(spark, sf):
     """Single-marker screens merged; differing preprocessing is kept per marker."""
     whole = screen(spark, sf)
     single = {}
-    for m, share in (("A", 0.1), ("N", 0.05)):
+    for m, share in (("A", 0.1), ("N", 0.05), ("R", 0.2)):
         meta = whole.wells.filter(F.col("Antibody") == m)
         part = Screen(whole.cells, whole.wells, {"preprocess": {"drop_na_features": {"na_prop": share}}, "analysis": {}})
         single[m] = part.keep_wells(meta)
@@ -132,7 +132,7 @@ def a14(spark, sf):
     steps = merged.params["preprocess"]
     out = [s.cells.agg(F.lit(m).alias("Antibody"), F.count(F.lit(1)).alias("cells"),
                        F.lit(steps[m]["drop_na_features"]["na_prop"]).alias("na_prop")) for m, s in merged.items()]
-    return out[0].unionByName(out[1])
+    return out[0].unionByName(out[1]).unionByName(out[2])
 
 
 @query("a15_merged_wells", "SELECT Antibody, count(*) AS wells, sum(NCells)::BIGINT AS cells FROM wells GROUP BY 1")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -10,6 +9,7 @@ from pyspark.sql import types as T
 
 from platelens.catalog.base import FEATURES, cells, query, rounded, scores, screen, wells
 from platelens.catalog.loading import SPLIT
+from platelens.functions.sizing import kept, shared_folder
 from platelens.operators.joins import cells_with_wells, union_all
 from platelens.plans import balance, folds, labels, multiscreen, sufficient
 from platelens.plans.analysis import MAP, parameter_grid, stability
@@ -93,13 +93,15 @@ def g06(spark, sf):
     return out.groupBy("ID").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("cell_key").alias("distinct_cells"), F.min("cell_key").alias("first_key"))
 
 
-@query("g07_upsampled_lines", """WITH big AS (SELECT CellLines, Mutations FROM wells WHERE NCells >= 116 GROUP BY 1, 2),
+@query("g07_upsampled_lines", """WITH big AS (SELECT DISTINCT CellLines, CASE WHEN length(CellLines) > 8 THEN 'EUROPE' ELSE Mutations END AS Mutations FROM wells),
   r AS (SELECT *, row_number() OVER (PARTITION BY Mutations ORDER BY md5(CellLines || '|47')) AS pos, count(*) OVER (PARTITION BY Mutations) AS n FROM big),
   m AS (SELECT max(n) AS most FROM r), x AS (SELECT DISTINCT Mutations, n FROM r),
   d AS (SELECT Mutations, c AS copy, 1 + ('0x' || substr(md5(Mutations || '|' || c || '|47'), 1, 13))::BIGINT % n AS pos FROM x, m, range(1, 100) q(c) WHERE c <= most - n)
   SELECT CellLines, Mutations, 0::BIGINT AS copy FROM big UNION ALL SELECT CellLines, r.Mutations, copy FROM d JOIN r ON d.Mutations = r.Mutations AND d.pos = r.pos""")
 def g07(spark, sf):
-    lines = folds.lines_of(wells(spark, sf).filter(F.col("NCells") >= 116))
+    meta = wells(spark, sf)
+    uneven = meta.withColumn("Mutations", F.when(F.length("CellLines") > 8, "EUROPE").otherwise(F.col("Mutations")))
+    lines = folds.lines_of(uneven)
     return balance.upsample_lines(lines, 47)
 
 
@@ -230,24 +232,68 @@ def h05(spark, sf):
     return rounded(out.select("Class_0", "Class_1", "CellLines", "True", "Half"), 4)
 
 
-@query("h08_leave_one_out_ridge")
-def h08(spark, sf):
-    """All leave-one-line-out folds of all mutations from one pass over the cells."""
+def _ridge_sql(select: str) -> str:
+    """All folds of the leave-one-line-out ridge in SQL: moments per fold and class by joining every other line, then
+    the normal equations by elimination written out for the four features."""
+    d = range(len(FEATURES))
+    up = [(i, j) for i in d for j in d if i <= j]
+    x = ", ".join(f"{c} - (SELECT avg({c}) FROM cells) AS x{i}" for i, c in enumerate(FEATURES))
+    sums = ", ".join([f"sum(x{i}) AS s{i}" for i in d] + [f"sum(x{i} * x{j}) AS q{i}{j}" for i, j in up])
+    cols = ", ".join([f"s{i}" for i in d] + [f"q{i}{j}" for i, j in up])
+    fold = ", ".join([f"sum(b.s{i}) / sum(b.n) AS m{i}" for i in d] + [f"sum(b.q{i}{j}) / sum(b.n) AS r{i}{j}" for i, j in up])
+    both = ", ".join([f"avg(m{i}) OVER f AS u{i}" for i in d] + [f"avg(r{i}{j}) OVER f AS v{i}{j}" for i, j in up])
+    sd = ", ".join(f"CASE WHEN v{i}{i} - u{i} * u{i} > 0 THEN sqrt(v{i}{i} - u{i} * u{i}) ELSE 1 END AS d{i}" for i in d)
+    left = ", ".join([f"(v{i}{j} - u{i} * u{j}) / (d{i} * d{j})" + (" + 1.0::DOUBLE / whole" if i == j else "") + f" AS a{i}{j}" for i, j in up])
+    right = ", ".join(f"(m{i} - u{i}) / k / d{i} AS b{i}" for i in d)
+    steps = []
+    for k in d[:-1]:
+        less = [f"a{i}{j} - a{k}{i} * a{k}{j} / a{k}{k} AS a{i}{j}" for i, j in up if i > k] + [f"b{i} - a{k}{i} * b{k} / a{k}{k} AS b{i}" for i in d if i > k]
+        steps.append(f"z{k + 1} AS (SELECT * REPLACE ({', '.join(less)}) FROM z{k})")
+    last = len(FEATURES) - 1
+    back = [f"w{last} AS (SELECT *, b{last} / a{last}{last} AS c{last} FROM z{last})"]
+    for i in reversed(d[:-1]):
+        rest = " - ".join([f"b{i}", *(f"a{i}{j} * c{j}" for j in d if j > i)])
+        back.append(f"w{i} AS (SELECT *, ({rest}) / a{i}{i} AS c{i} FROM w{i + 1})")
+    dot = " + ".join(f"c{i} / d{i} * u{i}" for i in d)
+    own = " + ".join(f"(e.s{i} / e.n - u{i}) / d{i} * c{i}" for i in d)
+    coef = ", ".join(f"c{i} / d{i} AS k{i}" for i in d)
+    return f"""WITH x AS (SELECT w.CellLines, w.Mutations, {x} FROM cells c JOIN wells w ON c.ID = w.ID),
+  st AS (SELECT CellLines, Mutations, count(*) AS n, {sums} FROM x GROUP BY 1, 2),
+  el AS (SELECT g AS ModelGenetics, CellLines, Mutations IN ('WT', g) AS eligible, (Mutations <> 'WT')::BIGINT AS label, n, {cols} FROM st, (VALUES ('AMERICA'), ('ASIA'), ('EUROPE')) v(g)),
+  fold AS (SELECT a.ModelGenetics, a.CellLines, b.label AS class, sum(b.n) AS fn, {fold} FROM el a JOIN el b ON a.ModelGenetics = b.ModelGenetics AND a.CellLines <> b.CellLines
+    WHERE a.eligible AND b.eligible GROUP BY 1, 2, 3),
+  mean AS (SELECT *, sum(fn) OVER f AS whole, count(*) OVER f AS k, {both} FROM fold WINDOW f AS (PARTITION BY ModelGenetics, CellLines)),
+  scale AS (SELECT *, {sd} FROM mean), z0 AS (SELECT *, {left}, {right} FROM scale), {', '.join(steps + back)},
+  ridge AS (SELECT w0.ModelGenetics, w0.CellLines, label, class, 1.0::DOUBLE / k - ({dot}) AS intercept, 1.0::DOUBLE / k + {own} AS score, {coef}
+    FROM w0 JOIN el e ON w0.ModelGenetics = e.ModelGenetics AND w0.CellLines = e.CellLines)
+  {select}"""
+
+
+RIDGE_FOLDS = _ridge_sql("SELECT ModelGenetics, CellLines AS Holdout, label, class, round(score, 6) AS score, round(intercept, 6) AS intercept, 'ridge' AS estimator FROM ridge")
+RIDGE_HELD = _ridge_sql(f""", m AS (SELECT ModelGenetics, class, avg(intercept) AS b, {', '.join(f'avg(k{i}) AS k{i}' for i in range(len(FEATURES)))} FROM ridge GROUP BY 1, 2)
+  SELECT e.ModelGenetics, e.CellLines, class, round(b + {' + '.join(f'k{i} * s{i} / n' for i in range(len(FEATURES)))}, 6) AS score, 'ridge' AS estimator
+  FROM el e JOIN m ON e.ModelGenetics = m.ModelGenetics WHERE NOT eligible""")
+
+
+def _ridge(spark, sf):
+    """Line statistics, computed once, and which lines train which model."""
     meta = wells(spark, sf)
     rows = cells_with_wells(cells(spark, sf), meta.select("ID", "CellLines"))
-    stats = sufficient.line_statistics(rows, FEATURES)
     table_ = folds.eligibility(meta, GENETICS).withColumn("label", (F.col("Mutations") != "WT").cast("bigint"))
-    out = sufficient.leave_one_out_ridge(stats, table_, FEATURES)
+    return kept(sufficient.line_statistics(rows, FEATURES)), table_
+
+
+@query("h08_leave_one_out_ridge", RIDGE_FOLDS)
+def h08(spark, sf):
+    """All leave-one-line-out folds of all mutations from one pass over the cells."""
+    out = sufficient.leave_one_out_ridge(*_ridge(spark, sf), FEATURES)
     return rounded(out.select("ModelGenetics", "Holdout", "label", "class", "score", "intercept", "estimator"))
 
 
-@query("h08_holdout_scores")
+@query("h08_holdout_scores", RIDGE_HELD)
 def h08b(spark, sf):
     """Lines that never train, scored by the average of all fold models."""
-    meta = wells(spark, sf)
-    rows = cells_with_wells(cells(spark, sf), meta.select("ID", "CellLines"))
-    stats = sufficient.line_statistics(rows, FEATURES)
-    table_ = folds.eligibility(meta, GENETICS).withColumn("label", (F.col("Mutations") != "WT").cast("bigint"))
+    stats, table_ = _ridge(spark, sf)
     return rounded(sufficient.holdout_scores(stats, table_, sufficient.leave_one_out_ridge(stats, table_, FEATURES)))
 
 
@@ -359,10 +405,8 @@ EVENTS = T.StructType([
 
 
 def _run_folder(spark) -> str:
-    """A new folder per run under the shared checkpoint folder; a temporary one only where none is configured."""
-    if spark.conf.get("spark.checkpoint.dir", None):
-        return f"{ingest.checkpoint_root(spark)}/platelens-{uuid.uuid4().hex}"
-    return tempfile.mkdtemp(prefix="platelens-")
+    """A new folder per run in the shared folder."""
+    return f"{shared_folder(spark)}/platelens-{uuid.uuid4().hex}"
 
 
 def _arriving(spark, sf):

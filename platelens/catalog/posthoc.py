@@ -230,12 +230,14 @@ def i10b(spark, sf):
     return rounded(metrics.matching_heatmap(found, "AUROC", "ResultIndex", ["F", "O"]))
 
 
-@query("i11_group_auroc", """WITH g AS (SELECT CellLines, Mutations, avg(Class_1) AS p FROM preds WHERE Mutations <> 'sporadic' AND ModelGenetics = 'ASIA' GROUP BY 1, 2),
-  k AS (SELECT *, CASE WHEN Mutations = 'WT' THEN 0 ELSE 1 END AS y, rank() OVER (ORDER BY p) + (count(*) OVER (PARTITION BY p) - 1) / 2.0::DOUBLE AS r FROM g)
-  SELECT round((sum(CASE WHEN y = 1 THEN r ELSE 0 END) - sum(y) * (sum(y) + 1) / 2.0::DOUBLE) / (sum(y) * sum(1 - y))::DOUBLE, 6) AS AUROC FROM k""")
+@query("i11_group_auroc", """WITH g AS (SELECT ModelGenetics, CellLines, Mutations, avg(Class_1) AS p FROM preds WHERE Mutations <> 'sporadic' GROUP BY 1, 2, 3),
+  k AS (SELECT *, CASE WHEN Mutations = 'WT' THEN 0 ELSE 1 END AS y, rank() OVER (PARTITION BY ModelGenetics ORDER BY p) + (count(*) OVER (PARTITION BY ModelGenetics, p) - 1) / 2.0::DOUBLE AS r FROM g)
+  SELECT ModelGenetics, round((sum(CASE WHEN y = 1 THEN r ELSE 0 END) - sum(y) * (sum(y) + 1) / 2.0::DOUBLE) / (sum(y) * sum(1 - y))::DOUBLE, 6) AS AUROC FROM k GROUP BY 1""")
 def i11(spark, sf):
-    one = predictions(spark, sf).filter(F.col("ModelGenetics") == "ASIA")
-    return rounded(metrics.group_auroc(one, "CellLines", "Class_1"))
+    rows = predictions(spark, sf)
+    per_model = [metrics.group_auroc(rows.filter(F.col("ModelGenetics") == g), "CellLines", "Class_1").withColumn("ModelGenetics", F.lit(g))
+                 for g in ("AMERICA", "ASIA", "EUROPE")]
+    return rounded(union_all(per_model))
 
 
 CONFUSION = """conf AS (SELECT ModelGenetics, ResultIndex, Mutation, sum(CASE WHEN p >= 0.5 AND y = 1 THEN 1 ELSE 0 END)::BIGINT AS TP, sum(CASE WHEN p >= 0.5 AND y = 0 THEN 1 ELSE 0 END)::BIGINT AS FP,
@@ -276,12 +278,11 @@ def i14(spark, sf):
 
 def _embedded(spark, sf):
     return table(spark, sf, "embeddings").select(
-        F.concat(F.lit("S"), (F.col("vec_id") % 3).cast("string")).alias("Screen"), F.col("label").cast("string").alias("CellLines"), "embedding"
-    ).filter((F.col("Screen") != "S2") | (F.col("CellLines") != "3"))
+        F.concat(F.lit("S"), (F.col("vec_id") % 3).cast("string")).alias("Screen"), F.when((F.col("vec_id") % 3 == 2) & (F.col("label") == 3), "3b").otherwise(F.col("label").cast("string")).alias("CellLines"), "embedding"
+    )
 
 
-EMBEDDED = """e AS (SELECT 'S' || (vec_id % 3) AS Screen, label::VARCHAR AS CellLines, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS dim FROM embeddings
-    WHERE NOT (vec_id % 3 = 2 AND label = 3)),
+EMBEDDED = """e AS (SELECT 'S' || (vec_id % 3) AS Screen, CASE WHEN vec_id % 3 = 2 AND label = 3 THEN '3b' ELSE label::VARCHAR END AS CellLines, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS dim FROM embeddings),
   means AS (SELECT Screen, CellLines, dim, avg(v) AS v FROM e GROUP BY 1, 2, 3),
   d AS (SELECT a.Screen AS screen1, b.Screen AS screen2, a.CellLines, 1 - sum(a.v * b.v) / (sqrt(sum(a.v * a.v)) * sqrt(sum(b.v * b.v))) AS d
     FROM means a JOIN means b ON a.CellLines = b.CellLines AND a.dim = b.dim AND a.Screen < b.Screen GROUP BY 1, 2, 3),

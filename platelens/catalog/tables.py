@@ -95,11 +95,16 @@ def c08(spark, sf):
     return out.groupBy("CellLines", "Mutation", "Age").agg(F.count(F.lit(1)).alias("wells"))
 
 
-@query("c09_shared_lines", """SELECT CellLines, Mutations FROM wells WHERE NCells >= 110 GROUP BY 1, 2
-  HAVING count(DISTINCT Antibody) = (SELECT count(DISTINCT Antibody) FROM wells WHERE NCells >= 110)""")
+def _uneven(df, column):
+    """Some lines were never measured under ``R``: their rows are relabelled."""
+    return df.withColumn(column, F.when(F.col("CellLines").endswith("1") & (F.col(column) == "R"), "A").otherwise(F.col(column)))
+
+
+@query("c09_shared_lines", """WITH u AS (SELECT CellLines, Mutations, CASE WHEN CellLines LIKE '%1' AND Antibody = 'R' THEN 'A' ELSE Antibody END AS Antibody FROM wells)
+  SELECT CellLines, Mutations FROM u GROUP BY 1, 2 HAVING count(DISTINCT Antibody) = (SELECT count(DISTINCT Antibody) FROM u)""")
 def c09(spark, sf):
     """Lines found in every marker set, among well-populated wells."""
-    return joins.shared_lines(wells(spark, sf).filter(F.col("NCells") >= 110))
+    return joins.shared_lines(_uneven(wells(spark, sf), "Antibody"))
 
 
 @query("c10_side_by_side", """SELECT ID, round(avg(Nucleus_Area), 4) AS Nucleus_Area, round(stddev_samp(Nucleus_Area), 4) AS Nucleus_Area_sd
@@ -233,10 +238,10 @@ def d14(spark, sf):
     return rounded(agg.pooled_probabilities(rows))
 
 
-@query("d15_lines_in_all_screens", """SELECT CellLines FROM wells WHERE NCells >= 112 GROUP BY 1
-  HAVING count(DISTINCT Screen) = (SELECT count(DISTINCT Screen) FROM wells WHERE NCells >= 112)""")
+@query("d15_lines_in_all_screens", """WITH u AS (SELECT CellLines, CASE WHEN CellLines LIKE '%1' AND Screen = 'R' THEN 'A' ELSE Screen END AS Screen FROM wells)
+  SELECT CellLines FROM u GROUP BY 1 HAVING count(DISTINCT Screen) = (SELECT count(DISTINCT Screen) FROM u)""")
 def d15(spark, sf):
-    return agg.shared_by_all(wells(spark, sf).filter(F.col("NCells") >= 112), ["CellLines"], "Screen")
+    return agg.shared_by_all(_uneven(wells(spark, sf), "Screen"), ["CellLines"], "Screen")
 
 
 NATIONS = [f"NATION_{i}" for i in range(25)]
@@ -283,10 +288,11 @@ def e02(spark, sf):
 
 
 @query("e03_line_order", """SELECT Mutations, CellLines, round(score, 6) AS score, row_number() OVER (PARTITION BY Mutations ORDER BY score DESC NULLS LAST, CellLines) AS position_in_group
-  FROM (SELECT Mutations, CellLines, avg(CASE WHEN Mutations IN ('WT', 'sporadic') OR ModelGenetics = Mutations THEN Class_1 END) AS score FROM preds WHERE ModelGenetics <> 'ASIA' GROUP BY 1, 2)""")
+  FROM (SELECT Mutations, CellLines, avg(CASE WHEN ModelGenetics <> 'ASIA' AND (Mutations IN ('WT', 'sporadic') OR ModelGenetics = Mutations) THEN Class_1 END) AS score FROM preds GROUP BY 1, 2)""")
 def e03(spark, sf):
-    """Two models only: lines of the third mutation have no matching score and come last in their group."""
-    return rounded(ordering.order_lines(predictions(spark, sf).filter(F.col("ModelGenetics") != "ASIA")))
+    """One model without scores: lines of its mutation have no matching score and come last in their group."""
+    rows = predictions(spark, sf).withColumn("Class_1", F.when(F.col("ModelGenetics") != "ASIA", F.col("Class_1")))
+    return rounded(ordering.order_lines(rows))
 
 
 @query("e04_centred_halves", """SELECT CellLines, ModelGenetics, ResultIndex, round(Class_1 - avg(Class_1) OVER (PARTITION BY ResultIndex) + 0.5, 6) AS Class_1 FROM preds""")

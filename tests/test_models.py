@@ -45,6 +45,10 @@ def with_params(screen, model, fitter, mapping=None, **extra):
     return Screen(screen.cells, screen.wells, {"analysis": {"MAP": options}})
 
 
+def only(screen, *mutations):
+    return screen.keep_wells(screen.wells.filter(F.col("Mutations").isin(*mutations)))
+
+
 def test_split_is_stratified_seeded_and_partition_free(screen, spark):
     first = folds.stratified_split(screen.wells, 0.5, 1).toPandas()
     per = first[first["split"] == "train"].groupby("Mutations").size().to_dict()
@@ -130,7 +134,7 @@ def test_leave_one_out_map(screen):
 
 
 def test_sample_split_is_centred_and_reproducible(screen):
-    s = with_params(screen, {"BinaryLogistic": {}}, "sample_split", {"WT": 0, "FUS": 1, "sporadic": 1}, reps=2)
+    s = with_params(only(screen, "WT", "FUS", "sporadic"), {"BinaryLogistic": {}}, "sample_split", {"WT": 0, "FUS": 1, "sporadic": 1}, reps=2)
     one = MAP(s).run()["tables"].toPandas()
     assert one.groupby(["Rep", "Half"])["Ypred"].mean().to_numpy() == pytest.approx([0.5] * 4)
     two = MAP(s).run()["tables"].toPandas()
@@ -141,7 +145,7 @@ def test_sample_split_is_centred_and_reproducible(screen):
 
 def test_two_level_scorer(screen, tmp_path):
     params = with_params(screen, {"MultiAntibody": {}}, "sample_split", {"WT": 0, "FUS": 1, "sporadic": 1}).params
-    parts = MarkerScreens.split(screen.cells, screen.wells, params)
+    parts = MarkerScreens.split(screen.cells, only(screen, "WT", "FUS", "sporadic").wells, params)
     result = MAP(parts).fit().fitted
     out = result.predicted.toPandas()
     assert np.allclose(out[["Class_0", "Class_1"]].sum(1), 1)
@@ -159,7 +163,7 @@ def test_two_level_scorer(screen, tmp_path):
 def test_training_sample_is_bounded_per_line(screen):
     params = with_params(screen, {"MultiAntibody": {"train": {"n_epochs": 2}}}, "sample_split", {"WT": 0, "FUS": 1}).params
     params["analysis"]["MAP"]["data_loader"]["n_cells"] = 3
-    parts = MarkerScreens.split(screen.cells, screen.wells, params)
+    parts = MarkerScreens.split(screen.cells, only(screen, "WT", "FUS").wells, params)
     task = _Task.of(parts, params)
     sizes = task.train["M1"].groupBy("CellLines").count().toPandas()
     assert set(sizes["count"]) == {6} and task.rows["M1"].filter("CellLines = 'WT0'").count() == 12
@@ -187,18 +191,44 @@ def test_stability_table(screen):
     assert out[(out["metric"] == "auc") & (out["group"] == "agg")]["value"].iloc[0] > 0.8
 
 
-def test_folds_without_two_classes_are_left_out(screen):
-    """A mutation with one line cannot be on both sides of a split; such folds give no model instead of failing."""
+def test_folds_without_two_classes_come_without_scores(screen):
+    """A mutation with one line cannot be on both sides of a split: its fold has no model, but its rows and the reason."""
     few = Screen(screen.cells, screen.wells.filter("CellLines in ('WT0', 'WT1', 'FUS0')"))
     s = with_params(few, {"BinaryLogistic": {}}, "leave_one_out", {"WT": 0, "FUS": 1})
     out = MAP(s).fit().fitted
-    assert set(out.predicted.toPandas()["Holdout"]) == {"WT0", "WT1"} and len(out.fitted) == 2
+    table = out.predicted.toPandas()
+    assert len(out.fitted) == 2 and set(table["Holdout"]) == {"WT0", "WT1", "FUS0"}
+    lost = table[table["Holdout"] == "FUS0"]
+    assert set(lost["CellLines"]) == {"FUS0"} and lost["Ypred"].isna().all() and lost["Reason"].str.contains("1 class").all()
+    kept = table[table["Holdout"] != "FUS0"]
+    assert kept["Ypred"].notna().all() and kept["Reason"].isna().all()
     with pytest.raises(ValueError, match="no fold"):
         MAP(with_params(Screen(few.cells, few.wells.filter("Mutations = 'WT'")), {"BinaryLogistic": {}}, "leave_one_out")).fit()
 
 
+def test_unmapped_labels_and_missing_keys_are_errors(screen):
+    s = with_params(Screen(screen.cells, screen.wells), {"BinaryLogistic": {}}, "leave_one_out", {"WT": 0, "FUS": 1})
+    with pytest.raises(Exception, match="no code for Mutations"):
+        MAP(s).fit().make_table().collect()
+    pair = screen.wells.filter("Mutations in ('WT', 'FUS')")
+    bare = with_params(Screen(screen.cells.drop("cell_key"), pair), {"BinaryLogistic": {}}, "leave_one_out", {"WT": 0, "FUS": 1})
+    with pytest.raises(ValueError, match="cell_key"):
+        MAP(bare).fit()
+    deep = with_params(Screen(screen.cells, pair), {"RandomForest": {"max_depth": 31}}, "leave_one_out", {"WT": 0, "FUS": 1})
+    with pytest.raises(ValueError, match="max_depth"):
+        MAP(deep).fit()
+
+
+def test_sampling_counts_the_cells_themselves(screen):
+    """Too small a count in the well table doesn't keep wells from being sampled."""
+    from platelens.operators.samples import subsample_rows_by_id
+
+    odd = Screen(screen.cells, screen.wells.withColumn("NCells", F.lit(1)))
+    assert subsample_rows_by_id(odd, n=5).cells.groupBy("ID").count().agg(F.max("count")).first()[0] == 5
+
+
 def test_forest_and_registry(screen):
-    s = with_params(screen, {"RandomForest": {"n_estimators": 5, "max_depth": 3}}, "leave_one_out", {"WT": 0, "FUS": 1})
+    s = with_params(only(screen, "WT", "FUS"), {"RandomForest": {"n_estimators": 5, "max_depth": 3}}, "leave_one_out", {"WT": 0, "FUS": 1})
     task = _Task.of(s, s.params)
     model, out = fit_split(task, lambda: SCORERS["BinaryRandomForest"]({"n_estimators": 5}), ["WT0", "WT1", "FUS0", "FUS1"])
     got = out.toPandas()
@@ -213,7 +243,7 @@ def test_forest_and_registry(screen):
         def predict(self, rows):
             return rows.withColumn("Ypred", F.lit(0.5))
 
-    s = with_params(screen, "Constant", "sample_split", {"WT": 0, "FUS": 1})
+    s = with_params(only(screen, "WT", "FUS"), "Constant", "sample_split", {"WT": 0, "FUS": 1})
     assert set(MAP(s).fit().make_table().toPandas()["Ypred"]) == {0.5}
     del SCORERS["Constant"]
     with pytest.raises(KeyError):
@@ -266,3 +296,40 @@ def test_ridge_folds_match_direct_solution(screen):
 def test_frames_are_complete():
     cells, wells = frames()
     assert len(cells) == 22 * 12 and len(pd.DataFrame(wells)) == 22
+
+
+@pytest.mark.parametrize("features", [2, 16, 17, 20])
+def test_line_statistics_do_not_depend_on_the_number_of_features(spark, features):
+    """Both ways of summing leave out cells with a missing feature, in the counts as in the sums."""
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(60, features))
+    rows = [(f"L{i % 3}", *[float(v) for v in r]) for i, r in enumerate(x)]
+    rows[4] = (rows[4][0], None, *rows[4][2:])
+    rows[9] = (rows[9][0], *rows[9][1:-1], float("nan"))
+    names = [f"f{i}" for i in range(features)]
+    df = spark.createDataFrame(rows, ", ".join(["CellLines string", *(f"{n} double" for n in names)])).repartition(5)
+    got = {r["CellLines"]: r for r in sufficient.line_statistics(df, names).collect()}
+    whole = np.array([i not in (4, 9) for i in range(60)])
+    centred = x - x[whole].mean(axis=0)
+    for k in range(3):
+        own = centred[whole & (np.arange(60) % 3 == k)]
+        r = got[f"L{k}"]
+        assert r["n"] == len(own)
+        np.testing.assert_allclose(r["sx"], own.sum(axis=0), atol=1e-9)
+        np.testing.assert_allclose(r["sxx"], (own.T @ own).ravel(), atol=1e-9)
+
+
+def test_ridge_folds_do_not_depend_on_how_totals_travel(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    rows = [(f"L{i % 8}", *[float(v) for v in rng.normal(size=3) + (i % 2)]) for i in range(200)]
+    cells = spark.createDataFrame(rows, "CellLines string, a double, b double, c double")
+    lines = spark.createDataFrame([("m", f"L{k}", k % 2, True) for k in range(8)], "ModelGenetics string, CellLines string, label bigint, eligible boolean")
+    stats = sufficient.line_statistics(cells, ["a", "b", "c"])
+
+    def run():
+        found = sufficient.leave_one_out_ridge(stats, lines, ["a", "b", "c"]).orderBy("Holdout", "class").collect()
+        return [(r["Holdout"], r["class"], round(r["score"], 9), round(r["intercept"], 9)) for r in found]
+
+    first = run()
+    monkeypatch.setattr(sufficient, "BROADCAST_BYTES", 0)
+    assert run() == first and len(first) == 16
