@@ -12,11 +12,12 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from platelens.functions.hashing import hash_number
 from platelens.functions.sizing import GroupProfile, hot_group_rows, hot_groups, join_bounded, pinned, profile_groups
 
 NEAREST = "nearest"
 LINEAR = "linear"
-BUCKETS = 256
+BUCKETS = 256  # at least; larger groups get as many as keep a bucket well below the hot limit
 
 
 def rank_position(q, n: Column, method: str) -> list[Column]:
@@ -148,14 +149,19 @@ def _bucket_of(value: str, cuts: str) -> Column:
     return F.size(F.filter(F.col(cuts), lambda x: x < F.col(value)))
 
 
+def bucket_count(spark, profile: GroupProfile) -> int:
+    return max(BUCKETS, -(-4 * profile.max_rows // hot_group_rows(spark)))
+
+
 def order_buckets(df: DataFrame, keys: Sequence[str], value: str, profile: GroupProfile) -> DataFrame:
     """Add ``_b``: an order-preserving bucket of ``value``; 0 for all groups below the hot limit."""
     if profile.max_rows <= hot_group_rows(df.sparkSession):
         return df.withColumn("_b", F.lit(0))
-    levels = [i / BUCKETS for i in range(1, BUCKETS)]
+    n = bucket_count(df.sparkSession, profile)
+    levels = [i / n for i in range(1, n)]
     hot = join_bounded(df, hot_groups(df, keys), list(keys), "left_semi")
     cut = pinned(hot.groupBy(*keys).agg(
-        F.array_sort(F.array_distinct(F.percentile_approx(value, levels, 10_000))).alias("_cuts")
+        F.array_sort(F.array_distinct(F.percentile_approx(value, levels, max(10_000, 10 * n)))).alias("_cuts")
     ))
     out = join_bounded(df, cut, list(keys), "left")
     return out.withColumn("_b", F.when(F.col("_cuts").isNull(), 0).otherwise(_bucket_of(value, "_cuts"))).drop("_cuts")
@@ -179,7 +185,7 @@ def running_before(
         offsets = offsets.select(
             *gk, "_b", *[F.coalesce(F.sum(f"_s_{w}").over(outer), F.lit(0)).alias(f"_o_{w}") for w in weights]
         )
-        local = join_bounded(local, offsets, [*gk, "_b"], rows=profile.groups * BUCKETS)
+        local = join_bounded(local, offsets, [*gk, "_b"], rows=profile.groups * bucket_count(df.sparkSession, profile))
         for w in weights:
             local = local.withColumn(f"_before_{w}", F.col(f"_before_{w}") + F.col(f"_o_{w}")).drop(f"_o_{w}")
     return local.drop("_b") if keys else local.drop("_b", "_all")
@@ -198,21 +204,45 @@ def positions(
         outer = Window.partitionBy(*gk).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
         offsets = b.groupBy(*gk, "_b").count()
         offsets = offsets.select(*gk, "_b", F.coalesce(F.sum("count").over(outer), F.lit(0)).alias("_offset"))
-        out = join_bounded(out, offsets, [*gk, "_b"], rows=profile.groups * BUCKETS)
+        out = join_bounded(out, offsets, [*gk, "_b"], rows=profile.groups * bucket_count(df.sparkSession, profile))
         out = out.withColumn(name, F.col(name) + F.col("_offset")).drop("_offset")
     return out.drop("_b") if keys else out.drop("_b", "_all")
 
 
+def smallest_digests(df: DataFrame, keys: Sequence[str], digest: str, ties: Sequence, n: int, profile: GroupProfile | None = None) -> DataFrame:
+    """The ``n`` rows of every group with the smallest digests (:func:`hash_order`), without sorting the others.
+
+    Digests are uniform, so in a group of N rows the n smallest lie below a share of little more than n / N of their
+    range. Rows above it go before anything is moved. Groups that kept fewer than n of their rows, which practically never
+    happens, are done in full, so the result is exact.
+    """
+    profile = profile or profile_groups(df, keys)
+    if profile.max_rows <= 4 * n:
+        return smallest_per_group(df, keys, [digest, *ties], n, profile)
+    keys = list(keys)
+    room = n + 8 * n**0.5 + 40
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size"))
+    sized = join_bounded(df, sizes, keys, rows=profile.groups)
+    near = sized.filter(hash_number(F.col(digest)) * F.col("_size") < F.lit(room * 16.0**13))
+    left = near.groupBy(*keys).agg(F.count(F.lit(1)).alias("_left"))
+    short = sizes.join(left, keys, "left").filter(F.coalesce("_left", F.lit(0)) < F.least(F.lit(n), F.col("_size"))).select(*keys)
+    first = smallest_per_group(near.drop("_size"), keys, [digest, *ties], n, profile)
+    if short.isEmpty():
+        return first.select(*df.columns)
+    whole = smallest_per_group(df.join(short, keys, "left_semi").select(*df.columns), keys, [digest, *ties], n, profile)
+    return first.join(short, keys, "left_anti").select(*df.columns).unionByName(whole)
+
+
 def smallest_per_group(
     df: DataFrame, keys: Sequence[str], order: Sequence, n: int, profile: GroupProfile | None = None, fan_in: int = 64
 ) -> DataFrame:
     """The ``n`` first rows of every group. Large groups are cut down in two steps so that no task sees them whole.
 
-    Spark already limits each map task's share of a group before the shuffle; the first step merges the shares of
-    a subset of map tasks, the second merges at most ``n * fan_in`` survivors. The outcome does not depend on how
-    rows were spread over tasks.
+    The first step merges the shares of a subset of map tasks (as many subsets as keep a share below the hot limit), the
+    second merges at most ``n`` survivors of each. The outcome does not depend on how rows were spread over tasks.
     """
     profile = profile or profile_groups(df, keys)
+    fan_in = max(fan_in, -(-2 * profile.max_rows // hot_group_rows(df.sparkSession)))
     first = Window.partitionBy(*keys, "_share").orderBy(*order)
     last = Window.partitionBy(*keys).orderBy(*order)
     if profile.max_rows <= hot_group_rows(df.sparkSession):

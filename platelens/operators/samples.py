@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from platelens.functions.hashing import hash_order
-from platelens.functions.ordered import NEAREST, grouped_quantiles, smallest_per_group
+from platelens.functions.ordered import NEAREST, grouped_quantiles, smallest_digests, smallest_per_group
 from platelens.functions.sizing import join_bounded, profile_groups
 from platelens.operators.features import quoted
 from platelens.operators.registry import step, well_filter
@@ -77,7 +77,7 @@ def subsample_rows_by_id(screen: Screen, n: int = 100, seed: int = 47) -> Screen
         keyed = cells.withColumn("_h", hash_order(_content_key(cells), seed))
         return screen.with_cells(smallest_per_group(keyed, ["ID"], ["_h"], n, counted).select(*cells.columns))
     digest = hash_order(F.col("cell_key"), seed)
-    last = smallest_per_group(cells.select("ID", digest.alias("_h")), ["ID"], ["_h"], n, counted)
+    last = smallest_digests(cells.select("ID", digest.alias("_h")), ["ID"], "_h", [], n, counted)
     last = last.groupBy("ID").agg(F.max("_h").alias("_last"))
     kept = join_bounded(cells, last, "ID", rows=counted.groups).filter(digest <= F.col("_last"))
     return screen.with_cells(kept.select(*[quoted(c) for c in cells.columns]))

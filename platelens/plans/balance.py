@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from platelens.functions.hashing import hash_number, hash_order, hash_pick
-from platelens.functions.ordered import NEAREST, grouped_quantiles, positions, smallest_per_group
-from platelens.functions.sizing import join_bounded, profile_groups
+from platelens.functions.ordered import NEAREST, grouped_quantiles, positions, smallest_digests
+from platelens.functions.sizing import GroupProfile, join_bounded, profile_groups
 
 
 def cells_per_line(cells: DataFrame, keys: Sequence[str], n: int, seed=47, key: str = "cell_key") -> DataFrame:
@@ -20,7 +20,7 @@ def cells_per_line(cells: DataFrame, keys: Sequence[str], n: int, seed=47, key:
     """
     names = cells.columns
     profile = profile_groups(cells, keys)
-    first = smallest_per_group(cells.withColumn("_h", hash_order(F.col(key), seed)), keys, ["_h", key], n, profile)
+    first = smallest_digests(cells.withColumn("_h", hash_order(F.col(key), seed)), keys, "_h", [key], n, profile)
     rest = [c for c in names if c not in keys]
     packed = first.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_h", *rest))).alias("_rows"))
     text = [F.col(k).cast("string") for k in keys]
@@ -41,7 +41,8 @@ def repeated_draws(cells: DataFrame, keys: Sequence[str], n: int, reps: int, see
     profile = profile_groups(cells, keys)
     reps_of = cells.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
     reps_of = reps_of.withColumn("_h", hash_order(F.col(key), seed, F.col("rep")))
-    return smallest_per_group(reps_of, [*keys, "rep"], ["_h", key], n, profile).drop("_h")
+    many = GroupProfile(profile.groups * reps, profile.max_rows)
+    return smallest_digests(reps_of, [*keys, "rep"], "_h", [key], n, many).drop("_h")
 
 
 def repeated_means(cells: DataFrame, keys: Sequence[str], values: Sequence[str], n: int, reps: int, seed=47):

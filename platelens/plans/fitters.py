@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from platelens.functions.hashing import hash_order
-from platelens.functions.ordered import smallest_per_group
+from platelens.functions.ordered import smallest_digests
 from platelens.functions.sizing import join_bounded
 from platelens.operators.joins import union_all
 from platelens.operators.ordering import centre_at_half
@@ -137,7 +137,7 @@ def _training_cells(params: Mapping) -> int | None:
 def _line_sample(rows: DataFrame, limit: int, seed) -> DataFrame:
     """At most ``limit`` cells per line in seeded order; only (line, digest) is moved to find each line's cut."""
     digest = hash_order(F.col("cell_key"), seed)
-    last = smallest_per_group(rows.select("CellLines", digest.alias("_h")), ["CellLines"], ["_h"], limit)
+    last = smallest_digests(rows.select("CellLines", digest.alias("_h")), ["CellLines"], "_h", [], limit)
     last = last.groupBy("CellLines").agg(F.max("_h").alias("_last"))
     return join_bounded(rows, last, "CellLines").filter(digest <= F.col("_last")).drop("_last")
 

@@ -174,3 +174,18 @@ def test_mutation_auroc_skips_missing_class(spark):
     df = spark.createDataFrame(rows, "CellLines string, Mutations string, ModelGenetics string, Class_1 double")
     got = mutation_auroc(df, ["ModelGenetics"]).collect()
     assert [(r["ModelGenetics"], r["Mutation"], r["AUROC"]) for r in got] == [("m1", "ASIA", 1.0)]
+
+
+@pytest.mark.parametrize("n", [5, 1200])
+def test_smallest_digests_are_exact(spark, n):
+    """Also above the size up to which Spark limits the rows of a window by itself."""
+    from platelens.functions.hashing import hash_order
+    from platelens.functions.ordered import smallest_digests
+
+    df = spark.range(6000).select(F.when(F.col("id") < 5500, "big").otherwise("small").alias("k"), F.col("id").cast("string").alias("key"))
+    df = df.withColumn("h", hash_order(F.col("key"), 47)).repartition(6)
+    got = smallest_digests(df, ["k"], "h", ["key"], n).groupBy("k").agg(F.sort_array(F.collect_list("h")).alias("h")).collect()
+    want = df.toPandas()
+    for r in got:
+        assert r["h"] == sorted(want[want["k"] == r["k"]]["h"])[:n]
+    assert {r["k"] for r in got} == {"big", "small"}

@@ -76,7 +76,7 @@ def test_multi_marker_and_lists(spark, params):
     assert sorted(parts) == ["COX IV/atubulin", "FUS/EEA1"]
     assert parts["COX IV/atubulin"].cells.count() == 1 and parts["FUS/EEA1"].cells.count() == 6
     loader = PlateLoader(spark, params)
-    assert {r[0] for r in loader.list_antibodies(["q1"]).collect()} == {"COX IV/atubulin"}
+    assert {r[0] for r in loader.list_antibodies(["q1-x"]).collect()} == {"COX IV/atubulin"}
     with pytest.raises(ValueError):
         loader.load("nothing like it")
 
