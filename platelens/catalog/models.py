@@ -430,7 +430,7 @@ def j02(spark, sf):
     folder = _run_folder(spark)
     rows = _arriving(spark, sf).select(F.col("user_id").cast("string").alias("ID"))
     ingest.counts_to_table(ingest.running_counts(rows), f"{folder}/counts", f"{folder}/checkpoint").awaitTermination()
-    return spark.read.parquet(f"{folder}/counts")
+    return ingest.latest_counts(spark, f"{folder}/counts")
 
 
 @query("a12_result_sink", 'SELECT CellLines, Mutations, "True", round(Class_1, 6) AS Class_1 FROM scores')

@@ -53,7 +53,7 @@ def fit_components(df: DataFrame, columns: Sequence[str], alpha: float | None =
 def components_by_group(cells: DataFrame, features: Sequence[str], groups: Sequence[str], alpha: float) -> DataFrame:
     """Standardise, then PCA inside each pattern's features; unmatched features form an unnamed last group.
 
-    Key columns always stay. The scaled cells are cached on disk-backed storage while the groups are fitted.
+    Key columns always stay. Each group is one covariance pass over its own columns.
     """
     keys = [c for c in cells.columns if c not in features]
     scaled = scale_columns(cells, features)

@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from platelens.functions.sizing import join_bounded, scalar
+from platelens.functions.sizing import as_local, join_bounded, kept, scalar
 from platelens.operators.features import quoted
 from platelens.operators.joins import cells_with_wells_checked
 from platelens.screen import KEYS
@@ -31,7 +32,7 @@ def joint_scale(df: DataFrame, columns: Sequence[str], fitted_on: DataFrame | No
 class ScreenAligner:
     """Brings every screen to the pooled mean and deviation; ``per_screen=False`` only scales all screens jointly.
 
-    ``fit`` stores the statistics of the training screens; ``transform`` reuses them for new data. A screen that was
+    ``fit`` reads the cells once: the pooled values follow from those of the screens. ``transform`` reuses them for new data. A screen that was
     not seen in training is aligned with its own statistics.
     """
 
@@ -39,9 +40,17 @@ class ScreenAligner:
 
     def fit(self, cells: DataFrame, wells: DataFrame) -> ScreenAligner:
         self.features = [c for c in cells.columns if c not in KEYS]
-        joined = _with_labels(cells, wells)
-        self.pooled = joined.agg(*_moments(self.features)).first()
-        self.screens = joined.groupBy("Screen").agg(*_moments(self.features))
+        counts = F.array(*[F.count(quoted(c)) for c in self.features]).alias("n")
+        per_screen = _with_labels(cells, wells).groupBy("Screen").agg(*_moments(self.features), counts)
+        local = as_local(per_screen)  # one row for each screen
+        self.screens = kept(per_screen) if local is None else local
+        rows = self.screens.toPandas()
+        n, m, d = (np.array([[np.nan if v is None else v for v in r] for r in rows[c]], dtype=float) for c in ("n", "m", "d"))
+        share = n / n.sum(axis=0)
+        mean = np.nansum(share * m, axis=0)
+        self.pooled = {"m": mean.tolist(), "d": np.sqrt(np.nansum(share * (d**2 + (m - mean) ** 2), axis=0)).tolist()}
+        self.known = len(rows)
+        self.screens = self.screens.drop("n")
         return self
 
     def transform(self, cells: DataFrame, wells: DataFrame) -> DataFrame:
@@ -50,9 +59,12 @@ class ScreenAligner:
         keys = [c for c in ("ID", "CellLines", "Mutations", "Screen") if c in joined.columns]
         mean, dev = self.pooled["m"], self.pooled["d"]
         if self.per_screen:
-            new = join_bounded(joined, self.screens.select("Screen"), "Screen", "left_anti")
-            stats = self.screens.unionByName(new.groupBy("Screen").agg(*_moments(self.features)))
-            joined = join_bounded(joined, stats, "Screen")
+            stats, bound = self.screens, self.known
+            new = wells.select("Screen").distinct().join(self.screens.select("Screen"), "Screen", "left_anti")
+            if more := new.count():  # only screens that training has not seen need a pass of their own
+                own = join_bounded(joined, new, "Screen", "left_semi", rows=more)
+                stats, bound = stats.unionByName(own.groupBy("Screen").agg(*_moments(self.features))), bound + more
+            joined = join_bounded(joined, stats, "Screen", rows=bound)
         out = []
         for i, c in enumerate(self.features):
             x = quoted(c)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from platelens.sources.plates import parse_lines
+from platelens.sources.plates import list_directory, parse_lines
 
 
 def checkpoint_root(spark: SparkSession, fallback: str | None = None) -> str:
@@ -38,9 +38,18 @@ def running_counts(cells: DataFrame, key: str = "ID") -> DataFrame:
 
 
 def counts_to_table(counts: DataFrame, target: str, checkpoint: str, key: str = "ID") -> StreamingQuery:
-    """Write each trigger's full count table over the last one; a repeated batch writes the same rows."""
-    def save(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").parquet(target)
+    """Each trigger writes its full count table to a folder of its own, so readers never see one being replaced; a
+    repeated batch writes the same rows to the same folder. Read it with :func:`latest_counts`."""
+    def save(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{target}/version={number:012d}")
 
     return (counts.writeStream.outputMode("complete").option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).foreachBatch(save).start())
+
+
+def latest_counts(spark: SparkSession, target: str) -> DataFrame:
+    """The newest count table that was written whole."""
+    versions = [v for v in list_directory(spark, target) if any(e.endswith("/_SUCCESS") for e in list_directory(spark, v))]
+    if not versions:
+        raise FileNotFoundError(f"no counts in {target}")
+    return spark.read.parquet(f"{target}/{versions[-1].rsplit('/', 1)[-1]}")
