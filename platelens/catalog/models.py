@@ -9,10 +9,11 @@ from pyspark.sql import types as T
 
 from platelens.catalog.base import FEATURES, cells, query, rounded, scores, screen, wells
 from platelens.catalog.loading import SPLIT
-from platelens.functions.sizing import kept, shared_folder
+from platelens.functions.sizing import as_local, kept, shared_folder
 from platelens.operators.joins import cells_with_wells, union_all
 from platelens.plans import balance, folds, labels, multiscreen, sufficient
 from platelens.plans.analysis import MAP, parameter_grid, stability
+from platelens.plans.fitters import _Task, run_parallel
 from platelens.plans.components import profile_components, score_components
 from platelens.screen import MarkerScreens, Screen
 from platelens.streaming import ingest
@@ -189,20 +190,62 @@ def _profiles_screen(spark, sf, params, mutations):
     return Screen(means, meta, params).keep_wells(meta)
 
 
-@query("h01_logistic_split")
-def h01(spark, sf):
-    """Multinomial logistic scorer on reciprocal halves; every row is held out."""
-    params = _map_params({"Logistic": {"C": 1.0}}, "sample_split", {"WT": 0, "ASIA": 1, "EUROPE": 2})
-    out = MAP(_profiles_screen(spark, sf, params, ["WT", "ASIA", "EUROPE"])).fit().make_table()
-    return rounded(out.groupBy("CellLines", "label").agg(*[F.avg(f"Ypred{i}").alias(f"Ypred{i}") for i in range(3)], F.count(F.lit(1)).alias("n")), 4)
+HALVES = """r AS (SELECT CellLines, Mutations, row_number() OVER (PARTITION BY Mutations ORDER BY md5(CellLines || '|0|47')) AS pos, count(*) OVER (PARTITION BY Mutations) AS n FROM lines),
+  o AS (SELECT CellLines, Mutations, CASE Mutations WHEN 'AMERICA' THEN 1 WHEN 'ASIA' THEN 2 WHEN 'EUROPE' THEN 3 ELSE 0 END::BIGINT AS label, half, CASE WHEN pos <= round_even(0.5 * n, 0) THEN 0 ELSE 1 END = half AND Mutations <> 'sporadic' AS train FROM r, (VALUES (0), (1)) h(half)),
+  size AS (SELECT CellLines, sum(NCells)::BIGINT AS n FROM wells GROUP BY 1)"""
+CODES = {"WT": 0, "AMERICA": 1, "ASIA": 2, "EUROPE": 3, "sporadic": 0}
+
 
+def _gradients(spark, s, params, results):
+    """(ModelGenetics, Half, gradient) of all fitted models, each on its own training rows."""
+    task = _Task.of(s, params)
+    jobs = [(name, r.training_lines.index(lines), model, lines) for name, r in results.items() for model, lines in zip(r.fitted, r.fitted_on, strict=True)]
+    found = run_parallel(spark, lambda j: (j[0], j[1], j[2].gradient(task.training(j[3])["_"])), jobs, params)
+    for df in task.cached:
+        df.unpersist()
+    return spark.createDataFrame(found, "ModelGenetics string, Half int, gradient double").withColumn("gradient", F.round(F.abs("gradient"), 2))
 
-@query("h02_binary_logistic_split_mut")
+
+@query("h01_logistic_split", f"""WITH {HALVES}, k AS (SELECT half, count(DISTINCT label) FILTER (train) > 1 AS fits FROM o GROUP BY 1)
+  SELECT half::INT AS Half, o.CellLines, label, n, CASE WHEN fits THEN 1.0::DOUBLE END AS total, CASE WHEN fits THEN 0.0::DOUBLE END AS gradient
+  FROM o JOIN size USING (CellLines) JOIN k USING (half) WHERE NOT train""")
+def h01(spark, sf):
+    """Multinomial logistic scorer of cells on reciprocal halves; every cell of a held-out line is scored, probabilities
+    sum to 1, and the penalised gradient of each fit is 0."""
+    params = _map_params({"Logistic": {"C": 1.0}}, "sample_split", CODES)
+    s = screen(spark, sf)
+    s = Screen(cells(spark, sf, key=True), s.wells, params)
+    result = MAP(s).fit().fitted
+    names = [c for c in result.predicted.columns if c.startswith("Ypred")]
+    total = F.when(F.col("Reason").isNull(), sum((F.coalesce(c, F.lit(0.0)) for c in names[1:]), F.col(names[0])))
+    out = result.predicted.groupBy("Half", "CellLines", "label").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(total), 4).alias("total"))
+    out = out.join(_gradients(spark, s, params, {"all": result}).drop("ModelGenetics"), "Half", "left")
+    return _collected(spark, out, [result])
+
+
+@query("h02_binary_logistic_split_mut", f"""WITH {HALVES}, x AS (SELECT *, train AND Mutations IN ('WT', g) AS mine FROM o, (VALUES ('AMERICA'), ('ASIA'), ('EUROPE')) m(g)),
+  k AS (SELECT g, half, count(DISTINCT label) FILTER (mine) > 1 AS fits FROM x GROUP BY 1, 2)
+  SELECT g AS ModelGenetics, half::INT AS Half, CellLines, n, CASE WHEN fits THEN 0.5::DOUBLE END AS middle, CASE WHEN fits THEN 0.0::DOUBLE END AS gradient
+  FROM x JOIN size USING (CellLines) JOIN k USING (g, half) WHERE NOT mine""")
 def h02(spark, sf):
-    """One binary model per mutation against wild type, on halves."""
+    """One binary model of cells per mutation against wild type, on halves; scores of each half centre at 0.5."""
     params = _map_params({"BinaryLogistic": {}}, "sample_split_mut")
-    out = MAP(_profiles_screen(spark, sf, params, ["WT", "ASIA", "EUROPE", "sporadic"])).fit().make_table()
-    return rounded(out.groupBy("ModelGenetics", "CellLines").agg(F.avg("Ypred").alias("Ypred"), F.count(F.lit(1)).alias("n")), 4)
+    s = screen(spark, sf)
+    s = Screen(cells(spark, sf, key=True), s.wells, params)
+    fit = MAP(s).fit()
+    rows = fit.make_table()
+    out = rows.groupBy("ModelGenetics", "Half", "CellLines").agg(F.count(F.lit(1)).alias("n"))
+    middle = rows.groupBy("ModelGenetics", "Half").agg(F.round(F.avg("Ypred"), 4).alias("middle"))
+    out = out.join(middle, ["ModelGenetics", "Half"]).join(_gradients(spark, s, params, fit.fitted), ["ModelGenetics", "Half"], "left")
+    return _collected(spark, out, fit.fitted.values())
+
+
+def _collected(spark, out, results):
+    """A short table of a run, taken before the run's cached cells are released."""
+    done = as_local(out) or kept(out)
+    for r in results:
+        r.release()
+    return done
 
 
 @query("h03_random_forest_split")
@@ -328,12 +371,16 @@ def h08c(spark, sf):
     return rounded(stats.select("CellLines", "n", F.col("sx")[0].alias("s0"), F.col("sxx")[2].alias("q02")), 4)
 
 
-@query("h09_leave_one_out_map")
+@query("h09_leave_one_out_map", """SELECT w.CellLines AS Holdout, w.CellLines, sum(NCells)::BIGINT AS n,
+  (SELECT count(DISTINCT Mutations) FROM lines l WHERE l.Mutations IN ('WT', 'ASIA') AND l.CellLines <> w.CellLines) = 2 AS scored FROM wells w WHERE Mutations IN ('WT', 'ASIA') GROUP BY 1, 2""")
 def h09(spark, sf):
-    """Facade: scorer and fitter named in the parameters, leave-one-line-out of one mutation against wild type."""
-    params = _map_params({"BinaryLogistic": {"max_iter": 20}}, "leave_one_out", {"WT": 0, "ASIA": 1})
-    out = MAP(_profiles_screen(spark, sf, params, ["WT", "ASIA"])).run()["tables"]
-    return rounded(out.groupBy("Holdout", "CellLines").agg(F.avg("Ypred").alias("Ypred"), F.count(F.lit(1)).alias("n")), 4)
+    """Facade: scorer and fitter named in the parameters, leave-one-line-out of the cells of one mutation against wild
+    type; each fold scores all cells of its line."""
+    params = _map_params({"BinaryLogistic": {}}, "leave_one_out", {"WT": 0, "ASIA": 1})
+    params["preprocess"] = {"select_sample_by_feature": {"select_key": [{"Mutations": ["WT", "ASIA"]}]}}
+    fit = MAP(Screen(cells(spark, sf, key=True), wells(spark, sf), params).preprocess()).fit()
+    out = fit.make_table().groupBy("Holdout", "CellLines").agg(F.count(F.lit(1)).alias("n"), F.min(F.coalesce(F.col("Ypred").between(0, 1) & F.col("Reason").isNull(), F.lit(False))).alias("scored"))
+    return _collected(spark, out, [fit.fitted])
 
 
 PROFILE_CORR = " + ".join(f"corr(f{i}, f{j}) * corr(f{i}, f{j})" for i in range(4) for j in range(i + 1, 4))

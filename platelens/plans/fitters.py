@@ -38,9 +38,11 @@ def fitter(fn: Callable) -> Callable:
 
 @dataclass
 class FitResult:
-    """``fitted`` models, ``predicted`` rows, feature importances per fold, scalers and training lines per fold."""
+    """``fitted`` models and the lines each was ``fitted_on``, ``predicted`` rows, feature importances per fold, scalers
+    and training lines per fold."""
 
     fitted: list = field(default_factory=list)
+    fitted_on: list = field(default_factory=list)
     predicted: DataFrame | None = None
     importance: DataFrame | None = None
     scalers: list = field(default_factory=list)
@@ -201,8 +203,9 @@ def _unscored(task: _Task, train: Sequence[str], like: DataFrame, reason: str) -
     )
 
 
-def _record(result: FitResult, model):
+def _record(result: FitResult, model, lines: Sequence[str]):
     result.fitted.append(model)
+    result.fitted_on.append(list(lines))
     result.scalers.append(_scaler_of(model))
     return model.importance()
 
@@ -233,7 +236,7 @@ def _leave_one_out(screen, make, params, mutation=None, holdout=()) -> FitResult
         model, predicted = done
         parts.append(predicted.withColumn("Holdout", F.lit(line)))
         if model is not None:
-            importances[line] = _record(result, model)
+            importances[line] = _record(result, model, [c for c in pool if c != line])
     return _finish(task, result, parts, importances)
 
 
@@ -248,13 +251,13 @@ def _sample_split(screen, make, params, mutation=None, holdout=()) -> FitResult:
     trained = [sorted(r["CellLines"] for r in chosen if (r["rep"], r["half"]) == run) for run in runs]
     result = FitResult(training_lines=trained)
     parts, importances = [], {}
-    for (rep, half), done in zip(runs, _fit_all(task, make, trained, params), strict=True):
+    for (rep, half), lines, done in zip(runs, trained, _fit_all(task, make, trained, params), strict=True):
         model, predicted = done
         if model is not None and "Ypred" in predicted.columns and not task.multi:
             predicted = centre_at_half(predicted.withColumn("_s", F.lit(half)), ["_s"], "Ypred").drop("_s")
         parts.append(predicted.withColumn("Rep", F.lit(rep)).withColumn("Half", F.lit(half)))
         if model is not None:
-            importances[f"{rep}-{half}"] = _record(result, model)
+            importances[f"{rep}-{half}"] = _record(result, model, lines)
     return _finish(task, result, parts, importances)
 
 

@@ -121,6 +121,16 @@ class Logistic(_CellScorer):
         """Rows with arrays ``_p`` and ``_z`` in class order."""
         return self._probabilities(rows).select(*[quoted(c) for c in rows.columns], "_p", "_z")
 
+    def gradient(self, rows: DataFrame) -> float:
+        """Largest entry of the penalised gradient on the training rows: near 0 when the fit has converged."""
+        k = len(self.classes)
+        scored = self.model.transform(self._prepare(rows, self.features)).withColumn("_p", vector_to_array("probability")).withColumn("_v", vector_to_array("_x"))
+        gap = [F.col("_w") * (F.col("_p")[c] - (F.col("_y") == c).cast("double")) for c in range(k)]
+        d = len(self.features)
+        sums = scored.agg(F.sum("_w"), *[F.sum(g * F.col("_v")[i]) for g in gap for i in range(d)], *[F.sum(g) for g in gap]).first()
+        slope = np.array(sums[1:1 + k * d]).reshape(k, d) / sums[0] + self.model.getRegParam() * np.array(self.coefficients())
+        return float(max(np.abs(slope).max(), np.abs(np.array(sums[1 + k * d:])).max() / sums[0]))
+
     def coefficients(self) -> list[list[float]]:
         return self.model.coefficientMatrix.toArray().tolist()
 
