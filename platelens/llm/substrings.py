@@ -152,7 +152,7 @@ def _find_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in pieces(batches, "text"):
         words, first = _words(batch, "text")
         doc, begin, count, anchor, passage = runs(words, first)
-        own = batch.take(pa.array(doc))
+        own = batch.select(["doc_id", "row"]).take(pa.array(doc))
         cols = [own.column("doc_id"), own.column("row"), pa.array((begin - first[doc]).astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(anchor.view(np.int64)), pa.array(passage.view(np.int64))]
         yield pa.RecordBatch.from_arrays(cols, ["doc_id", "row", "first", "n", "anchor", "passage"])
 
