@@ -221,21 +221,23 @@ FOUND = "array<struct<item: int, distance: int, first_word: long>>"
 
 
 def _search(docs: DataFrame, items: Items, columns: list[str]) -> DataFrame:
-    """``_c0`` ... (the named columns) and ``_found``, the matches of each row."""
+    """``_c0`` ... (the named columns) and ``_found``, the matches of each row. Only texts travel to Python."""
     shared = docs.sparkSession.sparkContext.broadcast(items)
-    names = [f"_c{i}" for i in range(len(columns))]
     kind = pa.list_(pa.struct([("item", pa.int32()), ("distance", pa.int32()), ("first_word", pa.int64())]))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "_text"):
-            found: list[list[dict]] = [[] for _ in range(batch.num_rows)]
-            words, first = word_ids(*byte_column(batch.column("_text")))
-            for d, i, dist, at in zip(*(x.tolist() for x in find_items(shared.value, words, first)), strict=True):
-                found[d].append({"item": i, "distance": dist, "first_word": at})
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(found, kind)], [*names, "_found"])
-
-    rows = docs.select(*(F.col(f"`{c}`").alias(n) for n, c in zip(names, columns, strict=True)), utf8(F.col("text")).alias("_text"))
-    return rows.mapInArrow(run, ", ".join([*(f"{n} {rows.schema[n].dataType.simpleString()}" for n in names), f"_found {FOUND}"]))
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for whole in batches:
+            found: list[list[dict]] = []
+            for part in pieces([pa.RecordBatch.from_arrays([whole], ["text"])], "text"):
+                base = len(found)
+                found += [[] for _ in range(part.num_rows)]
+                words, first = word_ids(*byte_column(part.column(0)))
+                for d, i, dist, at in zip(*(x.tolist() for x in find_items(shared.value, words, first)), strict=True):
+                    found[base + d].append({"item": i, "distance": dist, "first_word": at})
+            yield pa.array(found, kind)
+
+    search = F.arrow_udf(run, FOUND).asNondeterministic()
+    return docs.select(*(F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(columns)), search(utf8(F.col("text"))).alias("_found"))
 
 
 def _shards(benchmark: DataFrame, similarity: float) -> Iterator[tuple[list, Items]]:

@@ -226,38 +226,40 @@ def _identified(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray]
     shared = docs.sparkSession.sparkContext.broadcast((table, uses)) if langs else None
     limit = max(1 << 19, (16 << 20) // max(4, len(langs)))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(*shared.value) if langs else None
-        for batch in pieces(batches, "_text", limit):
-            rows = batch.num_rows
-            pred: list[str] = ["und"] * rows
-            share = np.zeros(rows)
+    def label_texts(scorer: Scorer, texts: pa.Array) -> list[pa.Array]:
+        rows = len(texts)
+        data, at = byte_column(texts)
+        starts, ends, first = split_words(data, at)
+        score, letters = scorer.words(data, starts, ends)
+        label = viterbi(score, first, SWITCH)
+        doc = np.repeat(np.arange(rows), np.diff(first))
+        held = np.bincount(doc * len(langs) + label, weights=letters, minlength=rows * len(langs)).reshape(rows, len(langs))
+        total, top = held.sum(axis=1), held.argmax(axis=1)
+        pred = [langs[k] if n > 0 else "und" for k, n in zip(top.tolist(), total.tolist(), strict=True)]
+        out = [pa.array(pred, pa.string()), pa.array(held[np.arange(rows), top] / np.maximum(total, 1))]
+        if spans:
             runs: list[list[dict]] = [[] for _ in range(rows)]
-            if langs:
-                data, at = byte_column(batch.column("_text"))
-                starts, ends, first = split_words(data, at)
-                score, letters = scorer.words(data, starts, ends)
-                label = viterbi(score, first, SWITCH)
-                doc = np.repeat(np.arange(rows), np.diff(first))
-                held = np.bincount(doc * len(langs) + label, weights=letters, minlength=rows * len(langs)).reshape(rows, len(langs))
-                total, top = held.sum(axis=1), held.argmax(axis=1)
-                for i in np.flatnonzero(total > 0).tolist():
-                    pred[i] = langs[top[i]]
-                share = held[np.arange(rows), top] / np.maximum(total, 1)
-                if spans:
-                    change = np.flatnonzero(np.r_[True, (label[1:] != label[:-1]) | (doc[1:] != doc[:-1])]) if len(label) else []
-                    for a, b in zip(change, np.r_[change[1:], len(label)] if len(label) else [], strict=True):
-                        runs[doc[a]].append({"lang": langs[label[a]], "first": int(a - first[doc[a]]), "end": int(b - first[doc[a]])})
-            out = [batch.column(c) for c in names] + [pa.array(pred), pa.array(share)]
-            if spans:
-                out.append(pa.array(runs, pa.list_(pa.struct([("lang", pa.string()), ("first", pa.int32()), ("end", pa.int32())]))))
-            yield pa.RecordBatch.from_arrays(out, [*names, "_lang", "_score", *["_spans"] * spans])
-
-    rows = docs.select(*(F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(columns)), utf8(F.col("text")).alias("_text"))
-    names = [f"_c{i}" for i in range(len(columns))]
-    kept = ", ".join(f"{n} {rows.schema[n].dataType.simpleString()}" for n in names)
-    kind = f"{kept}, _lang string, _score double" + ", _spans array<struct<lang: string, first: int, end: int>>" * spans
-    return rows.mapInArrow(run, kind)
+            change = np.flatnonzero(np.r_[True, (label[1:] != label[:-1]) | (doc[1:] != doc[:-1])]) if len(label) else np.zeros(0, dtype=int)
+            for a, b in zip(change.tolist(), [*change[1:].tolist(), len(label)] if len(label) else [], strict=True):
+                runs[doc[a]].append({"lang": langs[label[a]], "first": int(a - first[doc[a]]), "end": int(b - first[doc[a]])})
+            out.append(pa.array(runs, pa.list_(pa.struct([("lang", pa.string()), ("first", pa.int32()), ("end", pa.int32())]))))
+        return out
+
+    fields = ["lang", "score", *["spans"] * spans]
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        scorer = Scorer(*shared.value)
+        for whole in batches:
+            parts = [pa.StructArray.from_arrays(label_texts(scorer, p.column(0)), fields) for p in pieces([pa.RecordBatch.from_arrays([whole], ["text"])], "text", limit)]
+            yield pa.concat_arrays(parts)
+
+    kind = "struct<lang: string, score: double" + ", spans: array<struct<lang: string, first: int, end: int>>" * spans + ">"
+    if langs:  # only texts travel to Python; the other columns stay where they are
+        found = F.arrow_udf(run, kind).asNondeterministic()(utf8(F.col("text")))
+    else:
+        found = F.struct(F.lit("und").alias("lang"), F.lit(0.0).alias("score"), *([F.array().cast("array<struct<lang: string, first: int, end: int>>").alias("spans")] if spans else []))
+    rows = docs.select(*(F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(columns)), found.alias("_r"))
+    return rows.select(*(f"_c{i}" for i in range(len(columns))), *(F.col(f"_r.{n}").alias(f"_{n}") for n in fields))
 
 
 def keep_identified(docs: DataFrame, least: float = 0.5) -> DataFrame:
