@@ -11,7 +11,7 @@ from platelens.catalog.base import FEATURES, cells, query, rounded, scores, scre
 from platelens.catalog.loading import SPLIT
 from platelens.functions.sizing import as_local, kept, shared_folder
 from platelens.operators.joins import cells_with_wells, union_all
-from platelens.plans import balance, folds, labels, multiscreen, sufficient
+from platelens.plans import attribution, balance, folds, labels, multiscreen, sufficient
 from platelens.plans.analysis import MAP, parameter_grid, stability
 from platelens.plans.fitters import _Task, run_parallel
 from platelens.plans.components import profile_components, score_components
@@ -326,6 +326,25 @@ def _ridge(spark, sf):
     return kept(sufficient.line_statistics(rows, FEATURES)), table_
 
 
+_COEF = " UNION ALL ".join(f"SELECT ModelGenetics, CellLines, '{c}' AS feature, k{i} AS coef FROM ridge WHERE class = 1" for i, c in enumerate(FEATURES))
+_MEAN = " UNION ALL ".join(f"SELECT CellLines, '{c}' AS feature, avg({c}) AS mean FROM cells c JOIN wells w ON c.ID = w.ID GROUP BY 1" for c in FEATURES)
+RIDGE_ATTRIBUTION = _ridge_sql(f""", fc AS ({_COEF}), lm AS ({_MEAN}), t AS (SELECT ModelGenetics, feature, sum(coef) AS t, count(*) AS k FROM fc GROUP BY 1, 2)
+  SELECT fc.ModelGenetics, fc.CellLines, fc.feature, round(mean * coef, 4) AS eval, round(CASE WHEN t.k > 1 THEN mean * (t - coef) / (t.k - 1) ELSE 0 END, 4) AS train
+  FROM fc JOIN t ON fc.ModelGenetics = t.ModelGenetics AND fc.feature = t.feature JOIN lm ON lm.CellLines = fc.CellLines AND lm.feature = fc.feature""")
+
+
+@query("h13_ridge_attributions", RIDGE_ATTRIBUTION)
+def h13_ridge(spark, sf):
+    """Attributions of the fitted ridge folds: of a line in its own fold, and in the folds that trained on it."""
+    meta = wells(spark, sf)
+    rows = cells_with_wells(cells(spark, sf), meta.select("ID", "CellLines"))
+    coef = attribution.ridge_coefficients(sufficient.leave_one_out_ridge(*_ridge(spark, sf), FEATURES), FEATURES).filter("class = 1")
+    means, coef = attribution.line_means_long(rows, FEATURES), kept(coef)
+    parts = [attribution.linear_train_eval(means, coef.filter(F.col("ModelGenetics") == g).select("Holdout", "feature", "coef")).withColumn("ModelGenetics", F.lit(g))
+             for g in GENETICS]
+    return rounded(union_all(parts), 4)
+
+
 @query("h08_leave_one_out_ridge", RIDGE_FOLDS)
 def h08(spark, sf):
     """All leave-one-line-out folds of all mutations from one pass over the cells."""

@@ -8,11 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from platelens.functions.sizing import join_bounded
 from platelens.operators.features import quoted
+from platelens.plans.fitters import FitResult
 
 
 def line_means_long(cells: DataFrame, features: Sequence[str], keys: Sequence[str] = ("CellLines",)) -> DataFrame:
@@ -58,6 +60,25 @@ def linear_train_eval(means: DataFrame, fold_coefficients: DataFrame) -> DataFra
                          (F.col("mean") * others).alias("train"))
 
 
+def ridge_coefficients(folds: DataFrame, features: Sequence[str]) -> DataFrame:
+    """(ModelGenetics, Holdout, class, feature, coef) of ridge folds, in the units of the features."""
+    named = F.transform(F.arrays_zip(F.array(*[F.lit(c) for c in features]).alias("feature"), F.col("coef").alias("coef")),
+                        lambda p: F.struct(p["feature"].alias("feature"), p["coef"].alias("coef")))
+    return folds.select("ModelGenetics", "Holdout", "class", F.inline(named))
+
+
+def fitted_coefficients(result: FitResult, spark: SparkSession) -> DataFrame:
+    """(fold, class, feature, coef, intercept) of all fitted logistic models, in the units of the features: the scaling
+    of the training rows is undone. ``fold`` counts the models of the run; ``fitted_on`` names the lines of each."""
+    rows = []
+    for fold, model in enumerate(result.fitted):
+        scaled, spread, centre = np.array(model.coefficients()), np.array(model.spread), np.array(model.centre)
+        raw = scaled / spread
+        base = np.array(model.model.interceptVector.toArray()) - raw @ centre
+        rows += [(fold, int(c), f, float(raw[k, j]), float(base[k])) for k, c in enumerate(model.classes) for j, f in enumerate(model.features)]
+    return spark.createDataFrame(rows, "fold int, class bigint, feature string, coef double, intercept double")
+
+
 def marker_means(long: DataFrame, marker_of_feature: DataFrame, value: str = "value") -> DataFrame:
     """Mean attribution per line and marker."""
     joined = join_bounded(long, marker_of_feature, "feature")

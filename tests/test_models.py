@@ -227,6 +227,21 @@ def test_sampling_counts_the_cells_themselves(screen):
     assert subsample_rows_by_id(odd, n=5).cells.groupBy("ID").count().agg(F.max("count")).first()[0] == 5
 
 
+def test_raw_coefficients_give_the_fitted_scores(screen, spark):
+    from platelens.plans.attribution import fitted_coefficients
+
+    s = with_params(only(screen, "WT", "FUS"), {"BinaryLogistic": {}}, "sample_split", {"WT": 0, "FUS": 1})
+    result = MAP(s).fit().fitted
+    table = fitted_coefficients(result, spark).toPandas()
+    assert len(table) == len(result.fitted) * 2 * 3
+    model = result.fitted[0]
+    rows = s.cells.limit(20)
+    scored = model.predict(rows).toPandas()
+    own = table[table["fold"] == 0]
+    logit = [np.array([scored[f] * c for f, c in zip(g["feature"], g["coef"], strict=True)]).sum(axis=0) + g["intercept"].iloc[0] for _, g in own.groupby("class")]
+    np.testing.assert_allclose(scored["Ypred"], 1 / (1 + np.exp(logit[0] - logit[1])), atol=1e-9)
+
+
 def test_forest_and_registry(screen):
     s = with_params(only(screen, "WT", "FUS"), {"RandomForest": {"n_estimators": 5, "max_depth": 3}}, "leave_one_out", {"WT": 0, "FUS": 1})
     task = _Task.of(s, s.params)
