@@ -13,8 +13,8 @@ document of smaller ``doc_id``; windows are judged on the input. The result is e
    tells whether the window ends in a smaller document. Maximal spans of such windows are removed.
 
 An automaton holds at most ``SHARD`` passages. Shards are not broadcast, for together they grow with the input: each
-goes to the one task that streams its passages. An anchor with more passages (a common line in many surroundings) is
-split further, into a shard for each single window, where the automaton is one path and the smallest document a minimum.
+goes to the one task that streams its passages. An anchor found more often (a common line in many surroundings) is split
+further, into a shard for each single window, where the automaton is one path and the smallest document a minimum.
 
 Words are unchanged, white space is ASCII. A null text has no words. Rows without ``doc_id`` are compared with nothing
 and stay whole; rows that repeat an id and a text are one document. Fewer words than a window: nothing goes. An empty
@@ -209,15 +209,17 @@ def _spans(rows: list[tuple[int, int, int]]) -> pa.RecordBatch:
 def repeated(docs: DataFrame) -> DataFrame:
     """Covered windows: ``row`` (hash of id and text), ``first`` (word) and ``n`` (windows in a row)."""
     own = docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("row"), utf8(F.col("text")).alias("text"))
-    found = stored(own.mapInArrow(_find_runs, "doc_id long, row long, first int, n int, anchor long, passage long"))
-    several = found.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a < b").select("anchor")
-    shared = stored(found.join(several, "anchor", "left_semi"))
-    passages = shared.groupBy("anchor", "passage").agg(F.min("doc_id").alias("least"))
-    crowds = passages.groupBy("anchor").agg(F.count(F.lit(1)).alias("passages"))
-    known = stored(shared.join(passages.join(crowds, "anchor"), ["anchor", "passage"]))
+    found = own.mapInArrow(_find_runs, "doc_id long, row long, first int, n int, anchor long, passage long")  # cheaper again than kept
+    anchors = found.groupBy("anchor").agg(
+        F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), (F.min("passage") != F.max("passage")).alias("mixed"), (F.count(F.lit(1)) > SHARD).alias("split"),
+    )
+    # stored, so that AQE can split the partition of a hot anchor or passage in the joins
+    shared = stored(found.join(stored(anchors.filter("a < b").select("anchor", "mixed", "split")), "anchor"))
+    passages = stored(shared.groupBy("anchor", "passage").agg(F.min("doc_id").alias("least")))
+    known = shared.join(passages, ["anchor", "passage"])
     whole = known.filter("doc_id > least").select("row", "first", "n")
-    wanted = known.filter("doc_id = least and passages > 1").dropDuplicates(["row", "anchor", "first"])
-    by_row = wanted.groupBy("row").agg(F.collect_list(F.struct("anchor", "first", "n", (F.col("passages") > SHARD).alias("split"))).alias("wanted"))
+    wanted = known.filter("doc_id = least and mixed").dropDuplicates(["row", "anchor", "first"])
+    by_row = wanted.groupBy("row").agg(F.collect_list(F.struct("anchor", "first", "n", "split")).alias("wanted"))
     cut = stored(own.join(by_row, "row").select("doc_id", "row", "text", "wanted").mapInArrow(_cut_passages, "shard long, doc_id long, row long, first int, words binary"))
     single = cut.filter("words is null").select("shard", "doc_id", "row", "first")
     least = single.groupBy("shard").agg(F.min("doc_id").alias("least"))
