@@ -93,12 +93,10 @@ def a10(spark, sf):
     return rounded(well_profiles(Screen(cells_of_wells(cells(spark, sf), kept), kept)), 4)
 
 
-@query("a11_multi_marker", """SELECT c.Antibody, count(*) AS cells, count(DISTINCT c.ID) AS wells FROM cells c
-  WHERE c.Antibody IN ('A', 'R') GROUP BY 1""")
+@query("a11_multi_marker", """SELECT c.Antibody, count(*) AS cells, count(DISTINCT c.ID) AS wells FROM cells c GROUP BY 1""")
 def a11(spark, sf):
     """Several markers: one screen per exact marker set."""
-    meta = wells(spark, sf).filter(F.col("Antibody").isin("A", "R"))
-    parts = MarkerScreens.split(cells(spark, sf), meta, {})
+    parts = MarkerScreens.split(cells(spark, sf), wells(spark, sf), {})
     out = [s.cells.groupBy("ID").count().agg(
         F.lit(m).alias("Antibody"), F.sum("count").alias("cells"), F.count(F.lit(1)).alias("wells")
     ) for m, s in parts.items()]
