@@ -224,7 +224,7 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], c
 def _identified(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], columns: list[str], spans: bool) -> DataFrame:
     langs, table, uses = model
     shared = docs.sparkSession.sparkContext.broadcast((table, uses)) if langs else None
-    limit = max(1 << 19, (16 << 20) // max(4, len(langs)))
+    limit = max(1 << 19, (8 << 20) // max(4, len(langs)))
 
     def label_texts(scorer: Scorer, texts: pa.Array) -> list[pa.Array]:
         rows = len(texts)
