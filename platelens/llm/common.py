@@ -113,12 +113,17 @@ def split_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
 
 def hash_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each word: a sum of random numbers by byte and place, finished with its length."""
+    return hash_prefixes(data, starts, ends, [None])[0]
+
+
+def hash_prefixes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, sizes: list[int | None]) -> list[np.ndarray]:
+    """The hash of each word's first bytes, for each number of bytes (None: the whole word)."""
+    out = [np.empty(len(starts), dtype=np.uint64) for _ in sizes]
     if len(starts) == 0:
-        return np.zeros(0, dtype=np.uint64)
+        return out
     if not _TABLE:
         _TABLE.append(_zobrist())
     table = _TABLE[0]
-    out = np.empty(len(starts), dtype=np.uint64)
     step = 200_000
     for lo in range(0, len(starts), step):
         hi = min(len(starts), lo + step)
@@ -128,8 +133,30 @@ def hash_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
         value = table[((place & 63) << 8) | data[a:b]]
         if (far := place > 63).any():
             value[far] *= (2 * (place[far] >> 6) + 1).astype(np.uint64)
-        out[lo:hi] = np.add.reduceat(value, own)
-    return mix(out + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        total = np.zeros(b - a + 1, dtype=np.uint64)
+        np.cumsum(value, out=total[1:])
+        for x, n in zip(out, sizes, strict=True):
+            stop = ends[lo:hi] - a if n is None else np.minimum(own + n, ends[lo:hi] - a)
+            x[lo:hi] = total[stop] - total[own] + (stop - own).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+    return [mix(x) for x in out]
+
+
+class Known:
+    """A set of hashes to look others up in: a table of bits settles most of them."""
+
+    def __init__(self, hashes: np.ndarray) -> None:
+        self.hashes = np.unique(hashes)
+        self.shift = np.uint64(64 - min(26, 8 + len(self.hashes).bit_length()))
+        self.bits = np.zeros(1 << (64 - int(self.shift)), dtype=bool)
+        self.bits[self.hashes >> self.shift] = True
+
+    def holds(self, h: np.ndarray) -> np.ndarray:
+        out = self.bits[h >> self.shift]
+        at = np.flatnonzero(out)
+        if len(at):
+            place = np.minimum(np.searchsorted(self.hashes, h[at]), len(self.hashes) - 1)
+            out[at] = self.hashes[place] == h[at]
+        return out
 
 
 def ranges(counts: np.ndarray) -> np.ndarray:

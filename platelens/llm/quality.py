@@ -6,8 +6,9 @@ of each pattern of votes, which Spark counts (at most 3 ** labellers patterns, w
 pattern labels each document of a sample of about ``SAMPLE`` (never above twice; by hash), and these soft labels train a
 logistic scorer on hashed features of words; the scorer rates every document.
 
-Toxicity runs the same way with labellers of its own. Two look for halves of a list of insults; one for terms (words and
-beginnings of words) that a sample of at most ``LABELLED`` rows of ``labels`` shows in toxic documents only. Rows whose
+Toxicity runs the same way with labellers of its own. Two know a half each of a list of insults and of the terms (words
+and beginnings of words) that a sample of at most ``LABELLED`` rows of ``labels`` shows in toxic documents only; a third
+counts what either finds. Rows whose
 crc32(doc_id as text) mod 5 is 0 are held out from it, so accuracy can be measured on them.
 
 Scores are between 0 and 1: ``quality`` that the text is good, ``toxicity`` that it is toxic; ``keep`` holds for quality
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from platelens.llm.common import byte_column, hash_words, mix, pieces, split_words, stored, utf8
+from platelens.llm.common import Known, byte_column, hash_prefixes, hash_words, mix, pieces, split_words, stored, utf8
 
 SAMPLE = 3000
 LABELLED = 5000
@@ -65,12 +66,11 @@ def signals(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     up = (caps[ends] - caps[starts]) * 2 > size
     last = data[ends - 1] if len(ends) else data[:0]
     same = np.r_[False, (h[1:] == h[:-1]) & (doc[1:] == doc[:-1])] if len(h) else np.zeros(0, dtype=bool)
-    order = np.lexsort((h, doc))
-    new = np.ones(len(h), dtype=bool)
-    new[order[1:]] = (h[order[1:]] != h[order[:-1]]) | (doc[order[1:]] != doc[order[:-1]])
+    key = np.sort((doc.astype(np.uint64) << np.uint64(40)) | (h >> np.uint64(24)))
+    different = np.bincount((key[np.r_[True, key[1:] != key[:-1]]] >> np.uint64(40)).astype(np.int64), minlength=len(at) - 1) if len(key) else np.zeros(len(at) - 1)
     pipe = (size == 1) & (last == 0x7C)
     return np.column_stack([
-        np.diff(first), _mean(kind[ends] > kind[starts], first), _mean(up & (size > 1), first), _mean(last == 0x21, first), _mean(new, first),
+        np.diff(first), _mean(kind[ends] > kind[starts], first), _mean(up & (size > 1), first), _mean(last == 0x21, first), different / np.maximum(np.diff(first), 1),
         _mean(same, first), _mean(pipe, first), _mean(size <= 3, first), _mean(last == 0x2E, first),
     ])
 
@@ -90,17 +90,13 @@ def quality_votes(s: np.ndarray) -> np.ndarray:
     ])
 
 
-def toxic_votes(data: np.ndarray, at: np.ndarray, lists: list[np.ndarray], terms: np.ndarray) -> np.ndarray:
-    """Texts x labellers: 1 harmless, 2 toxic. Each half of the insults goes with half of the terms; a third labeller
-    counts all of them."""
+def toxic_votes(data: np.ndarray, at: np.ndarray, lists: list[Known]) -> np.ndarray:
+    """Texts x labellers: 1 harmless, 2 toxic. ``lists``: words and beginnings of words known to the first two labellers;
+    a third counts what either finds."""
     plain = lower(data)
     starts, ends, first = split_words(plain, at)
-    h = hash_words(plain, starts, ends)
-    hits = [np.isin(h, np.r_[known, terms[k::2]]) for k, known in enumerate(lists)]
-    for n in (4, 5, 6, 7):
-        begin = hash_words(plain, starts, np.minimum(ends, starts + n))
-        for k in range(2):
-            hits[k] |= np.isin(begin, terms[k::2])
+    forms = hash_prefixes(plain, starts, ends, [None, 4, 5, 6, 7])
+    hits = [np.logical_or.reduce([known.holds(h) for h in forms]) for known in lists]
     one, two = (np.diff(np.r_[0, np.cumsum(x)][first]) for x in hits)
     return np.column_stack([_vote(one == 0, one > 0), _vote(two == 0, two > 0), _vote(one + two < 2, one + two > 2)])
 
@@ -143,15 +139,15 @@ def posterior(patterns: np.ndarray, share: np.ndarray, table: np.ndarray) -> np.
     return 1 - _kinds(patterns, share, table)[:, 0]
 
 
-def features(data: np.ndarray, at: np.ndarray, lists: list[np.ndarray], terms: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def features(data: np.ndarray, at: np.ndarray, lists: list[Known]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Text, cell and value of hashed features: words and beginnings of words that occur, shares of word shapes, bad votes."""
     plain = lower(data)
     starts, ends, first = split_words(plain, at)
     doc = np.repeat(np.arange(len(at) - 1), np.diff(first))
-    cells = [hash_words(plain, starts, ends)] + [hash_words(plain, starts, np.minimum(ends, starts + n)) ^ np.uint64(n) for n in (4, 6)]
+    cells = [h ^ np.uint64(n) for n, h in zip((0, 4, 6), hash_prefixes(plain, starts, ends, [None, 4, 6]), strict=True)]
     key = np.unique(np.concatenate([(doc.astype(np.uint64) << np.uint64(32)) | (mix(c) % np.uint64(CELLS // 2)) for c in cells])) if len(doc) else np.zeros(0, dtype=np.uint64)
     s = signals(data, at)
-    votes = np.column_stack([quality_votes(s), toxic_votes(data, at, lists, terms)]) == 2
+    votes = np.column_stack([quality_votes(s), toxic_votes(data, at, lists)]) == 2
     shape = np.column_stack([s[:, 1:], np.minimum(s[:, 0], 50) / 50, votes]) * (s[:, :1] > 0)
     shape = np.column_stack([shape, s[:, 0] > 0])
     rows, cols = np.nonzero(shape)
@@ -198,13 +194,13 @@ def toxic_terms(docs: DataFrame, labels: DataFrame, sample: int = LABELLED) -> n
 def rate(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """``doc_id``, ``quality``, ``toxicity``, ``toxic`` and ``keep`` of every row of ``docs``."""
     terms = toxic_terms(docs, labels)
-    lists = [_term_hashes(half) for half in INSULTS]
+    lists = [Known(np.r_[_term_hashes(half), terms[k::2]]) for k, half in enumerate(INSULTS)]  # each half with half of the terms
     rows = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("draw"), utf8(F.col("text")).alias("text"))
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
             data, at = byte_column(batch.column("text"))
-            q, t = quality_votes(signals(data, at)), toxic_votes(data, at, lists, terms)
+            q, t = quality_votes(signals(data, at)), toxic_votes(data, at, lists)
             code = [pa.array((v * 3 ** np.arange(v.shape[1])).sum(axis=1).astype(np.int32)) for v in (q, t)]
             yield pa.RecordBatch.from_arrays([batch.column("draw"), *code], ["draw", "q", "t"])
 
@@ -224,8 +220,8 @@ def rate(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
             data, at = byte_column(batch.column("text"))
-            q, t = quality_votes(signals(data, at)), toxic_votes(data, at, lists, terms)
-            doc, cell, value = features(data, at, lists, terms)
+            q, t = quality_votes(signals(data, at)), toxic_votes(data, at, lists)
+            doc, cell, value = features(data, at, lists)
             order = np.argsort(doc, kind="stable")
             cut = np.r_[0, np.cumsum(np.bincount(doc, minlength=batch.num_rows))].astype(np.int32)
             code = [pa.array((v * 3 ** np.arange(v.shape[1])).sum(axis=1).astype(np.int32)) for v in (q, t)]
@@ -241,7 +237,7 @@ def rate(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
             data, at = byte_column(batch.column("text"))
-            doc, cell, value = features(data, at, lists, terms)
+            doc, cell, value = features(data, at, lists)
             bad, toxic = (1 / (1 + np.exp(-np.clip(np.bincount(doc, value * w[cell], minlength=batch.num_rows), -30, 30))) for w in shared.value)
             blank = np.bincount(doc, minlength=batch.num_rows) == 0
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.where(blank, 0.0, 1 - bad)), pa.array(np.where(blank, 0.0, toxic))], ["doc_id", "quality", "toxicity"])
