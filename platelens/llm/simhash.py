@@ -3,11 +3,9 @@
 Two fingerprints are linked when at most ``radius`` bits differ. A tree over all fingerprints would have to be searched
 by all of them, so trees are built per shard: a shard holds the fingerprints that agree on a set of bits.
 
-* ``exact`` sharding: the bits still free are cut into ``radius + 1`` blocks; two fingerprints within the radius agree on
-  one block at least (pigeonhole), so no link is lost. A shard above ``SHARD`` fingerprints is cut again in the same way,
-  down to a single fingerprint, so no task holds an unbounded shard and no pair is skipped.
-* sampled sharding, for radii too wide for blocks: every shard is cut by ``tables`` random samples of bits. The share of
-  links found follows from the two numbers; documents are then compared through every shard they share.
+The bits still free are cut into ``radius + 1`` blocks; two fingerprints within the radius agree on one block at least
+(pigeonhole), so no link is lost. A shard above ``SHARD`` fingerprints is cut again in the same way, down to a single
+fingerprint, so no task holds an unbounded shard and no pair is skipped.
 
 Distinct fingerprints only take part, so exact copies cost one. A shard gives back a spanning forest of its links, never
 all pairs; components come from ``graph.components``. The trees are not broadcast: all trees together grow with the
@@ -33,6 +31,7 @@ from pyspark.sql import functions as F
 
 from platelens.llm.common import byte_column, local_roots, pieces, ranges, stored, utf8
 from platelens.llm.graph import components
+from platelens.llm.nearcopies import keep_one as keep_one  # the pipeline's near copies, decided by similarity
 
 SEED = 42
 #: Most fingerprints in one BK-tree.
@@ -156,17 +155,6 @@ def shard_links(codes: np.ndarray, shard: np.ndarray, radius: int) -> np.ndarray
     return label
 
 
-def sample_masks(lanes: int, bits: int, tables: int, seed: int) -> list[list[int]]:
-    rng = np.random.default_rng(seed)
-    out = []
-    for _ in range(tables):
-        masks = [0] * lanes
-        for b in rng.choice(64 * lanes, bits, replace=False):
-            masks[b // 64] |= 1 << int(b % 64)
-        out.append(masks)
-    return out
-
-
 def block_masks(free: int, blocks: int) -> list[int]:
     """The set bits of ``free`` cut into so many blocks of nearly equal size."""
     places = [b for b in range(64) if free >> b & 1]
@@ -181,39 +169,35 @@ def _shard_key(path: Column, masks: list[int]) -> Column:
     return F.xxhash64(path, *(F.col(f"c{k}").bitwiseAND(F.lit(_signed(m))) for k, m in enumerate(masks)))
 
 
-def near_links(codes: DataFrame, radius: int, lanes: int = 1, sampled: tuple[int, int] | None = None, shard: int = SHARD) -> DataFrame:
+def near_links(codes: DataFrame, radius: int, lanes: int = 1, shard: int = SHARD) -> DataFrame:
     """Links ``a``, ``b`` between rows of ``codes`` (``node`` long, unique; ``c0`` ... distinct) that connect all rows
-    within ``radius`` bits of each other. ``sampled``: (bits of a sample, tables); None for exact sharding of 64 bits."""
+    within ``radius`` bits of each other; shards are cut by the bits of ``c0``."""
     names = [f"c{k}" for k in range(lanes)]
-    level, out = 0, None
-    masks: dict[int, int] = {0: 0}  # exact: bits fixed so far, by table
+    out = None
+    masks: dict[int, int] = {0: 0}  # bits fixed so far, by table
     work = codes.select("node", *names, F.lit(0).alias("t"), F.lit(0).cast("long").alias("shard"))
     while True:
-        if sampled is None:
-            new: dict[int, int] = {}
-            cuts = []
-            for t, m in masks.items():
-                for block in block_masks(FULL & ~m, radius + 1):
-                    new[len(new)] = m | block
-                    cuts.append((t, F.struct(F.lit(len(new) - 1).alias("t"), _shard_key(F.lit(len(new) - 1), [m | block]).alias("shard"))))
-            masks = new
-            if not cuts:
-                break
-            by_table = [F.when(F.col("t") == t, F.array(*(s for u, s in cuts if u == t))) for t in dict.fromkeys(t for t, _ in cuts)]
-            parts = F.coalesce(*by_table)
-        else:
-            bits, tables = sampled if level == 0 else (8, 12)
-            parts = F.array(*(F.struct(F.lit(0).alias("t"), F.xxhash64("shard", F.lit(j), _shard_key(F.lit(j), m)).alias("shard")) for j, m in enumerate(sample_masks(lanes, bits, tables, SEED + level))))
+        new: dict[int, int] = {}
+        cuts = []
+        for t, m in masks.items():
+            for block in block_masks(FULL & ~m, radius + 1):
+                new[len(new)] = m | block
+                cuts.append((t, F.struct(F.lit(len(new) - 1).alias("t"), _shard_key(F.lit(len(new) - 1), [m | block]).alias("shard"))))
+        masks = new
+        if not cuts:
+            break
+        by_table = [F.when(F.col("t") == t, F.array(*(s for u, s in cuts if u == t))) for t in dict.fromkeys(t for t, _ in cuts)]
+        parts = F.coalesce(*by_table)
         cut = stored(work.select("node", *names, F.explode(parts).alias("p")).select("node", *names, "p.t", "p.shard"))
         sizes = cut.groupBy("shard").count()
         large = stored(sizes.filter(F.col("count") > shard).select("shard"))
-        more = not large.isEmpty() and level < 12
+        more = not large.isEmpty()
         small = cut.join(large, "shard", "left_anti") if more else cut
         found = _tree_links(small, names, radius)
         out = found if out is None else out.union(found)
         if not more:
             break
-        work, level = cut.join(large, "shard", "left_semi"), level + 1
+        work = cut.join(large, "shard", "left_semi")
     return out
 
 
@@ -244,13 +228,13 @@ def _tree_links(cut: DataFrame, names: list[str], radius: int) -> DataFrame:
     return alone.mapInArrow(run, "a long, b long")
 
 
-def near_components(prints: DataFrame, radius: int, lanes: int = 1, sampled: tuple[int, int] | None = None) -> DataFrame:
+def near_components(prints: DataFrame, radius: int, lanes: int = 1) -> DataFrame:
     """``id``, ``c0`` ... and ``component_id`` for every row of ``fingerprints``."""
     names = [f"c{k}" for k in range(lanes)]
     node = F.col("c0") if lanes == 1 else F.xxhash64(*names)
     rows = stored(prints.withColumn("node", node))
     distinct = stored(rows.groupBy("node").agg(F.min("id").alias("least"), *(F.first(c).alias(c) for c in names)))
-    roots = components(stored(near_links(distinct.select("node", *names), radius, lanes, sampled)))
+    roots = components(stored(near_links(distinct.select("node", *names), radius, lanes)))
     of_node = distinct.select("node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     linked = of_node.join(of_node.groupBy("root").agg(F.min("least").alias("component_id")), "root")
     return rows.join(linked.select("node", "component_id"), "node").select("id", *names, "component_id")
@@ -260,16 +244,3 @@ def simhash_components(docs: DataFrame, words: int = 4, radius: int = 4) -> Data
     """``doc_id``, ``fingerprint`` (16 hexadecimal digits) and ``component_id`` for every row of ``docs``."""
     found = near_components(fingerprints(docs, words=words), radius)
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("c0"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-#: Near-copy filter: 256 bits, over five-word shingles. Texts that share 0.8 of their shingles differ in 15 of 100 bits.
-FILTER = {"words": 5, "lanes": 4, "radius": 43, "sampled": (16, 32)}
-
-
-def keep_one(docs: DataFrame, words: int = FILTER["words"], lanes: int = FILTER["lanes"], radius: int = FILTER["radius"], sampled: tuple[int, int] = FILTER["sampled"]) -> DataFrame:
-    """``docs`` with the document of smallest id from each group of near copies; a row without id stays.
-
-    Of rows that repeat the kept id all stay, for they are one document by its id."""
-    found = near_components(fingerprints(docs, words=words, lanes=lanes), radius, lanes, sampled)
-    gone = found.filter("id <> component_id").select(F.col("id").alias("doc_id")).distinct()
-    return docs.join(gone, "doc_id", "left_anti")
