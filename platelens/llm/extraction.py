@@ -4,7 +4,10 @@ A page becomes its text blocks in order, each with the path of tags from the roo
 the punctuation and the text inside links are added up and divided by the number of blocks on the path: long,
 punctuated, unlinked paths are content. These ratios are put back on the blocks, smoothed along the page (a heading
 takes part of the weight of the paragraphs around it, an entry of a menu that of other entries), fused into one score by
-their product, and averaged by path. Paths above a share of the mean score, weighted by text, are content.
+their product, and averaged by path. Paths above a share of the mean score, weighted by text, are content. A block counts
+as ``LONGEST`` characters at most, so that a very long one doesn't raise the mean above all others. Entries of lists and
+tables, preformatted text and headings are content with the container they stand in: anywhere in it, or between content
+blocks where it is the page itself. Of an article only paths of links are left out.
 
 What pages mark themselves is taken from the marks: parts that are never text (scripts, styles, forms ...), parts named
 by their tag, role, class or id as navigation, advert, notice, comment and the like, and hidden parts are left out
@@ -35,6 +38,8 @@ SHARE = 0.08
 #: Weight of the blocks before and after when ratios are smoothed.
 KERNEL = np.array([0.1, 0.2, 0.4, 0.2, 0.1])
 MOST_LINKED = 0.6
+#: Characters of a block that count in its score.
+LONGEST = 300
 TAG = re.compile(r"""<!--(?:.*?-->|.*)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*"|'[^']*')*+)>|<[!?/][^>]*>""", re.S)
 ATTRIBUTE = re.compile(r"""([^\s=/>"']+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))|([^\s=/>"']+)""", re.S)
 #: Fixed values of HTML: elements without content, elements of raw text, inline elements, and what ends an open element.
@@ -54,6 +59,9 @@ NAMES = frozenset(
     " popup modal overlay sidebar menu nav navbar navigation breadcrumb breadcrumbs footer masthead comment comments disqus reply replies respond discussion"
     " share sharing social related recommended recommendations newsletter subscribe subscription signup login pagination pager toolbar skip widget widgets search".split()
 )
+#: What goes with the text around it, and what such parts stand in without being a container of their own.
+PARTS = frozenset("li td th dt dd pre caption h1 h2 h3 h4 h5 h6".split())
+WITHIN = PARTS | frozenset("ul ol dl table thead tbody tfoot tr p blockquote figure figcaption".split())
 PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？«»“”„]")
 
 
@@ -61,6 +69,8 @@ PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？«»“”„]")
 class Block:
     path: str
     inside: int
+    container: int = 0
+    part: bool = False
     text: list[str] = field(default_factory=list)
     linked: int = 0
 
@@ -83,11 +93,12 @@ def unwanted(tag: str, attributes: str, in_article: bool) -> bool:
 
 
 def blocks(page: str) -> list[Block]:
-    """Text blocks in page order; ``inside`` counts the articles and main parts around a block."""
-    stack: list[tuple[str, bool, int]] = []  # tag, left out, articles around
+    """Text blocks in page order; ``inside`` counts the articles and main parts around a block, ``container`` names
+    the element it stands in (0: the page)."""
+    stack: list[tuple[str, bool, int, int]] = []  # tag, left out, articles around, container
     out: list[Block] = []
     current: Block | None = None
-    links = 0
+    links = made = 0
 
     def text(raw: str) -> None:
         nonlocal current
@@ -96,7 +107,8 @@ def blocks(page: str) -> list[Block]:
         if current is None:
             if raw.isspace():
                 return
-            current = Block("/".join(t for t, _, _ in stack if t not in INLINE), stack[-1][2] if stack else 0)
+            path = [t for t, *_ in stack if t not in INLINE]
+            current = Block("/".join(path), stack[-1][2] if stack else 0, stack[-1][3] if stack else 0, not PARTS.isdisjoint(path))
             out.append(current)
         current.text.append(raw)
         if links:
@@ -104,7 +116,7 @@ def blocks(page: str) -> list[Block]:
 
     def pop(n: int) -> None:
         nonlocal current, links
-        for t, _, _ in stack[n:]:
+        for t, *_ in stack[n:]:
             links -= t == "a"
             if t not in INLINE:
                 current = None
@@ -149,7 +161,10 @@ def blocks(page: str) -> list[Block]:
         if tag not in INLINE:
             current = None
         links += tag == "a"
-        stack.append((tag, gone, around + (tag in ("article", "main") and not gone)))
+        container = stack[-1][3] if stack else 0
+        if tag not in WITHIN and tag not in INLINE and tag not in ("html", "body"):
+            container = made = made + 1
+        stack.append((tag, gone, around + (tag in ("article", "main") and not gone), container))
     text(page[at:])
     return out
 
@@ -158,7 +173,8 @@ def select(found: list[Block]) -> list[str]:
     """Texts of the content blocks."""
     rows = [(b, " ".join(html.unescape("".join(b.text)).split())) for b in found]
     rows = [(b, t) for b, t in rows if t]
-    if any(b.inside for b, _ in rows):
+    article = any(b.inside for b, _ in rows)
+    if article:
         rows = [(b, t) for b, t in rows if b.inside]
     if not rows:
         return []
@@ -166,10 +182,12 @@ def select(found: list[Block]) -> list[str]:
     of = np.array([paths.setdefault(b.path, len(paths)) for b, _ in rows])
     length = np.array([len(t) for _, t in rows], dtype=float)
     marks = np.array([len(PUNCTUATION.findall(t)) for _, t in rows], dtype=float)
+    used = np.minimum(length, LONGEST)
+    marks *= used / length
     linked = np.minimum(np.array([b.linked for b, _ in rows], dtype=float), length)
     n = np.bincount(of)
     whole = np.bincount(of, length)
-    text_ratio, mark_ratio, link_share = whole / n, np.bincount(of, marks) / n, np.bincount(of, linked) / whole
+    text_ratio, mark_ratio, link_share = np.bincount(of, used) / n, np.bincount(of, marks) / n, np.bincount(of, linked) / whole
 
     def smooth(x: np.ndarray) -> np.ndarray:
         weight = np.convolve(np.ones(len(x)), KERNEL)[2:-2]
@@ -177,9 +195,20 @@ def select(found: list[Block]) -> list[str]:
 
     score = smooth(text_ratio[of] * (1 - link_share[of])) * smooth(1 + mark_ratio[of])
     by_path = np.bincount(of, score) / n
-    mean = float((by_path * whole).sum() / whole.sum())
-    good = (by_path >= SHARE * mean) & (link_share < MOST_LINKED)
-    return [t for (_, t), p in zip(rows, of.tolist(), strict=True) if good[p]]
+    weight = np.bincount(of, used)
+    mean = float((by_path * weight).sum() / weight.sum())
+    good = ((by_path >= SHARE * mean) | article) & (link_share < MOST_LINKED)
+    kept = good[of]
+    span: dict[int, tuple[int, int]] = {}  # first and last content block of each container
+    for i in np.flatnonzero(kept).tolist():
+        c = rows[i][0].container
+        span[c] = (span.get(c, (i, i))[0], i)
+    own = linked < MOST_LINKED * length
+    for i, (b, _) in enumerate(rows):
+        if b.part and own[i] and b.container in span:
+            first, last = span[b.container]
+            kept[i] |= b.container > 0 or first < i < last
+    return [t for (_, t), k in zip(rows, kept.tolist(), strict=True) if k]
 
 
 def main_text(page: str) -> str:

@@ -269,6 +269,26 @@ def test_extraction_keeps_articles_whole(spark):
         assert extraction.main_text(r.html).split("\n") == [x for x in lines if x]
 
 
+LONG = "A sentence of the article, with some words in it. " * 8
+
+
+@pytest.mark.parametrize("wrap", ["<body><article>{}</article></body>", "<body><div><p>Menu</p></div><div>{}</div></body>", "<body>{}</body>"])
+def test_extraction_keeps_lists_tables_and_text_beside_a_long_block(wrap):
+    paragraphs = [f"<p>{k} {LONG}</p>" for k in range(10)]
+    extras = [
+        "<ul>" + "".join(f"<li>plain entry number {k}</li>" for k in range(8)) + "</ul>",
+        "<table>" + "".join("<tr>" + "".join(f"<td>cell {k} {j}</td>" for j in range(4)) + "</tr>" for k in range(5)) + "</table>",
+        "<dl>" + "".join(f"<dt>term {k}</dt><dd>what it is</dd>" for k in range(5)) + "</dl>",
+        "<pre>" + "x = f(y); " * 6000 + "</pre>", "<blockquote><p>" + LONG * 50 + "</p></blockquote>", "<h2>Heading</h2>",
+    ]
+    for extra in extras:
+        inner = "".join(["<h1>The title</h1>", *paragraphs[:5], extra, *paragraphs[5:]])
+        want = [" ".join(x.split()) for x in extraction.TAG.sub("\n", inner).split("\n")]
+        got = extraction.main_text(wrap.format(inner)).split("\n")
+        assert [x for x in got if x not in ("The title", "Menu")] == [x for x in want if x and x != "The title"]
+        assert wrap.startswith("<body>{}") or "The title" in got
+
+
 # --- quality
 
 
