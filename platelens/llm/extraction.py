@@ -10,8 +10,12 @@ tables, preformatted text and headings are content with the container they stand
 blocks where it is the page itself. Of an article only paths of links are left out.
 
 What pages mark themselves is taken from the marks: parts that are never text (scripts, styles, forms ...), parts named
-by their tag, role, class or id as navigation, advert, notice, comment and the like, and hidden parts are left out
-before the ratios are taken. Where a page has articles or a main part with text, blocks outside are left out.
+by their tag or role as navigation, advert, notice, comment and the like, and hidden parts are left out before the ratios
+are taken. A class or id of that kind only makes a part suspect: it is left out unless it holds most of the page's
+unlinked text with punctuation (so does a comment part longer than all the rest, and it stays). Articles and main parts
+that hold most of that text, or have less than ``LONGEST`` characters of it beside them, stand for the page: blocks outside
+are left out. Where all this leaves nothing, the
+ratios decide alone over everything that can be text.
 
 Character references are decoded, white space inside a block becomes one space, blocks are joined by a line feed. A line
 break and an inline tag do not end a block. Null, empty and malformed pages give what text there is, at worst an empty
@@ -53,6 +57,8 @@ ENDS = {
 P_ENDERS = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 #: Parts that are never the article, by tag, role or a word of their class or id.
 NEVER = frozenset("nav footer aside form script style noscript template iframe svg button select textarea object dialog menu canvas audio video head title".split())
+#: Of these, parts that hold no running text; all that is left out when the marks leave nothing.
+NO_TEXT = RAW | frozenset("noscript template svg button select object canvas audio video head".split())
 ROLES = frozenset("navigation banner complementary contentinfo search alert dialog alertdialog menu menubar form status".split())
 NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promotion banner cookie cookies consent gdpr notice notices alert"
@@ -62,6 +68,8 @@ NAMES = frozenset(
 #: What goes with the text around it, and what such parts stand in without being a container of their own.
 PARTS = frozenset("li td th dt dd pre caption h1 h2 h3 h4 h5 h6".split())
 WITHIN = PARTS | frozenset("ul ol dl table thead tbody tfoot tr p blockquote figure figcaption".split())
+#: Words that may stand beside them in a class or id that still names such a part.
+BESIDE = frozenset("left right top bottom main site page list box bar block links container inner header section item primary secondary".split())
 PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？«»“”„]")
 
 
@@ -71,31 +79,44 @@ class Block:
     inside: int
     container: int = 0
     part: bool = False
+    suspects: tuple[int, ...] = ()
     text: list[str] = field(default_factory=list)
     linked: int = 0
 
 
-def unwanted(tag: str, attributes: str, in_article: bool) -> bool:
-    if tag in NEVER or tag == "header" and not in_article:
+def unwanted(tag: str, attributes: str, in_article: bool, plain: bool = False) -> bool:
+    """Whether a part is left out whatever it holds; ``plain``: only what is hidden or can't be text."""
+    if tag in (NO_TEXT if plain else NEVER) or tag == "header" and not in_article and not plain:
         return True
     if not attributes or tag in ("html", "body", "main", "article"):
         return False
     for m in ATTRIBUTE.finditer(attributes):
         name = (m[1] or m[5] or "").lower()
         value = html.unescape(m[2] or m[3] or m[4] or "").lower()
-        if name in ("class", "id") and not NAMES.isdisjoint(re.split(r"[^a-z]+", value)):
-            return True
-        if name == "role" and value in ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
+        if name == "role" and value in ROLES and not plain or name == "hidden" or name == "aria-hidden" and value == "true":
             return True
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
             return True
     return False
 
 
-def blocks(page: str) -> list[Block]:
+def suspect(tag: str, attributes: str) -> bool:
+    """Whether a class or id, taken whole, names a part that is not the article."""
+    if not attributes or tag in ("html", "body", "main", "article"):
+        return False
+    for m in ATTRIBUTE.finditer(attributes):
+        if (m[1] or "").lower() in ("class", "id"):
+            for name in html.unescape(m[2] or m[3] or m[4] or "").lower().split():
+                words = set(re.split(r"[^a-z]+", name)) - {""}
+                if words & NAMES and words <= NAMES | BESIDE:
+                    return True
+    return False
+
+
+def blocks(page: str, plain: bool = False) -> list[Block]:
     """Text blocks in page order; ``inside`` counts the articles and main parts around a block, ``container`` names
     the element it stands in (0: the page)."""
-    stack: list[tuple[str, bool, int, int]] = []  # tag, left out, articles around, container
+    stack: list[tuple[str, bool, int, int, tuple[int, ...]]] = []  # tag, left out, articles around, container, suspect parts around
     out: list[Block] = []
     current: Block | None = None
     links = made = 0
@@ -108,7 +129,7 @@ def blocks(page: str) -> list[Block]:
             if raw.isspace():
                 return
             path = [t for t, *_ in stack if t not in INLINE]
-            current = Block("/".join(path), stack[-1][2] if stack else 0, stack[-1][3] if stack else 0, not PARTS.isdisjoint(path))
+            current = Block("/".join(path), stack[-1][2] if stack else 0, stack[-1][3] if stack else 0, not PARTS.isdisjoint(path), stack[-1][4] if stack else ())
             out.append(current)
         current.text.append(raw)
         if links:
@@ -157,23 +178,42 @@ def blocks(page: str) -> list[Block]:
             end = re.compile(rf"</{re.escape(tag)}[\s/>]", re.I).search(page, at)
             at = end.start() if end else len(page)
         around = stack[-1][2] if stack else 0
-        gone = bool(stack and stack[-1][1]) or unwanted(tag, m[3], around > 0)
+        gone = bool(stack and stack[-1][1]) or unwanted(tag, m[3], around > 0, plain)
         if tag not in INLINE:
             current = None
         links += tag == "a"
         container = stack[-1][3] if stack else 0
         if tag not in WITHIN and tag not in INLINE and tag not in ("html", "body"):
             container = made = made + 1
-        stack.append((tag, gone, around + (tag in ("article", "main") and not gone), container))
+        inside = stack[-1][4] if stack else ()
+        if not gone and suspect(tag, m[3]):
+            inside = (*inside, m.start())
+        stack.append((tag, gone, around + (tag in ("article", "main") and not gone), container, inside))
     text(page[at:])
     return out
 
 
-def select(found: list[Block]) -> list[str]:
-    """Texts of the content blocks."""
+def running(rows: list[tuple[Block, str]]) -> np.ndarray:
+    """Characters of each block that count as running text: unlinked, and punctuated or long."""
+    return np.array([max(len(t) - b.linked, 0) if len(t) > LONGEST or PUNCTUATION.search(t) else 0 for b, t in rows], dtype=float)
+
+
+def select(found: list[Block], plain: bool = False) -> list[str]:
+    """Texts of the content blocks; ``plain``: by ratios only."""
     rows = [(b, " ".join(html.unescape("".join(b.text)).split())) for b in found]
     rows = [(b, t) for b, t in rows if t]
-    article = any(b.inside for b, _ in rows)
+    if not plain and any(b.suspects for b, _ in rows):
+        parts: dict[int, float] = {}
+        held = running(rows)
+        for (b, _), h in zip(rows, held.tolist(), strict=True):
+            for p in b.suspects:
+                parts[p] = parts.get(p, 0.0) + h
+        marked = any(b.inside and h and not b.suspects for (b, _), h in zip(rows, held.tolist(), strict=True))
+        spared = {p for p, h in parts.items() if 2 * h > held.sum() and not (marked and h < LONGEST)}
+        rows = [(b, t) for b, t in rows if spared.issuperset(b.suspects)]
+    inside = np.array([b.inside > 0 for b, _ in rows], dtype=bool)
+    held = running(rows)
+    article = not plain and bool(inside.any()) and bool(2 * held[inside].sum() > held.sum() or held[~inside].sum() < LONGEST)
     if article:
         rows = [(b, t) for b, t in rows if b.inside]
     if not rows:
@@ -212,7 +252,7 @@ def select(found: list[Block]) -> list[str]:
 
 
 def main_text(page: str) -> str:
-    return "\n".join(select(blocks(page)))
+    return "\n".join(select(blocks(page)) or select(blocks(page, plain=True), plain=True))
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -289,6 +289,30 @@ def test_extraction_keeps_lists_tables_and_text_beside_a_long_block(wrap):
         assert wrap.startswith("<body>{}") or "The title" in got
 
 
+@pytest.mark.parametrize("mark", ["class='layout with-sidebar'", "class='no-sidebar'", "class='post comments-open'", "class='content widget-area'", "id='search-results'", "class='sidebar'"])
+def test_extraction_takes_names_as_a_suspicion_only(mark):
+    body = "".join(f"<p>{k} {LONG}</p>" for k in range(5))
+    want = [f"{k} {LONG}".strip() for k in range(5)]
+    page = f"<body><div {mark}><div>{body}</div><div class='sidebar'><p>Side text, to be left out.</p></div></div><div class='ad'>Buy now, cheap.</div></body>"
+    assert extraction.main_text(page).split("\n") == want
+    posts = "".join(f"<div class='post comments-open'><p>{k} {LONG}</p></div>" for k in range(5))
+    assert extraction.main_text(f"<body>{posts}</body>").split("\n") == want
+
+
+def test_extraction_takes_articles_only_when_they_hold_most():
+    body = "".join(f"<p>{k} {LONG}</p>" for k in range(5))
+    teasers = "".join(f"<article><a href=x>Teaser {k}, to read.</a></article>" for k in range(4))
+    want = [f"{k} {LONG}".strip() for k in range(5)]
+    assert extraction.main_text(f"<body><div>{body}</div><div>{teasers}</div></body>").split("\n") == want
+
+
+def test_extraction_falls_back_when_marks_leave_nothing():
+    body = "".join(f"<p>{k} {LONG}</p>" for k in range(5))
+    want = [f"{k} {LONG}".strip() for k in range(5)]
+    assert extraction.main_text(f"<body><form id=aspnet><script>var x = 1;</script>{body}</form></body>").split("\n") == want
+    assert extraction.main_text(f"<body><div hidden>{body}</div></body>") == ""
+
+
 # --- quality
 
 
