@@ -18,6 +18,8 @@ from platelens.plans.components import profile_components, score_components
 from platelens.screen import MarkerScreens, Screen
 from platelens.streaming import ingest
 
+#: Cells of a line that a forest trains on at most.
+TRAINING_CELLS = 1000
 GENETICS = ["AMERICA", "ASIA", "EUROPE"]
 
 
@@ -165,12 +167,15 @@ def g13(spark, sf):
     return labels.encode_domains(wells(spark, sf)).select("ID", "domain", "label")
 
 
+BINARY = {"WT": 0, "AMERICA": 1, "ASIA": 1, "EUROPE": 1, "sporadic": 1}
+
+
 @query("g14_stability_grid")
 def g14(spark, sf):
-    """Settings x replicates of the two-level scorer, as one long metric table."""
-    meta = wells(spark, sf).filter(F.col("Mutations").isin("WT", "ASIA"))
-    params = {"analysis": {"MAP": {"data_loader": {"response_map": {"Mutations": {"WT": 0, "ASIA": 1}}}}}}
-    parts = MarkerScreens.split(cells(spark, sf).withColumn("Nucleus_Intensity", F.col("Nucleus_Intensity") / 1000), meta, params)
+    """Settings x replicates of the two-level scorer over all groups, as one long metric table."""
+    params = {"analysis": {"MAP": {"data_loader": {"response_map": {"Mutations": BINARY}}}}}
+    rows = cells(spark, sf).withColumn("Nucleus_Intensity", F.col("Nucleus_Intensity") / 1000)
+    parts = MarkerScreens.split(rows, wells(spark, sf), params)
     grid = [r.asDict() for r in parameter_grid(spark, C=[0.5, 5.0]).collect()]
     return stability(parts, params, grid, replicates=1)
 
@@ -182,14 +187,6 @@ def _map_params(model, fitter, mapping=None, **extra):
     return {"analysis": {"MAP": options}}
 
 
-def _profiles_screen(spark, sf, params, mutations):
-    """Screen of profiles: well means as rows, which keeps model fits short and uses every cell."""
-    s = screen(spark, sf)
-    meta = s.wells.filter(F.col("Mutations").isin(*mutations))
-    means = s.cells.groupBy("ID").agg(*[F.avg(c).alias(c) for c in FEATURES]).withColumn("cell_key", F.col("ID"))
-    return Screen(means, meta, params).keep_wells(meta)
-
-
 HALVES = """r AS (SELECT CellLines, Mutations, row_number() OVER (PARTITION BY Mutations ORDER BY md5(CellLines || '|0|47')) AS pos, count(*) OVER (PARTITION BY Mutations) AS n FROM lines),
   o AS (SELECT CellLines, Mutations, CASE Mutations WHEN 'AMERICA' THEN 1 WHEN 'ASIA' THEN 2 WHEN 'EUROPE' THEN 3 ELSE 0 END::BIGINT AS label, half, CASE WHEN pos <= round_even(0.5 * n, 0) THEN 0 ELSE 1 END = half AND Mutations <> 'sporadic' AS train FROM r, (VALUES (0), (1)) h(half)),
   size AS (SELECT CellLines, sum(NCells)::BIGINT AS n FROM wells GROUP BY 1)"""
@@ -248,20 +245,28 @@ def _collected(spark, out, results):
     return done
 
 
+def _cells_screen(spark, sf, params):
+    """All cells with their keys, and the wells of all groups."""
+    return Screen(cells(spark, sf, key=True), screen(spark, sf).wells, params)
+
+
 @query("h03_random_forest_split")
 def h03(spark, sf):
-    params = _map_params({"RandomForest": {"n_estimators": 10, "max_depth": 4}}, "sample_split", {"WT": 0, "ASIA": 1})
-    s = _profiles_screen(spark, sf, params, ["WT", "ASIA"])
-    out = MAP(s).fit().make_table()
-    return out.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.min("Ypred").alias("low"), F.max("Ypred").alias("high"))
+    """Forest of the scorer's own settings (100 trees, unlimited depth) on cells of all groups; every cell of a held-out
+    line is scored."""
+    params = _map_params({"RandomForest": {}}, "sample_split", CODES)
+    params["analysis"]["MAP"]["data_loader"]["training_cells"] = TRAINING_CELLS
+    result = MAP(_cells_screen(spark, sf, params)).fit().fitted
+    out = result.predicted.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.min("Ypred").alias("low"), F.max("Ypred").alias("high"))
+    return _collected(spark, out, [result])
 
 
 @query("h04_importance")
 def h04(spark, sf):
-    """Feature importances per fold of a binary model."""
-    params = _map_params({"BinaryLogistic": {}}, "sample_split", {"WT": 0, "ASIA": 1})
-    result = MAP(_profiles_screen(spark, sf, params, ["WT", "ASIA"])).fit().fitted
-    return rounded(result.importance, 4)
+    """Feature importances per fold of a binary model of cells: all mutations against wild type."""
+    params = _map_params({"BinaryLogistic": {}}, "sample_split", BINARY)
+    result = MAP(_cells_screen(spark, sf, params)).fit().fitted
+    return _collected(spark, rounded(result.importance, 4), [result])
 
 
 @query("h05_two_level_scorer")

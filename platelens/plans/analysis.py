@@ -74,6 +74,8 @@ def stability(screen, params: Mapping, grid: Sequence[Mapping], replicates: int,
     """Metrics of every setting and replicate: (replicate, group, metric, value, settings...).
 
     Every replicate splits the lines in halves with its own seed, trains both ways and pools the held-out tables.
+    ``Reason`` is null, or names the half that has no two classes to train on: metrics are then of the other model's
+    held-out lines alone, and a replicate without any model has one row without metrics.
     """
     from platelens.plans import folds as fold_tables
 
@@ -85,25 +87,32 @@ def stability(screen, params: Mapping, grid: Sequence[Mapping], replicates: int,
         halves = fold_tables.reciprocal_halves(task.wells, 1, rep).filter(F.col("role") == "train")
         rows = halves.select("half", "CellLines").collect()
         first, second = (sorted(r["CellLines"] for r in rows if r["half"] == h) for h in (0, 1))
-        parts = []
-        for train, test in ((first, second), (second, first)):
+        parts, lost = [], []
+        for half, (train, test) in enumerate(((first, second), (second, first))):
             try:
                 model = MultiAntibody(dict(setting), rep).fit(task.training(train), task.features)
-            except TooFewClasses:
+            except TooFewClasses as e:
+                lost.append(f"half {half}: {e}")
                 continue
             parts.append(model.evaluate(task.part(test, True)))
+        reason = F.lit("; ".join(lost) or None).cast("string").alias("Reason")
+        named = [F.lit(rep).alias("random_seed"), *[F.lit(v).alias(k) for k, v in setting.items()], reason]
         if not parts:
-            return None
+            return rep, named
         table = union_all(parts)
         sources = [c for c in table.columns if c.startswith(f"class_{positive}_")]
         long = table.select("True", *sources).unpivot(["True"], sources, "group", "score")
         long = long.withColumn("group", F.regexp_replace("group", rf"^class_{positive}_", ""))
-        return binary_metrics(long, ["group"]).select(
-            F.lit(rep + 1).alias("replicate"), "*", F.lit(rep).alias("random_seed"),
-            *[F.lit(v).alias(k) for k, v in setting.items()],
-        )
+        return binary_metrics(long, ["group"]).select(F.lit(rep + 1).alias("replicate"), "*", *named)
 
-    tables = [t for t in run_parallel(task.wells.sparkSession, run, runs, params) if t is not None]
-    if not tables:
+    spark = task.wells.sparkSession
+    done = run_parallel(spark, run, runs, params)
+    like = next((t for t in done if isinstance(t, DataFrame)), None)
+    if like is None:
         raise ValueError("no replicate has two classes to train on")
-    return union_all(tables)
+
+    def without(rep: int, named: Sequence) -> DataFrame:
+        empty = [F.lit(None).cast(like.schema[c].dataType).alias(c) for c in ("group", "metric", "value")]
+        return spark.range(1).select(F.lit(rep + 1).alias("replicate"), *empty, *named)
+
+    return union_all([t if isinstance(t, DataFrame) else without(*t) for t in done])

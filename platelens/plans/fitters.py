@@ -88,7 +88,8 @@ class _Task:
         multi = isinstance(screen, MarkerScreens)
         screens = screen if multi else {"_": screen}
         rows, train, features, wells, cached = {}, {}, {}, [], []
-        limit = _training_cells(params) if multi else None
+        bound = (_map_params(params).get("data_loader") or {}).get("training_cells")
+        limit = _training_cells(params) if multi or bound is not None else None
         for m, s in screens.items():
             labelled = _labels(s, params)
             wells.append(labelled)

@@ -191,6 +191,21 @@ def test_stability_table(screen):
     assert out[(out["metric"] == "auc") & (out["group"] == "agg")]["value"].iloc[0] > 0.8
 
 
+def test_stability_reports_a_half_without_two_classes(screen):
+    params = with_params(screen, {"MultiAntibody": {}}, "sample_split", {"WT": 0, "FUS": 1}).params
+    few = screen.wells.filter("Mutations = 'WT' or CellLines = 'FUS0'")
+    out = stability(MarkerScreens.split(screen.cells, few, params), params, [{"C": 1.0}], replicates=1).toPandas()
+    assert len(out) == 12 and out["Reason"].str.contains("half 0: training rows hold 1 class").all()
+
+
+def test_training_cells_bound_one_marker_too(screen):
+    s = with_params(Screen(screen.cells, only(screen, "WT", "FUS").wells), {"RandomForest": {}}, "sample_split", {"WT": 0, "FUS": 1})
+    s.params["analysis"]["MAP"]["data_loader"]["training_cells"] = 5
+    task = _Task.of(s, s.params)
+    assert {r["count"] for r in task.train["_"].groupBy("CellLines").count().collect()} == {5}
+    assert task.rows["_"].filter("CellLines = 'WT0'").count() == 24
+
+
 def test_folds_without_two_classes_come_without_scores(screen):
     """A mutation with one line cannot be on both sides of a split: its fold has no model, but its rows and the reason."""
     few = Screen(screen.cells, screen.wells.filter("CellLines in ('WT0', 'WT1', 'FUS0')"))
