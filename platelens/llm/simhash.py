@@ -20,7 +20,7 @@ not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from itertools import repeat
 
 import numpy as np
@@ -29,9 +29,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from platelens.functions.sizing import join_bounded
 from platelens.llm.common import byte_column, local_roots, pieces, ranges, stored, utf8
 from platelens.llm.graph import components
-from platelens.llm.nearcopies import keep_one as keep_one  # the pipeline's near copies, decided by similarity
 
 SEED = 42
 #: Most fingerprints in one BK-tree.
@@ -75,8 +75,12 @@ def majority(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", words: int = 4, lanes: int = 1) -> DataFrame:
-    """``id``, and ``c0`` ... (one long for each 64 bits; lane k is seeded with 42 + k) for every row."""
+def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", words: int = 4, lanes: int = 1,
+                 carry: Sequence[str] = ()) -> DataFrame:
+    """``id``, the columns named in ``carry``, and ``c0`` ... (one long for each 64 bits; lane k is seeded with 42 + k)
+    for every row."""
+    kept = ["id", *carry]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
             data, at = byte_column(batch.column("text"))
@@ -90,10 +94,10 @@ def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str =
                     hashes[k] += shingle_hashes(split, words, SEED + k)
             none = [np.zeros(0, dtype=np.uint64)]
             codes = [majority(np.concatenate(h or none), counts).view(np.int64) for h in hashes]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), *map(pa.array, codes)], ["id", *(f"c{k}" for k in range(lanes))])
+            yield pa.RecordBatch.from_arrays([*map(batch.column, kept), *map(pa.array, codes)], [*kept, *(f"c{k}" for k in range(lanes))])
 
-    rows = docs.select(F.col(id_column).alias("id"), utf8(F.col(text_column)).alias("text"))
-    return rows.mapInArrow(run, ", ".join([f"id {rows.schema['id'].dataType.simpleString()}", *(f"c{k} long" for k in range(lanes))]))
+    rows = docs.select(F.col(id_column).alias("id"), *carry, utf8(F.col(text_column)).alias("text"))
+    return rows.mapInArrow(run, ", ".join([*(f"{c} {rows.schema[c].dataType.simpleString()}" for c in kept), *(f"c{k} long" for k in range(lanes))]))
 
 
 def build_trees(codes: np.ndarray, shard: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -229,7 +233,7 @@ def _tree_links(cut: DataFrame, names: list[str], radius: int) -> DataFrame:
 
 
 def near_components(prints: DataFrame, radius: int, lanes: int = 1) -> DataFrame:
-    """``id``, ``c0`` ... and ``component_id`` for every row of ``fingerprints``."""
+    """The columns of ``fingerprints`` and ``component_id`` for every row of it."""
     names = [f"c{k}" for k in range(lanes)]
     node = F.col("c0") if lanes == 1 else F.xxhash64(*names)
     rows = stored(prints.withColumn("node", node))
@@ -237,10 +241,21 @@ def near_components(prints: DataFrame, radius: int, lanes: int = 1) -> DataFrame
     roots = components(stored(near_links(distinct.select("node", *names), radius, lanes)))
     of_node = distinct.select("node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     linked = of_node.join(of_node.groupBy("root").agg(F.min("least").alias("component_id")), "root")
-    return rows.join(linked.select("node", "component_id"), "node").select("id", *names, "component_id")
+    return rows.join(linked.select("node", "component_id"), "node").select(*prints.columns, "component_id")
 
 
 def simhash_components(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFrame:
     """``doc_id``, ``fingerprint`` (16 hexadecimal digits) and ``component_id`` for every row of ``docs``."""
     found = near_components(fingerprints(docs, words=words), radius)
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("c0"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFrame:
+    """``docs`` with the document of smallest id from each component; a row without id stays.
+
+    A document is its id and its text: rows that repeat the kept one all stay, and one with the same id but another text
+    is judged by its own text. Only ids and hashes of the rows that go are joined, broadcast when they are few."""
+    hashed = F.xxhash64(F.coalesce("text", F.lit("")))
+    found = near_components(fingerprints(docs.select("doc_id", "text", hashed.alias("of")), words=words, carry=["of"]), radius)
+    gone = found.filter("id <> component_id").select(F.col("id").alias("_gone_id"), F.col("of").alias("_gone_text")).distinct()
+    return join_bounded(docs, gone, (docs["doc_id"] == F.col("_gone_id")) & (hashed == F.col("_gone_text")), "left_anti")

@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from platelens.llm import decontaminate, extraction, langid, mixing, nearcopies, neighbours, quality, sharding, simhash, substrings, tokens
+from platelens.llm import decontaminate, extraction, langid, mixing, neighbours, quality, sharding, simhash, substrings, tokens
 
 SF = "/root/testdata/sf0.001"
 tables = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
@@ -115,63 +115,23 @@ def test_links_are_complete_when_shards_are_cut_again(spark):
     assert groups(own) == groups(root)
 
 
-def test_keep_one_catches_near_copies_and_leaves_others(spark):
-    rng = random.Random(3)
-    vocabulary = [f"word{i}" for i in range(3000)]
-    rows, groups = [], {}
-    for g in range(40):
-        base = [rng.choice(vocabulary) for _ in range(300)]
-        for k in range(3):
-            own = list(base)
-            for _ in range(2 * k):
-                own[rng.randrange(300)] = "changed"
-            rows.append((10 * g + k, " ".join(own), "en", "s", 1))
-            groups[10 * g + k] = g
-    kept = [r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, DOCS)).collect()]
-    assert sorted(kept) == [10 * g for g in range(40)]
-
-
-def shingle_set(text, size=5):
-    words = (text or "").encode().lower().split()
-    return {tuple(words[i : i + size]) for i in range(max(1, len(words) - size + 1))}
-
-
-def kept_by_brute_force(rows):
-    sets, least = [shingle_set(r[1]) for r in rows], {r[0]: r[0] for r in rows}
-    links = [(a[0], b[0]) for i, a in enumerate(rows) for j, b in enumerate(rows[:i]) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
-    for _ in rows:
-        for a, b in links:
-            least[a] = least[b] = min(least[a], least[b])
-    return sorted(d for d in least if least[d] == d)
-
-
-def test_keep_one_equals_brute_force_around_the_similarity(spark):
-    """Pairs that share exactly 0.8, 0.8 to 0.85 and just below 0.8 of their shingles, chains, and odd texts."""
-    rng = random.Random(11)
-    rows, want = [], []
-    for g in range(90):
-        base = [f"w{rng.randrange(10**6)}" for _ in range(409)]  # 405 shingles
-        copy = list(base)
-        for k in range((9, 7 + g % 2, 9)[g % 3]):  # each changes five shingles: 360 / 450 with nine
-            copy[10 + 20 * k] = "changed" + str(rng.random())
-        if g % 3 == 2:
-            copy.append("more")  # 360 / 451
-        rows += [(10 * g, " ".join(base), "en", "s", 1), (10 * g + 1, " ".join(copy).upper(), "en", "s", 1)]
-        want += [10 * g, 10 * g + 1] if g % 3 == 2 else [10 * g]
-        if g % 3 == 0:  # a chain: like the second, not like the first
-            for k in range(6):
-                copy[300 + 15 * k] = "again" + str(rng.random())
-            rows.append((10 * g + 2, " ".join(copy), "en", "s", 1))
-    rows += [(5001, "", "en", "s", 1), (5002, None, "en", "s", 1), (5003, " \n", "en", "s", 1), (5004, "a b c", "en", "s", 1), (5005, "A  b c", "en", "s", 1), (5006, "a b", "en", "s", 1)]
-    assert kept_by_brute_force(rows) == sorted([*want, 5001, 5004, 5006])
-    assert sorted(r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, DOCS)).collect()) == sorted([*want, 5001, 5004, 5006])
-
-
-def test_keep_one_compares_all_that_share_a_bucket(spark):
-    """In a bucket whose smallest text is like none, the others are still compared with each other."""
-    texts = spark.createDataFrame([(1, "a b c d e f g"), (2, "h i j k l m n o p"), (3, "h i j k l m n o p q")], "node long, t string").select("node", F.col("t").cast("binary").alias("text"))
-    members = spark.createDataFrame([(7, 1), (7, 2), (7, 3)], "bucket long, node long")
-    assert {frozenset((r.a, r.b)) for r in nearcopies.near_links(texts, members).collect()} == {frozenset((2, 3))}
+@tables
+def test_keep_one_keeps_the_smallest_of_each_component(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    code = {r.doc_id: fingerprint(r.text) for r in texts_of(docs)}
+    root, least = brute_components(set(code.values()), 4), {}
+    for d, c in code.items():
+        least[root[c]] = min(d, least.get(root[c], d))
+    assert sorted(r.doc_id for r in simhash.keep_one(docs).collect()) == sorted(least.values())
+
+
+def test_keep_one_odd_rows(spark, odd):
+    """Repeats of the kept document stay, another text under the same id is judged by its own text, no id: stays."""
+    rows = [(1, "a b c d e", "en", "s", 1), (2, "A b  c d e", "en", "s", 1), (2, "x y z u v w", "en", "s", 1), (1, "a b c d e", "en", "s", 1),
+            (None, "a b c d e", "en", "s", 1), (3, "", "en", "s", 1), (4, None, None, None, None)]
+    kept = simhash.keep_one(spark.createDataFrame(rows, DOCS)).collect()
+    assert Counter((r.doc_id, r.text) for r in kept) == Counter([(1, "a b c d e")] * 2 + [(2, "x y z u v w"), (None, "a b c d e"), (3, "")])
+    assert simhash.keep_one(odd).columns == odd.columns
 
 
 # --- sharding
