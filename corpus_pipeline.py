@@ -20,7 +20,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near copies, the one of smallest id."""
+    """Keeps one document of each SimHash component (four-word shingles, at most four bits apart), the one of smallest id.
+
+    Rows without an id stay; rows that repeat the kept document stay with it. An empty table gives an empty result."""
     return simhash.keep_one(docs)
 
 
