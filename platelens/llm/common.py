@@ -92,14 +92,14 @@ def mix(x: np.ndarray) -> np.ndarray:
 _TABLE: list[np.ndarray] = []
 
 
-def split_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def split_words(data: np.ndarray, offsets: np.ndarray, between: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end of every word in ``data``, and for each text of ``offsets`` the number of its first word
-    (one entry more than there are texts)."""
+    (one entry more than there are texts). ``between``: which bytes separate words."""
     n = len(data)
     if n == 0:
         none = np.zeros(0, dtype=np.int64)
         return none, none, np.zeros(len(offsets), dtype=np.int64)
-    solid = ~SPACE[data]
+    solid = ~between[data]
     edge = np.zeros(n + 1, dtype=bool)
     edge[offsets] = True
     first = solid.copy()

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from platelens.llm import conversations, decontaminate, extraction, langid, mixing, neighbours, quality, sharding, simhash, substrings, tokens
+from platelens.llm import conversations, decontaminate, extraction, langid, lexical, mixing, neighbours, quality, sharding, simhash, substrings, tokens
 from platelens.llm.common import read_table
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -70,9 +70,14 @@ def op11_conversations(spark: SparkSession, sf: str) -> DataFrame:
     return conversations.digest(read_table(spark, sf, "conversations"))
 
 
+def op12_lexical(spark: SparkSession, sf: str) -> DataFrame:
+    """The ten best documents of every benchmark item."""
+    return lexical.search(read_table(spark, sf, "documents"), read_table(spark, sf, "benchmark"))
+
+
 QUERIES: dict[str, Run] = {f.__name__: f for f in (
     op1_simhash, op2_sharding, op3_token_counts, op4_extraction, op5_quality, op6_mixing, op7_decontamination, op8_langid, op9_neighbours,
-    op10_substrings, op11_conversations,
+    op10_substrings, op11_conversations, op12_lexical,
 )}
 QUERIES["pipeline"] = corpus_pipeline.run
-SQL: dict[str, str] = {"op6_mixing": mixing.SQL, "op10_substrings": substrings.SQL, "op11_conversations": conversations.SQL}
+SQL: dict[str, str] = {"op6_mixing": mixing.SQL, "op10_substrings": substrings.SQL, "op11_conversations": conversations.SQL, "op12_lexical": lexical.SQL}
