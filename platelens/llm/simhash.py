@@ -257,5 +257,5 @@ def keep_one(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFrame:
     is judged by its own text. Only ids and hashes of the rows that go are joined, broadcast when they are few."""
     hashed = F.xxhash64(F.coalesce("text", F.lit("")))
     found = near_components(fingerprints(docs.select("doc_id", "text", hashed.alias("of")), words=words, carry=["of"]), radius)
-    gone = found.filter("id <> component_id").select(F.col("id").alias("_gone_id"), F.col("of").alias("_gone_text")).distinct()
+    gone = stored(found.filter("id <> component_id").select(F.col("id").alias("_gone_id"), F.col("of").alias("_gone_text")).distinct())
     return join_bounded(docs, gone, (docs["doc_id"] == F.col("_gone_id")) & (hashed == F.col("_gone_text")), "left_anti")
