@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from platelens.llm import conversations, decontaminate, extraction, langid, lexical, mixing, neighbours, quality, sharding, simhash, substrings, tokens
+from platelens.llm import conversations, decontaminate, extraction, langid, lexical, mixing, neighbours, packing, quality, sharding, simhash, substrings, tokens
 from platelens.llm.common import read_table
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -75,9 +75,16 @@ def op12_lexical(spark: SparkSession, sf: str) -> DataFrame:
     return lexical.search(read_table(spark, sf, "documents"), read_table(spark, sf, "benchmark"))
 
 
+def op13_packing(spark: SparkSession, sf: str) -> DataFrame:
+    """Sequence and place of every piece of every document."""
+    import public_tokenizers
+
+    return packing.pack(read_table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 QUERIES: dict[str, Run] = {f.__name__: f for f in (
     op1_simhash, op2_sharding, op3_token_counts, op4_extraction, op5_quality, op6_mixing, op7_decontamination, op8_langid, op9_neighbours,
-    op10_substrings, op11_conversations, op12_lexical,
+    op10_substrings, op11_conversations, op12_lexical, op13_packing,
 )}
 QUERIES["pipeline"] = corpus_pipeline.run
 SQL: dict[str, str] = {"op6_mixing": mixing.SQL, "op10_substrings": substrings.SQL, "op11_conversations": conversations.SQL, "op12_lexical": lexical.SQL}
