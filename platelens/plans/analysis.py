@@ -12,7 +12,8 @@ from platelens.functions.metrics import binary_metrics
 from platelens.operators.joins import union_all
 from platelens.plans.components import profile_components
 from platelens.plans.fitters import FITTERS, FitResult, _Task, run_parallel
-from platelens.plans.scorers import SCORERS, MultiAntibody, TooFewClasses
+from platelens.plans.manyfits import TooFewClasses
+from platelens.plans.scorers import SCORERS, MultiAntibody
 
 
 class PCA:
@@ -58,6 +59,9 @@ class MAP:
             raise ValueError("call fit first")
         if isinstance(self.fitted, FitResult):
             return self.fitted.predicted
+        shared = next(iter(self.fitted.values())).whole
+        if shared is not None:
+            return shared
         return union_all([r.predicted.withColumn("ModelGenetics", F.lit(m)) for m, r in self.fitted.items()])
 
     def run(self) -> dict[str, DataFrame]:

@@ -72,9 +72,7 @@ def fitted_coefficients(result: FitResult, spark: SparkSession) -> DataFrame:
     of the training rows is undone. ``fold`` counts the models of the run; ``fitted_on`` names the lines of each."""
     rows = []
     for fold, model in enumerate(result.fitted):
-        scaled, spread, centre = np.array(model.coefficients()), np.array(model.spread), np.array(model.centre)
-        raw = scaled / spread
-        base = np.array(model.model.interceptVector.toArray()) - raw @ centre
+        raw, base = model.model.plain()
         rows += [(fold, int(c), f, float(raw[k, j]), float(base[k])) for k, c in enumerate(model.classes) for j, f in enumerate(model.features)]
     return spark.createDataFrame(rows, "fold int, class bigint, feature string, coef double, intercept double")
 

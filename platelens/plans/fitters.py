@@ -1,7 +1,8 @@
-"""Fitters: which lines train, which are predicted, and the loop over folds.
+"""Fitters: which lines train, which are predicted, and the folds of a run.
 
-Each fold is one distributed model fit, so the loop runs on the driver over folds (lines or halves), never over cells.
-A few folds run at a time (``analysis.MAP.parallelism``), as in cross-validation. The training cells are persisted across
+Logistic models and forests of one marker set are fitted for all folds (and all mutations) at once and scored in one scan
+(``plans.manyfits``, ``plans.forest``). Of other models each fold is one distributed fit, so a loop runs on the driver over folds (lines or
+halves), never over cells; a few folds run at a time (``analysis.MAP.parallelism``), as in cross-validation. The training cells are persisted across
 the folds of a run (``analysis.MAP.persist: false`` reads them again instead); call ``FitResult.release`` when predictions
 have been used. With ``data_loader.n_cells`` set, marker-set models train on a bounded seeded sample per line, so the cost
 of a fit does not grow with the number of cells; predictions always use all cells.
@@ -16,6 +17,7 @@ from multiprocessing.pool import ThreadPool
 from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from platelens.functions.hashing import hash_order
 from platelens.functions.ordered import smallest_digests
@@ -25,7 +27,8 @@ from platelens.operators.ordering import centre_at_half
 from platelens.plans import folds as fold_tables
 from platelens.plans.folds import SPORADIC, WILD_TYPE
 from platelens.plans.labels import encode_labels, encode_wild_type_first
-from platelens.plans.scorers import MultiAntibody, Scorer, TooFewClasses, importance_table
+from platelens.plans.manyfits import TooFewClasses, member_table
+from platelens.plans.scorers import MultiAntibody, Scorer, importance_table
 from platelens.screen import MarkerScreens, Screen
 
 FITTERS: dict[str, Callable] = {}
@@ -39,7 +42,7 @@ def fitter(fn: Callable) -> Callable:
 @dataclass
 class FitResult:
     """``fitted`` models and the lines each was ``fitted_on``, ``predicted`` rows, feature importances per fold, scalers
-    and training lines per fold."""
+    and training lines per fold. ``whole``: the table that holds the rows of all mutations of the run."""
 
     fitted: list = field(default_factory=list)
     fitted_on: list = field(default_factory=list)
@@ -48,6 +51,7 @@ class FitResult:
     scalers: list = field(default_factory=list)
     training_lines: list = field(default_factory=list)
     cached: list = field(default_factory=list)
+    whole: DataFrame | None = None
 
     def release(self) -> None:
         """Drop the cached cells of this run."""
@@ -211,80 +215,126 @@ def _record(result: FitResult, model, lines: Sequence[str]):
     return model.importance()
 
 
-def _finish(task: _Task, result: FitResult, parts: list[DataFrame], importances: Mapping) -> FitResult:
-    result.predicted = union_all(parts)
-    result.cached = task.cached
-    if any(importances.values()):
-        result.importance = importance_table(task.wells.sparkSession, importances)
-    return result
-
-
 def _scaler_of(model) -> dict | None:
     if isinstance(model, MultiAntibody):
         return {m: (c.centre, c.spread) for m, c in model.cell_models.items()}
     return {"_": (model.centre, model.spread)} if hasattr(model, "centre") else None
 
 
-def _leave_one_out(screen, make, params, mutation=None, holdout=()) -> FitResult:
-    task = _Task.of(screen, params)
+@dataclass
+class _Fold:
+    """Training lines of one model, and what its rows are named by."""
+
+    names: dict
+    lines: list[str]
+
+
+def _one_out_folds(task: _Task, params, mutation, holdout) -> list[_Fold]:
     lines = task.lines()
     held = _holdout(lines, mutation, holdout)
     pool = [c for c, _ in lines if c not in held]
-    trained = [[c for c in pool if c != line] for line in pool]
-    result = FitResult(training_lines=pool)
-    parts, importances = [], {}
-    for line, done in zip(pool, _fit_all(task, make, trained, params), strict=True):
-        model, predicted = done
-        parts.append(predicted.withColumn("Holdout", F.lit(line)))
-        if model is not None:
-            importances[line] = _record(result, model, [c for c in pool if c != line])
-    return _finish(task, result, parts, importances)
+    return [_Fold({"Holdout": line}, [c for c in pool if c != line]) for line in pool]
 
 
-def _sample_split(screen, make, params, mutation=None, holdout=()) -> FitResult:
+def _half_folds(task: _Task, params, mutation, holdout) -> list[_Fold]:
     options = _map_params(params)
     reps, seed = int(options.get("reps", 1)), options.get("seed", 47)
-    task = _Task.of(screen, params)
     held = _holdout(task.lines(), mutation, holdout)
     table = fold_tables.reciprocal_halves(task.wells, reps, seed, sorted(held))
     chosen = table.filter(F.col("role") == "train").select("rep", "half", "CellLines").collect()
-    runs = [(rep, half) for rep in range(reps) for half in (0, 1)]
-    trained = [sorted(r["CellLines"] for r in chosen if (r["rep"], r["half"]) == run) for run in runs]
-    result = FitResult(training_lines=trained)
-    parts, importances = [], {}
-    for (rep, half), lines, done in zip(runs, trained, _fit_all(task, make, trained, params), strict=True):
-        model, predicted = done
-        if model is not None and "Ypred" in predicted.columns and not task.multi:
-            predicted = centre_at_half(predicted.withColumn("_s", F.lit(half)), ["_s"], "Ypred").drop("_s")
-        parts.append(predicted.withColumn("Rep", F.lit(rep)).withColumn("Half", F.lit(half)))
+    return [_Fold({"Rep": rep, "Half": half}, sorted(r["CellLines"] for r in chosen if (r["rep"], r["half"]) == (rep, half)))
+            for rep in range(reps) for half in (0, 1)]
+
+
+def _result(folds: Sequence[_Fold], models: Sequence, predicted: DataFrame, task: _Task) -> FitResult:
+    by_line = all("Holdout" in fold.names for fold in folds)
+    result = FitResult(training_lines=[f.names["Holdout"] for f in folds] if by_line else [f.lines for f in folds], predicted=predicted, cached=task.cached)
+    importances = {}
+    for fold, model in zip(folds, models, strict=True):
         if model is not None:
-            importances[f"{rep}-{half}"] = _record(result, model, lines)
-    return _finish(task, result, parts, importances)
+            importances["-".join(map(str, fold.names.values()))] = _record(result, model, fold.lines)
+    if any(importances.values()):
+        result.importance = importance_table(task.wells.sparkSession, importances)
+    return result
 
 
-def _per_mutation(run, screen, make, params) -> dict[str, FitResult]:
-    return {m: run(screen, make, params, mutation=m) for m in fold_tables.model_genetics(screen.wells)}
+def _run_folds(task: _Task, make, params, folds: Sequence[_Fold]) -> FitResult:
+    """One model after another, a few at a time."""
+    parts, models = [], []
+    for fold, (model, predicted) in zip(folds, _fit_all(task, make, [f.lines for f in folds], params), strict=True):
+        if model is not None and "Half" in fold.names and "Ypred" in predicted.columns and not task.multi:
+            predicted = centre_at_half(predicted.withColumn("_s", F.lit(0)), ["_s"], "Ypred").drop("_s")
+        parts.append(predicted.withColumns({n: F.lit(v) for n, v in fold.names.items()}))
+        models.append(model)
+    return _result(folds, models, union_all(parts), task)
+
+
+def _fit_at_once(task: _Task, make, folds: Sequence[_Fold]) -> tuple[list, DataFrame]:
+    """Models of all folds (None without two classes), and the table of all predictions: each fold scores the lines that
+    it did not train on. One scan of the cells, whatever the number of folds."""
+    spark, like = task.wells.sparkSession, make()
+    (marker, rows), = task.rows.items()
+    found = like.fit_many(task.train[marker], task.features[marker], [f.lines for f in folds])
+    models = [None if isinstance(m, str) else make().take(m) for m in found]
+    if not any(models):
+        raise ValueError("no fold has two classes to train on")
+    table, bound = member_table(spark, [f.lines for f in folds])
+    none = F.lit(bytearray((len(folds) + 7) // 8))
+    told = join_bounded(rows, table, "CellLines", "left", rows=bound).withColumn("member", F.coalesce("member", none))
+    keep = [c for c in rows.columns if c not in task.features[marker] or c in ("ID", "CellLines", "Mutations", "label")]
+    scored = like.score_many(told, found, "member", keep)
+    names = [(f, *fold.names.values(), m if isinstance(m, str) else None) for f, (fold, m) in enumerate(zip(folds, found, strict=True))]
+    schema = StructType([StructField("_fold", IntegerType()), *(StructField(n, IntegerType() if isinstance(v, int) else StringType()) for n, v in folds[0].names.items()), StructField("Reason", StringType())])
+    named = join_bounded(scored, spark.createDataFrame(names, schema), "_fold", rows=len(names))
+    if "Half" in folds[0].names and "Ypred" in named.columns:
+        named = centre_at_half(named, ["_fold"], "Ypred")
+    return models, named.drop("_fold")
+
+
+def _fold_run(plan: Callable[..., list[_Fold]], screen, make, params, holdout=()) -> FitResult:
+    task = _Task.of(screen, params)
+    folds = plan(task, params, None, holdout)
+    if task.multi or not make().many:
+        return _run_folds(task, make, params, folds)
+    models, predicted = _fit_at_once(task, make, folds)
+    return _result(folds, models, predicted, task)
+
+
+def _per_mutation(plan: Callable[..., list[_Fold]], screen, make, params) -> dict[str, FitResult]:
+    """A run for each mutation; the cells are prepared once, and folds of all mutations are fitted together if they can."""
+    task = _Task.of(screen, params)
+    folds = {m: plan(task, params, m, ()) for m in fold_tables.model_genetics(screen.wells)}
+    if task.multi or not make().many:
+        return {m: _run_folds(task, make, params, own) for m, own in folds.items()}
+    every = [_Fold({**f.names, "ModelGenetics": m}, f.lines) for m, own in folds.items() for f in own]
+    models, predicted = _fit_at_once(task, make, every)
+    out, at = {}, 0
+    for m, own in folds.items():
+        out[m] = _result(own, models[at : at + len(own)], predicted.filter(F.col("ModelGenetics") == m).drop("ModelGenetics"), task)
+        out[m].whole = predicted
+        at += len(own)
+    return out
 
 
 @fitter
 def leave_one_out(screen, make, params, holdout=()) -> FitResult:
     """One fold per line outside the holdout; predicts that line and every holdout line."""
-    return _leave_one_out(screen, make, params, holdout=holdout)
+    return _fold_run(_one_out_folds, screen, make, params, holdout)
 
 
 @fitter
 def leave_one_out_mut(screen, make, params) -> dict[str, FitResult]:
     """Leave-one-out of each mutation against wild type; other mutations and sporadic lines are only predicted."""
-    return _per_mutation(_leave_one_out, screen, make, params)
+    return _per_mutation(_one_out_folds, screen, make, params)
 
 
 @fitter
 def sample_split(screen, make, params, holdout=()) -> FitResult:
     """Reciprocal halves, repeated; each model predicts everything outside its training lines."""
-    return _sample_split(screen, make, params, holdout=holdout)
+    return _fold_run(_half_folds, screen, make, params, holdout)
 
 
 @fitter
 def sample_split_mut(screen, make, params) -> dict[str, FitResult]:
     """Reciprocal halves of each mutation against wild type."""
-    return _per_mutation(_sample_split, screen, make, params)
+    return _per_mutation(_half_folds, screen, make, params)

@@ -39,8 +39,13 @@ def encode_wild_type_first(df: DataFrame, column: str, wild_type: str = "WT") ->
     return join_bounded(df, codes, column).withColumn(column, F.col("_code")).drop("_code").select(*df.columns)
 
 
-def encode_domains(df: DataFrame, response: str = "CellLines") -> DataFrame:
-    """Screen index and response index; the two code tables can be stored and joined again for new data."""
-    screens = label_codes(df, "Screen").withColumnRenamed("code", "domain")
-    labels = label_codes(df, response).withColumnRenamed("code", "label")
-    return join_bounded(join_bounded(df, screens, "Screen"), labels, response)
+def encode_domains(df: DataFrame, response: str = "CellLines", codes: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """Screen index (``domain``) and response index (``label``). ``codes``: stored code tables of both (``sources.sinks``);
+    new data then gets the stored codes, and a screen or label that they don't hold is an error."""
+    for column, name, table in zip(("Screen", response), ("domain", "label"), codes or (None, None), strict=True):
+        known = (label_codes(df, column) if table is None else table).select(column, F.col("code").alias(name))
+        df = join_bounded(df, known, column, "left" if table is not None else "inner")
+        if table is not None:
+            failed = F.raise_error(F.concat(F.lit(f"no code for {column}="), F.coalesce(quoted(column).cast("string"), F.lit("null"))))
+            df = df.withColumn(name, F.when(F.col(name).isNull(), failed.cast("bigint")).otherwise(F.col(name)))
+    return df

@@ -1,4 +1,4 @@
-"""Scoring models on ``pyspark.ml``. A scorer is fitted on labelled cells and scores any cells.
+"""Scoring models. A scorer is fitted on labelled cells and scores any cells.
 
 User-defined scorers subclass :class:`Scorer` and register with :func:`scorer`.
 """
@@ -7,24 +7,16 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-import numpy as np
-from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from platelens.functions.sizing import as_local, join_bounded
 from platelens.operators.features import quoted
-from platelens.plans.balance import balanced_rows
+from platelens.plans.forest import Forest, fit_forests, score_forests
 from platelens.plans.fusion import entropy_weighted, evaluation_table
+from platelens.plans.manyfits import FoldModel, TooFewClasses, fit_folds, score_folds
 
 SCORERS: dict[str, type] = {}
-DEEPEST = 30  # trees of the distributed solver
-
-
-class TooFewClasses(ValueError):
-    """A training set without two classes; fold runners report the lines of such folds without scores."""
 
 
 def scorer(cls: type) -> type:
@@ -33,7 +25,11 @@ def scorer(cls: type) -> type:
 
 
 class Scorer:
-    """``options``: settings of this model. ``fit`` takes rows with ``label`` and the feature columns."""
+    """``options``: settings of this model. ``fit`` takes rows with ``label`` and the feature columns.
+
+    ``many``: the model has ``fit_many`` and ``score_many``, which fit all folds of a run together and score them in one scan."""
+
+    many = False
 
     def __init__(self, options: Mapping | None = None, seed: int = 47):
         self.options, self.seed = dict(options or {}), seed
@@ -48,70 +44,35 @@ class Scorer:
         return None
 
 
-class _CellScorer(Scorer):
-    """Shared part: class index of the labels seen in training, balancing, scaling fitted on the training rows.
-
-    One grouped pass gives class sizes and moments; with equal class weights the pooled mean and deviation follow.
-    """
-
-    scaled = True
-
-    def _prepare(self, rows: DataFrame, features: Sequence[str]) -> DataFrame:
-        self.features = list(features)
-        if self.options.get("balance", "down") == "down":
-            if "cell_key" not in rows.columns:
-                raise ValueError("balance 'down' draws cells by their cell_key; add one, or set balance to 'weights'")
-            rows = balanced_rows(rows, "label", "down", self.seed)
-        per_class = rows.groupBy("label").agg(
-            F.count(F.lit(1)).alias("n"), F.array(*[F.avg(quoted(c)) for c in features]).alias("m"),
-            F.array(*[F.var_pop(quoted(c)) for c in features]).alias("v"),
-        ).orderBy("label").collect()
-        self.classes = [r["label"] for r in per_class]
-        if len(self.classes) < 2:
-            raise TooFewClasses(f"training rows hold {len(self.classes)} class(es)")
-        sizes = np.array([r["n"] for r in per_class], dtype=float)
-        means = np.array([r["m"] for r in per_class], dtype=float)
-        spread = np.array([r["v"] for r in per_class], dtype=float)
-        centre = means.mean(axis=0)
-        sd = np.sqrt((spread + (means - centre) ** 2).mean(axis=0))
-        self.centre, self.spread = centre.tolist(), np.where(sd > 0, sd, 1.0).tolist()
-        self.rows_seen = float(sizes.max() * len(sizes))
-        index, weight = [], []
-        for i, (c, n) in enumerate(zip(self.classes, sizes, strict=True)):
-            index += [F.lit(c), F.lit(float(i))]
-            weight += [F.lit(c), F.lit(float(sizes.max() / n))]
-        rows = rows.withColumn("_y", F.element_at(F.create_map(*index), F.col("label")))
-        rows = rows.withColumn("_w", F.element_at(F.create_map(*weight), F.col("label")))
-        return self._vectors(rows)
-
-    def _vectors(self, rows: DataFrame) -> DataFrame:
-        def value(i: int, c: str) -> Column:
-            x = quoted(c).cast("double")
-            return ((x - self.centre[i]) / self.spread[i] if self.scaled else x).alias(f"_f{i}")
-        wide = rows.select("*", *[value(i, c) for i, c in enumerate(self.features)])
-        names = [f"_f{i}" for i in range(len(self.features))]
-        return VectorAssembler(inputCols=names, outputCol="_x").transform(wide).drop(*names)
-
-
 @scorer
-class Logistic(_CellScorer):
+class Logistic(Scorer):
     """Multinomial logistic regression: balance, standardise, fit. Output ``Ypred0..k`` per row.
 
-    ``C`` is the inverse strength against the summed loss; the distributed solver averages the loss, hence 1/(C n).
+    ``C`` is the inverse strength against the summed loss. Fold runners fit all folds at once (``plans.manyfits``).
     """
 
+    many = True
+
     def fit(self, rows: DataFrame, features: Sequence[str]) -> Logistic:
-        data = self._prepare(rows, features)
-        strength = 1.0 / (float(self.options.get("C", 1.0)) * max(self.rows_seen, 1.0))
-        self.model = LogisticRegression(
-            featuresCol="_x", labelCol="_y", weightCol="_w", family="multinomial", regParam=strength,
-            maxIter=int(self.options.get("max_iter", 100)), standardization=False, tol=1e-6,
-        ).fit(data)
+        (model,) = fit_folds(rows, features, None, self.options, self.seed)
+        return self.take(model)
+
+    def take(self, model: FoldModel | str) -> Logistic:
+        """Become a fitted model."""
+        if isinstance(model, str):
+            raise TooFewClasses(model)
+        self.model, self.features, self.classes, self.centre, self.spread = model, model.features, model.classes, model.centre, model.spread
         return self
 
-    def _probabilities(self, rows: DataFrame) -> DataFrame:
-        out = self.model.transform(self._vectors(rows))
-        return out.withColumn("_p", vector_to_array("probability")).withColumn("_z", vector_to_array("rawPrediction"))
+    def fit_many(self, rows: DataFrame, features: Sequence[str], folds: Sequence[Sequence[str]]) -> list[FoldModel | str]:
+        return fit_folds(rows, features, folds, self.options, self.seed)
+
+    def score_many(self, rows: DataFrame, models: Sequence[FoldModel | str], member: str, keep: Sequence[str]) -> DataFrame:
+        classes = max(len(m.classes) for m in models if isinstance(m, FoldModel))
+        return score_folds(rows, models, member, keep).select("_fold", *[quoted(c) for c in keep], *self.score_columns(classes))
+
+    def _probabilities(self, rows: DataFrame, logits: bool = False) -> DataFrame:
+        return score_folds(rows, [self.model], logits=logits).drop("_fold")
 
     def predict(self, rows: DataFrame) -> DataFrame:
         cols = [F.col("_p")[i].alias(f"Ypred{i}") for i in range(len(self.classes))]
@@ -119,20 +80,14 @@ class Logistic(_CellScorer):
 
     def logits(self, rows: DataFrame) -> DataFrame:
         """Rows with arrays ``_p`` and ``_z`` in class order."""
-        return self._probabilities(rows).select(*[quoted(c) for c in rows.columns], "_p", "_z")
+        return self._probabilities(rows, logits=True)
 
-    def gradient(self, rows: DataFrame) -> float:
-        """Largest entry of the penalised gradient on the training rows: near 0 when the fit has converged."""
-        k = len(self.classes)
-        scored = self.model.transform(self._prepare(rows, self.features)).withColumn("_p", vector_to_array("probability")).withColumn("_v", vector_to_array("_x"))
-        gap = [F.col("_w") * (F.col("_p")[c] - (F.col("_y") == c).cast("double")) for c in range(k)]
-        d = len(self.features)
-        sums = scored.agg(F.sum("_w"), *[F.sum(g * F.col("_v")[i]) for g in gap for i in range(d)], *[F.sum(g) for g in gap]).first()
-        slope = np.array(sums[1:1 + k * d]).reshape(k, d) / sums[0] + self.model.getRegParam() * np.array(self.coefficients())
-        return float(max(np.abs(slope).max(), np.abs(np.array(sums[1 + k * d:])).max() / sums[0]))
+    def score_columns(self, classes: int) -> list[Column]:
+        """The scores of this kind of model from the array ``_p`` of at most so many classes."""
+        return [F.get("_p", F.lit(i)).alias(f"Ypred{i}") for i in range(classes)]
 
     def coefficients(self) -> list[list[float]]:
-        return self.model.coefficientMatrix.toArray().tolist()
+        return self.model.coef.tolist()
 
     def importance(self) -> list[tuple[str, float]]:
         """First row of coefficients, largest first; with two classes, the contrast of the second to the first."""
@@ -148,37 +103,39 @@ class BinaryLogistic(Logistic):
     def predict(self, rows: DataFrame) -> DataFrame:
         return super().predict(rows).withColumnRenamed("Ypred1", "Ypred").select(*rows.columns, "Ypred")
 
+    def score_columns(self, classes: int) -> list[Column]:
+        return [F.get("_p", F.lit(1)).alias("Ypred")]
 
-@scorer
-class RandomForest(_CellScorer):
-    """Random forest; ``Ypred`` is the predicted class label.
 
-    Without ``max_depth`` trees grow as deep as the solver allows; a greater depth than that is refused.
-    """
+@scorer
+class RandomForest(Scorer):
+    """Random forest (``plans.forest``); ``Ypred`` is the predicted class label. Trees end at pure nodes unless
+    ``max_depth`` is set."""
 
-    scaled = False
+    many = True
 
     def fit(self, rows: DataFrame, features: Sequence[str]) -> RandomForest:
-        depth = self.options.get("max_depth")
-        depth = DEEPEST if depth is None else int(depth)
-        if not 0 < depth <= DEEPEST:
-            raise ValueError(f"max_depth must be from 1 to {DEEPEST}, or unset")
-        data = self._prepare(rows, features)
-        self.model = RandomForestClassifier(
-            featuresCol="_x", labelCol="_y", weightCol="_w", seed=self.seed,
-            numTrees=int(self.options.get("n_estimators", 100)), maxDepth=depth,
-        ).fit(data)
+        (model,) = fit_forests(rows, features, None, self.options, self.seed)
+        return self.take(model)
+
+    def take(self, model: Forest | str) -> RandomForest:
+        """Become a fitted model."""
+        if isinstance(model, str):
+            raise TooFewClasses(model)
+        self.model, self.features, self.classes = model, model.features, model.classes
         return self
 
+    def fit_many(self, rows: DataFrame, features: Sequence[str], folds: Sequence[Sequence[str]]) -> list[Forest | str]:
+        return fit_forests(rows, features, folds, self.options, self.seed)
+
+    def score_many(self, rows: DataFrame, models: Sequence[Forest | str], member: str, keep: Sequence[str]) -> DataFrame:
+        return score_forests(rows, models, member, keep).select("_fold", *[quoted(c) for c in keep], F.col("_class").alias("Ypred"))
+
     def predict(self, rows: DataFrame) -> DataFrame:
-        back = F.array(*[F.lit(c) for c in self.classes])
-        out = self.model.transform(self._vectors(rows))
-        label = F.element_at(back, F.col("prediction").cast("int") + 1)
-        return out.select(*[quoted(c) for c in rows.columns], label.alias("Ypred"))
+        return score_forests(rows, [self.model]).select(*[quoted(c) for c in rows.columns], F.col("_class").alias("Ypred"))
 
     def importance(self) -> list[tuple[str, float]]:
-        values = self.model.featureImportances.toArray().tolist()
-        return sorted(zip(self.features, values, strict=True), key=lambda kv: -kv[1])
+        return sorted(zip(self.features, self.model.importances.tolist(), strict=True), key=lambda kv: -kv[1])
 
 
 @scorer
@@ -207,6 +164,14 @@ class MultiAntibody(Scorer):
         pooled.unpersist()
         return self
 
+    def take_parts(self, cells: Mapping[str, FoldModel], line: FoldModel) -> MultiAntibody:
+        """Become a fitted scorer of these models."""
+        self.markers = sorted(cells)
+        self.cell_models = {m: Logistic({}, self.seed).take(cells[m]) for m in self.markers}
+        self.classes, self.line_features = self.cell_models[self.markers[0]].classes, line.features
+        self.line_model = Logistic({}, self.seed).take(line)
+        return self
+
     def _pooled(self, rows: Mapping[str, DataFrame]) -> DataFrame:
         """One row per line present in every marker set."""
         out = None

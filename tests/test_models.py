@@ -10,7 +10,7 @@ from platelens.plans import balance, folds, labels, sufficient
 from platelens.plans.analysis import MAP, PCA, stability
 from platelens.plans.fitters import _Task, fit_split
 from platelens.plans.scorers import SCORERS, BinaryLogistic, Logistic, MultiAntibody, Scorer, scorer
-from platelens.sources.sinks import save_model
+from platelens.sources.sinks import load_codes, load_model, save_codes, save_model
 
 GROUPS = {"WT": 4, "FUS": 4, "SOD1": 2, "sporadic": 1}
 
@@ -153,13 +153,44 @@ def test_two_level_scorer(screen, tmp_path):
         assert not set(lines) & set(out[out["Half"] == half]["CellLines"])
     known = out[~out["CellLines"].str.startswith("sporadic")]
     assert ((known["Class_1"] > 0.5) == (known["True"] == 1)).mean() > 0.8
-    save_model(result.fitted[0], str(tmp_path / "model"))
     task = _Task.of(parts, params)
+    save_model(result.fitted[0], str(tmp_path / "model"))
+    again = load_model(screen.cells.sparkSession, str(tmp_path / "model"))
+    held = task.part(["WT0", "FUS0", "sporadic0"], True)
+    pd.testing.assert_frame_equal(again.predict(held).toPandas(), result.fitted[0].predict(held).toPandas())
     table = result.fitted[0].evaluate(task.part(["WT0", "FUS0"], True)).toPandas()
     assert list(table.columns) == ["CellLines", "True", *[f"class_{i}_{s}" for s in ("agg", "entropy", "M1", "M2") for i in (0, 1)]]
     assert np.allclose(table["class_0_entropy"] + table["class_1_entropy"], 1)
 
 
+@pytest.mark.parametrize("kind", ["Logistic", "BinaryLogistic", "RandomForest"])
+def test_stored_models_give_the_same_rows(screen, spark, tmp_path, kind):
+    rows = labels.encode_labels(only(screen, "WT", "FUS").labelled("CellLines", "Mutations"), "Mutations", {"WT": 0, "FUS": 1})
+    model = SCORERS[kind]({"n_estimators": 5} if kind == "RandomForest" else {"C": 2.0}).fit(rows, screen.features)
+    save_model(model, str(tmp_path / "m"))
+    again = load_model(spark, str(tmp_path / "m"))
+    assert type(again) is type(model) and again.classes == model.classes and again.options == model.options and again.importance() == model.importance()
+    keys = ["cell_key"]
+    a, b = (m.predict(screen.cells).toPandas().sort_values(keys).reset_index(drop=True) for m in (model, again))
+    pd.testing.assert_frame_equal(a, b)
+    spark.read.parquet(str(tmp_path / "m" / "models")).withColumn("version", F.lit(99)).write.parquet(str(tmp_path / "n" / "models"))
+    with pytest.raises(ValueError, match="layout 99"):
+        load_model(spark, str(tmp_path / "n"))
+
+
+def test_new_screens_get_stored_codes(screen, spark, tmp_path):
+    wells = screen.wells.withColumn("Screen", F.col("Antibody"))
+    for column in ("Screen", "CellLines"):
+        save_codes(labels.label_codes(wells, column), str(tmp_path / column))
+    codes = tuple(load_codes(spark, str(tmp_path / c)) for c in ("Screen", "CellLines"))
+    whole = labels.encode_domains(wells).select("ID", "domain", "label").toPandas().set_index("ID")
+    part = wells.filter("Antibody = 'M2' and Mutations <> 'FUS'")
+    own = labels.encode_domains(part, codes=codes).select("ID", "domain", "label").toPandas().set_index("ID")
+    pd.testing.assert_frame_equal(own.sort_index(), whole.loc[sorted(own.index)])
+    with pytest.raises(Exception, match="no code for CellLines=new"):
+        labels.encode_domains(part.withColumn("CellLines", F.lit("new")), codes=codes).collect()
+
+
 def test_training_sample_is_bounded_per_line(screen):
     params = with_params(screen, {"MultiAntibody": {"train": {"n_epochs": 2}}}, "sample_split", {"WT": 0, "FUS": 1}).params
     params["analysis"]["MAP"]["data_loader"]["n_cells"] = 3
@@ -229,7 +260,7 @@ def test_unmapped_labels_and_missing_keys_are_errors(screen):
     bare = with_params(Screen(screen.cells.drop("cell_key"), pair), {"BinaryLogistic": {}}, "leave_one_out", {"WT": 0, "FUS": 1})
     with pytest.raises(ValueError, match="cell_key"):
         MAP(bare).fit()
-    deep = with_params(Screen(screen.cells, pair), {"RandomForest": {"max_depth": 31}}, "leave_one_out", {"WT": 0, "FUS": 1})
+    deep = with_params(Screen(screen.cells, pair), {"RandomForest": {"max_depth": 0}}, "leave_one_out", {"WT": 0, "FUS": 1})
     with pytest.raises(ValueError, match="max_depth"):
         MAP(deep).fit()
 
