@@ -234,4 +234,6 @@ def with_views(sql: str) -> str:
         return sql
     head = ", ".join(f"{n} AS ({VIEWS[n]})" for n in needed)
     body = sql.strip()
+    if body[:15].upper() == "WITH RECURSIVE ":
+        return f"WITH RECURSIVE {head}, {body[15:]}"
     return f"WITH {head}, {body[5:]}" if body[:5].upper() == "WITH " else f"WITH {head} {body}"

@@ -11,9 +11,9 @@ from platelens.catalog.base import FEATURES, cells, query, rounded, scores, scre
 from platelens.catalog.loading import SPLIT
 from platelens.functions.sizing import as_local, kept, shared_folder
 from platelens.operators.joins import cells_with_wells, union_all
-from platelens.plans import attribution, balance, folds, labels, multiscreen, sufficient
+from platelens.plans import attribution, balance, folds, forest, labels, manyfits, multiscreen, sufficient
 from platelens.plans.analysis import MAP, parameter_grid, stability
-from platelens.plans.fitters import _Task, run_parallel
+from platelens.plans.fitters import _Task
 from platelens.plans.components import profile_components, score_components
 from platelens.screen import MarkerScreens, Screen
 from platelens.streaming import ingest
@@ -193,47 +193,98 @@ HALVES = """r AS (SELECT CellLines, Mutations, row_number() OVER (PARTITION BY M
 CODES = {"WT": 0, "AMERICA": 1, "ASIA": 2, "EUROPE": 3, "sporadic": 0}
 
 
-def _gradients(spark, s, params, results):
-    """(ModelGenetics, Half, gradient) of all fitted models, each on its own training rows."""
-    task = _Task.of(s, params)
-    jobs = [(name, r.training_lines.index(lines), model, lines) for name, r in results.items() for model, lines in zip(r.fitted, r.fitted_on, strict=True)]
-    found = run_parallel(spark, lambda j: (j[0], j[1], j[2].gradient(task.training(j[3])["_"])), jobs, params)
-    for df in task.cached:
-        df.unpersist()
-    return spark.createDataFrame(found, "ModelGenetics string, Half int, gradient double").withColumn("gradient", F.round(F.abs("gradient"), 2))
+def logistic_sql(folds: str, k: int, select: str, c: float = 1.0, steps: int = 60) -> str:
+    """Logistic folds in SQL, by another way than the one they are fitted by: fixed-bound steps (half the Gram matrix bounds
+    the curvature) of all folds in one recursive query, with elimination written out for the four features.
 
+    ``folds``: tables that end in ``member`` (fit, CellLines, label from 0 to k - 1) of training lines. ``select`` sees
+    ``x`` (CellLines, Mutations, features x0...), ``fit`` (fit, classes) and ``model`` (fit, coefficients b{class}{feature}
+    on scaled features, intercepts b{class}{d}, centres u, spreads s, has{class})."""
+    d, classes = range(len(FEATURES)), range(k)
+    one = len(FEATURES)
+    up = [(i, j) for i in d for j in d if i <= j]
+    means = ", ".join(f"avg(x{i}) AS m{i}, var_pop(x{i}) AS v{i}" for i in d)
+    centre = ", ".join(f"avg(m{i}) AS u{i}" for i in d)
+    spread = ", ".join(f"CASE WHEN avg(v{i} + (m{i} - u{i}) * (m{i} - u{i})) > 0 THEN sqrt(avg(v{i} + (m{i} - u{i}) * (m{i} - u{i}))) ELSE 1 END AS s{i}" for i in d)
+    gram = ", ".join(f"0.5 * sum(z{i} * z{j})" + (f" + {1 / c}" if i == j else "") + f" AS a{i}{j}" for i, j in up)
+    unit = ", ".join(f"{float(i == j)} AS r{i}{j}" for i in d for j in d)
+    elim = []
+    for q in d[:-1]:
+        less = [f"a{i}{j} - a{q}{i} * a{q}{j} / a{q}{q} AS a{i}{j}" for i, j in up if i > q] + [f"r{i}{j} - a{q}{i} * r{q}{j} / a{q}{q} AS r{i}{j}" for i in d if i > q for j in d]
+        elim.append(f"g{q + 1} AS (SELECT * REPLACE ({', '.join(less)}) FROM g{q})")
+    back = []
+    for i in reversed(d):
+        rows = ", ".join(f"({' - '.join([f'r{i}{j}', *(f'a{i}{n} * w{n}{j}' for n in d if n > i)])}) / a{i}{i} AS w{i}{j}" for j in d)
+        back.append(f"h{i} AS (SELECT *, {rows} FROM {f'h{i + 1}' if i + 1 < len(FEATURES) else f'g{len(FEATURES) - 1}'})")
+    names = [f"b{q}{i}" for q in classes for i in range(one + 1)]
+    logit = ", ".join(f"CASE WHEN has{q} THEN exp({' + '.join([f'b{q}{one}', *(f'b{q}{i} * z{i}' for i in d)])}) ELSE 0 END AS e{q}" for q in classes)
+    share = ", ".join(f"e{q} / ({' + '.join(f'e{r}' for r in classes)}) - (y = {q})::INT AS p{q}" for q in classes)
+    slopes = ", ".join([f"sum(p{q} * z{i}) AS d{q}{i}" for q in classes for i in d] + [f"sum(p{q}) AS d{q}{one}" for q in classes])
+    kept = ", ".join(f"any_value({n}) AS {n}" for n in names)
+    inverse = ", ".join(f"any_value(w{i}{j}) AS w{i}{j}" for i in d for j in d)
+    moved = ", ".join([f"b{q}{i} - ({' + '.join(f'w{i}{j} * (d{q}{j} + {1 / c} * b{q}{j})' for j in d)}) AS b{q}{i}" + (f", b{q}{one} - 2 * d{q}{one} / n AS b{q}{one}" if i == one - 1 else "") for q in classes for i in d])
+    has = ", ".join(f"bool_or(label = {q}) AS has{q}" for q in classes)
+    flags = ", ".join(f"any_value(has{q}) AS has{q}" for q in classes)
+    return f"""WITH RECURSIVE {folds},
+  x AS (SELECT CellLines, Mutations, c.ID, {', '.join(f'{f} AS x{i}' for i, f in enumerate(FEATURES))}, md5(cell_key || '|47') AS o FROM keyed_cells c JOIN wells w ON c.ID = w.ID),
+  ranked AS (SELECT fit, label AS y, x.*, row_number() OVER (PARTITION BY fit, label ORDER BY o) AS place FROM member JOIN x USING (CellLines)),
+  sized AS (SELECT fit, y, count(*) AS n FROM ranked GROUP BY 1, 2),
+  fit AS (SELECT fit, min(n) AS least, count(*) AS classes FROM sized GROUP BY 1),
+  kept AS (SELECT ranked.* EXCLUDE (place) FROM ranked JOIN fit USING (fit) WHERE place <= least AND classes > 1),
+  per AS (SELECT fit, y, count(*) AS n, {means} FROM kept GROUP BY 1, 2),
+  mid AS (SELECT fit, sum(n) AS n, {centre} FROM per GROUP BY 1),
+  scale AS (SELECT fit, any_value(mid.n) AS n, {', '.join(f'any_value(u{i}) AS u{i}' for i in d)}, {spread} FROM per JOIN mid USING (fit) GROUP BY fit),
+  z AS MATERIALIZED (SELECT fit, y, {', '.join(f'(x{i} - u{i}) / s{i} AS z{i}' for i in d)} FROM kept JOIN scale USING (fit)),
+  g0 AS (SELECT fit, {gram}, {unit} FROM z GROUP BY fit), {', '.join(elim + back)},
+  flag AS (SELECT fit, {has} FROM member GROUP BY 1),
+  bound AS MATERIALIZED (SELECT fit, n, {', '.join(f'w{i}{j}' for i in d for j in d)}, {', '.join(f'has{q}' for q in classes)} FROM h0 JOIN scale USING (fit) JOIN flag USING (fit)),
+  it AS (SELECT 0 AS step, fit, {', '.join(f'0.0::DOUBLE AS {n}' for n in names)} FROM bound
+    UNION ALL SELECT step + 1, fit, {moved} FROM (
+      SELECT step, fit, any_value(n) AS n, {kept}, {inverse}, {slopes} FROM (
+        SELECT *, {share} FROM (SELECT *, {logit} FROM it JOIN bound USING (fit) JOIN z USING (fit) WHERE step < {steps})) GROUP BY step, fit)),
+  model AS (SELECT it.* EXCLUDE (step), {', '.join(f'u{i}, s{i}' for i in d)}, {', '.join(f'has{q}' for q in classes)} FROM it JOIN scale USING (fit) JOIN flag USING (fit) WHERE step = {steps})
+  {select}"""
 
-@query("h01_logistic_split", f"""WITH {HALVES}, k AS (SELECT half, count(DISTINCT label) FILTER (train) > 1 AS fits FROM o GROUP BY 1)
-  SELECT half::INT AS Half, o.CellLines, label, n, CASE WHEN fits THEN 1.0::DOUBLE END AS total, CASE WHEN fits THEN 0.0::DOUBLE END AS gradient
-  FROM o JOIN size USING (CellLines) JOIN k USING (half) WHERE NOT train""")
+
+def _logits(k: int) -> str:
+    """Exponentials of every class of a model row joined with a cell."""
+    one = len(FEATURES)
+    return ", ".join(f"CASE WHEN has{q} THEN exp({' + '.join([f'b{q}{one}', *(f'b{q}{i} * (x{i} - u{i}) / s{i}' for i in range(one))])}) ELSE 0 END AS e{q}" for q in range(k))
+
+
+HALF_MEMBERS = f"{HALVES}, member AS (SELECT half AS fit, CellLines, label FROM o WHERE train)"
+H01 = logistic_sql(HALF_MEMBERS, 4, f""", sc AS (SELECT fit, CellLines, list_concat({', '.join(f'CASE WHEN has{q} THEN [e{q} / (e0 + e1 + e2 + e3)] ELSE [] END' for q in range(4))}) AS ps
+    FROM (SELECT model.*, x.CellLines, {_logits(4)} FROM model JOIN o ON o.half = model.fit AND NOT train JOIN x ON x.CellLines = o.CellLines)),
+  lm AS (SELECT fit, CellLines, avg(ps[1]) AS p0, avg(ps[2]) AS p1, avg(ps[3]) AS p2, avg(ps[4]) AS p3 FROM sc GROUP BY 1, 2)
+  SELECT half::INT AS Half, o.CellLines, label, n, {', '.join(f'round(p{q}, 4) AS Ypred{q}' for q in range(4))}
+  FROM o JOIN size USING (CellLines) LEFT JOIN lm ON lm.fit = o.half AND lm.CellLines = o.CellLines WHERE NOT train""")
+
+
+@query("h01_logistic_split", H01)
 def h01(spark, sf):
-    """Multinomial logistic scorer of cells on reciprocal halves; every cell of a held-out line is scored, probabilities
-    sum to 1, and the penalised gradient of each fit is 0."""
+    """Multinomial logistic scorer of cells on reciprocal halves: mean probabilities of every held-out line."""
     params = _map_params({"Logistic": {"C": 1.0}}, "sample_split", CODES)
-    s = screen(spark, sf)
-    s = Screen(cells(spark, sf, key=True), s.wells, params)
-    result = MAP(s).fit().fitted
-    names = [c for c in result.predicted.columns if c.startswith("Ypred")]
-    total = F.when(F.col("Reason").isNull(), sum((F.coalesce(c, F.lit(0.0)) for c in names[1:]), F.col(names[0])))
-    out = result.predicted.groupBy("Half", "CellLines", "label").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(total), 4).alias("total"))
-    out = out.join(_gradients(spark, s, params, {"all": result}).drop("ModelGenetics"), "Half", "left")
-    return _collected(spark, out, [result])
-
-
-@query("h02_binary_logistic_split_mut", f"""WITH {HALVES}, x AS (SELECT *, train AND Mutations IN ('WT', g) AS mine FROM o, (VALUES ('AMERICA'), ('ASIA'), ('EUROPE')) m(g)),
-  k AS (SELECT g, half, count(DISTINCT label) FILTER (mine) > 1 AS fits FROM x GROUP BY 1, 2)
-  SELECT g AS ModelGenetics, half::INT AS Half, CellLines, n, CASE WHEN fits THEN 0.5::DOUBLE END AS middle, CASE WHEN fits THEN 0.0::DOUBLE END AS gradient
-  FROM x JOIN size USING (CellLines) JOIN k USING (g, half) WHERE NOT mine""")
+    result = MAP(_cells_screen(spark, sf, params)).fit().fitted
+    scores_ = [F.round(F.avg(c) + F.lit(1e-8), 4).alias(c) if c in result.predicted.columns else F.lit(None).cast("double").alias(c) for c in (f"Ypred{q}" for q in range(4))]
+    return _collected(spark, result.predicted.groupBy("Half", "CellLines", "label").agg(F.count(F.lit(1)).alias("n"), *scores_), [result])
+
+
+_MUTATION_MEMBERS = f"""{HALVES}, xo AS (SELECT o.*, g, train AND Mutations IN ('WT', g) AS mine FROM o, (VALUES ('AMERICA'), ('ASIA'), ('EUROPE')) m(g)),
+  member AS (SELECT g || half::VARCHAR AS fit, CellLines, (Mutations <> 'WT')::BIGINT AS label FROM xo WHERE mine)"""
+H02 = logistic_sql(_MUTATION_MEMBERS, 2, f""", sc AS (SELECT fit, CellLines, e1 / (e0 + e1) AS p
+    FROM (SELECT model.*, x.CellLines, {_logits(2)} FROM model JOIN xo ON xo.g || xo.half::VARCHAR = model.fit AND NOT mine JOIN x ON x.CellLines = xo.CellLines)),
+  mm AS (SELECT fit, avg(p) AS m FROM sc GROUP BY 1), lm AS (SELECT fit, CellLines, avg(p) - any_value(m) + 0.5 AS p FROM sc JOIN mm USING (fit) GROUP BY 1, 2)
+  SELECT g AS ModelGenetics, half::INT AS Half, xo.CellLines, n, round(p, 4) AS Ypred
+  FROM xo JOIN size USING (CellLines) LEFT JOIN lm ON lm.fit = xo.g || xo.half::VARCHAR AND lm.CellLines = xo.CellLines WHERE NOT mine""")
+
+
+@query("h02_binary_logistic_split_mut", H02)
 def h02(spark, sf):
-    """One binary model of cells per mutation against wild type, on halves; scores of each half centre at 0.5."""
+    """One binary model of cells per mutation against wild type, on halves; scores of each half centre at 0.5. The models of
+    all mutations and halves are fitted together."""
     params = _map_params({"BinaryLogistic": {}}, "sample_split_mut")
-    s = screen(spark, sf)
-    s = Screen(cells(spark, sf, key=True), s.wells, params)
-    fit = MAP(s).fit()
-    rows = fit.make_table()
-    out = rows.groupBy("ModelGenetics", "Half", "CellLines").agg(F.count(F.lit(1)).alias("n"))
-    middle = rows.groupBy("ModelGenetics", "Half").agg(F.round(F.avg("Ypred"), 4).alias("middle"))
-    out = out.join(middle, ["ModelGenetics", "Half"]).join(_gradients(spark, s, params, fit.fitted), ["ModelGenetics", "Half"], "left")
+    fit = MAP(_cells_screen(spark, sf, params)).fit()
+    out = fit.make_table().groupBy("ModelGenetics", "Half", "CellLines").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("Ypred") + F.lit(1e-8), 4).alias("Ypred"))
     return _collected(spark, out, fit.fitted.values())
 
 
@@ -250,20 +301,40 @@ def _cells_screen(spark, sf, params):
     return Screen(cells(spark, sf, key=True), screen(spark, sf).wells, params)
 
 
-@query("h03_random_forest_split")
+@query("h03_random_forest_split", f"""WITH {HALVES}, k AS (SELECT half, count(DISTINCT label) FILTER (train) AS classes FROM o GROUP BY 1)
+  SELECT half::INT AS Half, o.CellLines, label, n, CASE WHEN classes > 1 THEN 100 * n END AS votes, CASE WHEN classes > 1 THEN 100 END AS trees, CASE WHEN classes > 1 THEN 0 END::BIGINT AS wrong
+  FROM o JOIN size USING (CellLines) JOIN k USING (half) WHERE NOT train""")
 def h03(spark, sf):
     """Forest of the scorer's own settings (100 trees, unlimited depth) on cells of all groups; every cell of a held-out
-    line is scored."""
+    line is scored. A cell has one vote of every tree (shares of pure leaves sum to whole votes), and trees that end at pure
+    leaves put none of their own draws in another class."""
     params = _map_params({"RandomForest": {}}, "sample_split", CODES)
     params["analysis"]["MAP"]["data_loader"]["training_cells"] = TRAINING_CELLS
-    result = MAP(_cells_screen(spark, sf, params)).fit().fitted
-    out = result.predicted.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.min("Ypred").alias("low"), F.max("Ypred").alias("high"))
-    return _collected(spark, out, [result])
+    s = _cells_screen(spark, sf, params)
+    task, plan = _Task.of(s, params), folds.reciprocal_halves(s.wells, 1, 47).filter("role = 'train'")
+    halves = [sorted(r["CellLines"] for r in rows) for rows in ([r for r in plan.collect() if r["half"] == h] for h in (0, 1))]
+    rows = task.rows["_"].select("CellLines", "label", *FEATURES)
+    models = forest.fit_forests(task.train["_"], FEATURES, halves, {}, 47)
+    table_, bound = manyfits.member_table(spark, halves)
+    told = rows.join(F.broadcast(table_) if bound < 10_000 else table_, "CellLines", "left").withColumn("member", F.coalesce("member", F.lit(bytearray(1))))
+    fitted = [(h, len(m.trees), sum(m.wrong)) if not isinstance(m, str) else (h, None, None) for h, m in enumerate(models)]
+    named = forest.score_forests(told, models, "member", ["CellLines", "label"]).join(F.broadcast(spark.createDataFrame(fitted, "_fold int, trees int, wrong long")), "_fold")
+    votes = F.sum(F.round(F.aggregate("_p", F.lit(0.0), lambda a, p: a + p) * F.col("trees"))).cast("long")
+    out = named.groupBy(F.col("_fold").alias("Half"), "CellLines", "label").agg(F.count(F.lit(1)).alias("n"), votes.alias("votes"), F.first("trees").alias("trees"), F.first("wrong").alias("wrong"))
+    done = _collected(spark, out, [])
+    for df in task.cached:
+        df.unpersist()
+    return done
+
 
+H04 = logistic_sql(f"{HALVES}, member AS (SELECT half AS fit, CellLines, (Mutations <> 'WT')::BIGINT AS label FROM o WHERE train)", 2,
+                   " UNION ALL ".join(f"SELECT '0-' || fit::VARCHAR AS fold, '{f}' AS feature, round(b1{i} - b0{i}, 4) AS value FROM model" for i, f in enumerate(FEATURES)))
 
-@query("h04_importance")
+
+@query("h04_importance", H04)
 def h04(spark, sf):
-    """Feature importances per fold of a binary model of cells: all mutations against wild type."""
+    """Feature importances per fold of a binary model of cells, all mutations against wild type: the contrast of the
+    coefficients on scaled features."""
     params = _map_params({"BinaryLogistic": {}}, "sample_split", BINARY)
     result = MAP(_cells_screen(spark, sf, params)).fit().fitted
     return _collected(spark, rounded(result.importance, 4), [result])
@@ -395,15 +466,23 @@ def h08c(spark, sf):
     return rounded(stats.select("CellLines", "n", F.col("sx")[0].alias("s0"), F.col("sxx")[2].alias("q02")), 4)
 
 
-@query("h09_leave_one_out_map", """SELECT w.CellLines AS Holdout, w.CellLines, sum(NCells)::BIGINT AS n,
-  (SELECT count(DISTINCT Mutations) FROM lines l WHERE l.Mutations IN ('WT', 'ASIA') AND l.CellLines <> w.CellLines) = 2 AS scored FROM wells w WHERE Mutations IN ('WT', 'ASIA') GROUP BY 1, 2""")
+_OUT_MEMBERS = """pool AS (SELECT CellLines, Mutations, (Mutations <> 'WT')::BIGINT AS label FROM lines WHERE Mutations <> 'sporadic'),
+  size AS (SELECT CellLines, sum(NCells)::BIGINT AS n FROM wells GROUP BY 1),
+  member AS (SELECT a.CellLines AS fit, b.CellLines, b.label FROM pool a JOIN pool b ON a.CellLines <> b.CellLines),
+  told AS (SELECT a.CellLines AS fit, l.CellLines FROM pool a JOIN lines l ON l.CellLines = a.CellLines OR l.Mutations = 'sporadic')"""
+H09 = logistic_sql(_OUT_MEMBERS, 2, f""", sc AS (SELECT fit, CellLines, e1 / (e0 + e1) AS p
+    FROM (SELECT model.*, x.CellLines, {_logits(2)} FROM model JOIN told USING (fit) JOIN x ON x.CellLines = told.CellLines)),
+  lm AS (SELECT fit, CellLines, avg(p) AS p FROM sc GROUP BY 1, 2)
+  SELECT told.fit AS Holdout, told.CellLines, n, round(p, 4) AS Ypred FROM told JOIN size USING (CellLines) LEFT JOIN lm USING (fit, CellLines)""", steps=30)
+
+
+@query("h09_leave_one_out_map", H09)
 def h09(spark, sf):
-    """Facade: scorer and fitter named in the parameters, leave-one-line-out of the cells of one mutation against wild
-    type; each fold scores all cells of its line."""
-    params = _map_params({"BinaryLogistic": {}}, "leave_one_out", {"WT": 0, "ASIA": 1})
-    params["preprocess"] = {"select_sample_by_feature": {"select_key": [{"Mutations": ["WT", "ASIA"]}]}}
-    fit = MAP(Screen(cells(spark, sf, key=True), wells(spark, sf), params).preprocess()).fit()
-    out = fit.make_table().groupBy("Holdout", "CellLines").agg(F.count(F.lit(1)).alias("n"), F.min(F.coalesce(F.col("Ypred").between(0, 1) & F.col("Reason").isNull(), F.lit(False))).alias("scored"))
+    """Facade: scorer and fitter named in the parameters, leave-one-line-out of the cells of all mutations against wild
+    type; each fold scores all cells of its line and of the sporadic ones."""
+    params = _map_params({"BinaryLogistic": {}}, "leave_one_out", BINARY)
+    fit = MAP(_cells_screen(spark, sf, params)).fit()
+    out = fit.make_table().groupBy("Holdout", "CellLines").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("Ypred") + F.lit(1e-8), 4).alias("Ypred"))
     return _collected(spark, out, [fit.fitted])
 
 
