@@ -28,6 +28,7 @@ empty table gives an empty result; extra columns are not read.
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections.abc import Iterator, Sequence
 from itertools import chain
@@ -52,8 +53,8 @@ KNOWN = 300_000
 TEXT_BYTES, LONG_WORD = 1 << 20, 200
 #: Fixed value: how the word-level file cuts normalised text.
 CUTS = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
-#: Characters that normalisation leaves alone but for their case, which is the same everywhere.
-PLAIN = r"[\x09-\x0D\x20-\x7E¡-įı-ɏЀ-џ]+"
+#: Characters that normalisation leaves alone but for their case, which is the same everywhere and stays among them.
+PLAIN = r"[\x09-\x0D\x20-\x7E¡-įı-ſЀ-џ]+"
 WORD_END = "</w>"
 ROUNDS, STEPS = 8, 300
 PARTS = (1.0, 0.9, 0.7, 0.5)
@@ -62,6 +63,51 @@ PARTS = (1.0, 0.9, 0.7, 0.5)
 # --- token ids
 
 
+def plain_cuts() -> str:
+    """``CUTS`` for texts of plain characters: the same classes spelt out, which is found faster."""
+    plain = regex.compile(PLAIN)
+    known = [c for c in map(chr, range(0x500)) if plain.fullmatch(c)]
+    letters, numbers, spaces = ("".join(re.escape(c) for c in known if regex.fullmatch(kind, c)) for kind in (r"\p{L}", r"\p{N}", r"\s"))
+    return rf"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^{spaces}{letters}{numbers}]+"
+
+
+class PairTable:
+    """Numbers of distinct keys by open addressing: a look-up is a few reads, for all keys at once."""
+
+    def __init__(self, keys: np.ndarray) -> None:
+        bits = max(8, 2 + len(keys).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys, self.numbers = np.full(1 << bits, -1, dtype=np.int64), np.full(1 << bits, -1, dtype=np.int32)
+        left, slot = np.arange(len(keys)), self._slots(keys)
+        while len(left):
+            free = self.keys[slot] == -1
+            at, first = np.unique(slot[free], return_index=True)
+            chosen = left[free][first]
+            self.keys[at], self.numbers[at] = keys[chosen], chosen
+            stays = np.ones(len(left), dtype=bool)
+            stays[np.flatnonzero(free)[first]] = False
+            left, slot = left[stays], (slot[stays] + 1) & self.mask
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The number of each key, -1 for one not known."""
+        slot = self._slots(keys)
+        held = self.keys[slot]
+        out = np.where(held == keys, self.numbers[slot], -1)
+        on = np.flatnonzero((held != keys) & (held != -1))
+        slot = slot[on]
+        while len(on):
+            slot = (slot + 1) & self.mask
+            held = self.keys[slot]
+            hit = held == keys[on]
+            out[on[hit]] = self.numbers[slot[hit]]
+            more = ~hit & (held != -1)
+            on, slot = on[more], slot[more]
+        return out
+
+
 class Encoder:
     """Ids (as little-endian 32-bit words) of whole texts for a word-level BPE file."""
 
@@ -86,14 +132,14 @@ class Encoder:
         if self.arrays:
             self.size = max(vocab.values()) + 1
             key = np.array([vocab[a] * self.size + vocab[b] for a, b in merges], dtype=np.int64)
-            order = np.argsort(key)
-            self.pairs, self.ranks = key[order], order.astype(np.int32)
-            self.merged = np.array([vocab[a + b] for a, b in merges], dtype=np.int64)[order]
+            self.pairs = PairTable(key)
+            self.ranks = np.append(np.arange(len(key), dtype=np.int32), NO_RANK)  # the last one stands for no pair
+            self.merged = np.array([vocab[a + b] for a, b in merges], dtype=np.int64)
             self.inner, self.last = (np.zeros(256, dtype=np.int64) for _ in range(2))
             for letter, b in byte_letters().items():
                 self.inner[b], self.last[b] = vocab[letter], vocab[letter + WORD_END]
-        special = "|".join(map(regex.escape, self.added)) or r"(?!)"
-        self.special, self.plain, self.cut = regex.compile(special), regex.compile(PLAIN), regex.compile(CUTS)
+        special = "|".join(map(re.escape, self.added)) or r"(?!)"
+        self.special, self.plain, self.cut = re.compile(special), re.compile(PLAIN), re.compile(plain_cuts())
         self.known: dict[str, bytes] = {}
 
     def keys(self, text: str, odd: set[str]) -> list[str]:
@@ -130,8 +176,9 @@ class Encoder:
         done: list[tuple[np.ndarray, np.ndarray]] = []
         while len(symbol):
             key = symbol[:-1] * self.size + symbol[1:]
-            at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
-            rank = np.append(np.where((self.pairs[at] == key) & (seq[:-1] == seq[1:]), self.ranks[at], NO_RANK), NO_RANK)
+            key[seq[:-1] != seq[1:]] = -2
+            at = self.pairs.find(key)
+            rank = np.append(self.ranks[at], NO_RANK)
             starts = np.flatnonzero(np.r_[True, seq[1:] != seq[:-1]])
             least = np.repeat(np.minimum.reduceat(rank, starts), np.diff(np.r_[starts, len(seq)]))
             open_ = least != NO_RANK
@@ -159,8 +206,8 @@ class Encoder:
         def flush() -> None:
             if len(self.known) > KNOWN:
                 self.known.clear()
-            if new := [k for k in set(chain.from_iterable(keys for _, keys in held)) if k not in self.known]:
-                self.learn(new, odd)
+            if new := set(chain.from_iterable(keys for _, keys in held)).difference(self.known):
+                self.learn(list(new), odd)
             for i, keys in held:
                 out[i].append(b"".join(map(self.known.__getitem__, keys)))
             held.clear()
@@ -181,8 +228,8 @@ class Encoder:
         return [b"".join(x) for x in out]
 
 
-SPACE_BYTE = regex.compile(rb"[\x20\x09-\x0D]")
-WORDS = regex.compile(r"[^\x20\x09-\x0D]+")
+SPACE_BYTE = re.compile(rb"[\x20\x09-\x0D]")
+WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 _ENCODERS: dict[int, Encoder] = {}
 
 

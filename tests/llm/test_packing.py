@@ -41,6 +41,14 @@ def test_ids_equal_the_library(library, monkeypatch):
     assert got == [library.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_pair_table():
+    rng = np.random.default_rng(0)
+    keys = np.unique(rng.integers(0, 5000, 3000)) << 20
+    table = packing.PairTable(keys)
+    asked = np.r_[keys, rng.integers(0, 5000, 3000) << 20, [-2, 7]]
+    assert table.find(asked).tolist() == [int(np.flatnonzero(keys == k)[0]) if k in keys else -1 for k in asked]
+
+
 def lay(plan, histogram):
     """Every piece at its place: sequences as lists of (offset, length)."""
     out = defaultdict(list)
