@@ -170,14 +170,24 @@ def g13(spark, sf):
 BINARY = {"WT": 0, "AMERICA": 1, "ASIA": 1, "EUROPE": 1, "sporadic": 1}
 
 
+#: Draws of a line in the two-level scorers: cells an epoch, and epochs.
+DRAWS, EPOCHS = 50, 4
+SETTINGS = [0.02, 0.05, 0.1, 0.2, 0.5, 1.0, 2.0, 5.0]
+REPLICATES = 50
+
+
+def _two_level_params(mapping, model):
+    loader = {"response_map": {"Mutations": mapping}, "n_cells": DRAWS}
+    return {"analysis": {"MAP": {"model": {"MultiAntibody": {**model, "train": {"n_epochs": EPOCHS}}}, "seed": 47, "fitter": "sample_split", "response": "Mutations", "data_loader": loader}}}
+
+
 @query("g14_stability_grid")
 def g14(spark, sf):
-    """Settings x replicates of the two-level scorer over all groups, as one long metric table."""
-    params = {"analysis": {"MAP": {"data_loader": {"response_map": {"Mutations": BINARY}}}}}
-    rows = cells(spark, sf).withColumn("Nucleus_Intensity", F.col("Nucleus_Intensity") / 1000)
-    parts = MarkerScreens.split(rows, wells(spark, sf), params)
-    grid = [r.asDict() for r in parameter_grid(spark, C=[0.5, 5.0]).collect()]
-    return stability(parts, params, grid, replicates=1)
+    """Eight settings x 50 replicates of the two-level scorer over all groups, as one long metric table."""
+    params = _two_level_params(BINARY, {})
+    parts = MarkerScreens.split(cells(spark, sf, key=True), wells(spark, sf), params)
+    grid = [r.asDict() for r in parameter_grid(spark, C=SETTINGS).collect()]
+    return rounded(stability(parts, params, grid, replicates=REPLICATES), 4)
 
 
 def _map_params(model, fitter, mapping=None, **extra):
@@ -342,13 +352,13 @@ def h04(spark, sf):
 
 @query("h05_two_level_scorer")
 def h05(spark, sf):
-    """Cell models per marker, pooled per line, line model on top; held-out halves."""
-    params = _map_params({"MultiAntibody": {}}, "sample_split", {"WT": 0, "ASIA": 1, "sporadic": 1})
-    meta = wells(spark, sf).filter(F.col("Mutations").isin("WT", "ASIA", "sporadic"))
-    rows = cells(spark, sf).withColumn("Nucleus_Intensity", F.col("Nucleus_Intensity") / 1000)
-    parts = MarkerScreens.split(rows, meta, params)
-    out = MAP(parts).fit().make_table()
-    return rounded(out.select("Class_0", "Class_1", "CellLines", "True", "Half"), 4)
+    """Cell models per marker, pooled per line, line model on top, all mutations against wild type; held-out halves. As many
+    draws of every line, as many lines of every mutation."""
+    params = _two_level_params(BINARY, {})
+    parts = MarkerScreens.split(cells(spark, sf, key=True), wells(spark, sf), params)
+    fit = MAP(parts).fit()
+    out = fit.make_table()
+    return _collected(spark, rounded(out.select("Class_0", "Class_1", "CellLines", "True", "Half"), 4), [fit.fitted])
 
 
 def _ridge_sql(select: str) -> str:

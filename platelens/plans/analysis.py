@@ -7,13 +7,17 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from platelens.functions.metrics import binary_metrics
+from platelens.functions.sizing import join_bounded, kept
 from platelens.operators.joins import union_all
+from platelens.plans import folds as fold_tables
+from platelens.plans.balance import upsampled_lines
 from platelens.plans.components import profile_components
-from platelens.plans.fitters import FITTERS, FitResult, _Task, run_parallel
-from platelens.plans.manyfits import TooFewClasses
-from platelens.plans.scorers import SCORERS, MultiAntibody
+from platelens.plans.fitters import FITTERS, FitResult, _map_params, _Task
+from platelens.plans.scorers import SCORERS
+from platelens.plans.twolevel import fit_two_levels, long_probabilities, with_entropy
 
 
 class PCA:
@@ -77,46 +81,40 @@ def parameter_grid(spark: SparkSession, **axes: Sequence) -> DataFrame:
 def stability(screen, params: Mapping, grid: Sequence[Mapping], replicates: int, positive: int = 1) -> DataFrame:
     """Metrics of every setting and replicate: (replicate, group, metric, value, settings...).
 
-    Every replicate splits the lines in halves with its own seed, trains both ways and pools the held-out tables.
-    ``Reason`` is null, or names the half that has no two classes to train on: metrics are then of the other model's
-    held-out lines alone, and a replicate without any model has one row without metrics.
+    Every replicate splits the lines in halves with its own seed, trains both ways and pools the held-out tables. All
+    replicates and halves are folds of one run, and settings (of the line model) share its cell models, so the cells are
+    read as often as for a single fold. ``Reason`` is null, or names the half that has no two classes to train on: metrics
+    are then of the other model's held-out lines alone, and a replicate without any model has one row without metrics.
     """
-    from platelens.plans import folds as fold_tables
-
     task = _Task.of(screen, params)
-    runs = [(setting, rep) for setting in grid for rep in range(replicates)]
-
-    def run(job) -> DataFrame:
-        setting, rep = job
-        halves = fold_tables.reciprocal_halves(task.wells, 1, rep).filter(F.col("role") == "train")
-        rows = halves.select("half", "CellLines").collect()
-        first, second = (sorted(r["CellLines"] for r in rows if r["half"] == h) for h in (0, 1))
-        parts, lost = [], []
-        for half, (train, test) in enumerate(((first, second), (second, first))):
-            try:
-                model = MultiAntibody(dict(setting), rep).fit(task.training(train), task.features)
-            except TooFewClasses as e:
-                lost.append(f"half {half}: {e}")
-                continue
-            parts.append(model.evaluate(task.part(test, True)))
-        reason = F.lit("; ".join(lost) or None).cast("string").alias("Reason")
-        named = [F.lit(rep).alias("random_seed"), *[F.lit(v).alias(k) for k, v in setting.items()], reason]
-        if not parts:
-            return rep, named
-        table = union_all(parts)
-        sources = [c for c in table.columns if c.startswith(f"class_{positive}_")]
-        long = table.select("True", *sources).unpivot(["True"], sources, "group", "score")
-        long = long.withColumn("group", F.regexp_replace("group", rf"^class_{positive}_", ""))
-        return binary_metrics(long, ["group"]).select(F.lit(rep + 1).alias("replicate"), "*", *named)
-
-    spark = task.wells.sparkSession
-    done = run_parallel(spark, run, runs, params)
-    like = next((t for t in done if isinstance(t, DataFrame)), None)
-    if like is None:
+    spark, seed = task.wells.sparkSession, _map_params(params).get("seed", 47)
+    kinds = dict(task.lines())
+    tables = [fold_tables.reciprocal_halves(task.wells, 1, rep).filter("role = 'train'").select(F.lit(rep).alias("rep"), "half", "CellLines") for rep in range(replicates)]
+    halves: dict[tuple[int, int], list[str]] = {(rep, half): [] for rep in range(replicates) for half in (0, 1)}
+    for r in union_all(tables).collect():  # lines x replicates
+        halves[r["rep"], r["half"]].append(r["CellLines"])
+    folds = list(halves)
+    trained = [upsampled_lines([(line, kinds[line]) for line in halves[f]], seed) for f in folds]
+    fitted = fit_two_levels(task.train, task.features, trained, grid, seed, task.rows)
+    for df in task.cached:
+        df.unpersist()
+    models = [own[0] for own in fitted.models]
+    if all(isinstance(m, str) for m in models):
         raise ValueError("no replicate has two classes to train on")
-
-    def without(rep: int, named: Sequence) -> DataFrame:
-        empty = [F.lit(None).cast(like.schema[c].dataType).alias(c) for c in ("group", "metric", "value")]
-        return spark.range(1).select(F.lit(rep + 1).alias("replicate"), *empty, *named)
-
-    return union_all([t if isinstance(t, DataFrame) else without(*t) for t in done])
+    lost: dict[int, list[str]] = {rep: [] for rep in range(replicates)}
+    for (rep, half), m in zip(folds, models, strict=True):
+        if isinstance(m, str):
+            lost[rep].append(f"half {half}: {m}")
+    test = [(f, line, rep) for f, (rep, half) in enumerate(folds) for line in halves[rep, 1 - half]]
+    held = spark.createDataFrame(test, "_fold int, CellLines string, _rep int")
+    classes = max(len(m[1].classes) for m in models if not isinstance(m, str))
+    scored = join_bounded(fitted.scored(), held, ["_fold", "CellLines"], rows=len(test))
+    keys = ["_setting", "_rep"]
+    long = with_entropy(long_probabilities(scored, fitted.markers, keys), classes, keys).filter(F.col("class") == positive)
+    long = long.select(*keys, F.col("source").alias("group"), "True", F.col("p").alias("score"))
+    metrics = binary_metrics(kept(long), [*keys, "group"])
+    names = [(rep, s, *setting.values(), "; ".join(lost[rep]) or None) for rep in range(replicates) for s, setting in enumerate(grid)]
+    like = parameter_grid(spark, **{k: [v] for k, v in grid[0].items()}).schema
+    run = spark.createDataFrame(names, StructType([StructField("_rep", IntegerType()), StructField("_setting", IntegerType()), *like.fields, StructField("Reason", StringType())]))
+    out = F.broadcast(run).join(metrics, keys, "left")
+    return out.select((F.col("_rep") + 1).alias("replicate"), "group", "metric", "value", F.col("_rep").alias("random_seed"), *grid[0], "Reason")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from hashlib import md5
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,6 +37,34 @@ def cells_per_line(cells: DataFrame, keys: Sequence[str], n: int, seed=47, key:
     return out.select(*[F.col(c) if c in keys else F.col(f"_d.row.{c}").alias(c) for c in names], "_d.draw")
 
 
+def line_draws(cells: DataFrame, n: int, epochs: int = 1, seed=47, key: str = "cell_key", line: str = "CellLines") -> DataFrame:
+    """``n`` cells of every line for each of ``epochs``, as cells with ``copies``: how often each is drawn.
+
+    The epochs take their blocks of ``n`` one after another from the line's cells in seeded order, and begin again where a
+    line has no more; so a line of any size counts ``n`` x ``epochs``, and no cell is drawn twice before all are once. Two
+    numbers of a line decide: its size, and the place in the order up to which cells are drawn once more."""
+    want = n * epochs
+    rows = cells.withColumn("_o", hash_number(hash_order(F.col(key), seed)))
+    rank = lambda m: F.when(m >= want, F.lit(want)).otherwise(F.pmod(F.lit(want), m))
+    place = lambda m: F.when((m > 1) & (rank(m) > 0), (rank(m) - 1) / (m - 1)).otherwise(0.0)
+    cut = grouped_quantiles(rows, [line], {"_cut": ("_o", place)}, NEAREST)
+    sizes = rows.groupBy(line).agg(F.count(F.lit(1)).alias("_n"))
+    told = join_bounded(join_bounded(rows, sizes, line), cut, line)
+    more = (F.col("_o") <= F.col("_cut")) & (rank(F.col("_n")) > 0)
+    whole = F.when(F.col("_n") >= want, 0).otherwise(F.floor(F.lit(want) / F.col("_n")))
+    return told.withColumn("copies", (whole + more.cast("int")).cast("int")).filter("copies > 0").drop("_o", "_n", "_cut")
+
+
+def upsampled_lines(lines: Sequence[tuple[str, str]], seed=47) -> list[str]:
+    """``upsample_lines`` for (line, class) pairs on the driver: names with their repeats."""
+    of: dict[str, list[str]] = {}
+    for name, kind in sorted(set(lines), key=lambda x: (md5(f"{x[0]}|{seed}".encode()).hexdigest()[:13], x[0])):
+        of.setdefault(kind, []).append(name)
+    most = max(map(len, of.values()), default=0)
+    extra = [names[int(md5(f"{kind}|{copy}|{seed}".encode()).hexdigest()[:13], 16) % len(names)] for kind, names in of.items() for copy in range(1, most - len(names) + 1)]
+    return sorted([name for names in of.values() for name in names] + extra)
+
+
 def repeated_draws(cells: DataFrame, keys: Sequence[str], n: int, reps: int, seed=47, key: str = "cell_key"):
     """At most ``n`` cells per group in each of ``reps`` independent seeded draws; only key columns are replicated."""
     profile = profile_groups(cells, keys)

@@ -25,10 +25,12 @@ from platelens.functions.sizing import join_bounded
 from platelens.operators.joins import union_all
 from platelens.operators.ordering import centre_at_half
 from platelens.plans import folds as fold_tables
+from platelens.plans.balance import line_draws, upsampled_lines
 from platelens.plans.folds import SPORADIC, WILD_TYPE
 from platelens.plans.labels import encode_labels, encode_wild_type_first
 from platelens.plans.manyfits import TooFewClasses, member_table
 from platelens.plans.scorers import MultiAntibody, Scorer, importance_table
+from platelens.plans.twolevel import class_columns, fit_two_levels
 from platelens.screen import MarkerScreens, Screen
 
 FITTERS: dict[str, Callable] = {}
@@ -94,19 +96,24 @@ class _Task:
         rows, train, features, wells, cached = {}, {}, {}, [], []
         bound = (_map_params(params).get("data_loader") or {}).get("training_cells")
         limit = _training_cells(params) if multi or bound is not None else None
+        draws = _draws(params) if multi and bound is None else None
+        limit = None if draws is not None else limit
         for m, s in screens.items():
             labelled = _labels(s, params)
             wells.append(labelled)
             short = labelled.select("ID", "CellLines", "Mutations", "label")
             cells = s.cells.drop("CellLines", "Mutations")
             rows[m] = train[m] = join_bounded(cells, short, "ID", rows=s.bounds().groups)
-            if limit is not None:
+            if limit is not None or draws is not None:
                 if "cell_key" not in rows[m].columns:
                     raise ValueError("data_loader.n_cells draws cells by their cell_key, which these cells don't have")
+            if limit is not None:
                 train[m] = _line_sample(rows[m], limit, _map_params(params).get("seed", 47))
+            if draws is not None:
+                train[m] = line_draws(rows[m], *draws, _map_params(params).get("seed", 47))
             if _map_params(params).get("persist", True):
                 train[m] = train[m].persist(StorageLevel.MEMORY_AND_DISK)
-                rows[m] = train[m] if limit is None else rows[m]
+                rows[m] = train[m] if limit is None and draws is None else rows[m]
                 cached.append(train[m])
             features[m] = s.features
         return cls(rows, train, features, union_all(wells), multi, cached)
@@ -123,6 +130,12 @@ class _Task:
         return {m: df.filter(hit if inside else ~hit) for m, df in self.rows.items()}
 
 
+def _draws(params: Mapping) -> tuple[int, int] | None:
+    """Cells drawn of every line, and how many times over: ``data_loader.n_cells`` and the model's ``train.n_epochs``."""
+    n = (_map_params(params).get("data_loader") or {}).get("n_cells")
+    return None if n is None else (int(n), _training_cells(params) // int(n))
+
+
 def _training_cells(params: Mapping) -> int | None:
     """Cells of a line that training looks at, at most: ``data_loader.training_cells``, or else ``data_loader.n_cells``
     for each of ``train.n_epochs``. Without either, all cells train; ``n_cells`` without ``n_epochs`` is an error."""
@@ -291,9 +304,36 @@ def _fit_at_once(task: _Task, make, folds: Sequence[_Fold]) -> tuple[list, DataF
     return models, named.drop("_fold")
 
 
+def _two_levels(task: _Task, make, folds: Sequence[_Fold], params) -> FitResult:
+    """Two-level models of all folds at once, and the held-out lines of each, highest Class_0 first."""
+    like = make()
+    kinds = dict(task.lines())
+    seed = _map_params(params).get("seed", 47)
+    trained = [upsampled_lines([(line, kinds[line]) for line in f.lines], seed) if like.options.get("upsample", True) else f.lines for f in folds]
+    fitted = fit_two_levels(task.train, task.features, trained, [like.options], like.seed, task.rows)
+    models = [None if isinstance(own[0], str) else make().take(own[0]) for own in fitted.models]
+    if not any(models):
+        raise ValueError("no fold has two classes to train on")
+    spark = task.wells.sparkSession
+    lines = task.wells.select("CellLines", F.col("label").alias("_label")).distinct()
+    names = [(f, *fold.names.values(), own[0] if isinstance(own[0], str) else None) for f, (fold, own) in enumerate(zip(folds, fitted.models, strict=True))]
+    schema = StructType([StructField("_fold", IntegerType()), *(StructField(n, IntegerType() if isinstance(v, int) else StringType()) for n, v in folds[0].names.items()), StructField("Reason", StringType())])
+    mine = [(f, line) for f, fold in enumerate(folds) for line in fold.lines]
+    named = spark.createDataFrame(names, schema)
+    held = join_bounded(lines.withColumn("_fold", F.explode(F.sequence(F.lit(0), F.lit(len(folds) - 1)))), named, "_fold", rows=len(names))
+    held = join_bounded(held, spark.createDataFrame(mine, "_fold int, CellLines string"), ["_fold", "CellLines"], "left_anti", rows=len(mine))
+    classes = max(len(m.line_model.classes) for m in models if m is not None)
+    scored = class_columns(fitted.scored(), classes).drop("p", "agg", "_setting")
+    out = held.join(scored.withColumn("_scored", F.lit(True)), ["_fold", "CellLines"], "left").filter("_scored or Reason is not null")
+    wide = out.select(*[f"Class_{i}" for i in range(classes)], "CellLines", F.coalesce("label", "_label").alias("True"), *folds[0].names, "Reason")
+    return _result(folds, models, wide.orderBy(*folds[0].names, F.desc("Class_0")), task)
+
+
 def _fold_run(plan: Callable[..., list[_Fold]], screen, make, params, holdout=()) -> FitResult:
     task = _Task.of(screen, params)
     folds = plan(task, params, None, holdout)
+    if task.multi and isinstance(make(), MultiAntibody):
+        return _two_levels(task, make, folds, params)
     if task.multi or not make().many:
         return _run_folds(task, make, params, folds)
     models, predicted = _fit_at_once(task, make, folds)
@@ -304,6 +344,8 @@ def _per_mutation(plan: Callable[..., list[_Fold]], screen, make, params) -> dic
     """A run for each mutation; the cells are prepared once, and folds of all mutations are fitted together if they can."""
     task = _Task.of(screen, params)
     folds = {m: plan(task, params, m, ()) for m in fold_tables.model_genetics(screen.wells)}
+    if task.multi and isinstance(make(), MultiAntibody):
+        return {m: _two_levels(task, make, own, params) for m, own in folds.items()}
     if task.multi or not make().many:
         return {m: _run_folds(task, make, params, own) for m, own in folds.items()}
     every = [_Fold({**f.names, "ModelGenetics": m}, f.lines) for m, own in folds.items() for f in own]

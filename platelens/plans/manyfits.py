@@ -85,18 +85,18 @@ class _State:
 # --- passes
 
 
-Rows = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]  # y, member (cell x fold), order, x
+Rows = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]  # y, times (cell x fold), order, x, copies
 
 
 def _read(batch: pa.RecordBatch, folds: int) -> Rows:
     y = batch.column("y").to_numpy(zero_copy_only=False)
     n = batch.num_rows
-    bits = np.frombuffer(b"".join(batch.column("member").to_pylist()), dtype=np.uint8).reshape(n, -1)
-    member = np.unpackbits(bits, axis=1, count=folds).astype(bool)
+    raw = np.frombuffer(b"".join(batch.column("member").to_pylist()), dtype=np.uint8).reshape(n, -1)
+    member = raw.view("<u2") if raw.shape[1] > (folds + 7) // 8 else np.unpackbits(raw, axis=1, count=folds)
     x = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
     if not np.isfinite(x).all():
         raise ValueError("a training cell lacks a feature")
-    return y, member, batch.column("o").to_numpy(), x
+    return y, member, batch.column("o").to_numpy(), x, batch.column("copies").to_numpy()
 
 
 @dataclass
@@ -164,8 +164,8 @@ def _arrays(sums: Mapping[int, np.ndarray]) -> pa.RecordBatch:
 
 def _chosen(rows: Rows, f: int, s: _State) -> np.ndarray:
     """Cells of a fold's training set."""
-    y, member, o, _ = rows
-    keep = member[:, f]
+    y, member, o, _, _ = rows
+    keep = member[:, f] > 0
     if s.cut is not None:
         keep = keep & (o <= s.cut[f][y])
     return np.flatnonzero(keep)
@@ -176,11 +176,11 @@ def _chosen(rows: Rows, f: int, s: _State) -> np.ndarray:
 
 def class_sizes(packed: Packed, labels: int) -> np.ndarray:
     def part(rows: Rows, f: int) -> np.ndarray:
-        return np.bincount(rows[0][rows[1][:, f]], minlength=labels).astype(np.float64)
+        return np.bincount(rows[0], rows[1][:, f] * rows[4], labels)
 
     m = packed.folds
     found = fold_sums(packed, range(m), labels, part)
-    return np.array([found.get(f, np.zeros(labels)) for f in range(m)]).reshape(m, labels).astype(np.int64)
+    return np.array([found.get(f, np.zeros(labels)) for f in range(m)]).reshape(m, labels).round().astype(np.int64)
 
 
 def class_cuts(packed: Packed, sizes: np.ndarray, most: int | None = None) -> np.ndarray:
@@ -200,8 +200,8 @@ def class_cuts(packed: Packed, sizes: np.ndarray, most: int | None = None) -> np
         now, goal, done = open_.copy(), left.copy(), prefix.copy()
 
         def part(rows: Rows, f: int, now=now, done=done, shift=shift) -> np.ndarray | None:
-            y, member, o, _ = rows
-            keep = member[:, f] & now[f][y]
+            y, member, o, _, _ = rows
+            keep = (member[:, f] > 0) & now[f][y]
             keep[keep] = (o[keep] >> (shift + DIGIT)) == done[f][y[keep]]
             at = np.flatnonzero(keep)
             return np.bincount(y[at] * base + ((o[at] >> shift) & (base - 1)), minlength=labels * base).astype(np.float64) if len(at) else None
@@ -238,7 +238,7 @@ def _scaling(packed: Packed, s: _State, folds: Sequence[int], d: int) -> None:
             return None
         y, x = rows[0][at], rows[3][at]
         hot = np.zeros((labels, len(at)))
-        hot[y, np.arange(len(at))] = 1.0
+        hot[y, np.arange(len(at))] = rows[1][at, f] * rows[4][at]
         return np.concatenate([hot.sum(axis=1), (hot @ x).ravel(), (hot @ (x * x)).ravel()])
 
     found = fold_sums(packed, folds, labels * (1 + 2 * d), part)
@@ -363,45 +363,141 @@ def fit_local(x: np.ndarray, y: np.ndarray, w: np.ndarray, k: int, penalty: floa
     return descent.best, descent.gradient
 
 
+def fit_rows(features: Sequence[str], x: np.ndarray, y: Sequence, w: np.ndarray, penalties: Sequence[float]) -> list[FoldModel] | str:
+    """Models of a few rows in memory, one for each penalty (C): classes weigh equally, features are scaled as in
+    ``fit_folds``. Why there is none, with fewer than two classes."""
+    classes, code = np.unique(y, return_inverse=True)
+    if len(classes) < 2:
+        return f"training rows hold {len(classes)} class(es)"
+    n = np.bincount(code, w)
+    w = w * (n.max() / n)[code]
+    means = np.array([np.average(x[code == c], axis=0, weights=w[code == c]) for c in range(len(classes))])
+    centre = means.mean(axis=0)
+    spread = np.sqrt(np.average((x - centre) ** 2, axis=0, weights=w))
+    spread = np.where(spread > CONSTANT * np.maximum(1.0, np.abs(centre)), spread, 1.0)
+    out = []
+    for c in penalties:
+        theta, gradient = fit_local((x - centre) / spread, code, w, len(classes), 1.0 / c)
+        out.append(FoldModel(list(features), classes.tolist(), centre.tolist(), spread.tolist(), theta[:, :-1], theta[:, -1] - theta[:, -1].mean(), gradient, 0))
+    return out
+
+
+def line_sums(rows: DataFrame, models: Sequence[FoldModel | str]) -> DataFrame:
+    """For every line (``CellLines``, ``label``) and fold with a model: the mean logits ``z`` and probabilities ``p`` of its
+    cells, in class order. One scan for all folds; a task adds up lines and hands on one array for each."""
+    fitted = [(f, *m.plain()) for f, m in enumerate(models) if isinstance(m, FoldModel)]
+    features = next(m.features for m in models if isinstance(m, FoldModel))
+    weights, base = np.concatenate([c for _, c, _ in fitted]), np.concatenate([b for _, _, b in fitted])
+    if weights.nbytes > COEFFICIENT_BYTES:
+        raise ValueError("the coefficients of all folds are too large to be sent to every task; use fewer folds at a time")
+    edges = np.cumsum([0, *(len(b) for _, _, b in fitted)])
+    shared = rows.sparkSession.sparkContext.broadcast((weights, base))
+    label = rows.schema["label"].dataType.simpleString()
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights, base = shared.value
+        sums: dict[tuple, np.ndarray] = {}
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([k[0] for k in sums], pa.string()), pa.array([k[1] for k in sums], kind), pa.array([v.tobytes() for v in sums.values()], pa.binary())], ["CellLines", "label", "v"])
+
+        kind = None
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            kind = batch.column("label").type
+            x = batch.column("_x").flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
+            if not np.isfinite(x).all():
+                raise ValueError("a cell to score lacks a feature")
+            z = x @ weights.T + base
+            p = np.concatenate([softmax(z[:, a:b])[0] for a, b in zip(edges[:-1], edges[1:], strict=True)], axis=1)
+            both = np.concatenate([z, p, np.ones((n, 1))], axis=1)
+            keys = list(zip(batch.column("CellLines").to_pylist(), batch.column("label").to_pylist(), strict=True))
+            number = {k: i for i, k in enumerate(dict.fromkeys(keys))}
+            of = np.array([number[k] for k in keys])
+            hot = np.zeros((len(number), n))
+            hot[of, np.arange(n)] = 1.0
+            for k, v in zip(number, hot @ both, strict=True):
+                sums[k] = sums[k] + v if k in sums else v
+            if len(sums) * both.shape[1] > NUMBERS:
+                yield out()
+                sums = {}
+        if sums:
+            yield out()
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, total, kind = None, np.zeros(0), None
+
+        def out() -> pa.RecordBatch:
+            z, p = (total[:-1] / total[-1]).reshape(2, -1)
+            cut = lambda v: [v[a:b].tolist() for a, b in zip(edges[:-1], edges[1:], strict=True)]
+            n = len(fitted)
+            return pa.RecordBatch.from_arrays([pa.array([current[0]] * n, pa.string()), pa.array([current[1]] * n, kind), pa.array([f for f, _, _ in fitted], pa.int32()),
+                                               pa.array(cut(z), pa.list_(pa.float64())), pa.array(cut(p), pa.list_(pa.float64()))], ["CellLines", "label", "_fold", "z", "p"])
+
+        for batch in batches:
+            kind = batch.column("label").type
+            for line, own, raw in zip(batch.column("CellLines").to_pylist(), batch.column("label").to_pylist(), batch.column("v"), strict=True):
+                v = np.frombuffer(raw.as_buffer(), dtype=np.float64)
+                if (line, own) == current:
+                    total += v
+                    continue
+                if current is not None:
+                    yield out()
+                current, total = (line, own), v.copy()
+        if current is not None:
+            yield out()
+
+    given = rows.select("CellLines", "label", F.array(*[quoted(c).cast("double") for c in features]).alias("_x"))
+    parts = given.mapInArrow(task, f"CellLines string, label {label}, v binary").repartition("CellLines", "label").sortWithinPartitions("CellLines", "label")
+    return parts.mapInArrow(added, f"CellLines string, label {label}, _fold int, z array<double>, p array<double>")
+
+
 # --- all together
 
 
-def member_table(spark, folds: Sequence[Sequence[str]]) -> tuple[DataFrame, int]:
-    """(CellLines, member): bit f is set where fold f trains on the line; and the rows to allow for in a broadcast, in
-    units of ordinary rows."""
+def member_table(spark, folds: Sequence[Sequence[str]], times: bool = False) -> tuple[DataFrame, int]:
+    """(CellLines, member): bit f is set where fold f trains on the line, or with ``times`` the number of times that it names
+    the line (two bytes for each fold); and the rows to allow for in a broadcast, in units of ordinary rows."""
     of_line: dict[str, np.ndarray] = {}
     for f, lines in enumerate(folds):
         for line in lines:
-            of_line.setdefault(line, np.zeros(len(folds), dtype=bool))[f] = True
-    rows = [(line, bytearray(np.packbits(bits).tobytes())) for line, bits in of_line.items()]
-    return spark.createDataFrame(rows, "CellLines string, member binary"), len(rows) * (1 + len(folds) // 512)
+            of_line.setdefault(line, np.zeros(max(len(folds), 2) if times else len(folds), dtype="<u2"))[f] += 1
+    rows = [(line, bytearray(n.tobytes() if times else np.packbits(n > 0).tobytes())) for line, n in of_line.items()]
+    return spark.createDataFrame(rows, "CellLines string, member binary"), len(rows) * (1 + len(folds) // (32 if times else 512))
 
 
 def pack(rows: DataFrame, features: Sequence[str], labels: Sequence, seed, mean: Sequence[float], deviation: Sequence[float], folds: int) -> Packed:
-    """Training cells as ``y`` (number of the label), ``member`` (bits of the folds of the line), ``o`` (place in the seeded
-    order) and ``x``, kept."""
+    """Training cells as ``y`` (number of the label), ``member`` (the folds of the line), ``o`` (place in the seeded order),
+    ``x`` and ``copies`` (1 without such a column), kept."""
     code = F.create_map(*[z for i, c in enumerate(labels) for z in (F.lit(c), F.lit(i))])
     order = hash_number(hash_order(F.col("cell_key"), seed)).cast("long") if "cell_key" in rows.columns else F.lit(0).cast("long")
+    copies = F.col("copies").cast("double") if "copies" in rows.columns else F.lit(1.0)
     x = F.array(*[(quoted(c).cast("double") - F.lit(float(m))) / F.lit(float(s)) for c, m, s in zip(features, mean, deviation, strict=True)])
-    cells = rows.select(F.element_at(code, F.col("label")).alias("y"), "member", order.alias("o"), x.alias("x")).persist(StorageLevel.MEMORY_AND_DISK)
+    cells = rows.select(F.element_at(code, F.col("label")).alias("y"), "member", order.alias("o"), x.alias("x"), copies.alias("copies")).persist(StorageLevel.MEMORY_AND_DISK)
     return Packed(cells, folds, cells.rdd.getNumPartitions())
 
 
 def fit_folds(rows: DataFrame, features: Sequence[str], folds: Sequence[Sequence[str]] | None, options: Mapping | None = None, seed: int = 47) -> list[FoldModel | str]:
     """The model of every fold (given by its training lines), or why there is none. Without ``folds`` there is one, of all
     rows. ``rows``: cells with ``CellLines``, ``label`` and the features; with ``balance`` 'down' (as by default) also
-    ``cell_key``.
+    ``cell_key``. A column ``copies`` counts a cell so many times, and a line that a fold names more than once counts as
+    often; neither goes with 'down'.
 
     Options: ``C``, ``balance``, ``max_iter``, ``tol``. The number of passes does not depend on the number of folds."""
     options = dict(options or {})
     down = options.get("balance", "down") == "down"
+    times = any(len(set(lines)) < len(lines) for lines in folds or ())
+    if down and (times or "copies" in rows.columns):
+        raise ValueError("copies of cells and lines need balance 'weights'")
     if down and "cell_key" not in rows.columns:
         raise ValueError("balance 'down' draws cells by their cell_key; add one, or set balance to 'weights'")
     features = list(features)
     if folds is None:
         rows = rows.withColumn("member", F.lit(bytearray(b"\x80")))
     else:
-        table, bound = member_table(rows.sparkSession, folds)
+        table, bound = member_table(rows.sparkSession, folds, times)
         rows = join_bounded(rows, table, "CellLines", rows=bound)
     moments = rows.agg(F.array_sort(F.collect_set("label")).alias("labels"), F.array(*[F.avg(quoted(c)) for c in features]).alias("m"),
                        F.array(*[F.stddev_pop(quoted(c)) for c in features]).alias("s")).first()
@@ -444,7 +540,7 @@ def _fitted(packed, features, labels, mean, deviation, down, options) -> list[Fo
             coef = t[:, :-1] / s.spread[f]
             code = np.cumsum(s.present[f]) - 1
             y = rows[0][at]
-            return loss_parts(rows[3][at], code[y], s.weight[f][y], coef, t[:, -1] - coef @ s.centre[f])
+            return loss_parts(rows[3][at], code[y], s.weight[f][y] * rows[1][at, f] * rows[4][at], coef, t[:, -1] - coef @ s.centre[f])
 
         def finish(f: int, v: np.ndarray, theta=theta) -> np.ndarray:
             objective, gradient, step = newton_step(v, theta[f], s.centre[f], s.spread[f], penalty)

@@ -10,11 +10,11 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from platelens.functions.sizing import as_local, join_bounded
+from platelens.functions.sizing import join_bounded
 from platelens.operators.features import quoted
 from platelens.plans.forest import Forest, fit_forests, score_forests
-from platelens.plans.fusion import entropy_weighted, evaluation_table
 from platelens.plans.manyfits import FoldModel, TooFewClasses, fit_folds, score_folds
+from platelens.plans.twolevel import TwoLevels, class_columns, evaluation_of, fit_two_levels
 
 SCORERS: dict[str, type] = {}
 
@@ -150,69 +150,38 @@ class MultiAntibody(Scorer):
     Level 1: one multinomial logistic model of cells per marker. Pooling: mean cell logits per line and marker,
     concatenated over markers in sorted order. Level 2: logistic model of lines on the pooled vector. This is a
     linear re-design for Spark; it does not claim the scores of a neural network.
+
+    Training cells may come with ``copies`` (``balance.line_draws``: as many draws of every line), and a fold may name a
+    line more than once (``balance.upsampled_lines``: as many lines of every class); both count as weights.
     """
 
     def fit(self, rows: Mapping[str, DataFrame], features: Mapping[str, Sequence[str]]) -> MultiAntibody:
-        self.markers = sorted(rows)
-        cell = {"balance": self.options.get("balance", "weights")}
-        self.cell_models = {m: Logistic(cell, self.seed).fit(rows[m], features[m]) for m in self.markers}
-        self.classes = self.cell_models[self.markers[0]].classes
-        pooled = self._pooled(rows).persist()
-        self.line_features = [c for c in pooled.columns if c.startswith("z_")]
-        line = {"balance": "weights", "C": self.options.get("C", 1.0)}
-        self.line_model = Logistic(line, self.seed).fit(pooled, self.line_features)
-        pooled.unpersist()
-        return self
+        (model,) = fit_two_levels(rows, features, None, [self.options], self.seed).models[0]
+        return self.take(model)
 
-    def take_parts(self, cells: Mapping[str, FoldModel], line: FoldModel) -> MultiAntibody:
+    def take(self, parts: tuple[dict[str, FoldModel], FoldModel] | str) -> MultiAntibody:
         """Become a fitted scorer of these models."""
+        if isinstance(parts, str):
+            raise TooFewClasses(parts)
+        cells, line = parts
         self.markers = sorted(cells)
         self.cell_models = {m: Logistic({}, self.seed).take(cells[m]) for m in self.markers}
         self.classes, self.line_features = self.cell_models[self.markers[0]].classes, line.features
         self.line_model = Logistic({}, self.seed).take(line)
         return self
 
-    def _pooled(self, rows: Mapping[str, DataFrame]) -> DataFrame:
-        """One row per line present in every marker set."""
-        out = None
-        for j, m in enumerate(self.markers):
-            k = len(self.cell_models[m].classes)
-            scored = self.cell_models[m].logits(rows[m])
-            means = scored.groupBy("CellLines").agg(
-                F.min("label").alias("label" if out is None else "_label"),
-                *[F.avg(F.col("_z")[i]).alias(f"z_{j}_{i}") for i in range(k)],
-                *[F.avg(F.col("_p")[i]).alias(f"p_{j}_{i}") for i in range(k)],
-            )
-            out = means if out is None else out.join(means.drop("_label"), "CellLines")
-        return out
+    def scored(self, rows: Mapping[str, DataFrame]) -> DataFrame:
+        """The lines of ``rows`` as ``TwoLevels.scored`` gives them."""
+        return TwoLevels(self.markers, [[(({m: c.model for m, c in self.cell_models.items()}), self.line_model.model)]]).scored(rows)
 
     def predict(self, rows: Mapping[str, DataFrame]) -> DataFrame:
         """``Class_i``, ``CellLines``, ``True``, highest Class_0 first."""
-        scored = self.line_model.predict(self._pooled(rows))
-        cols = [F.col(f"Ypred{i}").alias(f"Class_{i}") for i in range(len(self.line_model.classes))]
-        return scored.select(*cols, "CellLines", F.col("label").alias("True")).orderBy(F.desc("Class_0"))
+        return class_columns(self.scored(rows), len(self.line_model.classes)).select(
+            *[f"Class_{i}" for i in range(len(self.line_model.classes))], "CellLines", F.col("label").alias("True")).orderBy(F.desc("Class_0"))
 
     def evaluate(self, rows: Mapping[str, DataFrame]) -> DataFrame:
-        """Evaluation table: line-level, entropy-weighted and per-marker probabilities side by side.
-
-        Cells are scored once; the table of pooled lines is then read several times.
-        """
-        scored = self.line_model.predict(self._pooled(rows))
-        scored = as_local(scored) or scored.persist()
-        k = len(self.classes)
-        def long(source: str, names: Sequence[str]) -> DataFrame:
-            pairs = F.array(*[F.struct(F.lit(i).alias("class"), F.col(n).alias("p")) for i, n in enumerate(names)])
-            return scored.select("CellLines", F.col("label").alias("True"), F.lit(source).alias("source"),
-                                 F.inline(pairs))
-        markers = [long(m, [f"p_{j}_{i}" for i in range(k)]) for j, m in enumerate(self.markers)]
-        per_marker = markers[0]
-        for t in markers[1:]:
-            per_marker = per_marker.unionByName(t)
-        agg = long("agg", [f"Ypred{i}" for i in range(k)])
-        fused = entropy_weighted(per_marker.withColumnRenamed("source", "Antibody"), ["CellLines", "True"], k)
-        return evaluation_table(
-            [agg, fused.withColumn("source", F.lit("entropy")), per_marker], k, ["agg", "entropy", *self.markers]
-        )
+        """Evaluation table: line-level, entropy-weighted and per-marker probabilities side by side."""
+        return evaluation_of(self.scored(rows), self.markers, len(self.classes))
 
 
 def importance_table(spark, per_fold: Mapping[str, list[tuple[str, float]]]) -> DataFrame:

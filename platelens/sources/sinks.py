@@ -78,7 +78,7 @@ def load_model(spark: SparkSession, path: str):
         trees = [Tree(t["feature"].to_numpy(dtype=np.int32), t["threshold"].to_numpy(), t["left"].to_numpy(dtype=np.int32), np.stack(t["counts"].to_list())) for _, t in own.groupby("tree")]
         models[r["part"]] = Forest(r["features"], json.loads(r["classes"]), trees, np.array(r["importances"]), list(r["wrong"]))
     if "line" in models:
-        return scorer.take_parts({p.removeprefix("cell:"): m for p, m in models.items() if p != "line"}, models["line"])
+        return scorer.take(({p.removeprefix("cell:"): m for p, m in models.items() if p != "line"}, models["line"]))
     return scorer.take(models["model"])
 
 
