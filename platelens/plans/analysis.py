@@ -89,9 +89,8 @@ def stability(screen, params: Mapping, grid: Sequence[Mapping], replicates: int,
     task = _Task.of(screen, params)
     spark, seed = task.wells.sparkSession, _map_params(params).get("seed", 47)
     kinds = dict(task.lines())
-    tables = [fold_tables.reciprocal_halves(task.wells, 1, rep).filter("role = 'train'").select(F.lit(rep).alias("rep"), "half", "CellLines") for rep in range(replicates)]
     halves: dict[tuple[int, int], list[str]] = {(rep, half): [] for rep in range(replicates) for half in (0, 1)}
-    for r in union_all(tables).collect():  # lines x replicates
+    for r in fold_tables.replicate_halves(task.wells, replicates).filter("role = 'train'").select("rep", "half", "CellLines").collect():  # lines x replicates
         halves[r["rep"], r["half"]].append(r["CellLines"])
     folds = list(halves)
     trained = [upsampled_lines([(line, kinds[line]) for line in halves[f]], seed) for f in folds]

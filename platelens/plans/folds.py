@@ -104,7 +104,17 @@ def reciprocal_halves(wells: DataFrame, reps: int = 1, seed=47, holdout: Sequenc
     A line is in the training set of its own half only, so both models of a repetition predict the holdout lines.
     """
     lines = lines_of(wells).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
-    lines = lines.withColumn("_o", hash_number(hash_order(F.col("CellLines"), seed, F.col("rep"))))
+    return _halves(lines.withColumn("_o", hash_number(hash_order(F.col("CellLines"), seed, F.col("rep")))), holdout)
+
+
+def replicate_halves(wells: DataFrame, replicates: int, holdout: Sequence[str] = ()) -> DataFrame:
+    """The first reciprocal halves under each of the seeds 0, 1, ..., in one table; ``rep`` is the seed."""
+    lines = lines_of(wells).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+    order = F.md5(F.concat_ws("|", "CellLines", F.lit("0"), F.col("rep").cast("string")))
+    return _halves(lines.withColumn("_o", hash_number(order)), holdout)
+
+
+def _halves(lines: DataFrame, holdout: Sequence[str]) -> DataFrame:
     taken = _take_share(lines, 0.5, None, ("rep", "Mutations"))
     held = F.col("Mutations").isin(SPORADIC) | F.coalesce(F.col("CellLines").isin(*holdout), F.lit(False))
     own = F.when(F.col("_in"), 0).otherwise(1)
