@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from platelens.functions.sizing import join_bounded
-from platelens.plans.manyfits import class_cuts, class_sizes, member_table, pack, scan_folds
+from platelens.plans.manyfits import class_cuts, class_sizes, member_table, pack, read_blocks, scan_folds
 
 TREES, MAX_ROWS = 100, 100_000
 CODES = 1 << 16
@@ -221,21 +221,26 @@ def fit_forests(rows: DataFrame, features: Sequence[str], folds: Sequence[Sequen
         cut = class_cuts(packed, sizes, most) if options.get("balance", "down") == "down" else _own_cuts(packed, sizes, most)
         present = sizes > 0
         farthest = np.where(present, cut, -1).max(axis=0)
-        sample = packed.cells.filter(F.col("o") <= F.element_at(F.array(*[F.lit(int(c)) for c in farthest]), F.col("y") + 1))
-        n = sample.count()
+
+        def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for r in (r for batch in batches for r in read_blocks(batch, m)):
+                at = np.flatnonzero(r.o <= farthest[r.y])
+                if len(at):
+                    parts = (r.y[at], r.o[at], r.x[at], np.packbits(r.times[r.pattern[at]] > 0, axis=1))
+                    yield pa.RecordBatch.from_arrays([pa.array([len(at)]), *(pa.array([np.ascontiguousarray(p).tobytes()], pa.binary()) for p in parts)], ["n", "y", "o", "x", "bits"])
+
+        chosen = packed.blocks.mapInArrow(sample, "n long, y binary, o binary, x binary, bits binary")
+        n = chosen.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
         if n * d * 10 > SAMPLE_BYTES:
             raise ValueError(f"{n} training cells of {d} features are too many for one task; lower max_rows or set data_loader.training_cells")
-        held = sample.toArrow()  # bounded by max_rows, classes and folds, and checked
+        held = chosen.toArrow()  # bounded by max_rows, classes and folds, and checked
     finally:
-        packed.cells.unpersist()
-    y, o = (held.column(c).to_numpy().astype(np.int64) for c in ("y", "o"))
-    member = np.unpackbits(np.frombuffer(b"".join(held.column("member").to_pylist()), dtype=np.uint8).reshape(len(y), -1), axis=1, count=m).astype(bool)
-    x = held.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(y), d)
-    if not np.isfinite(x).all():
-        raise ValueError("a training cell lacks a feature")
+        packed.blocks.unpersist()
+    y, o, x, bits = (np.frombuffer(b"".join(held.column(c).to_pylist()), dtype=t) for c, t in (("y", "<i4"), ("o", "<i8"), ("x", "<f8"), ("bits", np.uint8)))
+    x, bits = x.reshape(len(y), d), bits.reshape(len(y), -1)
     order = np.lexsort((*x.T, y, o))  # the same trees however the cells were dealt
     code, values = ranked(x[order])
-    shared = spark.sparkContext.broadcast((code, values, y[order], o[order], np.packbits(member[order], axis=1), present, cut))
+    shared = spark.sparkContext.broadcast((code, values, y[order].astype(np.int64), o[order], bits[order], present, cut))
     kept = np.flatnonzero(present.sum(axis=1) > 1).tolist()
     trees = int(options.get("n_estimators", TREES))
 
@@ -292,6 +297,9 @@ def score_forests(rows: DataFrame, models: Sequence[Forest | str], member: str |
             size = 0
         turns[-1].append(f)
         size += more
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    if rows.rdd.getNumPartitions() < cores:  # a small table in few files: walking trees costs more than moving it
+        rows = rows.repartition(cores)
     out = None
     for turn in turns:
         shared = rows.sparkSession.sparkContext.broadcast({f: models[f] for f in turn if isinstance(models[f], Forest)})

@@ -85,25 +85,58 @@ class _State:
 # --- passes
 
 
-Rows = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]  # y, times (cell x fold), order, x, copies
-
-
-def _read(batch: pa.RecordBatch, folds: int) -> Rows:
-    y = batch.column("y").to_numpy(zero_copy_only=False)
-    n = batch.num_rows
-    raw = np.frombuffer(b"".join(batch.column("member").to_pylist()), dtype=np.uint8).reshape(n, -1)
-    member = raw.view("<u2") if raw.shape[1] > (folds + 7) // 8 else np.unpackbits(raw, axis=1, count=folds)
-    x = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
-    if not np.isfinite(x).all():
-        raise ValueError("a training cell lacks a feature")
-    return y, member, batch.column("o").to_numpy(), x, batch.column("copies").to_numpy()
+@dataclass
+class Rows:
+    """A block of training cells: number of the label, place in the seeded order, features, copies; and the folds of the line
+    of each, by number of a pattern (pattern x fold: how often the fold names the line)."""
+
+    y: np.ndarray
+    o: np.ndarray
+    x: np.ndarray
+    copies: np.ndarray
+    pattern: np.ndarray
+    times: np.ndarray
+
+    def of(self, f: int) -> np.ndarray:
+        """How often a fold names the line of each cell."""
+        return self.times[self.pattern, f]
+
+
+BLOCK = "n int, y binary, o binary, x binary, copies binary, pattern binary, known binary"
+
+
+def _blocks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of cells as blocks of arrays, so that later passes read a few long values."""
+    for batch in batches:
+        n = batch.num_rows
+        if not n:
+            continue
+        x = batch.column("x").flatten().to_numpy(zero_copy_only=False)
+        if not np.isfinite(x).all():
+            raise ValueError("a training cell lacks a feature")
+        patterns = batch.column("member").dictionary_encode()
+        parts = [batch.column("y").to_numpy(zero_copy_only=False).astype("<i4"), batch.column("o").to_numpy(), x, batch.column("copies").to_numpy(),
+                 patterns.indices.to_numpy().astype("<i4")]
+        known = patterns.dictionary.to_pylist()
+        raw = [np.ascontiguousarray(p).tobytes() for p in parts] + [b"".join(known)]
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int32()), *(pa.array([r], pa.binary()) for r in raw)], [c.split()[0] for c in BLOCK.split(", ")])
+
+
+def read_blocks(batch: pa.RecordBatch, folds: int) -> Iterator[Rows]:
+    for i in range(batch.num_rows):
+        n = batch.column("n")[i].as_py()
+        y, o, x, copies, pattern, known = (np.frombuffer(batch.column(c)[i].as_buffer(), dtype=t)
+                                           for c, t in (("y", "<i4"), ("o", "<i8"), ("x", "<f8"), ("copies", "<f8"), ("pattern", "<i4"), ("known", np.uint8)))
+        raw = known.reshape(int(pattern.max()) + 1, -1)
+        times = raw.view("<u2") if raw.shape[1] > (folds + 7) // 8 else np.unpackbits(raw, axis=1, count=folds)
+        yield Rows(y, o, x.reshape(n, -1), copies, pattern, times)
 
 
 @dataclass
 class Packed:
-    """Training cells, kept, with the number of folds that have bits in them and of their partitions."""
+    """Blocks of training cells, kept, with the number of folds that have bits in them and of their partitions."""
 
-    cells: DataFrame
+    blocks: DataFrame
     folds: int
     parts: int
 
@@ -124,12 +157,9 @@ def _one_turn(packed, folds, part, finish) -> dict[int, np.ndarray]:
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            rows = _read(batch, total)
+        for rows in (r for batch in batches for r in read_blocks(batch, total)):
             for f in folds:
-                if rows[1][:, f].any() and (v := part(rows, f)) is not None:
+                if rows.times[:, f].any() and (v := part(rows, f)) is not None:
                     sums[f] = sums[f] + v if f in sums else v
         if sums:
             yield _arrays(sums)
@@ -149,7 +179,7 @@ def _one_turn(packed, folds, part, finish) -> dict[int, np.ndarray]:
             yield _arrays({current: finish(current, sum_) if last else sum_})
 
     schema = "fold int, v binary"
-    sums = packed.cells.mapInArrow(task, schema)
+    sums = packed.blocks.mapInArrow(task, schema)
     if packed.parts > TREE:
         sums = sums.withColumn("g", F.pmod(F.spark_partition_id(), F.lit(TREE))).repartition("fold", "g").sortWithinPartitions("fold")
         sums = sums.drop("g").mapInArrow(lambda b: added(b, False), schema)
@@ -164,10 +194,9 @@ def _arrays(sums: Mapping[int, np.ndarray]) -> pa.RecordBatch:
 
 def _chosen(rows: Rows, f: int, s: _State) -> np.ndarray:
     """Cells of a fold's training set."""
-    y, member, o, _, _ = rows
-    keep = member[:, f] > 0
+    keep = rows.of(f) > 0
     if s.cut is not None:
-        keep = keep & (o <= s.cut[f][y])
+        keep = keep & (rows.o <= s.cut[f][rows.y])
     return np.flatnonzero(keep)
 
 
@@ -176,7 +205,7 @@ def _chosen(rows: Rows, f: int, s: _State) -> np.ndarray:
 
 def class_sizes(packed: Packed, labels: int) -> np.ndarray:
     def part(rows: Rows, f: int) -> np.ndarray:
-        return np.bincount(rows[0], rows[1][:, f] * rows[4], labels)
+        return np.bincount(rows.y, rows.of(f) * rows.copies, labels)
 
     m = packed.folds
     found = fold_sums(packed, range(m), labels, part)
@@ -200,8 +229,8 @@ def class_cuts(packed: Packed, sizes: np.ndarray, most: int | None = None) -> np
         now, goal, done = open_.copy(), left.copy(), prefix.copy()
 
         def part(rows: Rows, f: int, now=now, done=done, shift=shift) -> np.ndarray | None:
-            y, member, o, _, _ = rows
-            keep = (member[:, f] > 0) & now[f][y]
+            y, o = rows.y, rows.o
+            keep = (rows.of(f) > 0) & now[f][y]
             keep[keep] = (o[keep] >> (shift + DIGIT)) == done[f][y[keep]]
             at = np.flatnonzero(keep)
             return np.bincount(y[at] * base + ((o[at] >> shift) & (base - 1)), minlength=labels * base).astype(np.float64) if len(at) else None
@@ -236,9 +265,9 @@ def _scaling(packed: Packed, s: _State, folds: Sequence[int], d: int) -> None:
         at = _chosen(rows, f, s)
         if not len(at):
             return None
-        y, x = rows[0][at], rows[3][at]
+        y, x = rows.y[at], rows.x[at]
         hot = np.zeros((labels, len(at)))
-        hot[y, np.arange(len(at))] = rows[1][at, f] * rows[4][at]
+        hot[y, np.arange(len(at))] = rows.of(f)[at] * rows.copies[at]
         return np.concatenate([hot.sum(axis=1), (hot @ x).ravel(), (hot @ (x * x)).ravel()])
 
     found = fold_sums(packed, folds, labels * (1 + 2 * d), part)
@@ -470,13 +499,14 @@ def member_table(spark, folds: Sequence[Sequence[str]], times: bool = False) ->
 
 def pack(rows: DataFrame, features: Sequence[str], labels: Sequence, seed, mean: Sequence[float], deviation: Sequence[float], folds: int) -> Packed:
     """Training cells as ``y`` (number of the label), ``member`` (the folds of the line), ``o`` (place in the seeded order),
-    ``x`` and ``copies`` (1 without such a column), kept."""
+    ``x`` and ``copies`` (1 without such a column), in blocks, kept."""
     code = F.create_map(*[z for i, c in enumerate(labels) for z in (F.lit(c), F.lit(i))])
     order = hash_number(hash_order(F.col("cell_key"), seed)).cast("long") if "cell_key" in rows.columns else F.lit(0).cast("long")
     copies = F.col("copies").cast("double") if "copies" in rows.columns else F.lit(1.0)
     x = F.array(*[(quoted(c).cast("double") - F.lit(float(m))) / F.lit(float(s)) for c, m, s in zip(features, mean, deviation, strict=True)])
-    cells = rows.select(F.element_at(code, F.col("label")).alias("y"), "member", order.alias("o"), x.alias("x"), copies.alias("copies")).persist(StorageLevel.MEMORY_AND_DISK)
-    return Packed(cells, folds, cells.rdd.getNumPartitions())
+    cells = rows.select(F.element_at(code, F.col("label")).alias("y"), "member", order.alias("o"), x.alias("x"), copies.alias("copies"))
+    blocks = cells.mapInArrow(_blocks_of, BLOCK).persist(StorageLevel.MEMORY_AND_DISK)
+    return Packed(blocks, folds, blocks.rdd.getNumPartitions())
 
 
 def fit_folds(rows: DataFrame, features: Sequence[str], folds: Sequence[Sequence[str]] | None, options: Mapping | None = None, seed: int = 47) -> list[FoldModel | str]:
@@ -509,7 +539,7 @@ def fit_folds(rows: DataFrame, features: Sequence[str], folds: Sequence[Sequence
     try:
         return _fitted(packed, features, moments["labels"], mean, deviation, down, options)
     finally:
-        packed.cells.unpersist()
+        packed.blocks.unpersist()
 
 
 def _fitted(packed, features, labels, mean, deviation, down, options) -> list[FoldModel | str]:
@@ -539,8 +569,8 @@ def _fitted(packed, features, labels, mean, deviation, down, options) -> list[Fo
             t = theta[f]
             coef = t[:, :-1] / s.spread[f]
             code = np.cumsum(s.present[f]) - 1
-            y = rows[0][at]
-            return loss_parts(rows[3][at], code[y], s.weight[f][y] * rows[1][at, f] * rows[4][at], coef, t[:, -1] - coef @ s.centre[f])
+            y = rows.y[at]
+            return loss_parts(rows.x[at], code[y], s.weight[f][y] * rows.of(f)[at] * rows.copies[at], coef, t[:, -1] - coef @ s.centre[f])
 
         def finish(f: int, v: np.ndarray, theta=theta) -> np.ndarray:
             objective, gradient, step = newton_step(v, theta[f], s.centre[f], s.spread[f], penalty)

@@ -80,9 +80,10 @@ def test_cuts_keep_the_first_of_each_class(cells):
     sizes = manyfits.class_sizes(packed, 3)
     for most in (None, 5):
         cut = manyfits.class_cuts(packed, sizes, most)
-        pdf = packed.cells.toPandas()
+        blocks = [r for batch in packed.blocks.toArrow().to_batches() for r in manyfits.read_blocks(batch, len(FOLDS))]
+        pdf = pd.concat([pd.DataFrame({"y": r.y, "o": r.o, "folds": list(r.times[r.pattern])}) for r in blocks])
         for f, lines in enumerate(FOLDS):
-            own = pdf[[(m[f >> 3] >> (7 - (f & 7))) & 1 == 1 for m in pdf["member"]]]
+            own = pdf[[m[f] == 1 for m in pdf["folds"]]]
             sized = own.groupby("y").size()
             least = min([*sized, most or 10**9]) if len(sized) else 0
             for c, part in own.groupby("y"):
