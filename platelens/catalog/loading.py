@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from platelens.catalog.base import (
     FEATURES, cells, lineitem, query, rounded, screen, suppliers, wells,
 )
-from platelens.functions.sizing import join_bounded
+from platelens.functions.sizing import join_bounded, kept, shared_folder
 from platelens.operators import features as feat
 from platelens.operators import samples
 from platelens.operators.aggregates import distinct_values, well_profiles
@@ -16,6 +18,7 @@ from platelens.plans.components import components_by_group
 from platelens.plans.folds import split_wells
 from platelens.plans.multiscreen import joint_scale
 from platelens.screen import MarkerScreens, Screen, merge_screens
+from platelens.sources import plates as files
 from platelens.sources.loader import cells_of_wells, count_cells, drop_empty_columns, plates_with_marker
 from platelens.sources.plates import parse_lines, standard_map
 
@@ -68,6 +71,23 @@ def a07(spark, sf):
     return distinct_values(wells(spark, sf).filter(F.col("PlateID").rlike("A-F|R-O")), "Antibody")
 
 
+@query("a05_discover_plates", """SELECT l_returnflag AS Screen, l_returnflag || l_linestatus AS PlateID, count(*) AS lines FROM lineitem GROUP BY 1, 2""")
+def a05(spark, sf):
+    """Plate folders written as files, found again on the file system (one without an evaluation is left out), and the lines
+    of each read by the folders found."""
+    root = f"{shared_folder(spark)}/plates-{uuid.uuid4().hex}"
+    lines = lineitem(spark, sf).select("l_returnflag", F.concat("l_returnflag", "l_linestatus").alias("plate"), F.concat_ws("\t", "l_orderkey", "l_linenumber", "l_quantity").alias("value"))
+    found = lines.select("l_returnflag", "plate").distinct().collect()  # plates
+    lines = kept(lines)
+    for flag, plate in found:
+        lines.filter(F.col("plate") == plate).select("value").write.text(f"{root}/{flag}/Data/{plate}__run1/Evaluation1")
+        spark.range(1).select(F.lit("no evaluation").alias("value")).write.text(f"{root}/{flag}/Data/{plate}x__run1/Other")
+    plates = files.plate_directories(spark, {"root": root, "screen": sorted({flag for flag, _ in found})})
+    table_ = spark.createDataFrame([(p.split("/Data/")[0].rsplit("/", 1)[-1], files.plate_id(p)) for p in plates], "Screen string, PlateID string")
+    text = spark.read.text([f"{p}/Evaluation1" for p in plates]).select(files.plate_id_of(F.col("_metadata.file_path")).alias("PlateID"))
+    return table_.join(text.groupBy("PlateID").agg(F.count(F.lit(1)).alias("lines")), "PlateID").select("Screen", "PlateID", "lines")
+
+
 @query("a08_load", """SELECT ID, PlateID, Antibody, CellLines, NCells, Screen, 4 AS cell_columns FROM wells""")
 def a08(spark, sf):
     """Plates with different columns are united, cells counted, columns without any value dropped."""

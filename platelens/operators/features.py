@@ -106,7 +106,8 @@ def pca_transform(screen: Screen, alpha: float, groups: Sequence[str]) -> Screen
 
 def scale_columns(df: DataFrame, columns: Sequence[str], sample: bool = False, epsilon: float = 0.0,
                   fitted_on: DataFrame | None = None) -> DataFrame:
-    """Centre and scale columns with statistics of ``fitted_on`` (default: the same rows), in one lazy plan.
+    """Centre and scale columns with statistics of ``fitted_on`` (default: the same rows), in one lazy plan that grows with
+    the number of columns (the statistics are one value of a row, not one expression for each column).
 
     ``sample`` picks the deviation; without ``epsilon`` a constant column is divided by 1.
     """
@@ -117,9 +118,11 @@ def scale_columns(df: DataFrame, columns: Sequence[str], sample: bool = False, e
         m=F.array(*[F.avg(quoted(c)) for c in columns]),
         d=F.array(*[dev(quoted(c)) for c in columns]),
     )
+    names = df.columns
+    df, s = df.withColumn("_statistics", s), F.col("_statistics")
     scaled = []
     at = {c: i for i, c in enumerate(columns)}
-    for c in df.columns:
+    for c in names:
         if c not in at:
             scaled.append(quoted(c))
             continue

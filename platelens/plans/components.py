@@ -1,73 +1,95 @@
-"""Principal components with ``pyspark.ml``; the fit is one distributed covariance pass per feature group."""
+"""Principal components from one Gram matrix: one pass over the rows for any number of feature groups, one to project."""
 
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.ml.feature import PCA, PCAModel, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from platelens.functions.arrays import gram
 from platelens.operators.features import quoted, scale_columns
 from platelens.screen import KEYS
 
 
 @dataclass
 class FittedComponents:
-    """A basis with its centre: new rows are projected with the same numbers."""
+    """A basis (feature x component, by falling variance): new rows are projected with the same numbers. The sign of a
+    component makes its largest weight positive."""
 
-    model: PCAModel
+    basis: np.ndarray
+    shares: np.ndarray
     columns: list[str]
     kept: int
 
     @property
     def explained(self) -> list[float]:
-        return self.model.explainedVariance.toArray()[: self.kept].tolist()
+        return self.shares[: self.kept].tolist()
 
     def transform(self, df: DataFrame, names: Sequence[str]) -> DataFrame:
         """Append component columns. Nulls are not allowed in the inputs."""
-        vectors = _assemble(df, self.columns)
-        out = self.model.transform(vectors).withColumn("_pc", vector_to_array("_pc"))
-        return out.select(*[quoted(c) for c in df.columns],
-                          *[F.col("_pc")[i].alias(n) for i, n in enumerate(names[: self.kept])])
+        return project(df, [(self, list(names[: self.kept]))])
 
 
-def _assemble(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    plain = df.select("*", *[quoted(c).cast("double").alias(f"_in{i}") for i, c in enumerate(columns)])
-    return VectorAssembler(inputCols=[f"_in{i}" for i in range(len(columns))], outputCol="_vec").transform(plain)
+def project(df: DataFrame, parts: Sequence[tuple[FittedComponents, Sequence[str]]]) -> DataFrame:
+    """Append the named components of several bases: one scan, one product for each basis and batch."""
+    held = [f"_k{i}" for i in range(len(df.columns))]  # names of any kind
+    columns = list(dict.fromkeys(c for p, _ in parts for c in p.columns))
+    at = [np.array([columns.index(c) for c in p.columns]) for p, _ in parts]
+    shared = df.sparkSession.sparkContext.broadcast([p.basis[:, : len(names)] for p, names in parts])
+    new = [f"_n{i}" for i in range(sum(len(names) for _, names in parts))]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = batch.column("_x").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, len(columns))
+            if not np.isfinite(x).all():
+                raise ValueError("components need all values of their columns")
+            out = [np.ascontiguousarray(z) for a, basis in zip(at, shared.value, strict=True) for z in (x[:, a] @ basis).T]
+            yield pa.RecordBatch.from_arrays([*batch.select(held).columns, *map(pa.array, out)], [*held, *new])
 
-def fit_components(df: DataFrame, columns: Sequence[str], alpha: float | None = None, k: int | None = None):
-    """PCA of columns that are centred already. ``alpha`` keeps the first components reaching that variance share."""
-    columns = list(columns)
-    model = PCA(k=len(columns), inputCol="_vec", outputCol="_pc").fit(_assemble(df, columns))
-    shares = np.cumsum(model.explainedVariance.toArray())
-    kept = len(columns) if alpha is None else int(np.searchsorted(shares, alpha - 1e-12) + 1)
-    return FittedComponents(model, columns, min(kept, len(columns), k or len(columns)))
+    given = df.select(*[quoted(c).alias(h) for c, h in zip(df.columns, held, strict=True)], F.array(*[quoted(c).cast("double") for c in columns]).alias("_x"))
+    schema = T.StructType([T.StructField(h, df.schema[c].dataType) for c, h in zip(df.columns, held, strict=True)] + [T.StructField(n, T.DoubleType()) for n in new])
+    return given.mapInArrow(run, schema).toDF(*df.columns, *(n for _, names in parts for n in names))
+
+
+def _basis(n: int, sums: np.ndarray, square: np.ndarray, columns: Sequence[str], alpha: float | None, k: int | None) -> FittedComponents:
+    """Components from the moments of the columns. ``alpha`` keeps the first ones that reach this share of variance."""
+    mean = sums / max(n, 1)
+    values, basis = np.linalg.eigh((square - n * np.outer(mean, mean)) / max(n - 1, 1))
+    values, basis = np.maximum(values[::-1], 0.0), basis[:, ::-1]
+    basis = basis * np.where(basis[np.abs(basis).argmax(axis=0), np.arange(len(columns))] < 0, -1.0, 1.0)
+    shares = values / values.sum() if values.sum() > 0 else values
+    kept = len(columns) if alpha is None else int(np.searchsorted(np.cumsum(shares), alpha - 1e-12) + 1)
+    return FittedComponents(basis, shares, list(columns), min(kept, len(columns), k or len(columns)))
+
+
+def fit_components(df: DataFrame, columns: Sequence[str], alpha: float | None = None, k: int | None = None) -> FittedComponents:
+    """PCA of columns that are centred already."""
+    return _basis(*gram(df, columns), columns, alpha, k)
 
 
 def components_by_group(cells: DataFrame, features: Sequence[str], groups: Sequence[str], alpha: float) -> DataFrame:
     """Standardise, then PCA inside each pattern's features; unmatched features form an unnamed last group.
 
-    Key columns always stay. Each group is one covariance pass over its own columns.
+    Key columns always stay. One Gram matrix of all features serves every group; so does the scan that projects.
     """
     keys = [c for c in cells.columns if c not in features]
     scaled = scale_columns(cells, features)
     members = [(f"{g}_", [c for c in features if re.search(g, c)]) for g in groups]
     rest = [c for c in features if not any(c in m for _, m in members)]
     members = [(p, m) for p, m in members + [("", rest)] if m]
-    out = scaled
-    names = []
+    n, sums, square = gram(scaled, features)
+    parts = []
     for prefix, columns in members:
-        fitted = fit_components(scaled, columns, alpha=alpha)
-        mine = [f"{prefix}PC{i}" for i in range(fitted.kept)]
-        out = fitted.transform(out, mine)
-        names += mine
-    return out.select(*[quoted(c) for c in keys + names])
+        at = np.array([list(features).index(c) for c in columns])
+        fitted = _basis(n, sums[at], square[np.ix_(at, at)], columns, alpha, None)
+        parts.append((fitted, [f"{prefix}PC{i}" for i in range(fitted.kept)]))
+    return project(scaled, parts).select(*[quoted(c) for c in keys], *[quoted(c) for _, names in parts for c in names])
 
 
 def profile_components(cells: DataFrame, wells: DataFrame, group: str = "ID") -> DataFrame:

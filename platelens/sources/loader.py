@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from platelens.functions.sizing import join_bounded
+from platelens.functions.sizing import join_bounded, kept
 from platelens.operators.features import quoted
 from platelens.sources import plates as files
 from platelens.sources.curated import CuratedCells
@@ -33,6 +33,20 @@ def drop_empty_columns(df: DataFrame) -> DataFrame:
     return df.select(*[quoted(c) for c, n in zip(df.columns, filled, strict=True) if n])
 
 
+def well_profile(cells: DataFrame) -> DataFrame:
+    """(ID, NCells, filled): cells of a well and how many of them have each column, from one pass over the cells; a row a
+    well, kept."""
+    return kept(cells.groupBy("ID").agg(F.count(F.lit(1)).alias("NCells"), F.array(*[F.count(quoted(c)) for c in cells.columns]).alias("filled")))
+
+
+def filled_columns(cells: DataFrame, profile: DataFrame) -> DataFrame:
+    """Columns that any cell has a value in, by the profile of the wells."""
+    if not cells.columns:
+        return cells
+    filled = profile.agg(F.array(*[F.sum(F.col("filled")[i]) for i in range(len(cells.columns))]).alias("n")).first()["n"]
+    return cells.select(*[quoted(c) for c, n in zip(cells.columns, filled, strict=True) if n])
+
+
 class PlateLoader:
     """Plates of one or several screens, as named in the parameters.
 
@@ -74,8 +88,9 @@ class PlateLoader:
         else:
             cells = files.read_measurements(self.spark, plates, self.params)
         cells = cells.drop("PlateID")
-        wells = count_cells(wells, cells)
-        return drop_empty_columns(wells), drop_empty_columns(cells)
+        profile = well_profile(cells)
+        wells = wells.join(profile.select("ID", "NCells"), "ID").withColumn("Screen", F.split("ID", "-").getItem(0))
+        return drop_empty_columns(wells), filled_columns(cells, profile)
 
 
 def wells_of_marker(wells: DataFrame, antibody: str) -> DataFrame:

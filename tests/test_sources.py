@@ -118,6 +118,38 @@ def test_running_counts_carry_over_to_new_files(spark, tmp_path):
     assert sum(got.values()) == 20
 
 
+def test_changes_only_are_written_and_repeats_change_nothing(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(ingest, "COMPACT", 3)
+    out = str(tmp_path / "counts")
+    rows = lambda *pairs: spark.createDataFrame(list(pairs), "ID string, NCells long")
+    got = lambda: {r["ID"]: r["NCells"] for r in ingest.latest_counts(spark, out).collect()}
+    steps = [(("a", 1), ("b", 1)), (("b", 2),), (("c", 5),), (("a", 9),), (("d", 1),), (("b", 7),), (("e", 3),)]
+    want = {}
+    for number, step in enumerate(steps):
+        ingest.save_changes(rows(*step), number, out)
+        want |= dict(step)
+        assert got() == want
+        ingest.save_changes(rows(*step), number, out)  # the trigger is repeated
+        assert got() == want
+        folder = tmp_path / "counts" / f"batch={number:012d}"
+        assert not folder.exists() or spark.read.parquet(str(folder)).count() == len(step)
+    left = sorted(os.listdir(out))
+    assert "base=000000000005" in left and "batch=000000000000" not in left and "batch=000000000006" in left
+    os.remove(os.path.join(out, "batch=000000000006", "_SUCCESS"))  # a trigger that broke off
+    assert got() == {k: v for k, v in want.items() if k != "e"}
+
+
+def test_stream_writes_changed_wells(spark, tmp_path):
+    folder, out, check = (str(tmp_path / n) for n in ("in", "out", "check"))
+    for ids in (["a", "b", "c"], ["b"], ["b", "d"]):
+        spark.createDataFrame([(i,) for i in ids], "ID string").coalesce(1).write.mode("append").parquet(folder)
+        rows = spark.readStream.schema("ID string").parquet(folder)
+        ingest.counts_to_table(ingest.running_counts(rows), out, check).awaitTermination()
+    sizes = [spark.read.parquet(os.path.join(out, b)).count() for b in sorted(os.listdir(out)) if b.startswith("batch=")]
+    assert [n for n in sizes if n] == [3, 1, 2]
+    assert {r["ID"]: r["NCells"] for r in ingest.latest_counts(spark, out).collect()} == {"a": 1, "b": 3, "c": 1, "d": 1}
+
+
 def test_sinks(spark, tmp_path):
     df = spark.createDataFrame([("a", 1, 0.5)], "CellLines string, `True` int, Class_0 double")
     for fmt in ("parquet", "csv", "orc", "json"):
