@@ -145,9 +145,8 @@ def l2_normalize(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Divide each column by its Euclidean norm."""
     s = scalar(df, norm=F.array(*[F.sqrt(F.sum(quoted(c) * quoted(c))) for c in columns]))
     at = {c: i for i, c in enumerate(columns)}
-    return df.select(*[
-        (quoted(c) / s.getField("norm").getItem(at[c])).alias(c) if c in at else quoted(c) for c in df.columns
-    ])
+    names, df = df.columns, df.withColumn("_norms", s)
+    return df.select(*[(quoted(c) / F.col("_norms.norm")[at[c]]).alias(c) if c in at else quoted(c) for c in names])
 
 
 def feature_family(name: str | Column):

@@ -22,9 +22,10 @@ def joint_scale(df: DataFrame, columns: Sequence[str], fitted_on: DataFrame | No
         m=F.array(*[F.avg(quoted(c)) for c in columns]), d=F.array(*[F.stddev_pop(quoted(c)) for c in columns]),
     )
     at = {c: i for i, c in enumerate(columns)}
+    names, df = df.columns, df.withColumn("_statistics", s)
     return df.select(*[
-        ((quoted(c) - s.getField("m").getItem(at[c])) / (s.getField("d").getItem(at[c]) + F.lit(1e-8))).alias(c)
-        if c in at else quoted(c) for c in df.columns
+        ((quoted(c) - F.col("_statistics.m")[at[c]]) / (F.col("_statistics.d")[at[c]] + F.lit(1e-8))).alias(c)
+        if c in at else quoted(c) for c in names
     ])
 
 

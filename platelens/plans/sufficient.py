@@ -17,6 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from platelens.functions.arrays import TREE
 from platelens.functions.sizing import join_bounded, kept, scalar
 from platelens.operators.features import quoted
 
@@ -33,10 +34,11 @@ def line_statistics(cells: DataFrame, features: Sequence[str], line: str = "Cell
     Cells with a missing feature take no part.
     """
     d = len(features)
-    for c in features:
-        cells = cells.filter(quoted(c).isNotNull() & ~F.isnan(quoted(c).cast("double")))
+    there = F.forall(F.array(*[quoted(c).cast("double") for c in features]), lambda v: v.isNotNull() & ~F.isnan(v))
+    cells = cells.filter(there)
     centre = scalar(cells, m=F.array(*[F.avg(quoted(c).cast("double")) for c in features])).getField("m")
-    x = [quoted(c).cast("double") - centre.getItem(i) for i, c in enumerate(features)]
+    cells = cells.withColumn("_centre", centre)  # one value of a row, not one expression for each feature
+    x = [quoted(c).cast("double") - F.col("_centre")[i] for i, c in enumerate(features)]
     if d <= EXPRESSION_LIMIT:
         flat = cells.select(line, *[v.alias(f"_x{i}") for i, v in enumerate(x)])
         prods = {(i, j): F.sum(F.col(f"_x{i}") * F.col(f"_x{j}")).alias(f"_q{i}_{j}")
@@ -67,16 +69,18 @@ def _statistics_in_batches(packed: DataFrame, d: int, line: str) -> DataFrame:
 def _summed(df: DataFrame, keys: Sequence[str], vectors) -> DataFrame:
     """Keys (``name type``) and ``a``, the sum of all vectors of a key. ``vectors`` gives (key values, vector) of a batch.
 
-    Every task adds its vectors up first, so what is moved is one vector per task and key, not one per row.
+    Every task adds its vectors up first and hands on one array for each key. Arrays are added while they stream past in
+    the order of the keys, those of ``TREE`` groups of tasks first, so no task holds more than one sum and one array.
     """
     names = [k.rsplit(" ", 1)[0] for k in keys]
+    head = ", ".join(f"`{k.rsplit(' ', 1)[0]}` {k.rsplit(' ', 1)[1]}" for k in keys)
 
     def add_up(batches):
         total: dict[tuple, np.ndarray] = {}
 
         def flush():
-            for key, vec in total.items():
-                yield pd.DataFrame({**dict(zip(names, key, strict=True)), "pos": np.arange(len(vec)), "v": vec})
+            if total:
+                yield pd.DataFrame([(*key, vec.tobytes()) for key, vec in total.items()], columns=[*names, "v"])
             total.clear()
 
         for pdf in batches:
@@ -86,11 +90,27 @@ def _summed(df: DataFrame, keys: Sequence[str], vectors) -> DataFrame:
                     yield from flush()
         yield from flush()
 
-    parts = df.mapInPandas(add_up, ", ".join([*(f"`{k.rsplit(' ', 1)[0]}` {k.rsplit(' ', 1)[1]}" for k in keys), "pos int, v double"]))
-    sums = parts.groupBy(*names, "pos").agg(F.sum("v").alias("v"))
-    return sums.groupBy(*names).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("pos", "v"))), lambda s: s.getField("v")).alias("a")
-    )
+    def streamed(batches, last: bool):
+        current, total = None, np.zeros(0)
+
+        def result():
+            return pd.DataFrame([(*current, total if last else total.tobytes())], columns=[*names, "a" if last else "v"])
+
+        for pdf in batches:
+            for *key, raw in pdf.itertuples(index=False):
+                v = np.frombuffer(raw, dtype=np.float64)
+                if key == current:
+                    total += v
+                    continue
+                if current is not None:
+                    yield result()
+                current, total = key, v.copy()
+        if current is not None:
+            yield result()
+
+    parts = df.mapInPandas(add_up, f"{head}, v binary").withColumn("_g", F.pmod(F.spark_partition_id(), F.lit(TREE)))
+    some = parts.repartition(*names, "_g").sortWithinPartitions(*names).drop("_g").mapInPandas(lambda b: streamed(b, False), f"{head}, v binary")
+    return some.repartition(*names).sortWithinPartitions(*names).mapInPandas(lambda b: streamed(b, True), f"{head}, a array<double>")
 
 
 def leave_one_out_ridge(stats: DataFrame, table: DataFrame, features: Sequence[str], strength: float = 1.0) -> DataFrame:
