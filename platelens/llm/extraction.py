@@ -7,11 +7,12 @@ takes part of the weight of the paragraphs around it, an entry of a menu that of
 their product, and averaged by path. Paths above a share of the mean score, weighted by text, are content. A block counts
 as ``LONGEST`` characters at most, so that a very long one doesn't raise the mean above all others. Entries of lists and
 tables, preformatted text and headings are content with the container they stand in: anywhere in it, or between content
-blocks where it is the page itself. Of an article only paths of links are left out.
+blocks where it is the page itself. Of an article that stands for the
+page nothing else is left out, lists of links included.
 
 What pages mark themselves is taken from the marks: parts that are never text (scripts, styles, forms ...), parts named
 by their tag or role as navigation, advert, notice, comment and the like, and hidden parts are left out before the ratios
-are taken. A class or id of that kind only makes a part suspect: it is left out unless it holds most of the page's
+are taken. A form, or a class or id of that kind, only makes a part suspect: it is left out unless it holds most of the page's
 unlinked text with punctuation (so does a comment part longer than all the rest, and it stays). Articles and main parts
 that hold most of that text, or have less than ``LONGEST`` characters of it beside them, stand for the page: blocks outside
 are left out. Where all this leaves nothing, the
@@ -56,20 +57,25 @@ ENDS = {
 }
 P_ENDERS = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 #: Parts that are never the article, by tag, role or a word of their class or id.
-NEVER = frozenset("nav footer aside form script style noscript template iframe svg button select textarea object dialog menu canvas audio video head title".split())
+NEVER = frozenset("nav footer aside script style noscript template iframe svg button select textarea object dialog menu canvas audio video head title".split())
 #: Of these, parts that hold no running text; all that is left out when the marks leave nothing.
 NO_TEXT = RAW | frozenset("noscript template svg button select object canvas audio video head".split())
 ROLES = frozenset("navigation banner complementary contentinfo search alert dialog alertdialog menu menubar form status".split())
 NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promotion banner cookie cookies consent gdpr notice notices alert"
     " popup modal overlay sidebar menu nav navbar navigation breadcrumb breadcrumbs footer masthead comment comments disqus reply replies respond discussion"
-    " share sharing social related recommended recommendations newsletter subscribe subscription signup login pagination pager toolbar skip widget widgets search".split()
+    " share sharing social related recommended recommendations newsletter subscribe subscription signup login pagination pager toolbar skip widget widgets search commentlist".split()
 )
 #: What goes with the text around it, and what such parts stand in without being a container of their own.
 PARTS = frozenset("li td th dt dd pre caption h1 h2 h3 h4 h5 h6".split())
 WITHIN = PARTS | frozenset("ul ol dl table thead tbody tfoot tr p blockquote figure figcaption".split())
 #: Words that may stand beside them in a class or id that still names such a part.
-BESIDE = frozenset("left right top bottom main site page list box bar block links container inner header section item primary secondary".split())
+BESIDE = frozenset(
+    "left right top bottom main site page list box bar block links container inner header section item primary secondary user users article post slot unit area wrapper"
+    " stories story posts articles".split()
+)
+#: A class or id of these words alone is a header of the page, outside of articles.
+HEADER = frozenset("header site page global top main".split())
 PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？«»“”„]")
 
 
@@ -100,15 +106,17 @@ def unwanted(tag: str, attributes: str, in_article: bool, plain: bool = False) -
     return False
 
 
-def suspect(tag: str, attributes: str) -> bool:
-    """Whether a class or id, taken whole, names a part that is not the article."""
+def suspect(tag: str, attributes: str, in_article: bool) -> bool:
+    """Whether a part is a form, or a class or id, taken whole, names a part that is not the article."""
+    if tag == "form":
+        return True
     if not attributes or tag in ("html", "body", "main", "article"):
         return False
     for m in ATTRIBUTE.finditer(attributes):
         if (m[1] or "").lower() in ("class", "id"):
             for name in html.unescape(m[2] or m[3] or m[4] or "").lower().split():
                 words = set(re.split(r"[^a-z]+", name)) - {""}
-                if words & NAMES and words <= NAMES | BESIDE:
+                if words & NAMES and words <= NAMES | BESIDE or "header" in words and words <= HEADER and not in_article:
                     return True
     return False
 
@@ -186,7 +194,7 @@ def blocks(page: str, plain: bool = False) -> list[Block]:
         if tag not in WITHIN and tag not in INLINE and tag not in ("html", "body"):
             container = made = made + 1
         inside = stack[-1][4] if stack else ()
-        if not gone and suspect(tag, m[3]):
+        if not gone and suspect(tag, m[3], around > 0):
             inside = (*inside, m.start())
         stack.append((tag, gone, around + (tag in ("article", "main") and not gone), container, inside))
     text(page[at:])
@@ -237,7 +245,7 @@ def select(found: list[Block], plain: bool = False) -> list[str]:
     by_path = np.bincount(of, score) / n
     weight = np.bincount(of, used)
     mean = float((by_path * weight).sum() / weight.sum())
-    good = ((by_path >= SHARE * mean) | article) & (link_share < MOST_LINKED)
+    good = (by_path >= SHARE * mean) & (link_share < MOST_LINKED) | article
     kept = good[of]
     span: dict[int, tuple[int, int]] = {}  # first and last content block of each container
     for i in np.flatnonzero(kept).tolist():

@@ -273,6 +273,34 @@ def test_extraction_falls_back_when_marks_leave_nothing():
     assert extraction.main_text(f"<body><div hidden>{body}</div></body>") == ""
 
 
+def test_extraction_keeps_forms_that_hold_the_page_and_links_of_articles():
+    body = "".join(f"<p>{k} {LONG}</p>" for k in range(5))
+    want = [f"{k} {LONG}".strip() for k in range(5)]
+    page = f"<body><div>Skip to content, please.</div><form id=aspnet>{body}</form><form><p>Your name, please.</p><input></form></body>"
+    assert [x for x in extraction.main_text(page).split("\n") if not x.startswith("Skip")] == want
+    links = "<ul>" + "".join(f"<li><a href=x>Reference work {k}</a></li>" for k in range(5)) + "</ul><p><a href=y>A paragraph that is one link.</a></p>"
+    article = f"<body><nav><a href=z>Home</a></nav><article>{body}{links}</article></body>"
+    assert extraction.main_text(article).split("\n") == want + [f"Reference work {k}" for k in range(5)] + ["A paragraph that is one link."]
+
+
+@pytest.mark.parametrize("mark", ["class='user-comments'", "class=commentlist", "class='ad-slot-2'", "class='article-ad'", "class='related-stories'", "class='comment-list'", "id=newsletter-signup"])
+def test_extraction_leaves_out_parts_with_compound_names(mark):
+    body = "".join(f"<p>{k} {LONG}</p>" for k in range(5))
+    want = [f"{k} {LONG}".strip() for k in range(5)]
+    page = f"<body><div class='site-header'><p>The name of the site, in short.</p></div><article>{body}<div {mark}><p>Something else, not of the article. Really.</p></div></article></body>"
+    assert extraction.main_text(page).split("\n") == want
+
+
+def test_extraction_without_marks_goes_by_ratios(monkeypatch):
+    """On pages without articles the threshold decides: none keeps all paths, a high one drops short paths."""
+    body = "".join(f"<p>{k} {LONG}</p>" for k in range(5))
+    short = "".join(f"<div><span>Tiny {k}</span></div>" for k in range(12))
+    page = f"<body><div>{short}</div><section>{body}</section></body>"
+    assert extraction.main_text(page).split("\n") == [f"{k} {LONG}".strip() for k in range(5)]
+    monkeypatch.setattr(extraction, "SHARE", 0.0)
+    assert extraction.main_text(page).split("\n")[0] == "Tiny 0"
+
+
 # --- quality
 
 
