@@ -1,6 +1,7 @@
 """Benchmark decontamination: CGK embeddings of item-sized windows, bit-sampling LSH, exact edit verification.
 
-Words are compared: lower case in A-Z, ASCII punctuation counting as white space. An item of m words is found in a text
+Words are compared: lower case in A-Z, ASCII punctuation counting as white space; each character of a script without spaces
+(Chinese, Japanese, Thai, Lao, Khmer, Burmese) is a word of its own. An item of m words is found in a text
 where some stretch of it is at most k = floor((1 - similarity) m) word edits away.
 
 * The CGK walk copies the word under its pointer and moves on or stays by a random bit of (step, word), for 3 m steps.
@@ -14,7 +15,7 @@ where some stretch of it is at most k = floor((1 - similarity) m) word edits awa
 The recall of the samples at the edge of the similarity is tested (tests/llm); exact copies are always found.
 
 Items are broadcast in shards of at most ``SHARD_BYTES`` of text, and the documents are read once for each shard. Items
-of fewer than ``LEAST_WORDS`` words (null and empty ones too) are too short to tell from chance and match nothing.
+of fewer than five words have no edit to spare: they match where they stand as a whole. Null and empty items match nothing.
 Documents that are null, empty or without words match nothing. Repeated rows, items and ids are compared each. An empty
 table gives an empty result; extra columns are not read.
 """
@@ -35,22 +36,41 @@ SIMILARITY = 0.8
 WALKS = 4
 TABLES = 16
 SAMPLED = 2
-LEAST_WORDS = 5
+WALK_WORDS = 150
 SHARD_BYTES = 32 << 20
 SEED = 42
 PLAIN = np.arange(256, dtype=np.uint8)
 PLAIN[0x41:0x5B] += 0x20
 PLAIN[[*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]] = 0x20
 PAD = np.uint64(0)
+#: Ranges of characters written without spaces between words, all of three bytes in UTF-8.
+UNSPACED = ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3040, 0x30FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF))
 
 
 def word_ids(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Word hashes of all texts in a row, and the number of each text's first word."""
     plain = PLAIN[data]
     starts, ends, first = split_words(plain, offsets)
+    lead = np.flatnonzero((plain[:-2] & 0xF0) == 0xE0) if len(plain) > 2 else np.zeros(0, dtype=np.int64)
+    if len(lead):
+        a, b, c = (plain[lead + k].astype(np.int32) for k in range(3))
+        point = ((a & 0x0F) << 12) | ((b & 0x3F) << 6) | (c & 0x3F)
+        alone = lead[np.any([(point >= lo) & (point <= hi) for lo, hi in UNSPACED], axis=0)]
+        if len(alone):  # a border before and after each such character
+            cuts = np.union1d(alone, alone + 3)
+            word = np.searchsorted(starts, cuts, side="right") - 1
+            cuts = cuts[(word >= 0) & (cuts < ends[np.maximum(word, 0)])]
+            every = np.union1d(starts, cuts)
+            ends = np.minimum(np.append(every[1:], len(plain)), ends[np.searchsorted(starts, every, side="right") - 1])
+            starts, first = every, np.searchsorted(every, offsets)
     return hash_words(plain, starts, ends), first
 
 
+def walks_of(size: np.ndarray) -> np.ndarray:
+    """Walks that windows of so many words are compared by."""
+    return WALKS * -(-size // WALK_WORDS)
+
+
 def run_hashes(words: np.ndarray, size: int) -> np.ndarray:
     """A hash of each run of ``size`` consecutive words."""
     n = len(words) - size + 1
@@ -77,18 +97,18 @@ def walk(words: np.ndarray, start: np.ndarray, end: np.ndarray, steps: int, seed
     return out
 
 
-def sample_keys(words: np.ndarray, start: np.ndarray, size: np.ndarray, end: np.ndarray) -> np.ndarray:
+def sample_keys(words: np.ndarray, start: np.ndarray, size: np.ndarray, end: np.ndarray, walks: int) -> np.ndarray:
     """LSH keys (windows x (walks x tables)) of windows of ``size`` words; a window may be cut short by its text's end.
 
     The places sampled depend on the size alone, and so does the key: only windows and items of one size can agree."""
-    out = np.empty((len(start), WALKS * TABLES), dtype=np.uint64)
+    out = np.empty((len(start), walks * TABLES), dtype=np.uint64)
     step = max(1, 2_000_000 // (3 * int(size.max(initial=1))))
-    share = np.random.default_rng([SEED, 1 << 20]).random((WALKS, TABLES, SAMPLED))
+    share = np.random.default_rng([SEED, 1 << 20]).random((walks, TABLES, SAMPLED))
     for lo in range(0, len(start), step):
         part = slice(lo, lo + step)
         m, rows = size[part], np.arange(len(size[part]))[:, None]
         stop = np.minimum(start[part] + m, end[part])
-        for w in range(WALKS):
+        for w in range(walks):
             walked = walk(words, start[part], stop, 3 * int(m.max()), w)
             key = np.broadcast_to(mix(m.astype(np.uint64))[:, None] + np.arange(w * TABLES, (w + 1) * TABLES, dtype=np.uint64), (len(m), TABLES))
             for k in range(SAMPLED):
@@ -145,7 +165,7 @@ def index_items(texts: list[str | None], similarity: float) -> Items:
     words, first = word_ids(np.frombuffer(b"".join(raw), dtype=np.uint8), offsets)
     size = np.diff(first)
     edits = np.floor((1 - similarity) * size + 1e-9).astype(np.int64)
-    shared = np.where(size >= LEAST_WORDS, np.minimum(4, -(-(size - edits) // (edits + 1))), 0)
+    shared = np.minimum(4, -(-(size - edits) // (edits + 1)))
     runs = {}
     for q in np.unique(shared[shared > 0]).tolist():
         own = np.flatnonzero(shared == q)
@@ -157,9 +177,12 @@ def index_items(texts: list[str | None], similarity: float) -> Items:
         seen = np.zeros(1 << bits, dtype=bool)
         seen[value >> np.uint64(64 - bits)] = True
         runs[q] = (value[order], item[order], place[order], seen)
-    real = np.flatnonzero(shared > 0)
-    keys = sample_keys(words, first[:-1][real], size[real], first[1:][real]).reshape(-1) if len(real) else np.zeros(0, dtype=np.uint64)
-    of = np.repeat(real, WALKS * TABLES)
+    keys, of = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
+    many = walks_of(size)
+    for walks in np.unique(many[shared > 0]).tolist():
+        own = np.flatnonzero((many == walks) & (shared > 0))
+        keys = np.concatenate([keys, sample_keys(words, first[:-1][own], size[own], first[1:][own], walks).reshape(-1)])
+        of = np.concatenate([of, np.repeat(own, walks * TABLES)])
     order = np.argsort(keys, kind="stable")
     return Items(words, first, size, edits, runs, keys[order], of[order])
 
@@ -190,9 +213,12 @@ def find_items(items: Items, words: np.ndarray, first: np.ndarray) -> tuple[np.n
     good = start < first[doc + 1]
     doc, start, size = np.unique(np.column_stack([doc, start, size])[good], axis=0).T
     out = []
-    for a in range(0, len(doc), 20_000):
-        d, s, m = doc[a : a + 20_000], start[a : a + 20_000], size[a : a + 20_000]
-        keys = sample_keys(words, s, m, first[d + 1])
+    many = walks_of(size)
+    turns = [(own[a : a + step], walks) for walks in np.unique(many).tolist() for own in [np.flatnonzero(many == walks)]
+             for step in [max(1, 20_000 * WALKS // walks)] for a in range(0, len(own), step)]
+    for at, walks in turns:
+        d, s, m = doc[at], start[at], size[at]
+        keys = sample_keys(words, s, m, first[d + 1], walks)
         lo = np.searchsorted(items.keys, keys.reshape(-1))
         n = np.searchsorted(items.keys, keys.reshape(-1), side="right") - lo
         item = items.key_items[np.repeat(lo, n) + ranges(n)]
@@ -252,15 +278,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``doc_id``, ``item_id``, ``distance`` (word edits), ``similarity`` and ``first_word`` of every item found in a
     document: the best place for each pair of row and item."""
     out = None
+    id_type = benchmark.schema["item_id"].dataType.simpleString()
     for ids, items in _shards(benchmark, SIMILARITY):
         rows = _search(docs, items, ["doc_id"]).select(F.col("_c0").alias("doc_id"), F.inline("_found"))
-        known = docs.sparkSession.createDataFrame([(i, x, int(m)) for i, (x, m) in enumerate(zip(ids, items.size, strict=True))], "item int, item_id long, m int")
+        known = docs.sparkSession.createDataFrame([(i, x, int(m)) for i, (x, m) in enumerate(zip(ids, items.size, strict=True))], f"item int, item_id {id_type}, m int")
         rows = rows.join(F.broadcast(known), "item")  # as many rows as the shard has items
         part = rows.select("doc_id", "item_id", "distance", (1 - F.col("distance") / F.col("m")).alias("similarity"), "first_word")
         out = part if out is None else out.unionByName(part)
     if out is None:
         kind = docs.schema["doc_id"].dataType.simpleString()
-        return docs.sparkSession.createDataFrame([], f"doc_id {kind}, item_id long, distance int, similarity double, first_word long")
+        return docs.sparkSession.createDataFrame([], f"doc_id {kind}, item_id {id_type}, distance int, similarity double, first_word long")
     return out
 
 
