@@ -7,8 +7,8 @@ are one multivariate-hypergeometric sample of the draws of all sources, so shard
 no shard needs to know another. Each shard then takes the next blocks of each source's seeded order, so no draw falls to
 two shards, and orders its documents by a hash.
 
-Only sums by source and block reach the driver (sources x ``BLOCKS`` rows; more than ``MAX_SOURCES`` sources are
-refused), and only the block in which a source's target falls is put in order by document.
+Only sums by source and block reach the driver: ``TABLE`` rows at most, so many sources have fewer blocks each (one at
+least; more than ``TABLE`` sources are refused before anything is collected). Only the block in which a source's target falls is put in order by document.
 
 Targets: the shared words (``SHARE`` of all) go by weight; a target stops at ``LIMIT`` times its source's size, and the
 excess is shared again by weight until none is above. Sources are weighed in code-point order, null last. A null text
@@ -33,7 +33,9 @@ SHARE = 1.5
 LIMIT = 2.0
 BLOCKS = 1024
 SHARDS = 8
-MAX_SOURCES = 1000
+TABLE = 1 << 20
+#: Words of a shard that are put in order in one task, or so.
+PART_WORDS = 8 << 20
 SEED = 42
 
 
@@ -70,8 +72,13 @@ def plan(docs: DataFrame, carry: bool = False, keep: bool = True, weights: Seque
     words), one for each time that the document is taken. ``carry``: with ``_row``, a struct of all columns of ``docs``.
     ``keep``: store the rows between passes."""
     carried = ["_row"] if carry else []
+    named = F.when(F.col("source").isNull(), "-").otherwise(F.concat(F.lit("+"), "source"))
+    count = docs.select(named.alias("_s")).distinct().count()
+    if count > TABLE:
+        raise ValueError(f"{count} sources; at most {TABLE} can be mixed")
+    blocks = max(1, min(blocks, TABLE // max(count, 1)))
     rows = docs.select(
-        "doc_id", *([F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row")] if carry else []), F.when(F.col("source").isNull(), "-").otherwise(F.concat(F.lit("+"), "source")).alias("_s"),
+        "doc_id", *([F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row")] if carry else []), named.alias("_s"),
         F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long").alias("size"),
         F.md5(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(F.coalesce("text", F.lit(""))), F.lit(str(seed)))).alias("_k"),
     ).withColumn("_b", F.pmod(F.conv(F.substring("_k", 1, 8), 16, 10).cast("long"), F.lit(blocks)).cast("int"))
@@ -80,8 +87,6 @@ def plan(docs: DataFrame, carry: bool = False, keep: bool = True, weights: Seque
     sums = rows.groupBy("_s", "_b").agg(F.sum("size").alias("size"))
     table: dict[str, np.ndarray] = {}
     for s, b, size in sums.toPandas().itertuples(index=False):
-        if s not in table and len(table) == MAX_SOURCES:
-            raise ValueError(f"more than {MAX_SOURCES} sources")
         table.setdefault(s, np.zeros(blocks, dtype=np.int64))[b] = size
     names = sorted((s for s in table if s != "-")) + (["-"] if "-" in table else [])
     sizes = [int(table[s].sum()) for s in names]
@@ -115,20 +120,21 @@ def plan(docs: DataFrame, carry: bool = False, keep: bool = True, weights: Seque
         [(s, b, *info[s], sorted(whole), *(cut[0] if cut else (None, None))) for (s, b), (whole, cut) in by_block.items()],
         "_s string, _b int, source_size long, target double, _whole array<int>, _shard int, _words long",
     )
-    put = rows.join(F.broadcast(drawn), ["_s", "_b"])  # at most MAX_SOURCES x blocks rows
+    put = rows.join(F.broadcast(drawn), ["_s", "_b"])  # ``TABLE`` rows at most
     whole = F.transform("_whole", lambda s: F.struct(s.alias("shard"), F.col("size").alias("words")))
     plain = put.filter("_shard is null").withColumn("draws", whole)
     last = put.filter("_shard is not null")  # one block of a source at most
     before = F.sum("size").over(Window.partitionBy("_s").orderBy("_k", "doc_id").rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
     part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("_words") - before)).cast("long")
     last = last.withColumn("_part", part).withColumn("draws", F.when(F.col("_part") > 0, F.concat(whole, F.array(F.struct(F.col("_shard").alias("shard"), F.col("_part").alias("words"))))).otherwise(whole))
-    return plain.unionByName(last.drop("_part")).select("doc_id", *carried, "size", "source_size", "target", "draws", "_k")
+    parts = F.lit(max(64, math.ceil(sum(due) / shards / PART_WORDS))).alias("_parts")
+    return plain.unionByName(last.drop("_part")).select("doc_id", *carried, "size", "source_size", "target", "draws", "_k", parts)
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: columns of ``docs`` and ``mix_shard``, a row for each draw, in the order of the mix inside every
     shard. A draw of part of a document holds its first words, one space apart. A column of that name in ``docs`` gives way."""
-    drawn = plan(docs, carry=True, keep=False, **options).select("_row", "size", "_k", F.posexplode("draws").alias("_n", "_d"))
+    drawn = plan(docs, carry=True, keep=False, **options).select("_row", "size", "_k", "_parts", F.posexplode("draws").alias("_n", "_d"))
     cut = F.col("_d.words") < F.col("size")
     first = F.array_join(F.slice(words_of(F.col("_row.text")), F.lit(1), F.col("_d.words").cast("int")), " ")
     fresh = {"text": F.when(cut, first).otherwise(F.col("_row.text"))}
@@ -136,7 +142,7 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
         fresh["n_chars"] = F.when(cut, F.length(first).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("_row.n_chars"))
     keep = [c for c in docs.columns if c != "mix_shard"]
     order = F.xxhash64("_k", "_n")
-    rows = drawn.repartition(F.col("_d.shard"), F.pmod(order, F.lit(64))).sortWithinPartitions(F.col("_d.shard"), order)
+    rows = drawn.repartition(F.col("_d.shard"), F.pmod(order, F.col("_parts"))).sortWithinPartitions(F.col("_d.shard"), order)
     return rows.select(*(fresh.get(c, F.col(f"_row.`{c}`")).alias(c) for c in keep), F.col("_d.shard").alias("mix_shard"))
 
 
@@ -152,7 +158,7 @@ WITH d AS (
          len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size,
          md5(coalesce(doc_id::VARCHAR, '') || '|' || md5(coalesce(text, '')) || '|{SEED}') AS k
   FROM documents),
-r AS (SELECT *, ('0x' || substr(k, 1, 8))::BIGINT % {BLOCKS} AS b FROM d),
+r AS (SELECT *, ('0x' || substr(k, 1, 8))::BIGINT % greatest(1, least({BLOCKS}, {TABLE} // (SELECT count(DISTINCT s) FROM d))) AS b FROM d),
 w AS (
   SELECT s, sum(size)::BIGINT AS source_size, [3, 1, 2][1 + (row_number() OVER (ORDER BY s = '-', s) - 1) % 3] AS weight
   FROM r GROUP BY s),

@@ -348,6 +348,19 @@ def test_mix_equals_sql(odd, empty):
     assert mixing.digest(empty).count() == 0 and mixing.mixed(empty).count() == 0
 
 
+def test_mix_of_many_sources_equals_sql(spark):
+    """More sources than blocks of one: fewer blocks for each, the same mix as in SQL."""
+    rng = random.Random(4)
+    rows = [(i, " ".join("w" for _ in range(rng.randrange(40))), "en", f"site{rng.randrange(2600)}", 1) for i in range(5000)]
+    df = spark.createDataFrame(rows, DOCS)
+    con = duckdb.connect()
+    con.register("documents", df.toArrow())
+    cols = ["doc_id", "size", "source_size", "target", "taken"]
+    want = Counter((a, b, c, round(d, 6), e) for a, b, c, d, e in con.execute(f"SELECT {', '.join(cols)} FROM ({mixing.SQL})").fetchall())
+    assert Counter((r[0], r[1], r[2], round(r[3], 6), r[4]) for r in mixing.digest(df).select(*cols).collect()) == want
+    assert mixing.mixed(df).count() > 0
+
+
 def test_targets_share_the_excess_until_none_is_above():
     sizes, weights = [100, 10, 1, 1000], [3, 1, 2, 3]
     due = mixing.targets(sizes, weights)
