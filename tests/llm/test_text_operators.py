@@ -153,6 +153,23 @@ def test_shards(odd, empty, spark):
     assert sharding.digest(empty).count() == 0
 
 
+@tables
+def test_shards_equal_plain_scheduling(spark):
+    """Every group of equal texts is an item here: largest first, ties by hash, each to the shard of least bytes."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    groups = Counter()
+    for r in docs.collect():
+        groups[r.text or ""] += len((r.text or "").encode()) + 1
+    number = {t: (h := xxhash.xxh64_intdigest(t.encode(), 42)) - (h >> 63 << 64) for t in groups}
+    loads, shard = [0] * 8, {}
+    for t in sorted(groups, key=lambda t: (-groups[t], number[t])):
+        shard[t] = min(range(8), key=lambda s: (loads[s], s))
+        loads[shard[t]] += groups[t]
+    assert min(groups.values()) * sharding.ITEMS >= sum(groups.values())
+    text = {r.doc_id: r.text or "" for r in docs.collect()}
+    assert all(r.shard == shard[text[r.doc_id]] for r in sharding.digest(docs).collect())
+
+
 def test_shards_are_near_equal_with_bins(spark):
     docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.expr("repeat('x', cast(id % 97 as int)) || id").alias("text"))
     loads = Counter()
