@@ -4,7 +4,8 @@ Texts are cut into pre-tokens; the distinct ones that a task has not met yet bec
 round every sequence takes its pair of lowest rank and merges all places of it at once (left to right where they
 overlap), all sequences in step, until no pair is in the vocabulary; the symbols that survive are the tokens. A token
 comes from one merge only, so a pair that a merge creates never ranks below it, and merging all places at once gives what
-merging them one by one gives (the vocabulary is checked for this).
+merging them one by one gives (the vocabulary is checked for this). A pre-token of more than ``LONG_WORD`` bytes (a long text
+without a break) would need thousands of rounds over all its symbols; it is merged alone, lowest rank first through a heap.
 
 Strings of added tokens inside a text are one token each, as the vocabulary's own library counts by default. Null counts
 as empty: no bytes, no tokens. Long texts are cut between a word and the white space after it, where no pre-token runs
@@ -14,6 +15,7 @@ is read by the driver and broadcast; its size is that of the file.
 
 from __future__ import annotations
 
+import heapq
 import json
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -30,6 +32,8 @@ from platelens.llm.common import byte_column, pieces, utf8
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 CUT = r"(?<=\P{White_Space})(?=\p{White_Space})"
 PART = 1 << 20
+#: Bytes of a pre-token above which it is merged alone, through a heap.
+LONG_WORD = 2048
 #: A task forgets the pre-tokens it has met when there are more.
 KNOWN = 400_000
 NO_RANK = np.iinfo(np.int32).max
@@ -102,6 +106,32 @@ def count_symbols(words: list[bytes], vocab: Vocabulary) -> np.ndarray:
     return out
 
 
+def count_long(word: bytes, vocab: Vocabulary, ranks: dict[int, tuple[int, int]]) -> int:
+    """The same for one long sequence: the lowest pair from a heap, neighbours by links, so that the cost grows with n log n
+    and not with the rounds that a long sequence would take. ``ranks``: pair to (rank, merged symbol)."""
+    symbol = vocab.of_byte[np.frombuffer(word, dtype=np.uint8)].tolist()
+    n, size, get = len(symbol), vocab.size, ranks.get
+    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+    heap = [(found[0], i) for i in range(n - 1) if (found := get(symbol[i] * size + symbol[i + 1]))]
+    heapq.heapify(heap)
+    left = n
+    while heap:
+        rank, i = heapq.heappop(heap)
+        j = after[i]
+        if symbol[i] < 0 or j >= n or (found := get(symbol[i] * size + symbol[j])) is None or found[0] != rank:
+            continue  # the pair is gone
+        symbol[i], symbol[j] = found[1], -1
+        left -= 1
+        k = after[i] = after[j]
+        if k < n:
+            before[k] = i
+            if found := get(symbol[i] * size + symbol[k]):
+                heapq.heappush(heap, (found[0], i))
+        if (h := before[i]) >= 0 and (found := get(symbol[h] * size + symbol[i])):
+            heapq.heappush(heap, (found[0], h))
+    return left
+
+
 def parts(text: str, cut: regex.Pattern, size: int = PART) -> Iterator[str]:
     lo = 0
     while len(text) - lo > size and (m := cut.search(text, lo + size)):
@@ -119,6 +149,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 1024) -> DataFrame:
         find, cut = regex.compile(PATTERN).findall, regex.compile(CUT)
         added = regex.compile("|".join(map(regex.escape, sorted(vocab.added, key=len, reverse=True))) or r"(?!)")
         known: dict[str, int] = {}
+        ranks: dict[int, tuple[int, int]] = {}
         for batch in pieces(batches, "text"):
             data, at = byte_column(batch.column("text"))
             total = np.zeros(batch.num_rows, dtype=np.int64)
@@ -131,8 +162,14 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 1024) -> DataFrame:
                     found += ((i, find(part)) for part in parts(segment, cut))
             if len(known) > KNOWN:
                 known.clear()
-            if new := list({w for _, words in found for w in words if w not in known}):
-                known.update(zip(new, count_symbols([w.encode() for w in new], vocab).tolist(), strict=True))
+            new = [(w, w.encode()) for w in {w for _, words in found for w in words if w not in known}]
+            short = [(w, b) for w, b in new if len(b) <= LONG_WORD]
+            if short:
+                known.update(zip((w for w, _ in short), count_symbols([b for _, b in short], vocab).tolist(), strict=True))
+            if len(short) < len(new):
+                if not ranks:
+                    ranks.update(zip(vocab.pairs.tolist(), zip(vocab.ranks.tolist(), vocab.merged.tolist(), strict=True), strict=True))
+                known.update((w, count_long(b, vocab, ranks)) for w, b in new if len(b) > LONG_WORD)
             for i, words in found:
                 total[i] += sum(map(known.__getitem__, words))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(at)), pa.array(total)], ["doc_id", "n_bytes", "n_tokens"])

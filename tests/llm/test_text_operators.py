@@ -213,6 +213,21 @@ def test_long_texts_are_cut_without_changing_counts():
     assert int(tokens.count_symbols([w.encode() for w in found], vocabulary).sum()) == len(tokenizer.encode(text, add_special_tokens=False).ids)
 
 
+def test_long_words_are_merged_through_a_heap():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tokenizer, vocabulary = Tokenizer.from_file(path), tokens.read_vocabulary(path)
+    ranks = dict(zip(vocabulary.pairs.tolist(), zip(vocabulary.ranks.tolist(), vocabulary.merged.tolist(), strict=True), strict=True))
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n)) for n in (1, 2, 300, 5000)] + ["aaaa" * 999, "thethe" * 700, "дом" * 900]
+    for w in words:
+        assert tokens.count_long(w.encode(), vocabulary, ranks) == len(tokenizer.encode(w, add_special_tokens=False).ids) == int(tokens.count_symbols([w.encode()], vocabulary)[0])
+    long = "".join(rng.choice("etaoinshrdlu") for _ in range(1_000_000))
+    assert tokens.count_long(long.encode(), vocabulary, ranks) == len(tokenizer.encode(long, add_special_tokens=False).ids)
+
+
 # --- extraction
 
 PAGE = """<html><head><title>T</title><style>p{}</style><script>var a="</p>";</script></head><body><header><h1>Site</h1></header>
