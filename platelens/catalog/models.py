@@ -350,7 +350,78 @@ def h04(spark, sf):
     return _collected(spark, rounded(result.importance, 4), [result])
 
 
-@query("h05_two_level_scorer")
+def weighted_logistic_sql(p: str, d: int, k: int, c: str, steps: int) -> str:
+    """Tables ``{p}z``, ... and ``{p}model`` from ``{p}rows`` (fit, y, wt, x0...): the weighted form of ``logistic_sql``, all classes
+    of a fit with equal total weight. ``c``: the setting, or a column of ``{p}rows`` that holds it."""
+    feats, classes, one = range(d), range(k), d
+    up = [(i, j) for i in feats for j in feats if i <= j]
+    sums = ", ".join(f"sum(wt * x{i}) / sum(wt) AS m{i}, sum(wt * x{i} * x{i}) / sum(wt) AS q{i}" for i in feats)
+    around = ", ".join(f"avg(q{i} - 2 * u{i} * m{i} + u{i} * u{i}) AS t{i}, any_value(u{i}) AS c{i}" for i in feats)
+    spread = ", ".join(f"CASE WHEN t{i} > 1e-14 * greatest(1, c{i} * c{i}) THEN sqrt(t{i}) ELSE 1 END AS s{i}" for i in feats)
+    gram = ", ".join(f"0.5 * sum(w * z{i} * z{j})" + (" + any_value(1.0 / c)" if i == j else "") + f" AS a{i}{j}" for i, j in up)
+    unit = ", ".join(f"{float(i == j)} AS r{i}{j}" for i in feats for j in feats)
+    tables = []
+    for q in feats[:-1]:
+        less = [f"a{i}{j} - a{q}{i} * a{q}{j} / a{q}{q} AS a{i}{j}" for i, j in up if i > q] + [f"r{i}{j} - a{q}{i} * r{q}{j} / a{q}{q} AS r{i}{j}" for i in feats if i > q for j in feats]
+        tables.append(f"{p}g{q + 1} AS (SELECT * REPLACE ({', '.join(less)}) FROM {p}g{q})")
+    for i in reversed(feats):
+        rows = ", ".join(f"({' - '.join([f'r{i}{j}', *(f'a{i}{n} * w{n}{j}' for n in feats if n > i)])}) / a{i}{i} AS w{i}{j}" for j in feats)
+        tables.append(f"{p}h{i} AS (SELECT *, {rows} FROM {p}{f'h{i + 1}' if i + 1 < d else f'g{d - 1}'})")
+    names = [f"b{q}{i}" for q in classes for i in range(one + 1)]
+    logit = ", ".join(f"CASE WHEN has{q} THEN exp({' + '.join([f'b{q}{one}', *(f'b{q}{i} * z{i}' for i in feats)])}) ELSE 0 END AS e{q}" for q in classes)
+    share = ", ".join(f"w * (e{q} / ({' + '.join(f'e{r}' for r in classes)}) - (y = {q})::INT) AS p{q}" for q in classes)
+    slopes = ", ".join([f"sum(p{q} * z{i}) AS d{q}{i}" for q in classes for i in feats] + [f"sum(p{q}) AS d{q}{one}" for q in classes])
+    kept = ", ".join(f"any_value({n}) AS {n}" for n in [*names, *(f"w{i}{j}" for i in feats for j in feats), "n", "c"])
+    moved = ", ".join(x for q in classes for x in [*(f"b{q}{i} - ({' + '.join(f'w{i}{j} * (d{q}{j} + b{q}{j} / c)' for j in feats)}) AS b{q}{i}" for i in feats), f"b{q}{one} - 2 * d{q}{one} / n AS b{q}{one}"])
+    has = ", ".join(f"bool_or(y = {q}) AS has{q}" for q in classes)
+    flags = ", ".join(f"has{q}" for q in classes)
+    return f"""{p}sized AS (SELECT fit, y, sum(wt) AS n, {c} AS c, {sums} FROM {p}rows GROUP BY fit, y{'' if c[0].isdigit() else ', ' + c}),
+  {p}fit AS (SELECT fit, max(n) AS most, count(*) AS classes, any_value(c) AS c, {has}, {', '.join(f'avg(m{i}) AS u{i}' for i in feats)} FROM {p}sized GROUP BY 1 HAVING count(*) > 1),
+  {p}scale AS (SELECT fit, {spread} FROM (SELECT fit, {around} FROM {p}sized JOIN {p}fit USING (fit) GROUP BY fit)),
+  {p}z AS MATERIALIZED (SELECT r.fit, r.y, wt * most / n AS w, f.c, {', '.join(f'(x{i} - u{i}) / s{i} AS z{i}' for i in feats)} FROM {p}rows r JOIN {p}sized s ON r.fit = s.fit AND r.y = s.y JOIN {p}fit f ON f.fit = r.fit JOIN {p}scale t ON t.fit = r.fit),
+  {p}g0 AS (SELECT fit, any_value(c) AS c, sum(w) AS n, {gram}, {unit} FROM {p}z GROUP BY fit), {', '.join(tables)},
+  {p}bound AS MATERIALIZED (SELECT h.fit, n, h.c, {', '.join(f'w{i}{j}' for i in feats for j in feats)}, {flags} FROM {p}h0 h JOIN {p}fit USING (fit)),
+  {p}it AS (SELECT 0 AS step, fit, {', '.join(f'0.0::DOUBLE AS {n}' for n in names)} FROM {p}bound
+    UNION ALL SELECT step + 1, fit, {moved} FROM (SELECT step, fit, {kept}, {slopes} FROM (
+      SELECT *, {share} FROM (SELECT i.*, b.* EXCLUDE (fit), y, w, {', '.join(f'z{i}' for i in feats)}, {logit} FROM {p}it i JOIN {p}bound b ON i.fit = b.fit JOIN {p}z z ON z.fit = i.fit WHERE step < {steps})) GROUP BY step, fit)),
+  {p}model AS (SELECT i.* EXCLUDE (step), {', '.join(f'u{i}, s{i}' for i in feats)}, {flags} FROM {p}it i JOIN {p}fit USING (fit) JOIN {p}scale USING (fit) WHERE step = {steps})"""
+
+
+def two_level_sql(splits: str, fold: str, c: str, held: str, steps: int) -> str:
+    """Two-level scores in SQL, tables up to ``scored`` (fit, CellLines, label, p0, p1). ``splits`` ends in ``train`` ({fold}, CellLines,
+    Mutations); ``fold`` are its columns; ``held`` gives the lines and settings to score."""
+    draws, feats = DRAWS * EPOCHS, range(len(FEATURES))
+    key = fold.replace(", ", " || '-' || ")
+    cell_z = [f"b{q}4 + " + " + ".join(f"b{q}{i} * (v{i} - u{i}) / s{i}" for i in feats) for q in range(2)]
+    markers = ["A", "N", "R"]
+    return f"""{splits},
+  place AS (SELECT *, row_number() OVER (PARTITION BY {fold}, Mutations ORDER BY substr(md5(CellLines || '|47'), 1, 13), CellLines) - 1 AS pos, count(*) OVER (PARTITION BY {fold}, Mutations) AS n FROM train),
+  most AS (SELECT {fold}, max(n) AS most FROM place GROUP BY ALL),
+  extra AS (SELECT {fold}, Mutations, ('0x' || substr(md5(Mutations || '|' || i || '|47'), 1, 13))::BIGINT % n AS pos, count(*) AS more
+    FROM (SELECT DISTINCT {fold}, Mutations, n, most FROM place JOIN most USING ({fold})), range(1, 1000) r(i) WHERE i <= most - n GROUP BY ALL),
+  member AS (SELECT {key} AS fold, CellLines, (Mutations <> 'WT')::BIGINT AS y, 1 + coalesce(more, 0) AS times FROM place LEFT JOIN extra USING ({fold}, Mutations, pos)),
+  x AS (SELECT CellLines, Mutations, w.Antibody, {', '.join(f'{f} AS x{i}' for i, f in enumerate(FEATURES))}, substr(md5(cell_key || '|47'), 1, 13) AS o FROM keyed_cells c JOIN wells w ON c.ID = w.ID),
+  drawn AS (SELECT * EXCLUDE (pos, n), CASE WHEN n >= {draws} THEN (pos <= {draws})::INT ELSE {draws} // n + (pos <= {draws} % n)::INT END AS copies
+    FROM (SELECT *, row_number() OVER (PARTITION BY Antibody, CellLines ORDER BY o) AS pos, count(*) OVER (PARTITION BY Antibody, CellLines) AS n FROM x)),
+  crows AS MATERIALIZED (SELECT fold || ':' || Antibody AS fit, y, (copies * times)::DOUBLE AS wt, {', '.join(f'x{i}' for i in feats)} FROM member JOIN drawn USING (CellLines) WHERE copies > 0),
+  {weighted_logistic_sql("c", len(FEATURES), 2, "1.0", 40)},
+  means AS (SELECT Antibody, CellLines, any_value(Mutations) AS Mutations, {', '.join(f'avg(x{i}) AS v{i}' for i in feats)} FROM x GROUP BY 1, 2),
+  logits AS (SELECT m.fit, split_part(m.fit, ':', 1) AS fold, Antibody, CellLines, Mutations, {cell_z[0]} AS y0, {cell_z[1]} AS y1 FROM cmodel m JOIN means ON Antibody = split_part(m.fit, ':', 2)),
+  pooled AS MATERIALIZED (SELECT fold, CellLines, any_value((Mutations <> 'WT')::BIGINT) AS label, {', '.join(f"max(y{q}) FILTER (Antibody = '{m}') AS x{2 * j + q}" for j, m in enumerate(markers) for q in range(2))}
+    FROM logits GROUP BY 1, 2 HAVING count(*) = {len(markers)}),
+  lrows AS MATERIALIZED (SELECT {c} AS fit, y, times::DOUBLE AS wt, {', '.join(f'x{i}' for i in range(6))}{'' if c == 'fold' else ', c'} FROM member JOIN pooled USING (fold, CellLines){'' if c == 'fold' else ', settings'}),
+  {weighted_logistic_sql("l", 6, 2, "1.0" if c == "fold" else "c", steps)},
+  scored AS (SELECT h.*, e0 / (e0 + e1) AS p0, e1 / (e0 + e1) AS p1 FROM (
+    SELECT h.*, {', '.join(f"exp(b{q}6 + {' + '.join(f'b{q}{i} * (x{i} - u{i}) / s{i}' for i in range(6))}) AS e{q}" for q in range(2))} FROM ({held}) h JOIN lmodel m ON m.fit = h.fit) h)"""
+
+
+H05 = f"""WITH RECURSIVE {two_level_sql(f"{HALVES}, train AS (SELECT half, CellLines, Mutations FROM o WHERE train)", "half", "fold",
+    "SELECT p.*, p.fold AS fit FROM pooled p WHERE NOT EXISTS (SELECT 1 FROM member m WHERE m.fold = p.fold AND m.CellLines = p.CellLines)", 1500).replace("half AS fold", "half::VARCHAR AS fold")}
+  SELECT round(p0, 4) AS Class_0, round(p1, 4) AS Class_1, CellLines, label AS "True", fold::INT AS Half FROM scored
+  UNION ALL SELECT NULL, NULL, CellLines, (Mutations <> 'WT')::BIGINT, half::INT FROM o WHERE NOT train AND half::VARCHAR NOT IN (SELECT fit FROM lmodel)"""
+
+
+@query("h05_two_level_scorer", H05)
 def h05(spark, sf):
     """Cell models per marker, pooled per line, line model on top, all mutations against wild type; held-out halves. As many
     draws of every line, as many lines of every mutation."""
