@@ -37,6 +37,13 @@ def test_draws_read_the_cells_twice(cells):
     assert seen.value <= 2 * LINES * CELLS
 
 
+def test_repeated_draws_read_the_cells_twice(cells):
+    rows, seen = counted(cells)
+    out = balance.repeated_means(rows, ["CellLines"], ["x"], 25, 4).collect()
+    assert len(out) == LINES and {r.reps for r in out} == {4}
+    assert seen.value <= 2 * LINES * CELLS
+
+
 def test_draws_of_equal_digests_are_all_counted(spark):
     """Cells without a key have one digest; a line may then lie below the share as a whole, or not at all."""
     df = spark.range(1000).select(F.lit("L").alias("CellLines"), F.lit(None).cast("string").alias("cell_key"))
