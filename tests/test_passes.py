@@ -75,3 +75,18 @@ def test_markers_share_one_join(spark):
         df.unpersist()
 
 
+def test_a_row_comes_back_from_python_once(spark):
+    """Scores of all folds of a row travel together, in the order of the folds."""
+    import pyarrow as pa
+    from pyspark.sql import types as T
+
+    from platelens.plans.manyfits import member_table, scan_folds
+
+    folds = [["a"], ["b"], []]
+    table, _ = member_table(spark, folds)
+    rows = spark.createDataFrame([("a", 1.0, "k1"), ("b", 2.0, "k2"), ("c", 3.0, "k3"), ("b", 4.0, "k4")], "CellLines string, x double, key string").join(table, "CellLines", "left")
+    rows = rows.withColumn("member", F.coalesce("member", F.lit(bytearray(1))))
+    out = scan_folds(rows, ["x"], 3, "member", ["CellLines", "key"], [T.StructField("v", T.DoubleType())], lambda: lambda x: lambda f, at: [pa.array(x[at, 0] * 10 + f)])
+    assert sorted(map(tuple, out.collect())) == [("a", "k1", 1, 11.0), ("a", "k1", 2, 12.0), ("b", "k2", 0, 20.0), ("b", "k2", 2, 22.0), ("b", "k4", 0, 40.0), ("b", "k4", 2, 42.0),
+                                                 ("c", "k3", 0, 30.0), ("c", "k3", 1, 31.0), ("c", "k3", 2, 32.0)]
+    assert "Generate" in out._jdf.queryExecution().optimizedPlan().toString()
