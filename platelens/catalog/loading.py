@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from platelens.catalog.base import (
     FEATURES, cells, lineitem, query, rounded, screen, suppliers, wells,
 )
-from platelens.functions.sizing import join_bounded, kept, shared_folder
+from platelens.functions.sizing import join_bounded, shared_folder
 from platelens.operators import features as feat
 from platelens.operators import samples
 from platelens.operators.aggregates import distinct_values, well_profiles
@@ -74,18 +74,24 @@ def a07(spark, sf):
 @query("a05_discover_plates", """SELECT l_returnflag AS Screen, l_returnflag || l_linestatus AS PlateID, count(*) AS lines FROM lineitem GROUP BY 1, 2""")
 def a05(spark, sf):
     """Plate folders written as files, found again on the file system (one without an evaluation is left out), and the lines
-    of each read by the folders found."""
+    of each read by the folders found. All plates are written in one pass, and each folder is put in its place."""
     root = f"{shared_folder(spark)}/plates-{uuid.uuid4().hex}"
     lines = lineitem(spark, sf).select("l_returnflag", F.concat("l_returnflag", "l_linestatus").alias("plate"), F.concat_ws("\t", "l_orderkey", "l_linenumber", "l_quantity").alias("value"))
     found = lines.select("l_returnflag", "plate").distinct().collect()  # plates
-    lines = kept(lines)
+    places = {(flag, plate): i for i, (flag, plate) in enumerate(found) if plate is not None}
+    pair = lambda flag, plate: F.concat_ws("\t", flag, plate)
+    place = F.create_map(*[z for (flag, plate), i in places.items() for z in (pair(F.lit(flag), F.lit(plate)), F.lit(i))])
+    lines = lines.withColumn("place", F.try_element_at(place, pair(F.col("l_returnflag"), F.col("plate")))).filter("plate is not null")
+    lines.select("place", "value").write.partitionBy("place").text(f"{root}-all")
+    for (flag, plate), i in places.items():
+        files.move_directory(spark, f"{root}-all/place={i}", f"{root}/{flag}/Data/{plate}__run1/Evaluation1")
     for flag, plate in found:
-        lines.filter(F.col("plate") == plate).select("value").write.text(f"{root}/{flag}/Data/{plate}__run1/Evaluation1")
         spark.range(1).select(F.lit("no evaluation").alias("value")).write.text(f"{root}/{flag}/Data/{plate}x__run1/Other")
     plates = files.plate_directories(spark, {"root": root, "screen": sorted({flag for flag, _ in found})})
     table_ = spark.createDataFrame([(p.split("/Data/")[0].rsplit("/", 1)[-1], files.plate_id(p)) for p in plates], "Screen string, PlateID string")
-    text = spark.read.text([f"{p}/Evaluation1" for p in plates]).select(files.plate_id_of(F.col("_metadata.file_path")).alias("PlateID"))
-    return table_.join(text.groupBy("PlateID").agg(F.count(F.lit(1)).alias("lines")), "PlateID").select("Screen", "PlateID", "lines")
+    text = spark.read.text([f"{p}/Evaluation1" for p in plates]).groupBy(F.col("_metadata.file_path").alias("path")).agg(F.count(F.lit(1)).alias("lines"))
+    text = text.groupBy(files.plate_id_of(F.col("path")).alias("PlateID")).agg(F.sum("lines").alias("lines"))  # one name a file, not a line
+    return table_.join(text, "PlateID").select("Screen", "PlateID", "lines")
 
 
 @query("a08_load", """SELECT ID, PlateID, Antibody, CellLines, NCells, Screen, 4 AS cell_columns FROM wells""")

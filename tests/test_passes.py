@@ -75,6 +75,18 @@ def test_markers_share_one_join(spark):
         df.unpersist()
 
 
+def test_plates_are_written_in_one_pass(spark, tmp_path, monkeypatch):
+    """Lines of all plates in one write, whatever the number of plates (one with a null status has none)."""
+    from platelens.catalog.loading import a05
+
+    rows = [(i, i % 3, float(i), "ANR"[i % 3], "FO"[i % 2]) for i in range(60)] + [(99, 1, 1.0, "A", None)]
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_quantity double, l_returnflag string, l_linestatus string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    monkeypatch.setattr("platelens.catalog.loading.shared_folder", lambda spark: f"{tmp_path}/kept")
+    got = a05(spark, str(tmp_path)).collect()
+    assert {(r.Screen, r.PlateID, r.lines) for r in got} == {(f, f + s, 10) for f in "ANR" for s in "FO"}
+    assert not [d for d in (tmp_path / "kept").iterdir() if not d.name.startswith("plates-")]
+
+
 def test_a_row_comes_back_from_python_once(spark):
     """Scores of all folds of a row travel together, in the order of the folds."""
     import pyarrow as pa
