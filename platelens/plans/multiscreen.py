@@ -40,9 +40,12 @@ class ScreenAligner:
     per_screen: bool = True
 
     def fit(self, cells: DataFrame, wells: DataFrame) -> ScreenAligner:
-        self.features = [c for c in cells.columns if c not in KEYS]
+        return self._fit(with_labels(cells, wells))
+
+    def _fit(self, joined: DataFrame) -> ScreenAligner:
+        self.features = [c for c in joined.columns if c not in KEYS]
         counts = F.array(*[F.count(quoted(c)) for c in self.features]).alias("n")
-        per_screen = _with_labels(cells, wells).groupBy("Screen").agg(*_moments(self.features), counts)
+        per_screen = joined.groupBy("Screen").agg(*_moments(self.features), counts)
         local = as_local(per_screen)  # one row for each screen
         self.screens = kept(per_screen) if local is None else local
         rows = self.screens.toPandas()
@@ -56,15 +59,19 @@ class ScreenAligner:
 
     def transform(self, cells: DataFrame, wells: DataFrame) -> DataFrame:
         """``aligned_feature_i`` and the keys ID, CellLines, Mutations, Screen."""
-        joined = _with_labels(cells, wells)
-        keys = [c for c in ("ID", "CellLines", "Mutations", "Screen") if c in joined.columns]
-        mean, dev = self.pooled["m"], self.pooled["d"]
+        joined = with_labels(cells, wells)
+        stats, bound = self.screens, self.known
         if self.per_screen:
-            stats, bound = self.screens, self.known
             new = wells.select("Screen").distinct().join(self.screens.select("Screen"), "Screen", "left_anti")
             if more := new.count():  # only screens that training has not seen need a pass of their own
                 own = join_bounded(joined, new, "Screen", "left_semi", rows=more)
                 stats, bound = stats.unionByName(own.groupBy("Screen").agg(*_moments(self.features))), bound + more
+        return self._aligned(joined, stats, bound)
+
+    def _aligned(self, joined: DataFrame, stats: DataFrame, bound: int) -> DataFrame:
+        keys = [c for c in ("ID", "CellLines", "Mutations", "Screen") if c in joined.columns]
+        mean, dev = self.pooled["m"], self.pooled["d"]
+        if self.per_screen:
             joined = join_bounded(joined, stats, "Screen", rows=bound)
         out = []
         for i, c in enumerate(self.features):
@@ -75,8 +82,11 @@ class ScreenAligner:
             out.append(((x - F.lit(mean[i])) / F.lit(dev[i] + 1e-8)).alias(f"aligned_feature_{i}"))
         return joined.select(*out, *keys)
 
-    def fit_transform(self, cells: DataFrame, wells: DataFrame) -> DataFrame:
-        return self.fit(cells, wells).transform(cells, wells)
+    def fit_transform(self, cells: DataFrame, wells: DataFrame | None = None) -> DataFrame:
+        """Without ``wells`` the cells carry their labels already (``with_labels``), so several aligners can share a join."""
+        joined = cells if wells is None else with_labels(cells, wells)
+        self._fit(joined)
+        return self._aligned(joined, self.screens, self.known)
 
 
 def _moments(features: Sequence[str]):
@@ -84,7 +94,8 @@ def _moments(features: Sequence[str]):
             F.array(*[F.stddev_pop(quoted(c)) for c in features]).alias("d"))
 
 
-def _with_labels(cells: DataFrame, wells: DataFrame) -> DataFrame:
+def with_labels(cells: DataFrame, wells: DataFrame) -> DataFrame:
+    """Cells with line, mutation and screen; a cell without a complete well row is an error."""
     return cells_with_wells_checked(
         cells.drop("CellLines", "Mutations", "Screen"), wells.select("ID", "CellLines", "Mutations", "Screen")
     )

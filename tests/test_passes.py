@@ -75,6 +75,21 @@ def test_markers_share_one_join(spark):
         df.unpersist()
 
 
+def test_aligners_share_labelled_cells(spark):
+    rows, w, seen, _ = _screens(spark, counted)
+    w = w.withColumn("Screen", F.col("Antibody"))
+    labelled = multiscreen.with_labels(rows.drop("cell_key"), w).persist()
+    for per_screen in (False, True):
+        own = multiscreen.ScreenAligner(per_screen).fit_transform(labelled)
+        both = multiscreen.ScreenAligner(per_screen).fit_transform(rows.drop("cell_key"), w)
+        assert own.columns == both.columns
+        assert sorted(map(str, own.collect())) == sorted(map(str, both.collect()))
+    before = seen.value
+    multiscreen.ScreenAligner(True).fit_transform(labelled).collect()
+    assert seen.value == before
+    labelled.unpersist()
+
+
 def test_plates_are_written_in_one_pass(spark, tmp_path, monkeypatch):
     """Lines of all plates in one write, whatever the number of plates (one with a null status has none)."""
     from platelens.catalog.loading import a05
