@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from platelens.functions.hashing import hash_order
-from platelens.functions.ordered import NEAREST, grouped_quantiles, smallest_digests, smallest_per_group
-from platelens.functions.sizing import join_bounded, profile_groups
+from platelens.functions.ordered import NEAREST, grouped_quantiles, rank_position, smallest_digests, smallest_per_group
+from platelens.functions.sizing import broadcast_limit, hot_group_rows, join_bounded, profile_groups
 from platelens.operators.features import quoted
 from platelens.operators.registry import step, well_filter
 from platelens.screen import Screen
@@ -48,7 +48,11 @@ def drop_cells_by_feature_qt(screen: Screen, feature_filters: Mapping[str, float
     """Per well, keep cells inside [alpha, 1-alpha] of every listed feature (nearest-rank quantiles, untrimmed well).
 
     Bounds come from the listed columns alone; the full-width cells are not shuffled when the bounds fit a broadcast.
+    With more wells the cells move once, by well, and each well finds its bounds where it lies.
     """
+    known = screen.bounds()
+    if known.groups > broadcast_limit(screen.cells.select("ID", *[quoted(c).alias(f"{c}{end}") for c in feature_filters for end in ("_lo", "_hi")])) and known.max_rows <= hot_group_rows(screen.cells.sparkSession):
+        return screen.with_cells(_trimmed_in_place(screen.cells, feature_filters))
     levels = {}
     for i, (feature, alpha) in enumerate(feature_filters.items()):
         levels[f"_lo{i}"] = (feature, float(alpha))
@@ -61,6 +65,19 @@ def drop_cells_by_feature_qt(screen: Screen, feature_filters: Mapping[str, float
     return screen.with_cells(cells.filter(inside).select(*[quoted(c) for c in screen.cells.columns]))
 
 
+def _trimmed_in_place(cells: DataFrame, feature_filters: Mapping[str, float]) -> DataFrame:
+    """The trim of wells below the hot limit by windows over a well: one shuffle, none if the cells lie by well already."""
+    well = Window.partitionBy("ID")
+    out, inside = cells.filter(F.col("ID").isNotNull()), F.lit(True)
+    for i, (feature, alpha) in enumerate(feature_filters.items()):
+        x = quoted(feature)
+        out = out.withColumns({f"_r{i}": F.row_number().over(well.orderBy(x.asc_nulls_last())), f"_n{i}": F.count(x).over(well)})
+        ends = [rank_position(q, F.col(f"_n{i}"), NEAREST)[0] for q in (float(alpha), 1 - float(alpha))]
+        out = out.withColumns({f"_{end}{i}": F.max(F.when(F.col(f"_r{i}") == r, x)).over(well) for end, r in zip(("lo", "hi"), ends, strict=True)})
+        inside &= x.between(F.col(f"_lo{i}"), F.col(f"_hi{i}"))
+    return out.filter(inside).select(*[quoted(c) for c in cells.columns])
+
+
 @step
 def subsample_rows_by_id(screen: Screen, n: int = 100, seed: int = 47) -> Screen:
     """At most ``n`` cells per well, without replacement, in a seeded order of the cell key.

@@ -75,6 +75,26 @@ def test_markers_share_one_join(spark):
         df.unpersist()
 
 
+def test_trim_in_place_equals_bounds(spark):
+    rng = np.random.default_rng(3)
+    data = [(None if rng.random() < 0.02 else f"w{int(rng.integers(0, 30))}", i, None if rng.random() < 0.1 else float(rng.integers(0, 40)), None if i % 50 == 7 else float("nan") if i % 31 == 0 else float(rng.normal())) for i in range(2000)]
+    data += [("empty", -1, None, 1.0), ("one", -2, 2.0, 3.0)]
+    df = spark.createDataFrame(data, "ID string, Screen long, `a b` double, c double").persist()
+    wells = df.select("ID").distinct().filter("ID is not null")
+    filters = {"a b": 0.1, "c": 0.2}
+    want = drop_cells_by_feature_qt(Screen(df, wells), feature_filters=filters).cells
+    got = _trimmed_in_place(df, filters)
+    assert got.columns == want.columns
+    assert sorted(r.Screen for r in got.collect()) == sorted(r.Screen for r in want.collect())
+    spark.conf.set("spark.platelens.broadcastRows", "0")
+    try:
+        plan = drop_cells_by_feature_qt(Screen(df, wells), feature_filters=filters).cells
+        text = plan._jdf.queryExecution().executedPlan().toString()
+        assert "Join" not in text and text.count("hashpartitioning(ID") == 1
+    finally:
+        spark.conf.unset("spark.platelens.broadcastRows")
+
+
 def test_aligners_share_labelled_cells(spark):
     rows, w, seen, _ = _screens(spark, counted)
     w = w.withColumn("Screen", F.col("Antibody"))
